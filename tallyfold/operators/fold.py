@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.model import COUNTER, GAUGE, KEY, STATE_COLUMNS
+from tallyfold.model import COUNTER, GAUGE, KEY
 
 
 def null_propagating_sum(col: str | Column) -> Column:
@@ -35,50 +35,59 @@ def fold_updates(updates: DataFrame, key: Sequence[str] = KEY, seq: str = "seq")
     """A3: fold an ordered, mixed batch of updates into one row per key.
 
     Both value columns fold whatever the type (database rule): ``delta`` by
-    null-propagating sum, ``value`` by last write.
+    null-propagating sum, ``value`` by last write. ``seq`` is the last applied
+    update, kept so that a later merge does not depend on batch arrival order.
     """
     return updates.groupBy(*key).agg(
         null_propagating_sum("delta").alias("delta"),
         last_by_seq("value", seq).alias("value"),
+        F.max(seq).alias("seq"),
     )
 
 
 def merge_folded(state: DataFrame, folded: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Upsert already-folded updates into state (both one row per key).
 
-    Key in both: ``delta = s.delta + u.delta`` (NULL-propagating), ``value = u.value``.
-    Key on one side: that side's row. Side presence uses a marker column, never
-    ``value IS NULL`` (a NULL value is a legal last write).
+    Key in both: ``delta = s.delta + u.delta`` (NULL-propagating), ``value`` of the
+    later write (the update's, unless the state carries a higher ``seq``). Key on
+    one side: that side's row. Side presence uses a marker column, never
+    ``value IS NULL`` (a NULL value is a legal last write). A state without a
+    ``seq`` column (e.g. a restored snapshot) counts as older than any update.
     """
     key = list(key)
+    s_seq = F.col("seq") if "seq" in state.columns else F.lit(None).cast("bigint")
     s = state.select(
         *key,
         F.col("delta").alias("_s_delta"),
         F.col("value").alias("_s_value"),
+        s_seq.alias("_s_seq"),
         F.lit(True).alias("_s_in"),
     )
     u = folded.select(
         *key,
         F.col("delta").alias("_u_delta"),
         F.col("value").alias("_u_value"),
+        F.col("seq").alias("_u_seq"),
         F.lit(True).alias("_u_in"),
     )
     j = s.join(u, key, "full_outer")
     s_in = F.coalesce(F.col("_s_in"), F.lit(False))
     u_in = F.coalesce(F.col("_u_in"), F.lit(False))
+    u_later = u_in & (~s_in | F.col("_s_seq").isNull() | (F.col("_u_seq") > F.col("_s_seq")))
     return j.select(
         *key,
         F.when(s_in & u_in, F.col("_s_delta") + F.col("_u_delta"))
         .when(u_in, F.col("_u_delta"))
         .otherwise(F.col("_s_delta"))
         .alias("delta"),
-        F.when(u_in, F.col("_u_value")).otherwise(F.col("_s_value")).alias("value"),
+        F.when(u_later, F.col("_u_value")).otherwise(F.col("_s_value")).alias("value"),
+        F.when(u_later, F.col("_u_seq")).otherwise(F.col("_s_seq")).alias("seq"),
     )
 
 
 def upsert(state: DataFrame, updates: DataFrame, key: Sequence[str] = KEY, seq: str = "seq") -> DataFrame:
     """Pre-aggregate the updates (map-side combined), then one full outer join."""
-    return merge_folded(state.select(*STATE_COLUMNS), fold_updates(updates, key, seq), key)
+    return merge_folded(state, fold_updates(updates, key, seq), key)
 
 
 def type_conflicts(updates: DataFrame, seq: str = "seq") -> DataFrame:

@@ -106,7 +106,7 @@ _STATUS = {
     JSON_UPDATE: {ERR_EMPTY_ID: 400, ERR_EMPTY_TYPE: 400, ERR_INVALID_TYPE: 400, ERR_NO_VALUE: 400,
                   ERR_BAD_JSON: 400, ERR_BAD_VALUE: 400, ERR_NON_FINITE: 400},
     PATH_UPDATE: {ERR_EMPTY_ID: 404, ERR_EMPTY_TYPE: 400, ERR_INVALID_TYPE: 400, ERR_NO_VALUE: 400,
-                  ERR_BAD_VALUE: 400, ERR_NON_FINITE: 400},
+                  ERR_BAD_VALUE: 400, ERR_NON_FINITE: 400, ERR_NOT_FOUND: 404},
     JSON_LOOKUP: {ERR_EMPTY_ID: 404, ERR_EMPTY_TYPE: 404, ERR_INVALID_TYPE: 404, ERR_BAD_JSON: 400,
                   ERR_NOT_FOUND: 404},
     VALUE_LOOKUP: {ERR_EMPTY_ID: 404, ERR_EMPTY_TYPE: 400, ERR_INVALID_TYPE: 400, ERR_NOT_FOUND: 404},

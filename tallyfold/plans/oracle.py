@@ -7,6 +7,64 @@ same rules as ``tallyfold.sources.updates``.
 
 from __future__ import annotations
 
+from tallyfold.functions.errors import RETRYABLE_SQLSTATES
+from tallyfold.functions.parse import DECIMAL_FLOAT_PATTERN, HEX_FLOAT_PATTERN, INT_PATTERN
+from tallyfold.functions.sign import _pads
+from tallyfold.sources.updates import PATH_TEXTS, SIGNING_KEY, SQLSTATE_CODES
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _full(pattern: str) -> str:
+    """Spark patterns are anchored; DuckDB's regexp_full_match anchors itself."""
+    return pattern.removeprefix("^").removesuffix("$")
+
+
+_IPAD, _OPAD = (p.hex() for p in _pads(SIGNING_KEY))
+
+
+def hmac_sql(col: str) -> str:
+    return f"sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode({col}))))"
+
+
+def f3_sql(col: str) -> str:
+    """F3 for the value range of the driver tables (DuckDB prints shortest digits)."""
+    return f"regexp_replace(CAST({col} AS VARCHAR), '\\.0$', '')"
+
+
+def value_text_sql(t: str = "type", d: str = "delta", v: str = "value") -> str:
+    return f"coalesce(CASE WHEN {t} = 'counter' THEN CAST({d} AS VARCHAR) WHEN {t} = 'gauge' THEN {f3_sql(v)} END, '')"
+
+
+def int_parse_sql(t: str) -> str:
+    return f"CASE WHEN regexp_full_match({t}, '{_full(INT_PATTERN)}') THEN TRY_CAST({t} AS BIGINT) END"
+
+
+def float_parse_sql(t: str) -> str:
+    return f"""CASE WHEN lower({t}) IN ('inf', '+inf', 'infinity', '+infinity') THEN CAST('inf' AS DOUBLE)
+            WHEN lower({t}) IN ('-inf', '-infinity') THEN CAST('-inf' AS DOUBLE)
+            WHEN lower({t}) = 'nan' THEN CAST('nan' AS DOUBLE)
+            WHEN (regexp_full_match({t}, '{_full(DECIMAL_FLOAT_PATTERN)}') OR regexp_full_match({t}, '{_full(HEX_FLOAT_PATTERN)}'))
+                 AND NOT isnan(TRY_CAST({t} AS DOUBLE)) AND NOT isinf(TRY_CAST({t} AS DOUBLE))
+            THEN TRY_CAST({t} AS DOUBLE) END"""
+
+
+E_ID = "'metric name (id) is empty'"
+E_TYPE = "'metric type is empty'"
+E_INV = "'metric type is not valid'"
+E_NOVAL = "'metric has no value'"
+E_BAD = "'metric value is not parseable'"
+E_NOTFOUND = "'metric is not found'"
+E_NONFINITE = "'metric value is not finite'"
+
+
+def key_error_sql(i: str = "id", t: str = "type") -> str:
+    return (f"CASE WHEN {i} IS NULL OR {i} = '' THEN {E_ID} WHEN {t} IS NULL OR {t} = '' THEN {E_TYPE} "
+            f"WHEN {t} NOT IN ('counter', 'gauge') THEN {E_INV} END")
+
+
 UPDATES = """updates AS (
   SELECT event_id AS seq, ts,
          event_type || '_' || CAST(user_id AS VARCHAR) AS id,
@@ -53,10 +111,19 @@ def fold_sql(source: str) -> str:
 FROM {source} GROUP BY id, type"""
 
 
+def state_cte(name: str, source: str) -> str:
+    return f"{name} AS ({fold_sql(source)})"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def with_more(*ctes: str, tail: str) -> str:
+    """``WITH`` list whose ``tail`` starts with further CTEs and ends in the SELECT."""
+    return "WITH " + ",\n".join(ctes) + ",\n" + tail
+
+
 RUNNING = """SELECT seq, id, type,
        CASE WHEN count(*) FILTER (WHERE delta IS NULL) OVER w = 0
             THEN CAST(sum(delta) OVER w AS BIGINT) END AS delta,
@@ -64,6 +131,94 @@ RUNNING = """SELECT seq, id, type,
 FROM {source}
 WINDOW w AS (PARTITION BY id, type ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
+TEXTS_CTE = f"""texts AS (
+  SELECT seq, list_extract({_sql_list(PATH_TEXTS)}, CAST(seq % {len(PATH_TEXTS)} + 1 AS INTEGER)) AS text FROM dirty)"""
+
+REQUESTS = """requests AS (
+  SELECT seq AS request_id, id,
+         CASE WHEN seq % 3 = 0 AND type IN ('counter', 'gauge')
+              THEN CASE WHEN type = 'counter' THEN 'gauge' ELSE 'counter' END ELSE type END AS type
+  FROM dirty)"""
+
+
+def newest_last_sql(source: str) -> str:
+    """Rows of each window's newest ts, then the last row per (window, id)."""
+    return f"""newest AS (
+  SELECT w.* FROM {source} w
+  JOIN (SELECT window_start, max(ts) AS mts FROM {source} GROUP BY window_start) m
+    ON w.window_start = m.window_start AND w.ts = m.mts)
+SELECT window_start, id, seq, type, delta, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY window_start, id ORDER BY seq DESC) AS rn FROM newest) x
+WHERE rn = 1"""
+
+
+_LI_GAUGES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_LI_COUNTERS = ("l_partkey",)
+
+
+def lineitem_long_sql(cols: str) -> str:
+    parts = [f"SELECT {cols}, '{c}' AS id, 'gauge' AS type, CAST(NULL AS BIGINT) AS delta, CAST({c} AS DOUBLE) AS value FROM li"
+             for c in _LI_GAUGES]
+    parts += [f"SELECT {cols}, '{c}' AS id, 'counter' AS type, CAST({c} AS BIGINT) AS delta, CAST(NULL AS DOUBLE) AS value FROM li"
+              for c in _LI_COUNTERS]
+    return "\nUNION ALL\n".join(parts)
+
+
+WEEK_US = 7 * 86400 * 1000000
+LI_WINDOWED = f"""li AS (
+  SELECT l_orderkey, l_linenumber, l_orderkey * 8 + l_linenumber AS seq, l_shipdate AS ts,
+         strftime(make_timestamp((epoch_us(l_shipdate) // {WEEK_US}) * {WEEK_US}), '%Y-%m-%d %H:%M:%S') AS window_start,
+         l_quantity, l_extendedprice, l_discount, l_tax, l_partkey
+  FROM lineitem)"""
+
+DAY_WINDOW = "strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S')"
+
+PATH_INGEST = f"""paths AS (
+  SELECT seq, '/update/' || type || '/' || id || '/' || list_extract({_sql_list(PATH_TEXTS)}, CAST(seq % {len(PATH_TEXTS)} + 1 AS INTEGER)) AS path
+  FROM dirty),
+parts AS (SELECT seq, path, string_split(path, '/') AS p FROM paths),
+parsed AS (
+  SELECT seq, path, (len(p) = 5 AND p[1] = '' AND p[2] = 'update') AS routed,
+         CASE WHEN len(p) = 5 AND p[1] = '' AND p[2] = 'update' THEN p[3] END AS type,
+         CASE WHEN len(p) = 5 AND p[1] = '' AND p[2] = 'update' THEN p[4] END AS id,
+         CASE WHEN len(p) = 5 AND p[1] = '' AND p[2] = 'update' THEN p[5] END AS text
+  FROM parts),
+vals AS (
+  SELECT *, CASE WHEN type = 'counter' THEN {int_parse_sql('text')} END AS delta,
+            CASE WHEN type = 'gauge' THEN {float_parse_sql('text')} END AS value
+  FROM parsed),
+errs AS (
+  SELECT *, CASE WHEN NOT routed THEN {E_NOTFOUND}
+                 ELSE coalesce({key_error_sql()},
+                               CASE WHEN delta IS NULL AND value IS NULL THEN {E_BAD} END,
+                               CASE WHEN value IS NOT NULL AND (isnan(value) OR isinf(value)) THEN {E_NONFINITE} END) END AS error
+  FROM vals)
+SELECT seq, path, id, type,
+       CASE WHEN error IS NULL THEN delta END AS delta,
+       CASE WHEN error IS NULL THEN value END AS value,
+       error,
+       CASE WHEN error IS NULL THEN 200
+            WHEN error IN ({E_ID}, {E_NOTFOUND}) THEN 404
+            WHEN error IN ({E_TYPE}, {E_INV}, {E_NOVAL}, {E_BAD}, {E_NONFINITE}) THEN 400
+            ELSE 500 END AS status
+FROM errs"""
+
+LOOKUP_BULK = f"""j AS (
+  SELECT r.request_id, r.id, r.type, s.delta, s.value, (s.id IS NOT NULL) AS found,
+         {key_error_sql('r.id', 'r.type')} AS key_error
+  FROM requests r LEFT JOIN state s ON r.id = s.id AND r.type = s.type)
+SELECT request_id, id, type, found,
+       CASE WHEN found AND key_error IS NULL THEN {value_text_sql()} END AS text,
+       coalesce(key_error, CASE WHEN NOT found THEN {E_NOTFOUND} END) AS error,
+       CASE WHEN coalesce(key_error, CASE WHEN NOT found THEN {E_NOTFOUND} END) IS NULL THEN 200
+            WHEN coalesce(key_error, CASE WHEN NOT found THEN {E_NOTFOUND} END) IN ({E_ID}, {E_NOTFOUND}) THEN 404
+            WHEN coalesce(key_error, CASE WHEN NOT found THEN {E_NOTFOUND} END) IN ({E_TYPE}, {E_INV}) THEN 400
+            ELSE 500 END AS status
+FROM j"""
+
+_RETRY = ", ".join(f"'{c}'" for c in RETRYABLE_SQLSTATES)
+_N_CODES = len(SQLSTATE_CODES)
+
 ORACLE: dict[str, str] = {
     "updates": with_(UPDATES) + "SELECT seq, id, type, delta, value FROM updates",
     "metric_state": with_(UPDATES) + fold_sql("updates"),
@@ -86,4 +241,94 @@ ORACLE: dict[str, str] = {
        count(*) FILTER (WHERE type = 'gauge') AS n_gauge
 FROM gated GROUP BY id
 HAVING count(*) FILTER (WHERE type = 'counter') > 0 AND count(*) FILTER (WHERE type = 'gauge') > 0""",
+    "validate": with_(UPDATES, DIRTY, VALIDATED) + "SELECT seq, batch_id, pos, id, type, error FROM validated",
+    "validate_key_only": with_(UPDATES, DIRTY) + f"SELECT seq, {key_error_sql()} AS error FROM dirty",
+    "batch_accept": with_(UPDATES, DIRTY, VALIDATED, ACCEPTED)
+    + "SELECT seq, batch_id, pos, id, type, delta, value FROM accepted",
+    "batch_first_error": with_(UPDATES, DIRTY, VALIDATED)
+    + """SELECT batch_id, min(pos) AS first_pos, arg_min(error, pos) AS error, count(*) AS n_bad
+FROM validated WHERE error IS NOT NULL GROUP BY batch_id""",
+    "json_update_outcome": with_(UPDATES, DIRTY, VALIDATED)
+    + "SELECT seq, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS status FROM validated",
+    "keep_last": with_(UPDATES, DIRTY)
+    + """SELECT batch_id, id, seq, type, delta, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY batch_id, id ORDER BY seq DESC) AS rn FROM dirty) x WHERE rn = 1""",
+    "report_window": with_(UPDATES)
+    + f"""SELECT {DAY_WINDOW} AS window_start, id, type, count(*) AS polls,
+       CASE WHEN count(delta) = count(*) THEN CAST(sum(delta) AS BIGINT) END AS delta,
+       arg_max_null(value, seq) AS value
+FROM updates GROUP BY {DAY_WINDOW}, id, type""",
+    "report_polls": with_(UPDATES)
+    + f"""SELECT {DAY_WINDOW} AS window_start, 'PollCount' AS id, 'counter' AS type, count(DISTINCT ts) AS delta
+FROM updates GROUP BY {DAY_WINDOW}""",
+    "latest_sample": with_more(
+        UPDATES,
+        f"w AS (SELECT {DAY_WINDOW} AS window_start, ts, seq, id, type, delta, value FROM updates)",
+        tail=newest_last_sql("w"),
+    ),
+    "latest_sample_wide": with_more(
+        LI_WINDOWED, "long AS (" + lineitem_long_sql("window_start, ts, seq") + ")", tail=newest_last_sql("long")
+    ),
+    "wide_to_long": with_("li AS (SELECT * FROM lineitem)") + lineitem_long_sql("l_orderkey, l_linenumber"),
+    "cpu_explode": """SELECT vec_id, 'CPUutilization' || CAST(pos AS VARCHAR) AS id, 'gauge' AS type, CAST(v AS DOUBLE) AS value
+FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings) x""",
+    "hmac_sign": f"SELECT event_id, {hmac_sql('props')} AS signature FROM events",
+    "hmac_check": with_(
+        f"""signed AS (
+  SELECT event_id, props AS body,
+         CASE WHEN event_id % 70 = 0 THEN '' WHEN event_id % 50 = 0 THEN sha256(encode(props))
+              ELSE {hmac_sql('props')} END AS signature
+  FROM events)"""
+    )
+    + f"SELECT event_id, CASE WHEN signature IS NULL OR signature = '' THEN true ELSE signature = {hmac_sql('body')} END AS accepted FROM signed",
+    "parse_value": with_(UPDATES, DIRTY, TEXTS_CTE)
+    + f"SELECT seq, text, {int_parse_sql('text')} AS as_int, {float_parse_sql('text')} AS as_float FROM texts",
+    "path_ingest": with_more(UPDATES, DIRTY, tail=PATH_INGEST),
+    "lookup_bulk": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_BULK),
+    "lookup_miss": with_(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"))
+    + """SELECT r.request_id, r.id, r.type FROM requests r
+WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.id = r.id AND s.type = r.type)""",
+    "lookup_one": with_(UPDATES, state_cte("state", "updates"))
+    + "SELECT id, type, delta, value FROM state WHERE id = 'click_8' AND type = 'counter'",
+    "listing": with_(UPDATES, state_cte("state", "updates"))
+    + f"SELECT id, type, 'ID: ' || id || ' Type: ' || type || ' Value: ' || {value_text_sql()} AS line FROM state",
+    "metric_count": with_(UPDATES, state_cte("state", "updates")) + "SELECT count(*) AS total FROM state",
+    "path_export": with_(UPDATES, DIRTY, GATED, state_cte("gstate", "gated"))
+    + f"""SELECT id, type,
+       CASE WHEN error IS NULL THEN '/update/' || type || '/' || id || '/' ||
+            (CASE WHEN type = 'counter' THEN CAST(delta AS VARCHAR) ELSE {f3_sql('value')} END) END AS path,
+       error
+FROM (SELECT *, CASE WHEN type = 'counter' AND delta IS NULL THEN 'no metric''s data has been passed: field Delta is nil'
+                     WHEN type = 'gauge' AND value IS NULL THEN 'no metric''s data has been passed: field Value in nil'
+                     WHEN type IS NULL OR type NOT IN ('counter', 'gauge') THEN 'error occurred during route construction' END AS error
+      FROM gstate) x""",
+    "value_text": with_(UPDATES, DIRTY, GATED, state_cte("gstate", "gated"))
+    + f"SELECT id, type, {value_text_sql()} AS text FROM gstate",
+    "gauge_text": "SELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"{f3_sql(c)} AS {c}_text" for c in _LI_GAUGES)
+    + " FROM lineitem",
+    "debug_text": with_(UPDATES, state_cte("state", "updates"))
+    + """SELECT id, type,
+       CASE WHEN type = 'gauge' AND value IS NOT NULL
+                 THEN printf('{ID: %s, MType: %s, Value: %s}', id, type, printf('%.0f', round_even(value, 0)))
+            WHEN type <> 'gauge' AND delta IS NOT NULL
+                 THEN printf('{ID: %s, MType: %s, Delta: %s}', id, type, CAST(delta AS VARCHAR)) END AS line
+FROM state""",
+    "metric_json": with_(UPDATES, DIRTY, GATED, state_cte("gstate", "gated"))
+    + f"""SELECT id, type,
+       '{{"id":' || to_json(id) || ',"type":' || to_json(type)
+       || coalesce(',"delta":' || CAST(delta AS VARCHAR), '')
+       || coalesce(',"value":' || {f3_sql('value')}, '') || '}}' AS json
+FROM gstate""",
+    "json_single_ingest": with_(UPDATES, DIRTY)
+    + "SELECT seq, id, type, delta, value, CAST(NULL AS VARCHAR) AS decode_error FROM dirty",
+    "json_batch_ingest": with_(UPDATES, DIRTY) + "SELECT seq, batch_id, pos, id, type, delta, value FROM dirty",
+    "sqlstate_class": f"""SELECT event_id, sqlstate,
+       CASE WHEN sqlstate IN ({_RETRY}) THEN 'retryable' ELSE 'non_retryable' END AS class
+FROM (SELECT event_id,
+             CASE WHEN event_id % {_N_CODES + 1} < {_N_CODES}
+                  THEN list_extract({_sql_list(SQLSTATE_CODES)}, CAST(event_id % {_N_CODES + 1} + 1 AS INTEGER)) END AS sqlstate
+      FROM events) x""",
+    "snapshot_roundtrip": with_(UPDATES) + fold_sql("updates"),
+    "stream_state": with_(UPDATES) + fold_sql("updates"),
 }

@@ -12,12 +12,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.model import STATE_COLUMNS, UPDATE_COLUMNS
-from tallyfold.operators import fold, running, validate
-from tallyfold.sources import tables, updates as upd
+from tallyfold.functions import errors, parse, sign, text
+from tallyfold.model import GAUGE, STATE_COLUMNS, UPDATE_COLUMNS
+from tallyfold.operators import dedup, fold, lookup, report, running, validate
+from tallyfold.session import scratch_path
+from tallyfold.sources import json_ingest, path_ingest, samples, snapshot, tables, updates as upd
+from tallyfold.streaming import fold_stream
 
 # Time split used by the merge/seeded queries: earlier rows form the prior state.
 SPLIT_TS = "2024-01-16 00:00:00"
+# Report intervals: events are reported daily, lineitem samples weekly.
+EVENT_REPORT_EVERY = "1 day"
+LINEITEM_REPORT_EVERY = "7 days"
+# The point lookup of P1.
+LOOKUP_ID, LOOKUP_TYPE = "click_8", "counter"
+# Lineitem as agent samples: sample id columns, gauge columns, counter columns.
+LINEITEM_IDS = ["l_orderkey", "l_linenumber"]
+LINEITEM_GAUGES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINEITEM_COUNTERS = ["l_partkey"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,16 +63,16 @@ def q_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_metric_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.fold_updates(_updates(spark, sf_dir))
+    return fold.fold_updates(_updates(spark, sf_dir)).select(*STATE_COLUMNS)
 
 
 def q_metric_state_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.fold_updates(_gated(spark, sf_dir))
+    return fold.fold_updates(_gated(spark, sf_dir)).select(*STATE_COLUMNS)
 
 
 def q_accepted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: validate -> reject bad batches -> fold (read -> P3 -> P5 -> A3)."""
-    return fold.fold_updates(validate.accept_batches(_validated(spark, sf_dir)))
+    return fold.fold_updates(validate.accept_batches(_validated(spark, sf_dir))).select(*STATE_COLUMNS)
 
 
 def q_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +101,197 @@ def q_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.type_conflicts(_gated(spark, sf_dir))
 
 
+def q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validated(spark, sf_dir).select("seq", "batch_id", "pos", "id", "type", "error")
+
+
+def q_validate_key_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.validate(_dirty(spark, sf_dir), ["id", "type"]).select("seq", "error")
+
+
+def q_batch_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.accept_batches(_validated(spark, sf_dir)).select(
+        "seq", "batch_id", "pos", "id", "type", "delta", "value"
+    )
+
+
+def q_batch_first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.first_errors(_validated(spark, sf_dir))
+
+
+def q_json_update_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 for single JSON updates: the status of every dirty update request."""
+    v = _validated(spark, sf_dir)
+    return v.select("seq", validate.status_code(validate.JSON_UPDATE, "error").alias("status"))
+
+
+def q_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _dirty(spark, sf_dir).select("batch_id", "id", "seq", "type", "delta", "value")
+    return dedup.keep_last(d, ["batch_id", "id"], "seq")
+
+
+def q_report_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.report_fold(_updates(spark, sf_dir), EVENT_REPORT_EVERY)
+
+
+def q_report_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.poll_counts(_updates(spark, sf_dir), EVENT_REPORT_EVERY)
+
+
+def q_latest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = report.with_report_window(_updates(spark, sf_dir), EVENT_REPORT_EVERY)
+    return dedup.latest_sample(u.select("window_start", "ts", "seq", *STATE_COLUMNS), "window_start").drop("ts")
+
+
+def _lineitem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tables.table(spark, sf_dir, "lineitem")
+    return samples.wide_to_long(
+        li.select(*LINEITEM_IDS, "l_shipdate", *LINEITEM_GAUGES, *LINEITEM_COUNTERS),
+        [*LINEITEM_IDS, "l_shipdate"],
+        LINEITEM_GAUGES,
+        LINEITEM_COUNTERS,
+    )
+
+
+def q_latest_sample_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _lineitem_samples(spark, sf_dir)
+    s = s.select(
+        report.window_start("l_shipdate", LINEITEM_REPORT_EVERY).alias("window_start"),
+        F.col("l_shipdate").alias("ts"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        *STATE_COLUMNS,
+    )
+    return dedup.latest_sample(s, "window_start").drop("ts")
+
+
+def q_wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lineitem_samples(spark, sf_dir).drop("l_shipdate")
+
+
+def q_cpu_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.indexed_gauges(tables.table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding")
+
+
+def q_hmac_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = tables.table(spark, sf_dir, "events")
+    return ev.select("event_id", sign.hmac_sha256_hex("props", upd.SIGNING_KEY).alias("signature"))
+
+
+def q_hmac_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = upd.signed_requests(tables.table(spark, sf_dir, "events"))
+    return req.select("event_id", sign.signature_ok("body", "signature", upd.SIGNING_KEY).alias("accepted"))
+
+
+def q_parse_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = upd.path_texts(_dirty(spark, sf_dir))
+    return t.select("seq", "text", parse.parse_int("text").alias("as_int"), parse.parse_float("text").alias("as_float"))
+
+
+def q_path_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return path_ingest.ingest_paths(upd.path_requests(_dirty(spark, sf_dir)))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upd.lookup_requests(_dirty(spark, sf_dir))
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.fold_updates(_updates(spark, sf_dir)).select(*STATE_COLUMNS)
+
+
+def q_lookup_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.value_lookup(_requests(spark, sf_dir), _state(spark, sf_dir))
+
+
+def q_lookup_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.lookup_misses(_requests(spark, sf_dir), _state(spark, sf_dir))
+
+
+def q_lookup_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.lookup_one(_state(spark, sf_dir), LOOKUP_ID, LOOKUP_TYPE)
+
+
+def q_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.listing(_state(spark, sf_dir))
+
+
+def q_metric_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.metric_count(_state(spark, sf_dir))
+
+
+def q_path_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = fold.fold_updates(_gated(spark, sf_dir)).select(*STATE_COLUMNS)
+    path, error = report.export_path()
+    return st.select("id", "type", path.alias("path"), error.alias("error"))
+
+
+def q_value_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = fold.fold_updates(_gated(spark, sf_dir)).select(*STATE_COLUMNS)
+    return st.select("id", "type", text.value_text().alias("text"))
+
+
+def q_gauge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tables.table(spark, sf_dir, "lineitem")
+    return li.select(
+        *LINEITEM_IDS,
+        *[text.format_float(c).alias(f"{c}_text") for c in LINEITEM_GAUGES],
+    )
+
+
+def q_debug_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(spark, sf_dir).select("id", "type", text.debug_text().alias("line"))
+
+
+def q_metric_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = fold.fold_updates(_gated(spark, sf_dir)).select(*STATE_COLUMNS)
+    return st.select("id", "type", text.metric_json().alias("json"))
+
+
+def q_json_single_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _dirty(spark, sf_dir)
+    bodies = d.select("seq", text.metric_json().alias("body"))
+    dec = json_ingest.decode_single_bodies(bodies)
+    return dec.select("seq", "id", "type", "delta", "value", "decode_error")
+
+
+def q_json_batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = json_ingest.batch_bodies(_dirty(spark, sf_dir))
+    rows = json_ingest.explode_batches(json_ingest.decode_batch_bodies(bodies), ["batch_id"])
+    return rows.select(
+        (F.col("batch_id") * upd.BATCH_SIZE + F.col("pos")).alias("seq"),
+        "batch_id",
+        "pos",
+        "id",
+        "type",
+        "delta",
+        "value",
+    )
+
+
+def q_sqlstate_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = upd.sqlstate_rows(tables.table(spark, sf_dir, "events"))
+    return s.select("event_id", "sqlstate", errors.classify_sqlstate("sqlstate").alias("class"))
+
+
+def q_snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 -> S4 -> S6: write the state as a JSON snapshot, restore it."""
+    path = scratch_path(spark, "snapshot")
+    snapshot.write_snapshot_json(_state(spark, sf_dir), path)
+    return snapshot.restore_state(spark, path)
+
+
+def q_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The updates arrive as 4 files, one micro-batch each, folded into the
+    versioned state table by the upsert stream; the result is the final state."""
+    root = scratch_path(spark, "stream")
+    u = _updates(spark, sf_dir).select(*UPDATE_COLUMNS)
+    u.repartitionByRange(4, "seq").write.parquet(f"{root}/source")
+    stream = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
+    q = fold_stream.start_state_stream(stream, f"{root}/state", f"{root}/checkpoint", {"availableNow": True})
+    q.awaitTermination()
+    return snapshot.read_state(spark, f"{root}/state").select(*STATE_COLUMNS)
+
+
 QUERIES: dict[str, Query] = {
     "updates": q_updates,
     "metric_state": q_metric_state,
@@ -99,4 +302,35 @@ QUERIES: dict[str, Query] = {
     "running_result": q_running_result,
     "running_seeded": q_running_seeded,
     "type_conflicts": q_type_conflicts,
+    "validate": q_validate,
+    "validate_key_only": q_validate_key_only,
+    "batch_accept": q_batch_accept,
+    "batch_first_error": q_batch_first_error,
+    "json_update_outcome": q_json_update_outcome,
+    "keep_last": q_keep_last,
+    "report_window": q_report_window,
+    "report_polls": q_report_polls,
+    "latest_sample": q_latest_sample,
+    "latest_sample_wide": q_latest_sample_wide,
+    "wide_to_long": q_wide_to_long,
+    "cpu_explode": q_cpu_explode,
+    "hmac_sign": q_hmac_sign,
+    "hmac_check": q_hmac_check,
+    "parse_value": q_parse_value,
+    "path_ingest": q_path_ingest,
+    "lookup_bulk": q_lookup_bulk,
+    "lookup_miss": q_lookup_miss,
+    "lookup_one": q_lookup_one,
+    "listing": q_listing,
+    "metric_count": q_metric_count,
+    "path_export": q_path_export,
+    "value_text": q_value_text,
+    "gauge_text": q_gauge_text,
+    "debug_text": q_debug_text,
+    "metric_json": q_metric_json,
+    "json_single_ingest": q_json_single_ingest,
+    "json_batch_ingest": q_json_batch_ingest,
+    "sqlstate_class": q_sqlstate_class,
+    "snapshot_roundtrip": q_snapshot_roundtrip,
+    "stream_state": q_stream_state,
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.functions.sign import hmac_sha256_hex
 from tallyfold.model import COUNTER, GAUGE
 
 # ---------------------------------------------------------------------------
@@ -108,3 +109,23 @@ def lookup_requests(dirty: DataFrame) -> DataFrame:
         F.col("id"),
         F.when(flip, other).otherwise(F.col("type")).alias("type"),
     )
+
+
+def signed_requests(events: DataFrame, key: str = SIGNING_KEY) -> DataFrame:
+    """Signed bodies: ``body = props`` with its HMAC; every 70th signature is empty,
+    every 50th (otherwise) is a plain SHA-256 without the key, i.e. wrong."""
+    eid = F.col("event_id")
+    return events.select(
+        "event_id",
+        F.col("props").alias("body"),
+        F.when(eid % 70 == 0, F.lit(""))
+        .when(eid % 50 == 0, F.sha2(F.col("props").cast("binary"), 256))
+        .otherwise(hmac_sha256_hex("props", key))
+        .alias("signature"),
+    )
+
+
+def path_texts(dirty: DataFrame) -> DataFrame:
+    """The value text of every path request, for the F1/F2 parsers."""
+    texts = F.array(*[F.lit(t) for t in PATH_TEXTS])
+    return dirty.select("seq", F.element_at(texts, (F.col("seq") % len(PATH_TEXTS) + 1).cast("int")).alias("text"))
