@@ -2,11 +2,12 @@
 
 F3 prints a double with the fewest digits that read back to the same value and
 never in exponent form (``10.0 -> "10"``, ``1e21 -> "1000000000000000000000"``).
-For ``1e-4 <= |v| < 2**53`` the JVM gets it right: the Java digits of
-``cast(v as string)`` go through an exact decimal cast and trailing zeros are cut.
-Outside that range Java's digits are not always the shortest, so those rows (only
-those: the others reach the UDF as NULL) go through a small Arrow UDF that uses
-Python's shortest ``repr`` digits.
+For ``1e-4 <= |v| < 2**53`` the JVM gets it right from the Java digits of
+``cast(v as string)``: in ``[1e-3, 1e7)`` they are already plain and only
+trailing zeros are cut; elsewhere in the range an exact decimal cast removes the
+exponent first. Outside that range Java's digits are not always the shortest, so
+those rows (only those: the others reach the UDF as NULL) go through a small
+Arrow UDF that uses Python's shortest ``repr`` digits.
 """
 
 from __future__ import annotations
@@ -56,19 +57,34 @@ def shortest_exponent(v: float) -> str:
     return f"{'-' if sign else ''}{mant}e{'-' if e < 0 else '+'}{abs(e):0{width}d}"
 
 
+def _map_present(v: pa.Array, fn) -> pa.Array:
+    """Apply ``fn`` to the non-null values only; all-null batches cost nothing."""
+    if v.null_count == len(v):
+        return pa.nulls(len(v), type=pa.string())
+    return pa.array([None if x is None else fn(x) for x in v.to_pylist()], type=pa.string())
+
+
 @F.arrow_udf(T.StringType())
 def _plain_tail(v: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else shortest_plain(x) for x in v.to_pylist()], type=pa.string())
+    return _map_present(v, shortest_plain)
 
 
 @F.arrow_udf(T.StringType())
 def _exponent_tail(v: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else shortest_exponent(x) for x in v.to_pylist()], type=pa.string())
+    return _map_present(v, shortest_exponent)
+
+
+def _strip_fraction_zeros(s: Column) -> Column:
+    """``"12.50" -> "12.5"``, ``"10.0" -> "10"`` (the text always holds a point)."""
+    return F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))
 
 
 def _native_plain(v: Column) -> Column:
-    digits = v.cast("string").cast("decimal(38,22)").cast("string")
-    return F.regexp_replace(F.regexp_replace(digits, r"0+$", ""), r"\.$", "")
+    a = F.abs(v)
+    java = v.cast("string")
+    return F.when((a >= F.lit(1e-3)) & (a < F.lit(1e7)), _strip_fraction_zeros(java)).otherwise(
+        _strip_fraction_zeros(java.cast("decimal(38,22)").cast("string"))
+    )
 
 
 def format_float(value: str | Column) -> Column:
@@ -83,7 +99,7 @@ def format_float(value: str | Column) -> Column:
         .when(F.isnan(v), F.lit(NAN_TEXT))
         .when(v == F.lit(float("inf")), F.lit(POS_INF_TEXT))
         .when(v == F.lit(float("-inf")), F.lit(NEG_INF_TEXT))
-        .when(v == 0, F.regexp_replace(v.cast("string"), r"\.0$", ""))
+        .when(v == 0, _strip_fraction_zeros(v.cast("string")))
         .when(native, _native_plain(v))
         .otherwise(_plain_tail(F.when(tail, v)))
     )

@@ -21,9 +21,15 @@ WINDOW_TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def window_start(ts: str | Column, every: str) -> Column:
-    """Start of the tumbling report window of ``ts`` as ``yyyy-MM-dd HH:mm:ss`` text."""
+    """Start of the tumbling report window of ``ts`` (a timestamp, epoch aligned)."""
     t = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_format(F.window(t, every).start, WINDOW_TEXT_FORMAT)
+    return F.window(t, every).start
+
+
+def window_text(col: str | Column = "window_start") -> Column:
+    """A window start as ``yyyy-MM-dd HH:mm:ss`` text; applied last, on few rows."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.date_format(c, WINDOW_TEXT_FORMAT)
 
 
 def with_report_window(df: DataFrame, every: str, ts: str = "ts", name: str = "window_start") -> DataFrame:
@@ -33,18 +39,19 @@ def with_report_window(df: DataFrame, every: str, ts: str = "ts", name: str = "w
 def report_fold(samples: DataFrame, every: str, ts: str = "ts", seq: str = "seq") -> DataFrame:
     """T2 + A5: per report window and metric, the number of polls and the folded metric."""
     w = with_report_window(samples, every, ts)
-    return w.groupBy("window_start", *KEY).agg(
+    folded = w.groupBy("window_start", *KEY).agg(
         F.count(F.lit(1)).alias("polls"),
         null_propagating_sum("delta").alias("delta"),
         last_by_seq("value", seq).alias("value"),
     )
+    return folded.withColumn("window_start", window_text())
 
 
 def poll_counts(samples: DataFrame, every: str, ts: str = "ts") -> DataFrame:
     """A5: one ``PollCount`` counter per report window: the number of samples in it."""
     w = with_report_window(samples, every, ts)
     return w.groupBy("window_start").agg(F.countDistinct(ts).alias("delta")).select(
-        "window_start",
+        window_text().alias("window_start"),
         F.lit(POLL_COUNT_ID).alias("id"),
         F.lit(COUNTER).alias("type"),
         "delta",

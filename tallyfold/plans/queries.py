@@ -140,7 +140,8 @@ def q_report_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_latest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = report.with_report_window(_updates(spark, sf_dir), EVENT_REPORT_EVERY)
-    return dedup.latest_sample(u.select("window_start", "ts", "seq", *STATE_COLUMNS), "window_start").drop("ts")
+    last = dedup.latest_sample(u.select("window_start", "ts", "seq", *STATE_COLUMNS), "window_start")
+    return last.drop("ts").withColumn("window_start", report.window_text())
 
 
 def _lineitem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,14 +155,19 @@ def _lineitem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_latest_sample_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _lineitem_samples(spark, sf_dir)
-    s = s.select(
+    """A6 on wide samples: pick the newest samples per window on the wide rows, then
+    unpivot only those (the unpivot multiplies rows; the filter comes first)."""
+    li = tables.table(spark, sf_dir, "lineitem").select(
         report.window_start("l_shipdate", LINEITEM_REPORT_EVERY).alias("window_start"),
         F.col("l_shipdate").alias("ts"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
-        *STATE_COLUMNS,
+        *LINEITEM_GAUGES,
+        *LINEITEM_COUNTERS,
     )
-    return dedup.latest_sample(s, "window_start").drop("ts")
+    newest = dedup.newest_sample_rows(li, "window_start", "ts")
+    long = samples.wide_to_long(newest, ["window_start", "seq"], LINEITEM_GAUGES, LINEITEM_COUNTERS)
+    last = dedup.keep_last(long, ["window_start", "id"], "seq")
+    return last.withColumn("window_start", report.window_text())
 
 
 def q_wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
