@@ -73,21 +73,73 @@ def merge_folded(state: DataFrame, folded: DataFrame, key: Sequence[str] = KEY)
     j = s.join(u, key, "full_outer")
     s_in = F.coalesce(F.col("_s_in"), F.lit(False))
     u_in = F.coalesce(F.col("_u_in"), F.lit(False))
-    u_later = u_in & (~s_in | F.col("_s_seq").isNull() | (F.col("_u_seq") > F.col("_s_seq")))
     return j.select(
         *key,
-        F.when(s_in & u_in, F.col("_s_delta") + F.col("_u_delta"))
-        .when(u_in, F.col("_u_delta"))
-        .otherwise(F.col("_s_delta"))
-        .alias("delta"),
-        F.when(u_later, F.col("_u_value")).otherwise(F.col("_s_value")).alias("value"),
-        F.when(u_later, F.col("_u_seq")).otherwise(F.col("_s_seq")).alias("seq"),
+        *_merge_rows(F.col("_s_delta"), F.col("_s_value"), F.col("_s_seq"),
+                     F.col("_u_delta"), F.col("_u_value"), F.col("_u_seq"), s_in, u_in),
     )
 
 
-def upsert(state: DataFrame, updates: DataFrame, key: Sequence[str] = KEY, seq: str = "seq") -> DataFrame:
-    """Pre-aggregate the updates (map-side combined), then one full outer join."""
-    return merge_folded(state, fold_updates(updates, key, seq), key)
+def _merge_rows(s_delta, s_value, s_seq, u_delta, u_value, u_seq, s_in, u_in) -> list[Column]:
+    u_later = u_in & (~s_in | s_seq.isNull() | (u_seq > s_seq))
+    return [
+        F.when(s_in & u_in, s_delta + u_delta).when(u_in, u_delta).otherwise(s_delta).alias("delta"),
+        F.when(u_later, u_value).otherwise(s_value).alias("value"),
+        F.when(u_later, u_seq).otherwise(s_seq).alias("seq"),
+    ]
+
+
+def merge_folded_broadcast(state: DataFrame, folded: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """J1 for a folded batch of proven small size: the state is never shuffled.
+
+    * every state row, left-outer joined to the broadcast batch, is merged in place;
+    * keys of the batch not in the state (found with a broadcast semi join over the
+      state's key columns, then a small anti join) are inserted.
+
+    Same result as ``merge_folded``. The caller must bound ``folded``'s size.
+    """
+    key = list(key)
+    s_seq = F.col("seq") if "seq" in state.columns else F.lit(None).cast("bigint")
+    s = state.select(*key, "delta", "value", s_seq.alias("seq"))
+    u = F.broadcast(
+        folded.select(
+            *key,
+            F.col("delta").alias("_u_delta"),
+            F.col("value").alias("_u_value"),
+            F.col("seq").alias("_u_seq"),
+            F.lit(True).alias("_u_in"),
+        )
+    )
+    u_in = F.coalesce(F.col("_u_in"), F.lit(False))
+    kept = s.join(u, key, "left").select(
+        *key,
+        *_merge_rows(F.col("delta"), F.col("value"), F.col("seq"),
+                     F.col("_u_delta"), F.col("_u_value"), F.col("_u_seq"), F.lit(True), u_in),
+    )
+    matched = s.select(*key).join(F.broadcast(folded.select(*key)), key, "left_semi")
+    new = folded.join(matched, key, "left_anti").select(*key, "delta", "value", "seq")
+    return kept.unionByName(new)
+
+
+def upsert(
+    state: DataFrame,
+    updates: DataFrame,
+    key: Sequence[str] = KEY,
+    seq: str = "seq",
+    broadcast_max_keys: int | None = None,
+) -> DataFrame:
+    """Pre-aggregate the updates (map-side combined), then merge.
+
+    With ``broadcast_max_keys`` set, the folded batch is counted (bounded:
+    ``limit(n + 1)``) and, when it has at most that many keys, merged by
+    broadcast so the state is not shuffled; otherwise, and by default, one
+    shuffled full outer join. Persist ``updates`` when it is expensive to
+    recompute (the count and the merge both read it).
+    """
+    folded = fold_updates(updates, key, seq)
+    if broadcast_max_keys is not None and folded.limit(broadcast_max_keys + 1).count() <= broadcast_max_keys:
+        return merge_folded_broadcast(state, folded, key)
+    return merge_folded(state, folded, key)
 
 
 def type_conflicts(updates: DataFrame, seq: str = "seq") -> DataFrame:

@@ -45,12 +45,14 @@ def value_lookup(requests: DataFrame, state: DataFrame, kind: str = VALUE_LOOKUP
     is ``not found``. ``text`` is the F5 text of the found row, NULL otherwise.
     """
     checked = requests.withColumn("_key_error", validation_error([RULE_ID, RULE_TYPE]))
-    joined = lookup(checked, state)
+    # Text is formatted once per state key, not once per request.
+    texts = state.select(*KEY, value_text().alias("_text"), F.lit(True).alias("found"))
+    joined = checked.join(texts, KEY, "left").withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
     error = F.coalesce(F.col("_key_error"), F.when(~F.col("found"), F.lit(ERR_NOT_FOUND)))
     return joined.select(
         *requests.columns,
         "found",
-        F.when(F.col("found") & F.col("_key_error").isNull(), value_text()).alias("text"),
+        F.when(F.col("found") & F.col("_key_error").isNull(), F.col("_text")).alias("text"),
         error.alias("error"),
         status_code(kind, error).alias("status"),
     )

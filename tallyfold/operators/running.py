@@ -55,7 +55,7 @@ def running_result(
     rows = rows.select(
         "*",
         F.when(F.col("_seed"), F.lit(SEED_BUCKET))
-        .otherwise(F.floor(F.col("_seq") / F.lit(bucket_width)).cast("bigint"))
+        .otherwise(F.expr(f"_seq div {int(bucket_width)}"))
         .alias("_bucket"),
         F.coalesce(F.col("delta"), F.lit(0).cast("bigint")).alias("_d"),
         F.col("delta").isNull().cast("bigint").alias("_n"),

@@ -226,6 +226,7 @@ ORACLE: dict[str, str] = {
     "accepted_state": with_(UPDATES, DIRTY, VALIDATED, ACCEPTED) + fold_sql("accepted"),
     # J1 must reproduce the single fold of all updates.
     "upsert_merge": with_(UPDATES) + fold_sql("updates"),
+    "upsert_merge_broadcast": with_(UPDATES) + fold_sql("updates"),
     "upsert_merge_dirty": with_(UPDATES, DIRTY, GATED) + fold_sql("gated"),
     "running_result": with_(UPDATES, DIRTY, GATED) + RUNNING.format(source="gated"),
     # W1 seeded with the state at the split must equal the tail of the full W1.

@@ -24,6 +24,8 @@ SPLIT_TS = "2024-01-16 00:00:00"
 # Report intervals: events are reported daily, lineitem samples weekly.
 EVENT_REPORT_EVERY = "1 day"
 LINEITEM_REPORT_EVERY = "7 days"
+# Size bound under which a folded update batch is merged by broadcast.
+BROADCAST_MAX_KEYS = 1_000_000
 # The point lookup of P1.
 LOOKUP_ID, LOOKUP_TYPE = "click_8", "counter"
 # Lineitem as agent samples: sample id columns, gauge columns, counter columns.
@@ -81,6 +83,13 @@ def q_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.upsert(state, _after(u)).select(*STATE_COLUMNS)
 
 
+def q_upsert_merge_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 by broadcast: the later half folds to few keys (checked), the state is not shuffled."""
+    u = _updates(spark, sf_dir)
+    state = fold.fold_updates(_before(u))
+    return fold.upsert(state, _after(u), broadcast_max_keys=BROADCAST_MAX_KEYS).select(*STATE_COLUMNS)
+
+
 def q_upsert_merge_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _gated(spark, sf_dir)
     state = fold.fold_updates(_before(g))
@@ -304,6 +313,7 @@ QUERIES: dict[str, Query] = {
     "metric_state_dirty": q_metric_state_dirty,
     "accepted_state": q_accepted_state,
     "upsert_merge": q_upsert_merge,
+    "upsert_merge_broadcast": q_upsert_merge_broadcast,
     "upsert_merge_dirty": q_upsert_merge_dirty,
     "running_result": q_running_result,
     "running_seeded": q_running_seeded,

@@ -30,19 +30,32 @@ def stream_fold(updates: DataFrame) -> DataFrame:
     return fold_updates(updates).select(*STATE_COLUMNS, "seq")
 
 
-def apply_batch(batch: DataFrame, batch_id: int, state_root: str, results_root: str | None = None) -> bool:
+# A micro-batch folding to at most this many keys is merged by broadcast, so the
+# state table is streamed through once and never shuffled.
+DEFAULT_BROADCAST_MAX_KEYS = 2_000_000
+
+
+def apply_batch(
+    batch: DataFrame,
+    batch_id: int,
+    state_root: str,
+    results_root: str | None = None,
+    broadcast_max_keys: int | None = DEFAULT_BROADCAST_MAX_KEYS,
+) -> bool:
     """Upsert one micro-batch into the state table; False if it was already applied."""
     spark = batch.sparkSession
     last = latest_commit(spark, state_root)
     if last is not None and last.batch_id is not None and last.batch_id >= batch_id:
         return False
     state = read_state(spark, state_root)
-    if results_root is not None:
-        batch = batch.persist()
-        # Rewritten in full on a replay that failed before the state commit.
-        running_result(batch, state=state).write.mode("overwrite").parquet(f"{results_root}/batch_id={batch_id}")
-    publish_state(spark, upsert(state, batch), state_root, batch_id=batch_id)
-    if results_root is not None:
+    batch = batch.persist()
+    try:
+        if results_root is not None:
+            # Rewritten in full on a replay that failed before the state commit.
+            running_result(batch, state=state).write.mode("overwrite").parquet(f"{results_root}/batch_id={batch_id}")
+        merged = upsert(state, batch, broadcast_max_keys=broadcast_max_keys)
+        publish_state(spark, merged, state_root, batch_id=batch_id)
+    finally:
         batch.unpersist()
     return True
 

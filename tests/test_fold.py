@@ -94,3 +94,21 @@ def test_running_result_seeded_and_skewed(spark):
     state = fold.fold_updates(u.filter("seq < 1000"))
     seeded = running.running_result(u.filter("seq >= 1000"), state=state, bucket_width=64)
     assert rows(seeded) == rows(plain.filter("seq >= 1000").select(*seeded.columns))
+
+
+def test_broadcast_merge_equals_shuffled_merge(spark):
+    data = [(i, f"m{i % 9}", "counter" if i % 3 else "gauge", i if i % 3 else None, None if i % 3 else i / 4)
+            for i in range(300)]
+    data += [(400, "fresh", "gauge", None, None), (401, "m1", "counter", None, None)]
+    u = upd(spark, data)
+    state = fold.fold_updates(u.filter("seq < 150"))
+    late = u.filter("seq >= 150")
+    shuffled = state_of(fold.upsert(state, late))
+    small = fold.upsert(state, late, broadcast_max_keys=1000)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "FullOuter" not in plan
+    assert state_of(small) == shuffled == state_of(fold.fold_updates(u))
+    # Over the bound it falls back to the shuffled full outer join.
+    big = fold.upsert(state, late, broadcast_max_keys=2)
+    assert "FullOuter" in big._jdf.queryExecution().executedPlan().toString()
+    assert state_of(big) == shuffled
