@@ -324,6 +324,11 @@ FROM gstate""",
     "json_single_ingest": with_(UPDATES, DIRTY)
     + "SELECT seq, id, type, delta, value, CAST(NULL AS VARCHAR) AS decode_error FROM dirty",
     "json_batch_ingest": with_(UPDATES, DIRTY) + "SELECT seq, batch_id, pos, id, type, delta, value FROM dirty",
+    "batch_outcome": with_(UPDATES, DIRTY, VALIDATED)
+    + """SELECT batch_id, arg_min(error, pos) FILTER (WHERE error IS NOT NULL) AS error,
+       CASE WHEN count(error) > 0 THEN 400 ELSE 200 END AS status
+FROM validated GROUP BY batch_id""",
+    "json_pipeline_state": with_(UPDATES, DIRTY, VALIDATED, ACCEPTED) + fold_sql("accepted"),
     "sqlstate_class": f"""SELECT event_id, sqlstate,
        CASE WHEN sqlstate IN ({_RETRY}) THEN 'retryable' ELSE 'non_retryable' END AS class
 FROM (SELECT event_id,

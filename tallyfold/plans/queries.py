@@ -283,6 +283,22 @@ def q_json_batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _batch_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_ingest.decode_batch_bodies(json_ingest.batch_bodies(_dirty(spark, sf_dir)))
+
+
+def q_batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 + P7 per JSON batch body: first error and status."""
+    return json_ingest.batch_outcomes(_batch_decoded(spark, sf_dir))
+
+
+def q_json_pipeline_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies -> strict decode -> validate -> reject bad batches -> fold."""
+    rows = json_ingest.accepted_updates(_batch_decoded(spark, sf_dir))
+    rows = rows.withColumn("seq", F.col("batch_id") * upd.BATCH_SIZE + F.col("pos"))
+    return fold.fold_updates(rows).select(*STATE_COLUMNS)
+
+
 def q_sqlstate_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = upd.sqlstate_rows(tables.table(spark, sf_dir, "events"))
     return s.select("event_id", "sqlstate", errors.classify_sqlstate("sqlstate").alias("class"))
@@ -346,6 +362,8 @@ QUERIES: dict[str, Query] = {
     "metric_json": q_metric_json,
     "json_single_ingest": q_json_single_ingest,
     "json_batch_ingest": q_json_batch_ingest,
+    "batch_outcome": q_batch_outcome,
+    "json_pipeline_state": q_json_pipeline_state,
     "sqlstate_class": q_sqlstate_class,
     "snapshot_roundtrip": q_snapshot_roundtrip,
     "stream_state": q_stream_state,

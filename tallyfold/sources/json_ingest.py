@@ -1,12 +1,14 @@
 """JSON update bodies -> metric rows (S1, S2, F9) and update files.
 
 A body is one request: a JSON array of metrics (batch) or one metric object.
-Decoding is ``from_json`` with the metric schema. ``from_json`` alone is lenient
-(``"delta": 1.5`` or ``"5"`` silently becomes NULL, a lone object passes as a
-one-element array), so a strict check runs first on
-``schema_of_variant(try_parse_json(body))``: the merged JSON types of the whole
-body. Any mismatch rejects the whole body, as a decode error does.
-Case-insensitive key matching is not reproduced (``"ID"`` is not ``id``).
+Each body is parsed once, into a VARIANT. ``schema_of_variant`` gives the merged
+JSON types of the whole body, and a strict check runs on them: ``"delta": 1.5`` or
+``"5"`` and a lone object where an array is expected are rejected (``from_json``
+alone would silently turn them into NULLs). Any mismatch rejects the whole body,
+as a decode error does. Only then is the variant cast to the metric type.
+Field names match case-insensitively (``"ID"`` is ``id``), as the reference's
+decoder does. A body with a duplicated key is rejected (the reference keeps the
+last one).
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.text import metric_json
 from tallyfold.model import ERR_BAD_JSON, METRIC_ARRAY_DDL, METRIC_STRUCT_DDL
+from tallyfold.operators.validate import BATCH_UPDATE, accept_batches, status_code, validate
+
+# The metric's JSON field names.
+FIELD_NAMES = ("id", "type", "delta", "value", "hash")
 
 # JSON types each field may have (as named by schema_of_variant).
 _FIELD_OK = r"(,|>)"
@@ -28,27 +34,44 @@ _ARRAY_SHAPE = r"^ARRAY<(VOID|OBJECT<.*>)>$"
 _OBJECT_SHAPE = r"^OBJECT<.*>$"
 
 
-def json_shape_error(body: str | Column, array: bool = True) -> Column:
-    """F9 strictness: ``invalid JSON`` when the body is malformed, has the wrong
-    top-level shape or a field of the wrong JSON type; NULL otherwise."""
+def normalise_keys(body: str | Column) -> Column:
+    """Lower-case the metric field names used as object keys (``"Delta":`` -> ``"delta":``).
+
+    Only a quoted name directly followed by ``:`` is a key; such text cannot occur
+    inside a JSON string value (its quotes would be escaped).
+    """
     b = F.col(body) if isinstance(body, str) else body
-    schema = F.schema_of_variant(F.try_parse_json(b))
-    bad = schema.isNull() | ~schema.rlike(_ARRAY_SHAPE if array else _OBJECT_SHAPE)
+    for name in FIELD_NAMES:
+        b = F.regexp_replace(b, r'(?i)"' + name + r'"(\s*):', '"' + name + '"$1:')
+    return b
+
+
+def json_shape_error(parsed: Column, array: bool = True) -> Column:
+    """F9 strictness on a parsed VARIANT: ``invalid JSON`` when the body is malformed,
+    has the wrong top-level shape or a field of the wrong JSON type; NULL otherwise."""
+    schema = F.schema_of_variant(parsed)
+    bad = parsed.isNull() | ~schema.rlike(_ARRAY_SHAPE if array else _OBJECT_SHAPE)
     for pattern in _BAD_FIELD_TYPES:
         bad = bad | schema.rlike(pattern)
-    return F.when(b.isNull() | bad, F.lit(ERR_BAD_JSON))
+    return F.when(bad, F.lit(ERR_BAD_JSON))
 
 
-def decode_batch_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``metrics`` (array of metric structs) and ``decode_error`` per body."""
-    err = json_shape_error(body, array=True)
-    return bodies.select(
-        "*",
-        F.when(err.isNull(), F.from_json(F.col(body), METRIC_ARRAY_DDL)).alias("metrics"),
+def _decode(bodies: DataFrame, body: str, array: bool) -> DataFrame:
+    parsed = bodies.withColumn("_v", F.try_parse_json(normalise_keys(body)))
+    err = json_shape_error(F.col("_v"), array)
+    ddl = METRIC_ARRAY_DDL if array else METRIC_STRUCT_DDL
+    return parsed.select(
+        *bodies.columns,
+        F.when(err.isNull(), F.try_variant_get("_v", "$", ddl)).alias("_decoded"),
         err.alias("decode_error"),
     )
 
 
+def decode_batch_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Add ``metrics`` (array of metric structs) and ``decode_error`` per body."""
+    return _decode(bodies, body, array=True).withColumnRenamed("_decoded", "metrics")
+
+
 def explode_batches(decoded: DataFrame, keep: list[str]) -> DataFrame:
     """One row per metric of each decodable body: ``keep`` columns, ``pos`` and the metric.
 
@@ -61,11 +84,30 @@ def explode_batches(decoded: DataFrame, keep: list[str]) -> DataFrame:
 
 def decode_single_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
     """One metric object per body -> ``id, type, delta, value, hash`` + ``decode_error``."""
-    err = json_shape_error(body, array=False)
-    m = F.from_json(F.col(body), METRIC_STRUCT_DDL)
-    return bodies.select("*", F.when(err.isNull(), m).alias("_m"), err.alias("decode_error")).select(
-        *bodies.columns, "_m.id", "_m.type", "_m.delta", "_m.value", "_m.hash", "decode_error"
+    dec = _decode(bodies, body, array=False)
+    return dec.select(
+        *bodies.columns, "_decoded.id", "_decoded.type", "_decoded.delta", "_decoded.value", "_decoded.hash",
+        "decode_error",
+    )
+
+
+def batch_outcomes(decoded: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """P5 + P7 per request body: the first error (decode error, else the first invalid
+    record by position) and the status. One row per body; nothing is collected."""
+    rows = validate(explode_batches(decoded, [batch]))
+    first_bad = (
+        rows.filter(F.col("error").isNotNull())
+        .groupBy(batch)
+        .agg(F.min_by("error", "pos").alias("_row_error"))
     )
+    out = decoded.select(batch, "decode_error").join(first_bad, batch, "left")
+    error = F.coalesce(F.col("decode_error"), F.col("_row_error"))
+    return out.select(batch, error.alias("error"), status_code(BATCH_UPDATE, error).alias("status"))
+
+
+def accepted_updates(decoded: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """S1 -> P3 -> P5: the metric rows of bodies that decode and hold only valid records."""
+    return accept_batches(validate(explode_batches(decoded, [batch])), batch)
 
 
 def batch_bodies(rows: DataFrame, batch: str = "batch_id", pos: str = "pos") -> DataFrame:

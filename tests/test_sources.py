@@ -95,3 +95,32 @@ def test_versioned_state_publish_and_lookup(spark, scratch):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(id,a)" in plan
     assert one.count() == 1
+
+
+def test_case_insensitive_keys_and_outcomes(spark):
+    bodies = [
+        (1, '[{"ID":"a","Type":"counter","DELTA":5},{"id":"b","type":"gauge","Value":1.5}]'),
+        (2, '[{"id":"","type":"counter","delta":1}]'),
+        (3, '[{"id":"c","type":"counter","delta":"x"}]'),
+    ]
+    dec = json_ingest.decode_batch_bodies(spark.createDataFrame(bodies, "batch_id BIGINT, body STRING"))
+    out = rows(json_ingest.batch_outcomes(dec), "batch_id", "status")
+    assert out == [(1, 200), (2, 400), (3, 400)]
+    acc = rows(json_ingest.accepted_updates(dec), "batch_id", "pos", "id", "type", "delta", "value")
+    assert acc == [(1, 0, "a", "counter", 5, None), (1, 1, "b", "gauge", None, 1.5)]
+
+
+def test_read_update_files(spark, scratch):
+    import gzip
+
+    base = _local(scratch("files"))
+    os.makedirs(base)
+    with gzip.open(f"{base}/0001.json.gz", "wt") as fh:
+        fh.write('[{"id":"a","type":"counter","delta":2},{"id":"a","type":"counter","delta":3}]')
+    _write(f"{base}/0002.json", '[{"id":"g","type":"gauge","value":0.5}]')
+    _write(f"{base}/0003.json", '{"id":"g","type":"gauge","value":0.5}')
+    dec = json_ingest.read_update_files(spark, base)
+    errs = dict(rows(dec, "source", "decode_error"))
+    assert errs == {"0001.json.gz": None, "0002.json": None, "0003.json": "invalid JSON was passed"}
+    got = rows(json_ingest.explode_batches(dec, ["source"]), "source", "pos", "id", "delta", "value")
+    assert got == [("0001.json.gz", 0, "a", 2, None), ("0001.json.gz", 1, "a", 3, None), ("0002.json", 0, "g", None, 0.5)]
