@@ -19,8 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyfold.model import STATE_COLUMNS
-from tallyfold.operators.fold import fold_updates, upsert
+from pyspark.sql import functions as F
+
+from tallyfold.model import KEY, STATE_COLUMNS
+from tallyfold.operators.fold import fold_updates, last_by_seq, null_propagating_sum, upsert
 from tallyfold.operators.running import running_result
 from tallyfold.sources.snapshot import latest_commit, publish_state, read_state
 
@@ -35,6 +37,23 @@ def stream_fold(updates: DataFrame) -> DataFrame:
 DEFAULT_BROADCAST_MAX_KEYS = 2_000_000
 
 
+def stream_report(updates: DataFrame, every: str, ts: str = "ts", watermark: str | None = None) -> DataFrame:
+    """T2 live: per tumbling report window and metric, polls and the folded metric.
+
+    Without ``watermark`` run it in ``update`` mode (window rows are re-emitted as
+    they change; window state is kept). With ``watermark`` (e.g. ``"10 seconds"``)
+    ``append`` mode emits each window once, after the watermark passes it, and
+    Spark drops the window's state: bounded state for an endless stream.
+    """
+    src = updates.withWatermark(ts, watermark) if watermark else updates
+    return src.groupBy(F.window(ts, every).alias("window"), *KEY).agg(
+        F.count(F.lit(1)).alias("polls"),
+        null_propagating_sum("delta").alias("delta"),
+        last_by_seq("value").alias("value"),
+        F.max("seq").alias("seq"),
+    )
+
+
 def apply_batch(
     batch: DataFrame,
     batch_id: int,

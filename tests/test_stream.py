@@ -62,3 +62,26 @@ def test_upsert_stream_replay_and_restart(spark, scratch):
     # T4: the per-update results of all micro-batches equal W1 over all updates.
     live = spark.read.parquet(res).drop("batch_id")
     assert rows(live) == rows(running.running_result(all_updates).select(*live.columns))
+
+
+def test_stream_report_windows(spark, scratch):
+    from tallyfold.operators import report
+
+    src = scratch("src")
+    ddl = "seq BIGINT, ts TIMESTAMP, id STRING, type STRING, delta BIGINT, value DOUBLE"
+    base = [(i, f"2024-01-0{1 + i // 10} 00:00:{i % 10:02d}", f"m{i % 3}", "counter" if i % 2 else "gauge",
+             i if i % 2 else None, None if i % 2 else float(i)) for i in range(40)]
+    for part in (base[:15], base[15:30], base[30:]):
+        spark.createDataFrame(part, "seq BIGINT, ts STRING, id STRING, type STRING, delta BIGINT, value DOUBLE") \
+            .select("seq", F.col("ts").cast("timestamp").alias("ts"), "id", "type", "delta", "value") \
+            .coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (fold_stream.stream_report(stream, "1 day").writeStream.outputMode("update").format("memory")
+         .queryName("report_out").option("checkpointLocation", scratch("ck")).start())
+    q.processAllAvailable()
+    q.stop()
+    emitted = spark.table("report_out").select(report.window_text(F.col("window.start")).alias("window_start"),
+                                               "id", "type", "polls", "delta", "value", "seq")
+    final = dedup.keep_last(emitted, ["window_start", "id", "type"], "seq").drop("seq")
+    batch = report.report_fold(spark.read.parquet(src), "1 day")
+    assert rows(final) == rows(batch.select(*final.columns))
