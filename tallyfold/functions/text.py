@@ -119,6 +119,24 @@ def value_text(type_: str | Column = "type", delta: str | Column = "delta", valu
     )
 
 
+def round_half_even_text(value: str | Column) -> Column:
+    """``%.0f`` of the exact binary value, half-even: ``2.5 -> "2"``, ``-0.4 -> "-0"``.
+
+    Below 2**53 ``bround`` is exact; from 2**53 to 2**63 every double is an integer
+    and the bigint cast prints it exactly (Java's ``%.0f`` would print its own
+    digits there).
+    """
+    v = _c(value)
+    a = F.abs(v)
+    rounded = F.format_string("%.0f", F.bround(v, 0))
+    return (
+        F.when(F.isnan(v) | (a == F.lit(float("inf"))), format_float(v))
+        .when((a >= F.lit(_NATIVE_MAX)) & (a < F.lit(float(2**63))), v.cast("bigint").cast("string"))
+        .when((v < 0) & (F.bround(v, 0) == 0), F.lit("-0"))
+        .otherwise(rounded)
+    )
+
+
 def debug_text(id_: str | Column = "id", type_: str | Column = "type",
                delta: str | Column = "delta", value: str | Column = "value") -> Column:
     """``{ID: x, MType: gauge, Value: %.0f}`` (half-even) or ``{ID: x, MType: t, Delta: %d}``.
@@ -126,9 +144,7 @@ def debug_text(id_: str | Column = "id", type_: str | Column = "type",
     NULL where the reference would dereference a missing field.
     """
     t, d, v = _c(type_), _c(delta), _c(value)
-    gauge_line = F.format_string(
-        "{ID: %s, MType: %s, Value: %s}", _c(id_), t, F.format_string("%.0f", F.bround(v, 0))
-    )
+    gauge_line = F.format_string("{ID: %s, MType: %s, Value: %s}", _c(id_), t, round_half_even_text(v))
     other_line = F.format_string("{ID: %s, MType: %s, Delta: %s}", _c(id_), t, format_int(d))
     return F.when((t == GAUGE) & v.isNotNull(), gauge_line).when((t != GAUGE) & d.isNotNull(), other_line)
 

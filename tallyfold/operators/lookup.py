@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.functions.text import value_text
+from tallyfold.functions.text import metric_json, value_text
 from tallyfold.model import ERR_NOT_FOUND, KEY, RULE_ID, RULE_TYPE
-from tallyfold.operators.validate import VALUE_LOOKUP, status_code, validation_error
+from tallyfold.operators.validate import JSON_LOOKUP, VALUE_LOOKUP, status_code, validation_error
 
 
 def lookup_one(state: DataFrame, id_: str, type_: str) -> DataFrame:
@@ -44,9 +44,19 @@ def value_lookup(requests: DataFrame, state: DataFrame, kind: str = VALUE_LOOKUP
     The key rules (id, then type) run first; a valid key that is not in the state
     is ``not found``. ``text`` is the F5 text of the found row, NULL otherwise.
     """
+    return _lookup_text(requests, state, value_text(), kind)
+
+
+def json_lookup(requests: DataFrame, state: DataFrame) -> DataFrame:
+    """P7 JSON lookup: per request the found metric as JSON (F7) in ``text`` and the
+    outcome (invalid keys answer 404 here, as not found does)."""
+    return _lookup_text(requests, state, metric_json(), JSON_LOOKUP)
+
+
+def _lookup_text(requests: DataFrame, state: DataFrame, text: Column, kind: str) -> DataFrame:
     checked = requests.withColumn("_key_error", validation_error([RULE_ID, RULE_TYPE]))
     # Text is formatted once per state key, not once per request.
-    texts = state.select(*KEY, value_text().alias("_text"), F.lit(True).alias("found"))
+    texts = state.select(*KEY, text.alias("_text"), F.lit(True).alias("found"))
     joined = checked.join(texts, KEY, "left").withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
     error = F.coalesce(F.col("_key_error"), F.when(~F.col("found"), F.lit(ERR_NOT_FOUND)))
     return joined.select(

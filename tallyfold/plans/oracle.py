@@ -216,6 +216,21 @@ SELECT request_id, id, type, found,
             ELSE 500 END AS status
 FROM j"""
 
+METRIC_JSON_SQL = f"""'{{"id":' || to_json(id) || ',"type":' || to_json(type)
+       || coalesce(',"delta":' || CAST(delta AS VARCHAR), '')
+       || coalesce(',"value":' || {f3_sql('value')}, '') || '}}'"""
+
+LOOKUP_JSON = f"""j AS (
+  SELECT r.request_id, r.id, r.type, s.found, s.text,
+         {key_error_sql('r.id', 'r.type')} AS key_error
+  FROM requests r LEFT JOIN (SELECT id, type, true AS found, {METRIC_JSON_SQL} AS text FROM state) s
+    ON r.id = s.id AND r.type = s.type)
+SELECT request_id, id, type, coalesce(found, false) AS found,
+       CASE WHEN found AND key_error IS NULL THEN text END AS text,
+       coalesce(key_error, CASE WHEN found IS NULL THEN {E_NOTFOUND} END) AS error,
+       CASE WHEN coalesce(key_error, CASE WHEN found IS NULL THEN {E_NOTFOUND} END) IS NULL THEN 200 ELSE 404 END AS status
+FROM j"""
+
 _RETRY = ", ".join(f"'{c}'" for c in RETRYABLE_SQLSTATES)
 _N_CODES = len(SQLSTATE_CODES)
 
@@ -286,6 +301,7 @@ FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS
     + f"SELECT seq, text, {int_parse_sql('text')} AS as_int, {float_parse_sql('text')} AS as_float FROM texts",
     "path_ingest": with_more(UPDATES, DIRTY, tail=PATH_INGEST),
     "lookup_bulk": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_BULK),
+    "lookup_json": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_JSON),
     "lookup_miss": with_(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"))
     + """SELECT r.request_id, r.id, r.type FROM requests r
 WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.id = r.id AND s.type = r.type)""",

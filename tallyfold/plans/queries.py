@@ -218,6 +218,10 @@ def q_lookup_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.value_lookup(_requests(spark, sf_dir), _state(spark, sf_dir))
 
 
+def q_lookup_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.json_lookup(_requests(spark, sf_dir), _state(spark, sf_dir))
+
+
 def q_lookup_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.lookup_misses(_requests(spark, sf_dir), _state(spark, sf_dir))
 
@@ -351,6 +355,7 @@ QUERIES: dict[str, Query] = {
     "parse_value": q_parse_value,
     "path_ingest": q_path_ingest,
     "lookup_bulk": q_lookup_bulk,
+    "lookup_json": q_lookup_json,
     "lookup_miss": q_lookup_miss,
     "lookup_one": q_lookup_one,
     "listing": q_listing,

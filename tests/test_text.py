@@ -80,3 +80,10 @@ def test_listing_and_count(spark):
                                "id STRING, type STRING, delta BIGINT, value DOUBLE")
     assert rows(report.listing(df), "line") == [("ID: a Type: counter Value: 3",), ("ID: b Type: gauge Value: 0.5",)]
     assert report.metric_count(df).collect()[0].total == 2
+
+
+def test_debug_rounding(spark):
+    vals = [0.5, 1.5, 2.5, -0.4, -2.5, 1747530766378014200.0, 3.7]
+    df = spark.createDataFrame([(v,) for v in vals], "v DOUBLE")
+    got = [r[0] for r in df.select(text.round_half_even_text("v")).collect()]
+    assert got == ["0", "2", "2", "-0", "-2", "1747530766378014208", "4"]
