@@ -80,6 +80,25 @@ def merge_folded(state: DataFrame, folded: DataFrame, key: Sequence[str] = KEY)
     )
 
 
+# Order given to a state row without ``seq`` (e.g. a restored snapshot): oldest.
+SEQ_UNKNOWN = -(1 << 63)
+
+
+def fold_states(rows: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """J1 as one aggregate: fold rows that are themselves folds (a state and any
+    number of later folded batches). Because the fold is associative (sum with
+    NULL propagation, last write by ``seq``), this equals merging them one after
+    the other with ``merge_folded``; it needs no join and is combined map-side.
+    A row without ``seq`` counts as older than every row that has one.
+    """
+    order = F.coalesce(F.col("seq"), F.lit(SEQ_UNKNOWN))
+    return rows.groupBy(*key).agg(
+        null_propagating_sum("delta").alias("delta"),
+        F.max_by(F.col("value"), order).alias("value"),
+        F.max("seq").alias("seq"),
+    )
+
+
 def _merge_rows(s_delta, s_value, s_seq, u_delta, u_value, u_seq, s_in, u_in) -> list[Column]:
     u_later = u_in & (~s_in | s_seq.isNull() | (u_seq > s_seq))
     return [

@@ -243,6 +243,7 @@ ORACLE: dict[str, str] = {
     "upsert_merge": with_(UPDATES) + fold_sql("updates"),
     "upsert_merge_broadcast": with_(UPDATES) + fold_sql("updates"),
     "upsert_merge_dirty": with_(UPDATES, DIRTY, GATED) + fold_sql("gated"),
+    "upsert_merge_union": with_(UPDATES, DIRTY, GATED) + fold_sql("gated"),
     "running_result": with_(UPDATES, DIRTY, GATED) + RUNNING.format(source="gated"),
     # W1 seeded with the state at the split must equal the tail of the full W1.
     "running_seeded": with_(UPDATES, DIRTY, GATED)

@@ -90,6 +90,13 @@ def q_upsert_merge_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.upsert(state, _after(u), broadcast_max_keys=BROADCAST_MAX_KEYS).select(*STATE_COLUMNS)
 
 
+def q_upsert_merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 as one aggregate over (state, folded batch): the merge-on-read form."""
+    g = _gated(spark, sf_dir)
+    state = fold.fold_updates(_before(g))
+    return fold.fold_states(state.unionByName(fold.fold_updates(_after(g)))).select(*STATE_COLUMNS)
+
+
 def q_upsert_merge_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _gated(spark, sf_dir)
     state = fold.fold_updates(_before(g))
@@ -335,6 +342,7 @@ QUERIES: dict[str, Query] = {
     "upsert_merge": q_upsert_merge,
     "upsert_merge_broadcast": q_upsert_merge_broadcast,
     "upsert_merge_dirty": q_upsert_merge_dirty,
+    "upsert_merge_union": q_upsert_merge_union,
     "running_result": q_running_result,
     "running_seeded": q_running_seeded,
     "type_conflicts": q_type_conflicts,

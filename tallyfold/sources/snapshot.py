@@ -1,16 +1,19 @@
-"""Metric state on shared storage: versioned snapshots (S5, S7, S8, S9), JSON
-snapshot files (S4) and restore (S6).
+"""Metric state on shared storage: versioned state (S5, S7, S8, S9), JSON snapshot
+files (S4) and restore (S6).
 
 Layout under a state root (HDFS/S3/local, whatever the cluster shares)::
 
-    root/data/v=<version>/     the whole state of that version (parquet)
-    root/_commits/v=<version>/ one JSON record {version, batch_id}
+    root/data/v=<version>/     a base: the whole state at that version (parquet)
+    root/delta/v=<version>/    a delta: one folded micro-batch (parquet, small)
+    root/_commits/v=<version>/ one JSON record {version, batch_id, kind}
 
 A version is visible only once its commit record exists, so a reader never sees
-a half-written state and a writer never overwrites the folder it reads from.
-The ``batch_id`` in the commit record lets a streaming writer skip a micro-batch
-it already published (replay after a failure). Everything is DataFrame I/O; no
-file-system calls from the driver.
+a half-written version and a writer never overwrites a folder anyone reads.
+The state at a version is the fold of the newest base and the deltas committed
+after it (merge-on-read: a micro-batch writes only its own folded rows, never a
+copy of the whole state). ``compact`` folds them into a new base. The
+``batch_id`` in a commit record lets a streaming writer skip a micro-batch it
+already committed (a replay after a failure). Everything is DataFrame I/O.
 """
 
 from __future__ import annotations
@@ -23,52 +26,110 @@ from pyspark.sql import functions as F
 
 from tallyfold.model import KEY, METRIC_ARRAY_DDL, METRIC_STRUCT_DDL, STATE_COLUMNS, STATE_SCHEMA
 from tallyfold.operators.dedup import keep_last
+from tallyfold.operators.fold import fold_states
 
-_COMMIT_DDL = "version BIGINT, batch_id BIGINT"
+_COMMIT_DDL = "version BIGINT, batch_id BIGINT, kind STRING"
 STATE_WITH_SEQ_DDL = "id STRING, type STRING, delta BIGINT, value DOUBLE, seq BIGINT"
+BASE = "base"
+DELTA = "delta"
 
 
 def _version_dir(version: int) -> str:
     return f"v={version:020d}"
 
 
-def latest_commit(spark: SparkSession, root: str) -> Row | None:
-    """The newest committed ``(version, batch_id)`` under ``root``, or None."""
+def _commits(spark: SparkSession, root: str) -> DataFrame | None:
     try:
-        commits = spark.read.schema(_COMMIT_DDL).json(f"{root}/_commits")
+        return spark.read.schema(_COMMIT_DDL).json(f"{root}/_commits")
     except AnalysisException:
         return None
+
+
+def latest_commit(spark: SparkSession, root: str) -> Row | None:
+    """The newest committed ``(version, batch_id, kind)`` under ``root``, or None."""
+    commits = _commits(spark, root)
+    if commits is None:
+        return None
     rows = commits.orderBy(F.col("version").desc()).limit(1).collect()
     return rows[0] if rows else None
 
 
+def _live_versions(spark: SparkSession, root: str) -> tuple[int | None, list[int]]:
+    """The newest base version and the delta versions committed after it.
+
+    The list is bounded by the compaction interval, so collecting it is cheap.
+    """
+    commits = _commits(spark, root)
+    if commits is None:
+        return None, []
+    base = commits.filter(F.col("kind") == BASE).agg(F.max("version")).collect()[0][0]
+    after = commits.filter(F.col("kind") == DELTA)
+    if base is not None:
+        after = after.filter(F.col("version") > base)
+    return base, sorted(r.version for r in after.select("version").collect())
+
+
 def read_state(spark: SparkSession, root: str) -> DataFrame:
     """The newest committed state (``id, type, delta, value, seq``); empty if none."""
-    last = latest_commit(spark, root)
-    if last is None:
+    base, deltas = _live_versions(spark, root)
+    parts = []
+    if base is not None:
+        parts.append(f"{root}/data/{_version_dir(base)}")
+    parts += [f"{root}/delta/{_version_dir(v)}" for v in deltas]
+    if not parts:
         return spark.createDataFrame([], STATE_WITH_SEQ_DDL)
-    return spark.read.schema(STATE_WITH_SEQ_DDL).parquet(f"{root}/data/{_version_dir(last.version)}")
+    rows = spark.read.schema(STATE_WITH_SEQ_DDL).parquet(*parts)
+    return rows if not deltas else fold_states(rows).select(*STATE_COLUMNS, "seq")
+
+
+def _with_seq(df: DataFrame) -> DataFrame:
+    cols = [c for c in (*STATE_COLUMNS, "seq") if c in df.columns]
+    out = df.select(*cols)
+    return out if "seq" in cols else out.withColumn("seq", F.lit(None).cast("bigint"))
+
+
+def _commit(spark: SparkSession, root: str, version: int, batch_id: int | None, kind: str) -> None:
+    record = spark.createDataFrame([(version, batch_id, kind)], _COMMIT_DDL)
+    record.coalesce(1).write.mode("errorifexists").json(f"{root}/_commits/{_version_dir(version)}")
+
+
+def _next_version(spark: SparkSession, root: str) -> int:
+    last = latest_commit(spark, root)
+    return 1 if last is None else last.version + 1
 
 
 def publish_state(spark: SparkSession, state: DataFrame, root: str, batch_id: int | None = None) -> int:
-    """Write ``state`` as the next version, then commit it. Returns the version.
+    """Write ``state`` as a new base version, then commit it. Returns the version.
 
     The data folder of an uncommitted version may exist from a crashed attempt;
     it is overwritten. Committed versions are never touched. Rows are clustered
     by key so the parquet row-group statistics prune point lookups (P1).
     """
-    last = latest_commit(spark, root)
-    version = 1 if last is None else last.version + 1
-    cols = [c for c in (*STATE_COLUMNS, "seq") if c in state.columns]
-    out = state.select(*cols)
-    if "seq" not in cols:
-        out = out.withColumn("seq", F.lit(None).cast("bigint"))
-    out.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{root}/data/{_version_dir(version)}")
-    record = spark.createDataFrame([(version, batch_id)], _COMMIT_DDL)
-    record.coalesce(1).write.mode("errorifexists").json(f"{root}/_commits/{_version_dir(version)}")
+    version = _next_version(spark, root)
+    _with_seq(state).sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{root}/data/{_version_dir(version)}")
+    _commit(spark, root, version, batch_id, BASE)
+    return version
+
+
+def publish_delta(spark: SparkSession, folded: DataFrame, root: str, batch_id: int | None = None) -> int:
+    """Commit one folded batch (one row per key, with ``seq``) as a delta version."""
+    version = _next_version(spark, root)
+    _with_seq(folded).write.mode("overwrite").parquet(f"{root}/delta/{_version_dir(version)}")
+    _commit(spark, root, version, batch_id, DELTA)
     return version
 
 
+def pending_deltas(spark: SparkSession, root: str) -> int:
+    """Number of deltas a reader must fold on top of the newest base."""
+    return len(_live_versions(spark, root)[1])
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """Fold the newest base and its deltas into a new base (keeps the last batch id)."""
+    last = latest_commit(spark, root)
+    return publish_state(spark, read_state(spark, root), root, None if last is None else last.batch_id)
+
+
 def read_snapshot_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON snapshot (one array per file, or JSON lines) -> state rows.
 

@@ -4,14 +4,15 @@ Two forms:
 
 * ``stream_fold``: the fold as a streaming aggregation (``outputMode("update")``);
   Spark keeps per-key state in its state store and checkpoints it.
-* ``start_state_stream``: a stateless stream whose ``foreachBatch`` upserts each
-  micro-batch into the versioned state table (``tallyfold.sources.snapshot``),
+* ``start_state_stream``: a stateless stream whose ``foreachBatch`` folds each
+  micro-batch and commits it as a delta of the versioned state table
+  (``tallyfold.sources.snapshot``; merge-on-read with periodic compaction),
   optionally writing the per-update results (W1) of that batch too.
-  The commit record of every published version holds the micro-batch id, so a
-  batch replayed after a failure (written, but not yet marked done in the
-  stream checkpoint) is skipped instead of counted twice. State lives in the
-  table, not in the state store, so it can be restored, read and compacted by
-  ordinary batch jobs.
+  The commit record of every version holds the micro-batch id, so a batch
+  replayed after a failure (committed, but not yet marked done in the stream
+  checkpoint) is skipped instead of counted twice. State lives in the table, not
+  in the state store, so it can be restored, read and compacted by ordinary
+  batch jobs.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from tallyfold.model import KEY, STATE_COLUMNS
-from tallyfold.operators.fold import fold_updates, last_by_seq, null_propagating_sum, upsert
+from tallyfold.operators.fold import fold_updates, last_by_seq, null_propagating_sum
 from tallyfold.operators.running import running_result
-from tallyfold.sources.snapshot import latest_commit, publish_state, read_state
+from tallyfold.sources.snapshot import compact, latest_commit, pending_deltas, publish_delta, read_state
 
 
 def stream_fold(updates: DataFrame) -> DataFrame:
@@ -32,11 +33,6 @@ def stream_fold(updates: DataFrame) -> DataFrame:
     return fold_updates(updates).select(*STATE_COLUMNS, "seq")
 
 
-# A micro-batch folding to at most this many keys is merged by broadcast, so the
-# state table is streamed through once and never shuffled.
-DEFAULT_BROADCAST_MAX_KEYS = 2_000_000
-
-
 def stream_report(updates: DataFrame, every: str, ts: str = "ts", watermark: str | None = None) -> DataFrame:
     """T2 live: per tumbling report window and metric, polls and the folded metric.
 
@@ -54,28 +50,39 @@ def stream_report(updates: DataFrame, every: str, ts: str = "ts", watermark: str
     )
 
 
+# Deltas a reader may have to fold before the stream compacts them into a base.
+DEFAULT_COMPACT_EVERY = 16
+
+
 def apply_batch(
     batch: DataFrame,
     batch_id: int,
     state_root: str,
     results_root: str | None = None,
-    broadcast_max_keys: int | None = DEFAULT_BROADCAST_MAX_KEYS,
+    compact_every: int = DEFAULT_COMPACT_EVERY,
 ) -> bool:
-    """Upsert one micro-batch into the state table; False if it was already applied."""
+    """Commit one micro-batch into the state table; False if it was already applied.
+
+    The batch is folded (partial aggregation) and committed as a delta: the write
+    is proportional to the batch, not to the state. Every ``compact_every`` deltas
+    the state is compacted into a new base, which bounds the work of readers.
+    """
     spark = batch.sparkSession
     last = latest_commit(spark, state_root)
     if last is not None and last.batch_id is not None and last.batch_id >= batch_id:
         return False
-    state = read_state(spark, state_root)
     batch = batch.persist()
     try:
         if results_root is not None:
-            # Rewritten in full on a replay that failed before the state commit.
+            # W1 needs the state as it stands before the batch; rewritten in full on
+            # a replay that failed before the commit.
+            state = read_state(spark, state_root)
             running_result(batch, state=state).write.mode("overwrite").parquet(f"{results_root}/batch_id={batch_id}")
-        merged = upsert(state, batch, broadcast_max_keys=broadcast_max_keys)
-        publish_state(spark, merged, state_root, batch_id=batch_id)
+        publish_delta(spark, fold_updates(batch), state_root, batch_id=batch_id)
     finally:
         batch.unpersist()
+    if pending_deltas(spark, state_root) >= compact_every:
+        compact(spark, state_root)
     return True
 
 

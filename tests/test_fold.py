@@ -112,3 +112,16 @@ def test_broadcast_merge_equals_shuffled_merge(spark):
     big = fold.upsert(state, late, broadcast_max_keys=2)
     assert "FullOuter" in big._jdf.queryExecution().executedPlan().toString()
     assert state_of(big) == shuffled
+
+
+def test_fold_states_equals_sequential_merges(spark):
+    data = [(i, f"m{i % 6}", "counter" if i % 2 else "gauge", None if i in (33, 71) else i, i / 3) for i in range(120)]
+    u = upd(spark, data)
+    parts = [fold.fold_updates(u.filter(f"seq >= {lo} AND seq < {lo + 40}")) for lo in (0, 40, 80)]
+    seq_merge = fold.merge_folded(fold.merge_folded(parts[0], parts[1]), parts[2])
+    one_agg = fold.fold_states(parts[2].unionByName(parts[0]).unionByName(parts[1]))
+    assert state_of(one_agg) == state_of(seq_merge) == state_of(fold.fold_updates(u))
+    restored = spark.createDataFrame([("m1", "counter", 1000, 9.0, None)],
+                                     "id STRING, type STRING, delta BIGINT, value DOUBLE, seq BIGINT")
+    merged = state_of(fold.fold_states(restored.unionByName(parts[0])))
+    assert merged[("m1", "counter")] == state_of(fold.merge_folded(restored, parts[0]))[("m1", "counter")]

@@ -64,6 +64,24 @@ def test_upsert_stream_replay_and_restart(spark, scratch):
     assert rows(live) == rows(running.running_result(all_updates).select(*live.columns))
 
 
+def test_deltas_compact_into_a_base(spark, scratch):
+    src, root, ck = scratch("src"), scratch("state"), scratch("ck")
+    _write_parts(spark, src, [(0, 30), (30, 60), (60, 90), (90, 120), (120, 150)])
+    stream = spark.readStream.schema(UPDATE_DDL).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (stream.writeStream.foreachBatch(lambda df, bid: fold_stream.apply_batch(df, bid, root, compact_every=2))
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    commits = spark.read.json(f"{root}/_commits")
+    kinds = sorted((r.version, r.kind) for r in commits.collect())
+    assert [k for _, k in kinds].count("base") == 2
+    assert snapshot.pending_deltas(spark, root) == 1
+    expected = rows(fold.fold_updates(spark.read.parquet(src)).select(*STATE_COLUMNS))
+    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == expected
+    snapshot.compact(spark, root)
+    assert snapshot.pending_deltas(spark, root) == 0
+    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == expected
+
+
 def test_stream_report_windows(spark, scratch):
     from tallyfold.operators import report
 
