@@ -8,12 +8,11 @@ A plain ``Window.partitionBy(key)`` would sort that key in one task. We use a
 two-level prefix sum instead:
 
 1. ``bucket = seq div width``. ``seq`` is unique, so a bucket holds at most
-   ``width`` rows of any key: per-(key, bucket) sums and NULL counts
-   (partial/final HashAggregate).
-2. Running offsets over the bucket rows of a key: at most ``seq range / width``
-   rows per key, not the key's row count.
-3. Join the offsets back on (key, bucket) and finish with a window over
-   (key, bucket), which is bounded by ``width`` rows per task.
+   ``width`` rows of any key: running sums inside (key, bucket) are a window over
+   at most ``width`` rows.
+2. Per-(key, bucket) totals (partial/final HashAggregate) and their running
+   offsets: at most ``seq range / width`` rows per key, not the key's row count.
+3. Add each bucket's offset to its rows (join on (key, bucket)).
 """
 
 from __future__ import annotations
@@ -61,28 +60,35 @@ def running_result(
         F.col("delta").isNull().cast("bigint").alias("_n"),
     )
 
-    buckets = rows.groupBy(*key, "_bucket").agg(F.sum("_d").alias("_bsum"), F.sum("_n").alias("_bnull"))
+    # 1. Running sums inside each (key, bucket): a window partition holds at most
+    #    `bucket_width` rows. The seed (if any) comes first, then updates by seq.
+    within = (
+        Window.partitionBy(*key, "_bucket")
+        .orderBy(F.col("_seed").desc(), F.col("_seq"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    local = rows.select(
+        "_seq", *key, "value", "_seed", "_bucket",
+        F.sum("_d").over(within).alias("_lsum"),
+        F.sum("_n").over(within).alias("_lnull"),
+    )
+    # 2. Bucket totals (partial aggregation) and their running offsets per key: one
+    #    row per (key, bucket), never one row per update.
+    totals = rows.groupBy(*key, "_bucket").agg(F.sum("_d").alias("_bsum"), F.sum("_n").alias("_bnull"))
     before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select(
+    offsets = totals.select(
         *key,
         "_bucket",
         F.coalesce(F.sum("_bsum").over(before), F.lit(0).cast("bigint")).alias("_osum"),
         F.coalesce(F.sum("_bnull").over(before), F.lit(0).cast("bigint")).alias("_onull"),
     )
-
-    # Inside a bucket the seed (if any) comes first, then updates by seq.
-    within = (
-        Window.partitionBy(*key, "_bucket")
-        .orderBy(F.col("_seed").desc(), F.col("_seq"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    joined = rows.join(offsets, [*key, "_bucket"], "inner")
-    run_sum = F.col("_osum") + F.sum("_d").over(within)
-    run_null = F.col("_onull") + F.sum("_n").over(within)
+    # 3. Join the offsets last: the windowed side is already partitioned by
+    #    (key, bucket); only the small offsets side moves (or is broadcast by AQE).
+    joined = local.join(offsets, [*key, "_bucket"], "inner")
     out = joined.select(
         F.col("_seq").alias(seq),
         *key,
-        F.when(run_null == 0, run_sum).alias("delta"),
+        F.when(F.col("_onull") + F.col("_lnull") == 0, F.col("_osum") + F.col("_lsum")).alias("delta"),
         F.col("value"),
         F.col("_seed"),
     )
