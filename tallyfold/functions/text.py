@@ -69,9 +69,14 @@ def _plain_tail(v: pa.Array) -> pa.Array:
     return _map_present(v, shortest_plain)
 
 
+def shortest_json(v: float) -> str:
+    """JSON number text: plain in ``[1e-6, 1e21)``, exponent form outside."""
+    return shortest_plain(v) if _JSON_PLAIN_MIN <= abs(v) < _JSON_PLAIN_MAX else shortest_exponent(v)
+
+
 @F.arrow_udf(T.StringType())
-def _exponent_tail(v: pa.Array) -> pa.Array:
-    return _map_present(v, shortest_exponent)
+def _json_tail(v: pa.Array) -> pa.Array:
+    return _map_present(v, shortest_json)
 
 
 def _strip_fraction_zeros(s: Column) -> Column:
@@ -158,12 +163,20 @@ def _json_string(s: Column) -> Column:
 
 
 def json_float(value: str | Column) -> Column:
-    """A double as JSON number text (plain in [1e-6, 1e21), else exponent); NULL if not finite."""
+    """A double as JSON number text (plain in [1e-6, 1e21), else exponent); NULL if not finite.
+
+    One Arrow UDF call covers every non-native case (tail rows only, others NULL).
+    """
     v = _c(value)
     a = F.abs(v)
     finite = ~F.isnan(v) & (a != F.lit(float("inf")))
-    plain = finite & ((v == 0) | ((a >= F.lit(_JSON_PLAIN_MIN)) & (a < F.lit(_JSON_PLAIN_MAX))))
-    return F.when(plain, format_float(v)).when(finite, _exponent_tail(F.when(finite & ~plain, v)))
+    native = (a >= F.lit(_NATIVE_MIN)) & (a < F.lit(_NATIVE_MAX))
+    tail = finite & ~native & (v != 0)
+    return (
+        F.when(v == 0, _strip_fraction_zeros(v.cast("string")))
+        .when(native, _native_plain(v))
+        .when(finite, _json_tail(F.when(tail, v)))
+    )
 
 
 def metric_json(id_: str | Column = "id", type_: str | Column = "type",
