@@ -79,7 +79,7 @@ def explode_batches(decoded: DataFrame, keep: list[str]) -> DataFrame:
     """
     return decoded.filter(F.col("decode_error").isNull()).select(
         *keep, F.posexplode("metrics").alias("pos", "_m")
-    ).select(*keep, "pos", "_m.id", "_m.type", "_m.delta", "_m.value", "_m.hash")
+    ).select(*keep, F.col("pos").cast("bigint").alias("pos"), "_m.id", "_m.type", "_m.delta", "_m.value", "_m.hash")
 
 
 def decode_single_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
