@@ -16,14 +16,36 @@ from pyspark.sql import functions as F
 from tallyfold.model import COUNTER, GAUGE, KEY
 
 
-def null_propagating_sum(col: str | Column) -> Column:
+OVERFLOW_ERROR = "error"
+OVERFLOW_FINAL = "final"
+OVERFLOW_WRAP = "wrap"
+_TWO_63 = 2**63
+
+
+def null_propagating_sum(col: str | Column, overflow: str = OVERFLOW_ERROR) -> Column:
     """A1: sum that is NULL as soon as one input is NULL (SQL ``a + NULL`` rule).
 
-    ``sum`` skips nulls, so compare the non-null count with the row count. Overflow
-    raises under ANSI mode, as the database upsert does.
+    ``sum`` skips nulls, so compare the non-null count with the row count.
+    ``overflow``:
+
+    * ``error`` (default): ANSI ``sum`` raises when a (partial) sum leaves int64,
+      as the database upsert does;
+    * ``final``: exact sum in ``decimal(38,0)``; raises only when the total does
+      not fit in int64, whatever the order of partial sums;
+    * ``wrap``: the total modulo 2**64 as a signed int64 (in-memory Go counters).
     """
     c = F.col(col) if isinstance(col, str) else col
-    return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
+    no_null = F.count(c) == F.count(F.lit(1))
+    if overflow == OVERFLOW_ERROR:
+        return F.when(no_null, F.sum(c))
+    exact = F.sum(c.cast("decimal(38,0)"))
+    if overflow == OVERFLOW_FINAL:
+        return F.when(no_null, exact.cast("bigint"))
+    if overflow == OVERFLOW_WRAP:
+        two63 = F.lit(str(_TWO_63)).cast("decimal(38,0)")
+        wrapped = F.pmod(exact + two63, two63 * 2) - two63
+        return F.when(no_null, wrapped.cast("bigint"))
+    raise ValueError(f"unknown overflow mode {overflow!r}")
 
 
 def last_by_seq(col: str, seq: str = "seq") -> Column:
@@ -31,7 +53,9 @@ def last_by_seq(col: str, seq: str = "seq") -> Column:
     return F.max_by(F.col(col), F.col(seq))
 
 
-def fold_updates(updates: DataFrame, key: Sequence[str] = KEY, seq: str = "seq") -> DataFrame:
+def fold_updates(
+    updates: DataFrame, key: Sequence[str] = KEY, seq: str = "seq", overflow: str = OVERFLOW_ERROR
+) -> DataFrame:
     """A3: fold an ordered, mixed batch of updates into one row per key.
 
     Both value columns fold whatever the type (database rule): ``delta`` by
@@ -39,7 +63,7 @@ def fold_updates(updates: DataFrame, key: Sequence[str] = KEY, seq: str = "seq")
     update, kept so that a later merge does not depend on batch arrival order.
     """
     return updates.groupBy(*key).agg(
-        null_propagating_sum("delta").alias("delta"),
+        null_propagating_sum("delta", overflow).alias("delta"),
         last_by_seq("value", seq).alias("value"),
         F.max(seq).alias("seq"),
     )

@@ -125,3 +125,15 @@ def test_fold_states_equals_sequential_merges(spark):
                                      "id STRING, type STRING, delta BIGINT, value DOUBLE, seq BIGINT")
     merged = state_of(fold.fold_states(restored.unionByName(parts[0])))
     assert merged[("m1", "counter")] == state_of(fold.merge_folded(restored, parts[0]))[("m1", "counter")]
+
+
+def test_overflow_modes(spark):
+    big = 9223372036854775807
+    u = upd(spark, [(1, "c", "counter", big, None), (2, "c", "counter", 1, None), (3, "c", "counter", -5, None)])
+    assert state_of(fold.fold_updates(u, overflow="final")) == {("c", "counter"): (big - 4, None)}
+    wrap = upd(spark, [(1, "c", "counter", big, None), (2, "c", "counter", 1, None)])
+    assert state_of(fold.fold_updates(wrap, overflow="wrap")) == {("c", "counter"): (-(2**63), None)}
+    with pytest.raises(Exception, match="(?i)overflow|cannot be represented|out of range"):
+        fold.fold_updates(wrap, overflow="final").collect()
+    p = fold.fold_updates(u, overflow="final")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in p and "SortAggregate" not in p
