@@ -346,6 +346,10 @@ FROM gstate""",
        CASE WHEN count(error) > 0 THEN 400 ELSE 200 END AS status
 FROM validated GROUP BY batch_id""",
     "json_pipeline_state": with_(UPDATES, DIRTY, VALIDATED, ACCEPTED) + fold_sql("accepted"),
+    "signed_pipeline_state": with_(UPDATES, DIRTY, VALIDATED, ACCEPTED)
+    + fold_sql("(SELECT * FROM accepted WHERE batch_id % 7 <> 0) a"),
+    "gzip_roundtrip": with_(UPDATES) + "SELECT id, type, delta, value FROM updates",
+    "stream_fold_update": with_(UPDATES) + fold_sql("updates"),
     "sqlstate_class": f"""SELECT event_id, sqlstate,
        CASE WHEN sqlstate IN ({_RETRY}) THEN 'retryable' ELSE 'non_retryable' END AS class
 FROM (SELECT event_id,

@@ -310,6 +310,51 @@ def q_json_pipeline_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.fold_updates(rows).select(*STATE_COLUMNS)
 
 
+def q_signed_pipeline_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole request path: signature check (P8) -> strict decode (S1) -> validate
+    -> reject bad batches (P5) -> fold (A3). Every 7th body carries a wrong signature."""
+    bodies = json_ingest.batch_bodies(_dirty(spark, sf_dir))
+    good = sign.hmac_sha256_hex("body", upd.SIGNING_KEY)
+    signed = bodies.withColumn(
+        "signature", F.when(F.col("batch_id") % 7 == 0, F.sha2(F.col("body").cast("binary"), 256)).otherwise(good)
+    )
+    trusted = signed.filter(sign.signature_ok("body", "signature", upd.SIGNING_KEY))
+    rows = json_ingest.accepted_updates(json_ingest.decode_batch_bodies(trusted))
+    rows = rows.withColumn("seq", F.col("batch_id") * upd.BATCH_SIZE + F.col("pos"))
+    return fold.fold_updates(rows).select(*STATE_COLUMNS)
+
+
+def q_gzip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The updates written as gzip JSON lines and read back (unset fields omitted)."""
+    path = scratch_path(spark, "gzip")
+    json_ingest.write_update_files(_updates(spark, sf_dir), path, "gzip")
+    return spark.read.schema("id STRING, type STRING, delta BIGINT, value DOUBLE").json(path)
+
+
+def q_stream_fold_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold as a streaming aggregation in update mode (Spark's state store);
+    every micro-batch's changed rows are appended to parquet, the last per key wins."""
+    root = scratch_path(spark, "stream-agg")
+    u = _updates(spark, sf_dir).select(*UPDATE_COLUMNS)
+    u.repartitionByRange(4, "seq").write.parquet(f"{root}/source")
+    stream = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
+    out = f"{root}/emitted"
+    q = (
+        fold_stream.stream_fold(stream)
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda df, bid: df.withColumn("batch_id", F.lit(bid)).write.mode("append").parquet(out))
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    emitted = spark.read.parquet(out)
+    # A key is emitted at most once per micro-batch: its row from the latest batch is current.
+    return dedup.keep_last(emitted.select(*STATE_COLUMNS, "batch_id"), ["id", "type"], "batch_id").select(
+        *STATE_COLUMNS
+    )
+
+
 def q_sqlstate_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = upd.sqlstate_rows(tables.table(spark, sf_dir, "events"))
     return s.select("event_id", "sqlstate", errors.classify_sqlstate("sqlstate").alias("class"))
@@ -377,6 +422,9 @@ QUERIES: dict[str, Query] = {
     "json_batch_ingest": q_json_batch_ingest,
     "batch_outcome": q_batch_outcome,
     "json_pipeline_state": q_json_pipeline_state,
+    "signed_pipeline_state": q_signed_pipeline_state,
+    "gzip_roundtrip": q_gzip_roundtrip,
+    "stream_fold_update": q_stream_fold_update,
     "sqlstate_class": q_sqlstate_class,
     "snapshot_roundtrip": q_snapshot_roundtrip,
     "stream_state": q_stream_state,
