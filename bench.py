@@ -1,7 +1,7 @@
 """Benchmark the headline queries; prints one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_RUNS (default 2; the best run counts). Each query runs to completion into
+BENCH_RUNS (default 3; the best run counts). Each query runs to completion into
 Spark's ``noop`` sink, so the timing covers the whole plan without a driver
 collect.
 """
@@ -39,7 +39,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="tallyfold-bench")
     # Warm the JVM (class loading, codegen caches) outside the timed runs.
     QUERIES["metric_state"](spark, sf_dir).write.format("noop").mode("overwrite").save()
