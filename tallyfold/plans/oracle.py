@@ -302,6 +302,7 @@ FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS
     + f"SELECT seq, text, {int_parse_sql('text')} AS as_int, {float_parse_sql('text')} AS as_float FROM texts",
     "path_ingest": with_more(UPDATES, DIRTY, tail=PATH_INGEST),
     "lookup_bulk": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_BULK),
+    "lookup_bulk_broadcast": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_BULK),
     "lookup_json": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_JSON),
     "lookup_miss": with_(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"))
     + """SELECT r.request_id, r.id, r.type FROM requests r

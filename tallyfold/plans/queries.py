@@ -225,6 +225,11 @@ def q_lookup_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.value_lookup(_requests(spark, sf_dir), _state(spark, sf_dir))
 
 
+def q_lookup_bulk_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 with the request batch broadcast after a bounded size check: no state shuffle."""
+    return lookup.value_lookup(_requests(spark, sf_dir), _state(spark, sf_dir), broadcast_max_requests=BROADCAST_MAX_KEYS)
+
+
 def q_lookup_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.json_lookup(_requests(spark, sf_dir), _state(spark, sf_dir))
 
@@ -408,6 +413,7 @@ QUERIES: dict[str, Query] = {
     "parse_value": q_parse_value,
     "path_ingest": q_path_ingest,
     "lookup_bulk": q_lookup_bulk,
+    "lookup_bulk_broadcast": q_lookup_bulk_broadcast,
     "lookup_json": q_lookup_json,
     "lookup_miss": q_lookup_miss,
     "lookup_one": q_lookup_one,

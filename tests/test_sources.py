@@ -124,3 +124,17 @@ def test_read_update_files(spark, scratch):
     assert errs == {"0001.json.gz": None, "0002.json": None, "0003.json": "invalid JSON was passed"}
     got = rows(json_ingest.explode_batches(dec, ["source"]), "source", "pos", "id", "delta", "value")
     assert got == [("0001.json.gz", 0, "a", 2, None), ("0001.json.gz", 1, "a", 3, None), ("0002.json", 0, "g", None, 0.5)]
+
+
+def test_small_lookup_broadcasts_requests(spark):
+    state = spark.createDataFrame([("a", "counter", 3, None), ("g", "gauge", None, 0.5)],
+                                  "id STRING, type STRING, delta BIGINT, value DOUBLE")
+    req = spark.createDataFrame([(1, "a", "counter"), (2, "a", "counter"), (3, "g", "counter"), (4, "", "gauge"),
+                                 (5, "g", "gauge")], "request_id BIGINT, id STRING, type STRING")
+    plain = rows(lookup.value_lookup(req, state))
+    small = lookup.value_lookup(req, state, broadcast_max_requests=10)
+    assert rows(small.select(*lookup.value_lookup(req, state).columns)) == plain
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftOuter" not in plan
+    assert rows(lookup.lookup(req, state, broadcast_max_requests=10).select("request_id", "found", "delta")) == rows(
+        lookup.lookup(req, state).select("request_id", "found", "delta"))
