@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.model import KEY, METRIC_ARRAY_DDL, METRIC_STRUCT_DDL, STATE_COLUMNS, STATE_SCHEMA
+from tallyfold.model import KEY, STATE_COLUMNS, STATE_SCHEMA
 from tallyfold.operators.dedup import keep_last
 from tallyfold.operators.fold import fold_states
 
@@ -130,48 +130,65 @@ def compact(spark: SparkSession, root: str) -> int:
     return publish_state(spark, read_state(spark, root), root, None if last is None else last.batch_id)
 
 
-def read_snapshot_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON snapshot (one array per file, or JSON lines) -> state rows.
+# Snapshot file formats: one JSON array per file (the reference's snapshot file)
+# or JSON lines (what Spark's JSON writer produces; splittable).
+ARRAY_FORMAT = "array"
+LINES_FORMAT = "lines"
+_SNAPSHOT_DDL = "id STRING, type STRING, delta BIGINT, value DOUBLE, hash STRING, _corrupt_record STRING"
 
-    A missing path or empty file gives no rows; a file holding ``null`` (or an
-    all-null record) gives no rows either.
+
+def _snapshot_rows(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+    """Snapshot records with their file and position; None when the path is missing.
+
+    The JSON reader streams each file (an array document is parsed element by
+    element, not held as one string). Positions come from
+    ``monotonically_increasing_id`` taken at the scan: inside one file they rise
+    in file order, which is all that last-copy-wins needs. A file holding ``null``
+    contributes no rows; a malformed file fails the job.
     """
+    if fmt not in (ARRAY_FORMAT, LINES_FORMAT):
+        raise ValueError(f"unknown snapshot format {fmt!r}")
     try:
-        raw = spark.read.option("wholetext", "true").text(path)
+        raw = (
+            spark.read.schema(_SNAPSHOT_DDL)
+            .option("multiLine", fmt == ARRAY_FORMAT)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt_record")
+            .json(path)
+        )
     except AnalysisException:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return _snapshot_rows(raw).select(*STATE_COLUMNS)
-
-
-def _snapshot_rows(raw: DataFrame) -> DataFrame:
-    """Parse whole files: a JSON array keeps element positions; JSON lines (as Spark
-    writes them) are split per line first."""
-    text = F.trim(F.col("value"))
-    is_array = text.startswith("[")
-    files = raw.select(
-        F.col("_metadata.file_name").alias("_file"),
-        F.when(is_array, F.from_json(text, METRIC_ARRAY_DDL)).alias("_arr"),
-        F.when(~is_array & (F.length(text) > 0), F.split(text, r"\r?\n")).alias("_lines"),
+        return None
+    rows = raw.select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_pos")
     )
-    from_arr = files.select("_file", F.posexplode("_arr").alias("_pos", "_m"))
-    from_lines = files.select("_file", F.posexplode("_lines").alias("_pos", "_line")).select(
-        "_file", "_pos", F.from_json("_line", METRIC_STRUCT_DDL).alias("_m")
+    corrupt = F.col("_corrupt_record")
+    malformed = corrupt.isNotNull() & (F.trim(corrupt) != "null")
+    # Records with neither id nor type (an empty object) carry nothing to restore.
+    present = corrupt.isNull() & (F.col("id").isNotNull() | F.col("type").isNotNull())
+    keep = F.when(malformed, F.raise_error(F.concat(F.lit("malformed snapshot file: "), F.col("_file")))).otherwise(
+        present
     )
-    rows = from_arr.unionByName(from_lines).select("_file", "_pos", "_m.*")
-    return rows.filter(F.col("id").isNotNull() | F.col("type").isNotNull())
+    return rows.filter(keep.cast("boolean")).drop("_corrupt_record")
 
 
-def restore_state(spark: SparkSession, path: str, key: Sequence[str] = KEY) -> DataFrame:
+def read_snapshot_json(spark: SparkSession, path: str, fmt: str = LINES_FORMAT) -> DataFrame:
+    """A JSON snapshot -> state rows. A missing path or an empty file gives no
+    rows; a file holding ``null`` gives no rows either."""
+    rows = _snapshot_rows(spark, path, fmt)
+    if rows is None:
+        return spark.createDataFrame([], STATE_SCHEMA)
+    return rows.select(*STATE_COLUMNS)
+
+
+def restore_state(spark: SparkSession, path: str, fmt: str = LINES_FORMAT, key: Sequence[str] = KEY) -> DataFrame:
     """Snapshot as initial state; a repeated key keeps its last copy (replace,
     not sum; by file name, then position). The result has no ``seq``: any later
-    update counts as newer. One file is read by one task (a JSON document is not
-    splittable), so large snapshots should be many files."""
-    try:
-        raw = spark.read.option("wholetext", "true").text(path)
-    except AnalysisException:
+    update counts as newer."""
+    rows = _snapshot_rows(spark, path, fmt)
+    if rows is None:
         return spark.createDataFrame([], STATE_SCHEMA)
-    rows = _snapshot_rows(raw).withColumn("_order", F.struct("_file", "_pos"))
-    return keep_last(rows.select(*STATE_COLUMNS, "_order"), list(key), "_order").select(*STATE_COLUMNS)
+    ordered = rows.select(*STATE_COLUMNS, F.struct("_file", "_pos").alias("_order"))
+    return keep_last(ordered, list(key), "_order").select(*STATE_COLUMNS)
 
 
 def write_snapshot_json(state: DataFrame, path: str) -> None:

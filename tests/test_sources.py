@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -56,15 +57,21 @@ def _write(path, text):
 
 def test_snapshot_read_edge_files(spark, scratch):
     base = scratch("snap")
-    assert snapshot.read_snapshot_json(spark, f"{base}/missing").count() == 0
+    arr = snapshot.ARRAY_FORMAT
+    assert snapshot.read_snapshot_json(spark, f"{base}/missing", arr).count() == 0
     _write(f"{base}/empty/metrics.log", "")
-    assert snapshot.read_snapshot_json(spark, f"{base}/empty").count() == 0
+    assert snapshot.read_snapshot_json(spark, f"{base}/empty", arr).count() == 0
     _write(f"{base}/null/metrics.log", "null")
-    assert snapshot.read_snapshot_json(spark, f"{base}/null").count() == 0
+    assert snapshot.read_snapshot_json(spark, f"{base}/null", arr).count() == 0
     _write(f"{base}/dup/metrics.log",
            '[{"id":"a","type":"counter","delta":1},{"id":"b","type":"gauge","value":2},{"id":"a","type":"counter","delta":5}]')
-    restored = rows(snapshot.restore_state(spark, f"{base}/dup"), "id", "type", "delta", "value")
+    restored = rows(snapshot.restore_state(spark, f"{base}/dup", arr), "id", "type", "delta", "value")
     assert restored == [("a", "counter", 5, None), ("b", "gauge", None, 2.0)]
+    _write(f"{base}/lines/part-0.json", '{"id":"a","type":"counter","delta":1}\n{"id":"a","type":"counter","delta":7}\n')
+    assert rows(snapshot.restore_state(spark, f"{base}/lines"), "id", "delta") == [("a", 7)]
+    _write(f"{base}/bad/metrics.log", '[{"id":"a",')
+    with pytest.raises(Exception, match="malformed snapshot"):
+        snapshot.read_snapshot_json(spark, f"{base}/bad", arr).collect()
 
 
 def test_snapshot_json_roundtrip_gzip(spark, scratch):
