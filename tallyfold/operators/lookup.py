@@ -79,7 +79,8 @@ def value_lookup(
 
 def json_lookup(requests: DataFrame, state: DataFrame, broadcast_max_requests: int | None = None) -> DataFrame:
     """P7 JSON lookup: per request the found metric as JSON (F7) in ``text`` and the
-    outcome (invalid keys answer 404 here, as not found does)."""
+    outcome (invalid keys answer 404 here, as not found does). Requests may carry
+    an ``error`` from decoding their body (``decode_single_bodies``): 400."""
     return _lookup_text(requests, state, metric_json(), JSON_LOOKUP, broadcast_max_requests)
 
 
@@ -93,11 +94,14 @@ def _lookup_text(
     joined = _left_join(checked, texts, list(KEY), small).withColumn(
         "found", F.coalesce(F.col("found"), F.lit(False))
     )
-    error = F.coalesce(F.col("_key_error"), F.when(~F.col("found"), F.lit(ERR_NOT_FOUND)))
+    # An earlier stage may already have refused the request (decode or routing error).
+    prior = F.col("error") if "error" in requests.columns else F.lit(None).cast("string")
+    error = F.coalesce(prior, F.col("_key_error"), F.when(~F.col("found"), F.lit(ERR_NOT_FOUND)))
+    ok = F.col("found") & F.col("_key_error").isNull() & prior.isNull()
     return joined.select(
-        *requests.columns,
+        *[c for c in requests.columns if c != "error"],
         "found",
-        F.when(F.col("found") & F.col("_key_error").isNull(), F.col("_text")).alias("text"),
+        F.when(ok, F.col("_text")).alias("text"),
         error.alias("error"),
         status_code(kind, error).alias("status"),
     )

@@ -231,6 +231,43 @@ SELECT request_id, id, type, coalesce(found, false) AS found,
        CASE WHEN coalesce(key_error, CASE WHEN found IS NULL THEN {E_NOTFOUND} END) IS NULL THEN 200 ELSE 404 END AS status
 FROM j"""
 
+VALUE_PATH_LOOKUP = f"""paths AS (SELECT request_id, '/value/' || type || '/' || id AS path FROM requests),
+parsed AS (SELECT request_id, path, string_split(path, '/') AS p FROM paths),
+r AS (
+  SELECT request_id, path,
+         CASE WHEN len(p) = 4 AND p[1] = '' AND p[2] = 'value' THEN p[4] END AS id,
+         CASE WHEN len(p) = 4 AND p[1] = '' AND p[2] = 'value' THEN p[3] END AS type,
+         CASE WHEN NOT (len(p) = 4 AND p[1] = '' AND p[2] = 'value') THEN {E_NOTFOUND} END AS prior
+  FROM parsed),
+j AS (
+  SELECT r.request_id, r.path, r.id, r.type, r.prior, s.delta, s.value, (s.id IS NOT NULL) AS found,
+         {key_error_sql('r.id', 'r.type')} AS key_error
+  FROM r LEFT JOIN state s ON r.id = s.id AND r.type = s.type),
+e AS (SELECT *, coalesce(prior, key_error, CASE WHEN NOT found THEN {E_NOTFOUND} END) AS error FROM j)
+SELECT request_id, path, id, type, found,
+       CASE WHEN found AND key_error IS NULL AND prior IS NULL THEN {value_text_sql()} END AS text,
+       error,
+       CASE WHEN error IS NULL THEN 200 WHEN error IN ({E_ID}, {E_NOTFOUND}) THEN 404
+            WHEN error IN ({E_TYPE}, {E_INV}) THEN 400 ELSE 500 END AS status
+FROM e"""
+
+JSON_LOOKUP_BODIES = f"""b AS (
+  SELECT request_id,
+         CASE WHEN request_id % 13 = 0 THEN NULL ELSE id END AS id,
+         CASE WHEN request_id % 13 = 0 THEN NULL ELSE type END AS type,
+         CASE WHEN request_id % 13 = 0 THEN 'invalid JSON was passed' END AS prior
+  FROM requests),
+j AS (
+  SELECT b.request_id, b.id, b.type, b.prior, s.found, s.text, {key_error_sql('b.id', 'b.type')} AS key_error
+  FROM b LEFT JOIN (SELECT id, type, true AS found, {METRIC_JSON_SQL} AS text FROM state) s
+    ON b.id = s.id AND b.type = s.type),
+e AS (SELECT *, coalesce(prior, key_error, CASE WHEN found IS NULL THEN {E_NOTFOUND} END) AS error FROM j)
+SELECT request_id, id, type, coalesce(found, false) AS found,
+       CASE WHEN found AND key_error IS NULL AND prior IS NULL THEN text END AS text,
+       error,
+       CASE WHEN error IS NULL THEN 200 WHEN error = 'invalid JSON was passed' THEN 400 ELSE 404 END AS status
+FROM e"""
+
 _RETRY = ", ".join(f"'{c}'" for c in RETRYABLE_SQLSTATES)
 _N_CODES = len(SQLSTATE_CODES)
 
@@ -304,6 +341,8 @@ FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS
     "lookup_bulk": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_BULK),
     "lookup_bulk_broadcast": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_BULK),
     "lookup_json": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_JSON),
+    "value_path_lookup": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=VALUE_PATH_LOOKUP),
+    "json_lookup_bodies": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=JSON_LOOKUP_BODIES),
     "lookup_miss": with_(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"))
     + """SELECT r.request_id, r.id, r.type FROM requests r
 WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.id = r.id AND s.type = r.type)""",

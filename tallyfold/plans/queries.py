@@ -230,6 +230,30 @@ def q_lookup_bulk_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.value_lookup(_requests(spark, sf_dir), _state(spark, sf_dir), broadcast_max_requests=BROADCAST_MAX_KEYS)
 
 
+def q_value_path_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2 in path form: ``/value/{type}/{id}`` for every lookup request -> text and status."""
+    req = _requests(spark, sf_dir).select(
+        "request_id", F.concat(F.lit("/value/"), F.col("type"), F.lit("/"), F.col("id")).alias("path")
+    )
+    return lookup.value_lookup(path_ingest.lookup_paths(req), _state(spark, sf_dir))
+
+
+def q_json_lookup_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 JSON lookup from request bodies: strict decode (400 when refused), then lookup."""
+    req = _requests(spark, sf_dir)
+    bodies = req.select(
+        "request_id",
+        # Every 13th body is cut short: a decode error.
+        F.when(F.col("request_id") % 13 == 0, F.lit('{"id":')).otherwise(
+            F.to_json(F.struct("id", "type"))
+        ).alias("body"),
+    )
+    dec = json_ingest.decode_single_bodies(bodies).select(
+        "request_id", "id", "type", F.col("decode_error").alias("error")
+    )
+    return lookup.json_lookup(dec, _state(spark, sf_dir))
+
+
 def q_lookup_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.json_lookup(_requests(spark, sf_dir), _state(spark, sf_dir))
 
@@ -415,6 +439,8 @@ QUERIES: dict[str, Query] = {
     "lookup_bulk": q_lookup_bulk,
     "lookup_bulk_broadcast": q_lookup_bulk_broadcast,
     "lookup_json": q_lookup_json,
+    "value_path_lookup": q_value_path_lookup,
+    "json_lookup_bodies": q_json_lookup_bodies,
     "lookup_miss": q_lookup_miss,
     "lookup_one": q_lookup_one,
     "listing": q_listing,

@@ -10,6 +10,7 @@ from tallyfold.model import COUNTER, ERR_BAD_VALUE, ERR_NON_FINITE, ERR_NOT_FOUN
 from tallyfold.operators.validate import PATH_UPDATE, status_code, validation_error
 
 ROUTE_SEGMENT = "update"
+VALUE_ROUTE_SEGMENT = "value"
 
 
 def ingest_paths(requests: DataFrame, path: str = "path") -> DataFrame:
@@ -53,3 +54,19 @@ def ingest_paths(requests: DataFrame, path: str = "path") -> DataFrame:
         "error",
         status_code(PATH_UPDATE, "error").alias("status"),
     )
+
+
+def lookup_paths(requests: DataFrame, path: str = "path") -> DataFrame:
+    """P2 requests ``/value/{type}/{id}`` -> ``id, type`` and ``error`` (not routed: not found).
+
+    Feed the result to ``lookup.value_lookup``, which adds the key rules, the
+    text and the status.
+    """
+    parts = F.split(F.col(path), "/", -1)
+    routed = (F.size(parts) == 4) & (F.element_at(parts, 1) == "") & (F.element_at(parts, 2) == VALUE_ROUTE_SEGMENT)
+    return requests.select(
+        "*",
+        F.when(routed, F.element_at(parts, 4)).alias("id"),
+        F.when(routed, F.element_at(parts, 3)).alias("type"),
+        F.when(~routed, F.lit(ERR_NOT_FOUND)).alias("error"),
+    )
