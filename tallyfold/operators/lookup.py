@@ -88,12 +88,15 @@ def _lookup_text(
     requests: DataFrame, state: DataFrame, text: Column, kind: str, broadcast_max_requests: int | None
 ) -> DataFrame:
     checked = requests.withColumn("_key_error", validation_error([RULE_ID, RULE_TYPE]))
-    # Text is formatted once per state key, not once per request.
-    texts = state.select(*KEY, text.alias("_text"), F.lit(True).alias("found"))
-    small = _is_small(requests, broadcast_max_requests)
-    joined = _left_join(checked, texts, list(KEY), small).withColumn(
-        "found", F.coalesce(F.col("found"), F.lit(False))
-    )
+    if _is_small(requests, broadcast_max_requests):
+        # Few requests: join first, then format only the matched rows.
+        found = state.select(*KEY, "delta", "value", F.lit(True).alias("found"))
+        joined = _left_join(checked, found, list(KEY), True).withColumn("_text", text)
+    else:
+        # Many requests: format once per state key, not once per request.
+        texts = state.select(*KEY, text.alias("_text"), F.lit(True).alias("found"))
+        joined = _left_join(checked, texts, list(KEY), False)
+    joined = joined.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
     # An earlier stage may already have refused the request (decode or routing error).
     prior = F.col("error") if "error" in requests.columns else F.lit(None).cast("string")
     error = F.coalesce(prior, F.col("_key_error"), F.when(~F.col("found"), F.lit(ERR_NOT_FOUND)))
