@@ -31,3 +31,20 @@ def test_running_result_window_is_bucketed(spark):
 def test_batch_rejection_is_anti_join(spark):
     p = plan(q.q_accepted_state(spark, SF_SMALL))
     assert "LeftAnti" in p
+
+
+def test_no_python_in_core_paths(spark):
+    for name in ("metric_state", "upsert_merge", "upsert_merge_union", "running_result", "accepted_state",
+                 "keep_last", "path_ingest", "hmac_check", "report_window", "wide_to_long"):
+        p = plan(getattr(q, f"q_{name}")(spark, SF_SMALL))
+        assert "EvalPython" not in p, name
+
+
+def test_keep_last_is_partial_aggregate(spark):
+    p = plan(q.q_keep_last(spark, SF_SMALL))
+    assert "partial_max_by" in p and "Window" not in p
+
+
+def test_small_batch_merge_does_not_shuffle_state_for_the_join(spark):
+    p = plan(q.q_upsert_merge_broadcast(spark, SF_SMALL))
+    assert "FullOuter" not in p and "BroadcastHashJoin" in p
