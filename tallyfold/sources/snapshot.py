@@ -40,7 +40,8 @@ def _version_dir(version: int) -> str:
 
 def _commits(spark: SparkSession, root: str) -> DataFrame | None:
     try:
-        return spark.read.schema(_COMMIT_DDL).json(f"{root}/_commits")
+        # A record removed by a concurrent expiry is skipped, not an error.
+        return spark.read.schema(_COMMIT_DDL).option("ignoreMissingFiles", "true").json(f"{root}/_commits")
     except AnalysisException:
         return None
 
@@ -125,6 +126,35 @@ def pending_deltas(spark: SparkSession, root: str) -> int:
     return len(_live_versions(spark, root)[1])
 
 
+def expire_versions(spark: SparkSession, root: str, retain_bases: int = 2) -> list[int]:
+    """Delete versions older than the ``retain_bases``-th newest base: their data
+    folders and their commit records. Returns the expired versions.
+
+    Everything from that base on stays, so current readers and the replay check
+    (which needs only the newest commit) are unaffected. Deletes go through the
+    Hadoop FileSystem of the state root, the same shared store the data is on.
+    """
+    if retain_bases < 1:
+        raise ValueError("retain_bases must be at least 1")
+    commits = _commits(spark, root)
+    if commits is None:
+        return []
+    bases = [r.version for r in commits.filter(F.col("kind") == BASE).select("version")
+             .orderBy(F.col("version").desc()).limit(retain_bases).collect()]
+    if len(bases) < retain_bases:
+        return []
+    oldest_kept = min(bases)
+    old = commits.filter(F.col("version") < oldest_kept).select("version", "kind").collect()
+    jvm = spark.sparkContext._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in sorted(old, key=lambda r: r.version):
+        folder = "data" if r.kind == BASE else "delta"
+        fs.delete(fs_path(f"{root}/{folder}/{_version_dir(r.version)}"), True)
+        fs.delete(fs_path(f"{root}/_commits/{_version_dir(r.version)}"), True)
+    return sorted(r.version for r in old)
+
+
 def compact(spark: SparkSession, root: str) -> int:
     """Fold the newest base and its deltas into a new base (keeps the last batch id)."""
     last = latest_commit(spark, root)

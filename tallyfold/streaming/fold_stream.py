@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tallyfold.model import KEY, STATE_COLUMNS
 from tallyfold.operators.fold import fold_updates, last_by_seq, null_propagating_sum
 from tallyfold.operators.running import running_result
-from tallyfold.sources.snapshot import compact, latest_commit, pending_deltas, publish_delta, read_state
+from tallyfold.sources.snapshot import compact, expire_versions, latest_commit, pending_deltas, publish_delta, read_state
 
 
 def stream_fold(updates: DataFrame) -> DataFrame:
@@ -52,6 +52,8 @@ def stream_report(updates: DataFrame, every: str, ts: str = "ts", watermark: str
 
 # Deltas a reader may have to fold before the stream compacts them into a base.
 DEFAULT_COMPACT_EVERY = 16
+# Bases (with the deltas after them) kept when older versions are expired.
+DEFAULT_RETAIN_BASES = 2
 
 
 def apply_batch(
@@ -60,12 +62,15 @@ def apply_batch(
     state_root: str,
     results_root: str | None = None,
     compact_every: int = DEFAULT_COMPACT_EVERY,
+    retain_bases: int | None = DEFAULT_RETAIN_BASES,
 ) -> bool:
     """Commit one micro-batch into the state table; False if it was already applied.
 
     The batch is folded (partial aggregation) and committed as a delta: the write
     is proportional to the batch, not to the state. Every ``compact_every`` deltas
-    the state is compacted into a new base, which bounds the work of readers.
+    the state is compacted into a new base, which bounds the work of readers; then
+    versions older than the ``retain_bases``-th newest base are deleted (None keeps
+    everything), which bounds storage and the commit log.
     """
     spark = batch.sparkSession
     last = latest_commit(spark, state_root)
@@ -83,6 +88,8 @@ def apply_batch(
         batch.unpersist()
     if pending_deltas(spark, state_root) >= compact_every:
         compact(spark, state_root)
+        if retain_bases is not None:
+            expire_versions(spark, state_root, retain_bases)
     return True
 
 

@@ -68,7 +68,8 @@ def test_deltas_compact_into_a_base(spark, scratch):
     src, root, ck = scratch("src"), scratch("state"), scratch("ck")
     _write_parts(spark, src, [(0, 30), (30, 60), (60, 90), (90, 120), (120, 150)])
     stream = spark.readStream.schema(UPDATE_DDL).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (stream.writeStream.foreachBatch(lambda df, bid: fold_stream.apply_batch(df, bid, root, compact_every=2))
+    q = (stream.writeStream.foreachBatch(
+        lambda df, bid: fold_stream.apply_batch(df, bid, root, compact_every=2, retain_bases=None))
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
     commits = spark.read.json(f"{root}/_commits")
@@ -103,3 +104,19 @@ def test_stream_report_windows(spark, scratch):
     final = dedup.keep_last(emitted, ["window_start", "id", "type"], "seq").drop("seq")
     batch = report.report_fold(spark.read.parquet(src), "1 day")
     assert rows(final) == rows(batch.select(*final.columns))
+
+
+def test_expiry_keeps_state_and_replay_check(spark, scratch):
+    src, root, ck = scratch("src"), scratch("state"), scratch("ck")
+    _write_parts(spark, src, [(i * 20, i * 20 + 20) for i in range(7)])
+    stream = spark.readStream.schema(UPDATE_DDL).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (stream.writeStream.foreachBatch(
+        lambda df, bid: fold_stream.apply_batch(df, bid, root, compact_every=2, retain_bases=1))
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    versions = sorted((r.version, r.kind) for r in spark.read.json(f"{root}/_commits").collect())
+    # Only the newest base and what follows it remain.
+    assert versions[0][1] == "base" and [k for _, k in versions].count("base") == 1
+    expected = rows(fold.fold_updates(spark.read.parquet(src)).select(*STATE_COLUMNS))
+    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == expected
+    assert fold_stream.apply_batch(_updates(spark, 0, 20), 6, root) is False
