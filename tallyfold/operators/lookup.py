@@ -1,10 +1,11 @@
 """Lookups against metric state: point (P1), value text (P2) and bulk.
 
-Bulk lookups are a ``left`` join on (id, type). We do not force a strategy:
-AQE sees the runtime size of the state side and broadcasts it only when it is
-under ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a
-sort-merge join whose skewed request partitions (many requests for one hot key)
-AQE splits.
+Bulk lookups are a ``left`` join on (id, type). By default we do not force a
+strategy: AQE sees the runtime size of the state side and broadcasts it only when
+it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays
+a sort-merge join whose skewed request partitions (many requests for one hot key)
+AQE splits. With ``broadcast_max_requests`` a request batch proven small by a
+bounded count is broadcast instead, and the (large) state is only streamed.
 """
 
 from __future__ import annotations

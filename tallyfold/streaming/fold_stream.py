@@ -1,12 +1,13 @@
-"""Continuous metric folds on Structured Streaming.
+"""Continuous metric folds on Structured Streaming.
 
-Two forms:
+``stream_report`` is the live report window (T2). The fold comes in two forms:
 
 * ``stream_fold``: the fold as a streaming aggregation (``outputMode("update")``);
   Spark keeps per-key state in its state store and checkpoints it.
 * ``start_state_stream``: a stateless stream whose ``foreachBatch`` folds each
   micro-batch and commits it as a delta of the versioned state table
-  (``tallyfold.sources.snapshot``; merge-on-read with periodic compaction),
+  (``tallyfold.sources.snapshot``; merge-on-read with periodic compaction and
+  expiry of superseded versions),
   optionally writing the per-update results (W1) of that batch too.
   The commit record of every version holds the micro-batch id, so a batch
   replayed after a failure (committed, but not yet marked done in the stream
@@ -18,9 +19,8 @@ Two forms:
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
-
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tallyfold.model import KEY, STATE_COLUMNS
 from tallyfold.operators.fold import fold_updates, last_by_seq, null_propagating_sum
