@@ -205,3 +205,9 @@ def type_conflicts(updates: DataFrame, seq: str = "seq") -> DataFrame:
         "n_counter",
         "n_gauge",
     )
+
+
+def duplicate_keys(state: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """Key uniqueness is a check, not a Spark constraint: the keys that occur
+    more than once, with their row count (empty for a valid state)."""
+    return state.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)

@@ -137,3 +137,9 @@ def test_overflow_modes(spark):
         fold.fold_updates(wrap, overflow="final").collect()
     p = fold.fold_updates(u, overflow="final")._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in p and "SortAggregate" not in p
+
+
+def test_duplicate_keys_check(spark):
+    u = upd(spark, [(1, "a", "counter", 1, None), (2, "a", "counter", 2, None), (3, "b", "gauge", None, 1.0)])
+    assert fold.duplicate_keys(fold.fold_updates(u)).count() == 0
+    assert rows(fold.duplicate_keys(u), "id", "rows") == [("a", 2)]

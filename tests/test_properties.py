@@ -68,3 +68,23 @@ def test_float_text_is_shortest_plain(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
     got = [r[0] for r in df.select(text.format_float("v")).collect()]
     assert got == [go_format(v) for v in values]
+
+
+DECIMAL_LITERAL = r"[+-]?([0-9]{1,25}(\.[0-9]{0,25})?|\.[0-9]{1,25})([eE][+-]?[0-9]{1,3})?"
+HEX_LITERAL = r"[+-]?0[xX][0-9a-fA-F]{1,15}(\.[0-9a-fA-F]{0,8})?[pP][+-]?[0-9]{1,3}"
+
+
+def python_parse(t: str):
+    v = float.fromhex(t) if "x" in t.lower() else float(t)
+    return None if math.isinf(v) else v
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.from_regex(DECIMAL_LITERAL, fullmatch=True), st.from_regex(HEX_LITERAL, fullmatch=True)),
+                min_size=1, max_size=60))
+def test_float_parse_matches_correct_rounding(spark, texts):
+    from tallyfold.functions import parse
+
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = [r[0] for r in df.select(parse.parse_float("t")).collect()]
+    assert got == [python_parse(t) for t in texts]
