@@ -22,15 +22,18 @@ HEADLINE = [
     "metric_state",
     "accepted_state",
     "upsert_merge",
+    "upsert_merge_union",
     "running_result",
     "running_seeded",
     "keep_last",
     "lookup_bulk",
+    "lookup_bulk_broadcast",
     "report_window",
     "latest_sample_wide",
     "wide_to_long",
     "path_ingest",
     "json_batch_ingest",
+    "signed_pipeline_state",
     "hmac_check",
     "gauge_text",
 ]

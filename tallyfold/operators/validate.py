@@ -31,8 +31,8 @@ from tallyfold.model import (
 )
 
 
-def _checks(rule: str) -> list[tuple[Column, str]]:
-    id_, type_ = F.col("id"), F.col("type")
+def _checks(rule: str, m) -> list[tuple[Column, str]]:
+    id_, type_ = m("id"), m("type")
     if rule == RULE_ID:
         return [(id_.isNull() | (id_ == ""), ERR_EMPTY_ID)]
     if rule == RULE_TYPE:
@@ -41,16 +41,19 @@ def _checks(rule: str) -> list[tuple[Column, str]]:
             (~type_.isin(*METRIC_TYPES), ERR_INVALID_TYPE),
         ]
     if rule == RULE_VALUE:
-        return [(F.col("value").isNull() & F.col("delta").isNull(), ERR_NO_VALUE)]
+        return [(m("value").isNull() & m("delta").isNull(), ERR_NO_VALUE)]
     raise ValueError(f"unknown field for validation: {rule!r}")
 
 
-def validation_error(rules: Sequence[str] = DEFAULT_RULES) -> Column:
+def validation_error(rules: Sequence[str] = DEFAULT_RULES, metric: Column | None = None) -> Column:
     """First failing rule, checked in the given order; NULL when valid.
 
-    An unknown rule name raises on the driver before any job runs.
+    Checks the row's ``id, type, delta, value`` columns, or the fields of the
+    struct ``metric`` (e.g. an array element inside ``transform``). An unknown
+    rule name raises on the driver before any job runs.
     """
-    checks = [c for rule in (rules or DEFAULT_RULES) for c in _checks(rule)]
+    m = F.col if metric is None else (lambda name: metric[name])
+    checks = [c for rule in (rules or DEFAULT_RULES) for c in _checks(rule, m)]
     expr = None
     for cond, message in checks:
         expr = F.when(cond, F.lit(message)) if expr is None else expr.when(cond, F.lit(message))

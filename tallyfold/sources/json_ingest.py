@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.text import metric_json
 from tallyfold.model import ERR_BAD_JSON, METRIC_ARRAY_DDL, METRIC_STRUCT_DDL
-from tallyfold.operators.validate import BATCH_UPDATE, accept_batches, status_code, validate
+from tallyfold.operators.validate import BATCH_UPDATE, status_code, validation_error
 
 # The metric's JSON field names.
 FIELD_NAMES = ("id", "type", "delta", "value", "hash")
@@ -91,23 +91,27 @@ def decode_single_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def first_record_error(metrics: str | Column = "metrics") -> Column:
+    """P3 inside a body: the error of the first invalid record of the array (NULL if
+    all are valid), computed on the array itself; no explode, no join."""
+    arr = F.col(metrics) if isinstance(metrics, str) else metrics
+    errors = F.transform(arr, lambda m: validation_error(metric=m))
+    return F.try_element_at(F.filter(errors, lambda e: e.isNotNull()), F.lit(1))
+
+
 def batch_outcomes(decoded: DataFrame, batch: str = "batch_id") -> DataFrame:
     """P5 + P7 per request body: the first error (decode error, else the first invalid
-    record by position) and the status. One row per body; nothing is collected."""
-    rows = validate(explode_batches(decoded, [batch]))
-    first_bad = (
-        rows.filter(F.col("error").isNotNull())
-        .groupBy(batch)
-        .agg(F.min_by("error", "pos").alias("_row_error"))
-    )
-    out = decoded.select(batch, "decode_error").join(first_bad, batch, "left")
-    error = F.coalesce(F.col("decode_error"), F.col("_row_error"))
-    return out.select(batch, error.alias("error"), status_code(BATCH_UPDATE, error).alias("status"))
+    record by position) and the status. A body is one row, so all-or-nothing is a
+    row-level predicate: no explode, no join, nothing collected."""
+    error = F.coalesce(F.col("decode_error"), first_record_error("metrics"))
+    return decoded.select(batch, error.alias("error"), status_code(BATCH_UPDATE, error).alias("status"))
 
 
 def accepted_updates(decoded: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """S1 -> P3 -> P5: the metric rows of bodies that decode and hold only valid records."""
-    return accept_batches(validate(explode_batches(decoded, [batch])), batch)
+    """S1 -> P3 -> P5: the metric rows of bodies that decode and hold only valid
+    records. Bodies are judged whole, before exploding, in one pass."""
+    ok = F.col("decode_error").isNull() & first_record_error("metrics").isNull()
+    return explode_batches(decoded.filter(ok), [batch])
 
 
 def batch_bodies(rows: DataFrame, batch: str = "batch_id", pos: str = "pos") -> DataFrame:
