@@ -145,3 +145,16 @@ def test_small_lookup_broadcasts_requests(spark):
     assert "BroadcastHashJoin" in plan and "LeftOuter" not in plan
     assert rows(lookup.lookup(req, state, broadcast_max_requests=10).select("request_id", "found", "delta")) == rows(
         lookup.lookup(req, state).select("request_id", "found", "delta"))
+
+
+def test_first_record_error_order_and_null_elements(spark):
+    bodies = [
+        (1, '[{"id":"a","type":"counter","delta":1},{"id":"","type":"gauge","value":1},{"id":"b","type":"x","delta":1}]'),
+        (2, '[null]'),
+        (3, '[]'),
+        (4, '[{"id":"a","type":"gauge"}]'),
+    ]
+    dec = json_ingest.decode_batch_bodies(spark.createDataFrame(bodies, "batch_id BIGINT, body STRING"))
+    out = dict(rows(json_ingest.batch_outcomes(dec), "batch_id", "error"))
+    assert out == {1: "metric name (id) is empty", 2: "metric name (id) is empty", 3: None, 4: "metric has no value"}
+    assert json_ingest.accepted_updates(dec).count() == 0
