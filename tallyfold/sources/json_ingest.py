@@ -7,8 +7,9 @@ JSON types of the whole body, and a strict check runs on them: ``"delta": 1.5``
 alone would silently turn them into NULLs). Any mismatch rejects the whole body,
 as a decode error does. Only then is the variant cast to the metric type.
 Field names match case-insensitively (``"ID"`` is ``id``), as the reference's
-decoder does. A body with a duplicated key is rejected (the reference keeps the
-last one).
+decoder does. A body with a duplicated key is rejected by default; with the
+session setting ``spark.sql.variant.allowDuplicateKeys=true`` the last copy wins,
+as in the reference (the library does not change session settings itself).
 """
 
 from __future__ import annotations

@@ -158,3 +158,19 @@ def test_first_record_error_order_and_null_elements(spark):
     out = dict(rows(json_ingest.batch_outcomes(dec), "batch_id", "error"))
     assert out == {1: "metric name (id) is empty", 2: "metric name (id) is empty", 3: None, 4: "metric has no value"}
     assert json_ingest.accepted_updates(dec).count() == 0
+
+
+def test_duplicate_keys_follow_the_session_setting(spark):
+    df = spark.createDataFrame([(1, '[{"id":"a","type":"counter","delta":1,"delta":7}]')], "batch_id BIGINT, body STRING")
+    assert json_ingest.explode_batches(json_ingest.decode_batch_bodies(df), ["batch_id"]).count() == 0
+    key = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        got = rows(json_ingest.explode_batches(json_ingest.decode_batch_bodies(df), ["batch_id"]), "id", "delta")
+        assert got == [("a", 7)]
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
