@@ -55,7 +55,6 @@ METRIC_SCHEMA = T.StructType(
         T.StructField("hash", T.StringType(), True),
     ]
 )
-METRIC_DDL = "id STRING, type STRING, delta BIGINT, value DOUBLE, hash STRING"
 METRIC_STRUCT_DDL = "STRUCT<id: STRING, type: STRING, delta: BIGINT, value: DOUBLE, hash: STRING>"
 METRIC_ARRAY_DDL = f"ARRAY<{METRIC_STRUCT_DDL}>"
 

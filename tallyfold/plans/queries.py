@@ -357,7 +357,7 @@ def q_gzip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The updates written as gzip JSON lines and read back (unset fields omitted)."""
     path = scratch_path(spark, "gzip")
     json_ingest.write_update_files(_updates(spark, sf_dir), path, "gzip")
-    return spark.read.schema("id STRING, type STRING, delta BIGINT, value DOUBLE").json(path)
+    return json_ingest.read_update_lines(spark, path).select(*STATE_COLUMNS)
 
 
 def q_stream_fold_update(spark: SparkSession, sf_dir: str) -> DataFrame:

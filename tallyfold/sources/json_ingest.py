@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import metric_json
-from tallyfold.model import ERR_BAD_JSON, METRIC_ARRAY_DDL, METRIC_STRUCT_DDL
+from tallyfold.model import ERR_BAD_JSON, METRIC_ARRAY_DDL, METRIC_SCHEMA, METRIC_STRUCT_DDL
 from tallyfold.operators.validate import BATCH_UPDATE, status_code, validation_error
 
 # The metric's JSON field names.
@@ -140,6 +140,12 @@ def read_update_files(spark: SparkSession, path: str) -> DataFrame:
     return decode_batch_bodies(bodies)
 
 
+def read_update_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Metric rows from JSON-lines files (``.json.gz`` is decompressed by the
+    reader; gzip files are not splittable, so many medium files parallelise best)."""
+    return spark.read.schema(METRIC_SCHEMA).json(path)
+
+
 def write_update_files(rows: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write metric rows as (gzip) JSON lines, unset fields omitted."""
     rows.select("id", "type", "delta", "value").write.mode("errorifexists").option(
