@@ -147,3 +147,23 @@ def test_stream_report_append_with_watermark(spark, scratch):
     assert got and len({r[0] for r in got}) == len(got) // 3
     assert set(got) <= set(rows(batch.select(*emitted.columns)))
     assert "2024-01-04 00:00:00" not in {r[0] for r in got}
+
+
+def test_crash_between_write_and_commit(spark, scratch):
+    """A delta whose data was written but whose commit record was not (the writer
+    died in between) is invisible, and the replayed batch overwrites it once."""
+    root = scratch("state")
+    first = _updates(spark, 0, 40)
+    assert fold_stream.apply_batch(first, 0, root)
+    second = _updates(spark, 40, 80)
+    # Simulate the crash: the next version's data folder exists, no commit record.
+    version = snapshot.latest_commit(spark, root).version + 1
+    fold.fold_updates(second).write.parquet(f"{root}/delta/v={version:020d}")
+    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == rows(
+        fold.fold_updates(first).select(*STATE_COLUMNS))
+    # The replay of batch 1 commits it exactly once.
+    assert fold_stream.apply_batch(second, 1, root)
+    assert fold_stream.apply_batch(second, 1, root) is False
+    both = first.unionByName(second)
+    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == rows(
+        fold.fold_updates(both).select(*STATE_COLUMNS))
