@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.model import KEY, STATE_COLUMNS, STATE_SCHEMA
 from tallyfold.operators.dedup import keep_last
-from tallyfold.operators.fold import fold_states
+from tallyfold.operators.fold import fold_states, merge_folded_broadcast
 
 _COMMIT_DDL = "version BIGINT, batch_id BIGINT, kind STRING"
 STATE_WITH_SEQ_DDL = "id STRING, type STRING, delta BIGINT, value DOUBLE, seq BIGINT"
@@ -70,17 +70,30 @@ def _live_versions(spark: SparkSession, root: str) -> tuple[int | None, list[int
     return base, sorted(r.version for r in after.select("version").collect())
 
 
-def read_state(spark: SparkSession, root: str) -> DataFrame:
-    """The newest committed state (``id, type, delta, value, seq``); empty if none."""
+# Pending deltas folding to at most this many keys are merged into the base by
+# broadcast, so reading the state does not shuffle the base.
+DEFAULT_BROADCAST_MAX_KEYS = 2_000_000
+
+
+def read_state(spark: SparkSession, root: str, broadcast_max_keys: int | None = DEFAULT_BROADCAST_MAX_KEYS) -> DataFrame:
+    """The newest committed state (``id, type, delta, value, seq``); empty if none.
+
+    With deltas pending, they are folded (small) and merged into the base: by
+    broadcast when a bounded count proves them small (the base is only streamed),
+    otherwise by one aggregate over base and deltas.
+    """
     base, deltas = _live_versions(spark, root)
-    parts = []
-    if base is not None:
-        parts.append(f"{root}/data/{_version_dir(base)}")
-    parts += [f"{root}/delta/{_version_dir(v)}" for v in deltas]
-    if not parts:
-        return spark.createDataFrame([], STATE_WITH_SEQ_DDL)
-    rows = spark.read.schema(STATE_WITH_SEQ_DDL).parquet(*parts)
-    return rows if not deltas else fold_states(rows).select(*STATE_COLUMNS, "seq")
+    reader = spark.read.schema(STATE_WITH_SEQ_DDL)
+    base_df = reader.parquet(f"{root}/data/{_version_dir(base)}") if base is not None else None
+    if not deltas:
+        return base_df if base_df is not None else spark.createDataFrame([], STATE_WITH_SEQ_DDL)
+    delta_rows = reader.parquet(*[f"{root}/delta/{_version_dir(v)}" for v in deltas])
+    if base_df is None:
+        return fold_states(delta_rows).select(*STATE_COLUMNS, "seq")
+    folded = fold_states(delta_rows)
+    if broadcast_max_keys is not None and folded.limit(broadcast_max_keys + 1).count() <= broadcast_max_keys:
+        return merge_folded_broadcast(base_df, folded).select(*STATE_COLUMNS, "seq")
+    return fold_states(base_df.unionByName(delta_rows)).select(*STATE_COLUMNS, "seq")
 
 
 def _with_seq(df: DataFrame) -> DataFrame:

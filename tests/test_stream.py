@@ -167,3 +167,16 @@ def test_crash_between_write_and_commit(spark, scratch):
     both = first.unionByName(second)
     assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == rows(
         fold.fold_updates(both).select(*STATE_COLUMNS))
+
+
+def test_read_state_merges_small_deltas_by_broadcast(spark, scratch):
+    root = scratch("state")
+    first, second = _updates(spark, 0, 40), _updates(spark, 40, 80)
+    snapshot.publish_state(spark, fold.fold_updates(first), root, batch_id=0)
+    snapshot.publish_delta(spark, fold.fold_updates(second), root, batch_id=1)
+    expected = rows(fold.fold_updates(first.unionByName(second)).select(*STATE_COLUMNS))
+    small = snapshot.read_state(spark, root)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert rows(small.select(*STATE_COLUMNS)) == expected
+    big = snapshot.read_state(spark, root, broadcast_max_keys=1)
+    assert rows(big.select(*STATE_COLUMNS)) == expected
