@@ -135,7 +135,9 @@ def round_half_even_text(value: str | Column) -> Column:
     a = F.abs(v)
     rounded = F.format_string("%.0f", F.bround(v, 0))
     return (
-        F.when(F.isnan(v) | (a == F.lit(float("inf"))), format_float(v))
+        F.when(F.isnan(v), F.lit(NAN_TEXT))
+        .when(v == F.lit(float("inf")), F.lit(POS_INF_TEXT))
+        .when(v == F.lit(float("-inf")), F.lit(NEG_INF_TEXT))
         .when((a >= F.lit(_NATIVE_MAX)) & (a < F.lit(float(2**63))), v.cast("bigint").cast("string"))
         .when((v < 0) & (F.bround(v, 0) == 0), F.lit("-0"))
         .otherwise(rounded)

@@ -48,3 +48,7 @@ def test_keep_last_is_partial_aggregate(spark):
 def test_small_batch_merge_does_not_shuffle_state_for_the_join(spark):
     p = plan(q.q_upsert_merge_broadcast(spark, SF_SMALL))
     assert "FullOuter" not in p and "BroadcastHashJoin" in p
+
+
+def test_debug_text_stays_in_the_jvm(spark):
+    assert "EvalPython" not in plan(q.q_debug_text(spark, SF_SMALL))
