@@ -268,6 +268,20 @@ SELECT request_id, id, type, coalesce(found, false) AS found,
        CASE WHEN error IS NULL THEN 200 WHEN error = 'invalid JSON was passed' THEN 400 ELSE 404 END AS status
 FROM e"""
 
+AGENT_REPORTS = f"""long AS ({lineitem_long_sql("window_start, ts, seq")}),
+newest AS (
+  SELECT w.* FROM long w
+  JOIN (SELECT window_start, max(ts) AS mts FROM long GROUP BY window_start) m
+    ON w.window_start = m.window_start AND w.ts = m.mts),
+last AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY window_start, id ORDER BY seq DESC) AS rn FROM newest) x
+  WHERE rn = 1),
+bodies AS (
+  SELECT window_start, '[' || string_agg({METRIC_JSON_SQL}, ',' ORDER BY id) || ']' AS body
+  FROM last GROUP BY window_start)
+SELECT window_start, body, {hmac_sql('body')} AS signature FROM bodies"""
+
 _RETRY = ", ".join(f"'{c}'" for c in RETRYABLE_SQLSTATES)
 _N_CODES = len(SQLSTATE_CODES)
 
@@ -323,6 +337,7 @@ FROM updates GROUP BY {DAY_WINDOW}""",
     "latest_sample_wide": with_more(
         LI_WINDOWED, "long AS (" + lineitem_long_sql("window_start, ts, seq") + ")", tail=newest_last_sql("long")
     ),
+    "agent_reports": with_more(LI_WINDOWED, tail=AGENT_REPORTS),
     "wide_to_long": with_("li AS (SELECT * FROM lineitem)") + lineitem_long_sql("l_orderkey, l_linenumber"),
     "cpu_explode": """SELECT vec_id, 'CPUutilization' || CAST(pos AS VARCHAR) AS id, 'gauge' AS type, CAST(v AS DOUBLE) AS value
 FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings) x""",

@@ -170,9 +170,7 @@ def _lineitem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def q_latest_sample_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6 on wide samples: pick the newest samples per window on the wide rows, then
-    unpivot only those (the unpivot multiplies rows; the filter comes first)."""
+def _latest_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = tables.table(spark, sf_dir, "lineitem").select(
         report.window_start("l_shipdate", LINEITEM_REPORT_EVERY).alias("window_start"),
         F.col("l_shipdate").alias("ts"),
@@ -182,8 +180,21 @@ def q_latest_sample_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     newest = dedup.newest_sample_rows(li, "window_start", "ts")
     long = samples.wide_to_long(newest, ["window_start", "seq"], LINEITEM_GAUGES, LINEITEM_COUNTERS)
-    last = dedup.keep_last(long, ["window_start", "id"], "seq")
-    return last.withColumn("window_start", report.window_text())
+    return dedup.keep_last(long, ["window_start", "id"], "seq")
+
+
+def q_latest_sample_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 on wide samples: pick the newest samples per window on the wide rows, then
+    unpivot only those (the unpivot multiplies rows; the filter comes first)."""
+    return _latest_wide(spark, sf_dir).withColumn("window_start", report.window_text())
+
+
+def q_agent_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agent's report path: per report window the latest sample's metrics
+    (S10 + A6) as one JSON array body (F7, ordered by id) and its signature (F8)."""
+    last = _latest_wide(spark, sf_dir).withColumn("window_start", report.window_text())
+    bodies = json_ingest.batch_bodies(last, batch="window_start", pos="id")
+    return bodies.select("window_start", "body", sign.hmac_sha256_hex("body", upd.SIGNING_KEY).alias("signature"))
 
 
 def q_wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,6 +441,7 @@ QUERIES: dict[str, Query] = {
     "report_polls": q_report_polls,
     "latest_sample": q_latest_sample,
     "latest_sample_wide": q_latest_sample_wide,
+    "agent_reports": q_agent_reports,
     "wide_to_long": q_wide_to_long,
     "cpu_explode": q_cpu_explode,
     "hmac_sign": q_hmac_sign,
