@@ -375,9 +375,7 @@ def q_stream_fold_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold as a streaming aggregation in update mode (Spark's state store);
     every micro-batch's changed rows are appended to parquet, the last per key wins."""
     root = scratch_path(spark, "stream-agg")
-    u = _updates(spark, sf_dir).select(*UPDATE_COLUMNS)
-    u.repartitionByRange(4, "seq").write.parquet(f"{root}/source")
-    stream = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
+    stream = _stream_source(spark, sf_dir, root)
     out = f"{root}/emitted"
     q = (
         fold_stream.stream_fold(stream)
@@ -407,13 +405,22 @@ def q_snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.restore_state(spark, path)
 
 
+def _stream_source(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """The updates as files in a folder, read back as a stream in about four
+    micro-batches. One file per shuffle partition (range-partitioned by seq), so
+    the write is as parallel as the session and no task carries a fixed share."""
+    u = _updates(spark, sf_dir).select(*UPDATE_COLUMNS)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    u.repartitionByRange(n, "seq").write.parquet(f"{root}/source")
+    per_batch = max(1, -(-n // 4))
+    return spark.readStream.schema(u.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{root}/source")
+
+
 def q_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The updates arrive as 4 files, one micro-batch each, folded into the
-    versioned state table by the upsert stream; the result is the final state."""
+    """The updates arrive as files over about four micro-batches, folded into
+    the versioned state table by the stream sink; the result is the final state."""
     root = scratch_path(spark, "stream")
-    u = _updates(spark, sf_dir).select(*UPDATE_COLUMNS)
-    u.repartitionByRange(4, "seq").write.parquet(f"{root}/source")
-    stream = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
+    stream = _stream_source(spark, sf_dir, root)
     q = fold_stream.start_state_stream(stream, f"{root}/state", f"{root}/checkpoint", {"availableNow": True})
     q.awaitTermination()
     return snapshot.read_state(spark, f"{root}/state").select(*STATE_COLUMNS)
