@@ -61,14 +61,17 @@ def _after(df: DataFrame) -> DataFrame:
 
 
 def q_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates derived from events (the fixture every other query builds on)."""
     return _updates(spark, sf_dir).select(*UPDATE_COLUMNS)
 
 
 def q_metric_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + A2 + A3: the fold of all clean updates."""
     return fold.fold_updates(_updates(spark, sf_dir)).select(*STATE_COLUMNS)
 
 
 def q_metric_state_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 + A1 + A2 + A3 on the dirty updates (NULL deltas and NULL last values)."""
     return fold.fold_updates(_gated(spark, sf_dir)).select(*STATE_COLUMNS)
 
 
@@ -78,6 +81,7 @@ def q_accepted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of the earlier half merged with the later half (shuffled full outer join)."""
     u = _updates(spark, sf_dir)
     state = fold.fold_updates(_before(u))
     return fold.upsert(state, _after(u)).select(*STATE_COLUMNS)
@@ -98,40 +102,48 @@ def q_upsert_merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_upsert_merge_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 on the dirty updates (NULL propagation across the merge)."""
     g = _gated(spark, sf_dir)
     state = fold.fold_updates(_before(g))
     return fold.upsert(state, _after(g)).select(*STATE_COLUMNS)
 
 
 def q_running_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row as it stands after each update (skew-safe bucketed window)."""
     return running.running_result(_gated(spark, sf_dir))
 
 
 def q_running_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 seeded with the prior state (the state before the later half)."""
     g = _gated(spark, sf_dir)
     state = fold.fold_updates(_before(g))
     return running.running_result(_after(g), state=state)
 
 
 def q_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written with both types and the type of their first write."""
     return fold.type_conflicts(_gated(spark, sf_dir))
 
 
 def q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first failing rule of every update."""
     return _validated(spark, sf_dir).select("seq", "batch_id", "pos", "id", "type", "error")
 
 
 def q_validate_key_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the id and type rules, in that order."""
     return validate.validate(_dirty(spark, sf_dir), ["id", "type"]).select("seq", "error")
 
 
 def q_batch_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: rows of batches without any invalid record."""
     return validate.accept_batches(_validated(spark, sf_dir)).select(
         "seq", "batch_id", "pos", "id", "type", "delta", "value"
     )
 
 
 def q_batch_first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 report: first error and number of bad rows per rejected batch."""
     return validate.first_errors(_validated(spark, sf_dir))
 
 
@@ -142,19 +154,23 @@ def q_json_update_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last row per (batch, id)."""
     d = _dirty(spark, sf_dir).select("batch_id", "id", "seq", "type", "delta", "value")
     return dedup.keep_last(d, ["batch_id", "id"], "seq")
 
 
 def q_report_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 + A5: per daily report window and metric, polls and the folded metric."""
     return report.report_fold(_updates(spark, sf_dir), EVENT_REPORT_EVERY)
 
 
 def q_report_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: the PollCount counter per report window."""
     return report.poll_counts(_updates(spark, sf_dir), EVENT_REPORT_EVERY)
 
 
 def q_latest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest sample of each daily window, last row per id."""
     u = report.with_report_window(_updates(spark, sf_dir), EVENT_REPORT_EVERY)
     last = dedup.latest_sample(u.select("window_start", "ts", "seq", *STATE_COLUMNS), "window_start")
     return last.drop("ts").withColumn("window_start", report.window_text())
@@ -198,29 +214,35 @@ def q_agent_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem rows as samples, one metric row per column."""
     return _lineitem_samples(spark, sf_dir).drop("l_shipdate")
 
 
 def q_cpu_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding arrays as CPUutilization{i} gauges."""
     return samples.indexed_gauges(tables.table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding")
 
 
 def q_hmac_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: HMAC-SHA256 of every event's props."""
     ev = tables.table(spark, sf_dir, "events")
     return ev.select("event_id", sign.hmac_sha256_hex("props", upd.SIGNING_KEY).alias("signature"))
 
 
 def q_hmac_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature check with correct, wrong and empty signatures."""
     req = upd.signed_requests(tables.table(spark, sf_dir, "events"))
     return req.select("event_id", sign.signature_ok("body", "signature", upd.SIGNING_KEY).alias("accepted"))
 
 
 def q_parse_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 + F2: strict int/float parsing of the path-form value texts."""
     t = upd.path_texts(_dirty(spark, sf_dir))
     return t.select("seq", "text", parse.parse_int("text").alias("as_int"), parse.parse_float("text").alias("as_float"))
 
 
 def q_path_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + P7: path-form updates to typed rows with status codes."""
     return path_ingest.ingest_paths(upd.path_requests(_dirty(spark, sf_dir)))
 
 
@@ -233,6 +255,7 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lookup_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 + P2 + P7: value text and status for every lookup request (shuffled join)."""
     return lookup.value_lookup(_requests(spark, sf_dir), _state(spark, sf_dir))
 
 
@@ -266,37 +289,45 @@ def q_json_lookup_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lookup_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 JSON lookup: the found metric as JSON and the status."""
     return lookup.json_lookup(_requests(spark, sf_dir), _state(spark, sf_dir))
 
 
 def q_lookup_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose key is not in the state."""
     return lookup.lookup_misses(_requests(spark, sf_dir), _state(spark, sf_dir))
 
 
 def q_lookup_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key's state row."""
     return lookup.lookup_one(_state(spark, sf_dir), LOOKUP_ID, LOOKUP_TYPE)
 
 
 def q_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing line of every metric."""
     return report.listing(_state(spark, sf_dir))
 
 
 def q_metric_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: number of metrics."""
     return report.metric_count(_state(spark, sf_dir))
 
 
 def q_path_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path-form export of the dirty state, with errors."""
     st = fold.fold_updates(_gated(spark, sf_dir)).select(*STATE_COLUMNS)
     path, error = report.export_path()
     return st.select("id", "type", path.alias("path"), error.alias("error"))
 
 
 def q_value_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 + F4 + F5: typed value text of the dirty state."""
     st = fold.fold_updates(_gated(spark, sf_dir)).select(*STATE_COLUMNS)
     return st.select("id", "type", text.value_text().alias("text"))
 
 
 def q_gauge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shortest float text of lineitem's double columns."""
     li = tables.table(spark, sf_dir, "lineitem")
     return li.select(
         *LINEITEM_IDS,
@@ -305,15 +336,18 @@ def q_gauge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_debug_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """debug text (half-even) of the state."""
     return _state(spark, sf_dir).select("id", "type", text.debug_text().alias("line"))
 
 
 def q_metric_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the dirty state as JSON text."""
     st = fold.fold_updates(_gated(spark, sf_dir)).select(*STATE_COLUMNS)
     return st.select("id", "type", text.metric_json().alias("json"))
 
 
 def q_json_single_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 + F9: single-metric JSON bodies (F7 output) decoded back."""
     d = _dirty(spark, sf_dir)
     bodies = d.select("seq", text.metric_json().alias("body"))
     dec = json_ingest.decode_single_bodies(bodies)
@@ -321,6 +355,7 @@ def q_json_single_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_json_batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + F9: per-batch JSON array bodies decoded back into rows."""
     bodies = json_ingest.batch_bodies(_dirty(spark, sf_dir))
     rows = json_ingest.explode_batches(json_ingest.decode_batch_bodies(bodies), ["batch_id"])
     return rows.select(
@@ -394,6 +429,7 @@ def q_stream_fold_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sqlstate_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """retryable or not for every error code."""
     s = upd.sqlstate_rows(tables.table(spark, sf_dir, "events"))
     return s.select("event_id", "sqlstate", errors.classify_sqlstate("sqlstate").alias("class"))
 
