@@ -446,7 +446,10 @@ def _stream_source(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     micro-batches. One file per shuffle partition (range-partitioned by seq), so
     the write is as parallel as the session and no task carries a fixed share."""
     u = _updates(spark, sf_dir).select(*UPDATE_COLUMNS)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except ValueError:  # a non-numeric setting: Spark's own default
+        n = 200
     u.repartitionByRange(n, "seq").write.parquet(f"{root}/source")
     per_batch = max(1, -(-n // 4))
     return spark.readStream.schema(u.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{root}/source")
