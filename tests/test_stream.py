@@ -97,13 +97,15 @@ def test_stream_report_windows(spark, scratch):
             .select("seq", F.col("ts").cast("timestamp").alias("ts"), "id", "type", "delta", "value") \
             .coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (fold_stream.stream_report(stream, "1 day").writeStream.outputMode("update").format("memory")
-         .queryName("report_out").option("checkpointLocation", scratch("ck")).start())
+    out = scratch("emitted")
+    q = (fold_stream.stream_report(stream, "1 day").writeStream.outputMode("update")
+         .foreachBatch(lambda df, bid: df.withColumn("batch_id", F.lit(bid)).write.mode("append").parquet(out))
+         .option("checkpointLocation", scratch("ck")).start())
     q.processAllAvailable()
     q.stop()
-    emitted = spark.table("report_out").select(report.window_text(F.col("window.start")).alias("window_start"),
-                                               "id", "type", "polls", "delta", "value", "seq")
-    final = dedup.keep_last(emitted, ["window_start", "id", "type"], "seq").drop("seq")
+    emitted = spark.read.parquet(out).select(report.window_text(F.col("window.start")).alias("window_start"),
+                                             "id", "type", "polls", "delta", "value", "batch_id")
+    final = dedup.keep_last(emitted, ["window_start", "id", "type"], "batch_id").drop("batch_id")
     batch = report.report_fold(spark.read.parquet(src), "1 day")
     assert rows(final) == rows(batch.select(*final.columns))
 
