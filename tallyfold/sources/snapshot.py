@@ -112,16 +112,23 @@ def _next_version(spark: SparkSession, root: str) -> int:
     return 1 if last is None else last.version + 1
 
 
-def publish_state(spark: SparkSession, state: DataFrame, root: str, batch_id: int | None = None) -> int:
+def publish_state(
+    spark: SparkSession, state: DataFrame, root: str, batch_id: int | None = None, cluster: bool = False
+) -> int:
     """Write ``state`` as a new base version, then commit it. Returns the version.
 
     The data folder of an uncommitted version may exist from a crashed attempt;
     it is overwritten. Committed versions are never touched. Rows are sorted by
-    key inside each file (keeping the fold's partitioning, no extra shuffle), so
-    row-group statistics prune a point lookup (P1) to about one row group per file.
+    key inside each file, so row-group statistics prune a point lookup (P1) to
+    about one row group per file. With ``cluster`` the rows are first
+    range-partitioned by key (one sampled shuffle), so each file holds a key range
+    and a point lookup skips whole files.
     """
     version = _next_version(spark, root)
-    _with_seq(state).sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{root}/data/{_version_dir(version)}")
+    out = _with_seq(state)
+    if cluster:
+        out = out.repartitionByRange(*KEY)
+    out.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{root}/data/{_version_dir(version)}")
     _commit(spark, root, version, batch_id, BASE)
     return version
 
@@ -169,9 +176,11 @@ def expire_versions(spark: SparkSession, root: str, retain_bases: int = 2) -> li
 
 
 def compact(spark: SparkSession, root: str) -> int:
-    """Fold the newest base and its deltas into a new base (keeps the last batch id)."""
+    """Fold the newest base and its deltas into a new, key-range-clustered base
+    (keeps the last batch id). Compaction rewrites the state anyway, so this is
+    where the range shuffle is paid."""
     last = latest_commit(spark, root)
-    return publish_state(spark, read_state(spark, root), root, None if last is None else last.batch_id)
+    return publish_state(spark, read_state(spark, root), root, None if last is None else last.batch_id, cluster=True)
 
 
 # Snapshot file formats: one JSON array per file (the reference's snapshot file)

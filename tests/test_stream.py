@@ -184,3 +184,20 @@ def test_read_state_merges_small_deltas_by_broadcast(spark, scratch):
     assert rows(small.select(*STATE_COLUMNS)) == expected
     big = snapshot.read_state(spark, root, broadcast_max_keys=1)
     assert rows(big.select(*STATE_COLUMNS)) == expected
+
+
+def test_compaction_clusters_files_by_key_range(spark, scratch):
+    root = scratch("state")
+    data = [(i, f"m{i % 50:02d}", "counter", 1, None) for i in range(400)]
+    u = spark.createDataFrame(data, UPDATE_DDL)
+    snapshot.publish_state(spark, fold.fold_updates(u.filter("seq < 200")), root, batch_id=0)
+    snapshot.publish_delta(spark, fold.fold_updates(u.filter("seq >= 200")), root, batch_id=1)
+    snapshot.compact(spark, root)
+    st = snapshot.read_state(spark, root)
+    assert rows(st.select(*STATE_COLUMNS)) == rows(fold.fold_updates(u).select(*STATE_COLUMNS))
+    # Each file of the compacted base holds a key range: ranges do not overlap.
+    ranges = sorted(
+        (r.lo, r.hi) for r in st.groupBy(F.col("_metadata.file_name")).agg(
+            F.min("id").alias("lo"), F.max("id").alias("hi")).collect()
+    )
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
