@@ -8,10 +8,10 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry
+from tallyfold.plans.oracle import ORACLE
+from tallyfold.plans.queries import QUERIES
 from tallyfold.sources.tables import TABLES
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
 
 
 def _norm(v):
@@ -45,6 +45,8 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):
