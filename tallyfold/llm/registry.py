@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tallyfold.llm import byte_bpe, token_files
+from tallyfold.llm import byte_bpe, near_dup, secrets, token_files, top_k
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op4_near_duplicates": near_dup.op4_near_duplicates,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op9_top_k": top_k.op9_top_k,
 }
 
 ORACLE: dict[str, str] = {}
