@@ -1,16 +1,51 @@
-"""The corpus pipeline: documents in, token digests of the documents kept out."""
+"""The corpus pipeline: documents in, token digests of the documents kept out.
+
+Each stage takes what its predecessor kept, written as Parquet and read again; all
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import byte_bpe
+from tallyfold.llm import byte_bpe, decontaminate, near_dup, quality, secrets
 from tallyfold.llm.common import documents, staged
 
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.kept_documents(docs, documents(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return near_dup.kept_documents(docs)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.decontaminated(docs, documents(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, live credentials replaced; n_chars follows the text."""
+    return secrets.redact(docs, length_col="n_chars")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of each document and back: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return byte_bpe.digests(docs)
+
+
 STAGES = [
-    ("byte_bpe", lambda spark, docs, sf_dir: byte_bpe.digests(docs)),
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each),
+    ("decontamination", clean_of_benchmark),
+    ("secrets", without_secrets),
+    ("byte_bpe", tokens),
 ]
 
+#: The classifier and the token library have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

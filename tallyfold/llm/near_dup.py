@@ -287,6 +287,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each class, the one with the smallest id; all columns stay.
+
+    Rows that repeat the id of a kept document stay, as the class is one of ids.
+    """
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept"))
+    gone = staged(gone.select(F.col("doc_id").alias("__id")).distinct(), "near-duplicates-gone")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of ``documents``."""
     return near_duplicates(documents(spark, sf_dir))

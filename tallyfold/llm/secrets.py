@@ -146,10 +146,10 @@ def secret_spans(docs: DataFrame, **cols: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<secret>", length_col: str | None = None) -> DataFrame:
     """``docs`` with every span of a live credential replaced by ``mark``; all rows and columns stay.
 
-    Widely copied examples are left as they are.
+    Widely copied examples are left as they are. ``length_col``, if given, follows the changed text.
     """
     spans = secret_spans(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col)
     live = spans.select("doc_id", "text_hash", F.filter("spans", lambda s: s["verdict"] == "live").alias("live")).filter(F.size("live") > 0)
@@ -164,7 +164,11 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
     walked = F.aggregate("__live", first, step)
     clean = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
     hit = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash"))
-    named = [F.when(F.col("__live").isNotNull(), clean).otherwise(text).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    changed = F.col("__live").isNotNull()
+    new = {text_col: clean}
+    if length_col:
+        new[length_col] = F.length(clean).cast(docs.schema[length_col].dataType)
+    named = [F.when(changed, new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns]
     return docs.join(live, hit, "left").select(*named)
 
 

@@ -11,7 +11,7 @@ SHINGLE_WORDS = 5
 _LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 1_000_000
+_CACHE = 400_000
 
 
 class _Hashes(dict):
