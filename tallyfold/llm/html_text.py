@@ -170,7 +170,8 @@ def main_text(html: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(t) / max(1, tags) for _, t, tags in lines], dtype=np.float64))
+    plain = np.array([len(t) / max(1, tags) for _, t, tags in lines], dtype=np.float64)
+    ratio = smoothed(plain)
     content = ratio >= THRESHOLD * ratio.std()
     size: dict[int, tuple[int, int]] = {}
     for (c, t, _), ok in zip(lines, content.tolist(), strict=True):
@@ -181,7 +182,8 @@ def main_text(html: str) -> str:
     if best:
         chosen = [t for c, t, _ in lines if c == best]
     else:  # no article element: the region from the first to the last content line
-        at = np.nonzero(content)[0]
+        # Smoothing also lifts the neighbours of a region; its ends are lines that pass by themselves.
+        at = np.nonzero(content & (plain >= THRESHOLD * ratio.std()))[0]
         chosen = [t for _, t, _ in lines[at[0] : at[-1] + 1]] if len(at) else [t for _, t, _ in lines]
     return " ".join(chosen)
 

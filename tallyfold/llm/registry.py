@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfold.llm import byte_bpe, decontaminate, html_text, near_dup, quality, secrets, token_files, top_k, toxicity
+from tallyfold.llm import byte_bpe, decontaminate, html_text, licenses, near_dup, quality, secrets, token_files, top_k, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_near_duplicates": near_dup.op4_near_duplicates,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_html_text": html_text.op8_html_text,
     "op9_top_k": top_k.op9_top_k,
