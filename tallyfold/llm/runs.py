@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
 #: Inside of a character class: Unicode White_Space.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs, and letter cores, that a worker remembers before it starts afresh.
-CACHE_RUNS = 600_000
+CACHE_RUNS, CACHE_CORES = 1_000_000, 700_000
 #: Marks that end a run of letters, open no contraction and combine with nothing.
 _TAIL = ".,;:!?*%&#$|"
 _BATCH = 4096
@@ -33,31 +34,31 @@ class RunEncoder:
         return core
 
     def encode_runs(self, runs: list[str]) -> np.ndarray:
-        known = self._known
-        missing = [r for r in runs if r not in known]
-        if missing:
-            missing = list(dict.fromkeys(missing))
-            if len(known) + len(missing) > CACHE_RUNS:
-                known.clear()
-                missing = list(dict.fromkeys(runs))
+        found = list(map(self._known.get, runs))
+        if None in found:
+            at = [i for i, ids in enumerate(found) if ids is None]
+            missing = list(dict.fromkeys([runs[i] for i in at]))
+            if len(self._known) + len(missing) > CACHE_RUNS:
+                self._known.clear()
             self._learn(missing)
-        return np.frombuffer(b"".join(map(known.__getitem__, runs)), dtype="<u4")
+            for i in at:
+                found[i] = self._known[runs[i]]
+        return np.frombuffer(b"".join(found), dtype="<u4")
 
     def _learn(self, missing: list[str]) -> None:
         cores, pieces = self._cores, []
         for r in missing:
             core = r.rstrip(_TAIL)
-            if not core.removeprefix(" ").isalpha():
-                core, tail = r, ""
+            if core.isalpha() or core[:1] == " " and core[1:].isalpha():
+                pieces.append((self.core_key(core), r[len(core) :]))
             else:
-                tail, core = r[len(core) :], self.core_key(core)
-            pieces.append((core, tail))
-        if len(cores) > CACHE_RUNS:
+                pieces.append((r, ""))
+        if len(cores) > CACHE_CORES:
             cores.clear()
         new = list(dict.fromkeys(p for pair in pieces for p in pair if p and p not in cores))
         for at in range(0, len(new), _BATCH):
             part = new[at : at + _BATCH]
             for p, e in zip(part, self._batch(part, add_special_tokens=False), strict=True):
-                cores[p] = np.array(e.ids, dtype="<u4").tobytes()
+                cores[p] = array("I", e.ids).tobytes()
         for r, (core, tail) in zip(missing, pieces, strict=True):
             self._known[r] = cores[core] + cores[tail] if tail else cores[core]

@@ -67,6 +67,8 @@ class WordEncoder(RunEncoder):
 
     def core_key(self, core: str) -> str:
         low = core.lower()
+        if core.isascii():
+            return low
         return low if "\u03a3" not in core and low.isalpha() and unicodedata.is_normalized("NFC", core) else core
 
     def encode(self, text: str) -> np.ndarray:
