@@ -27,7 +27,6 @@ HEADLINE = [
     "running_seeded",
     "keep_last",
     "lookup_bulk",
-    "lookup_bulk_broadcast",
     "report_window",
     "latest_sample_wide",
     "wide_to_long",

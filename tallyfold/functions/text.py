@@ -1,23 +1,19 @@
-"""Metric values as text.
+"""Metric values as text (F3-F7), in Spark's own functions throughout.
 
 F3 prints a double with the fewest digits that read back to the same value and
 never in exponent form (``10.0 -> "10"``, ``1e21 -> "1000000000000000000000"``).
-For ``1e-4 <= |v| < 2**53`` the JVM gets it right from the Java digits of
-``cast(v as string)``: in ``[1e-3, 1e7)`` they are already plain and only
-trailing zeros are cut; elsewhere in the range an exact decimal cast removes the
-exponent first. Outside that range Java's digits are not always the shortest, so
-those rows (only those: the others reach the UDF as NULL) go through a small
-Arrow UDF that uses Python's shortest ``repr`` digits.
+For ``1e-4 <= |v| < 2**53`` the Java digits of ``cast(v as string)`` are the shortest:
+in ``[1e-3, 1e7)`` they are already plain and only trailing zeros are cut; elsewhere
+in the range an exact decimal cast removes the exponent first. Outside that range
+Java's digits are not always the shortest. Those values are rounded to 1, 2, ... 17
+digits, and the first one that reads back to the same double is printed;
+integers below 2**63 start from their exact digits.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyfold.model import COUNTER, GAUGE
 
@@ -37,46 +33,91 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def shortest_plain(v: float) -> str:
-    """Shortest round-trip digits of a finite double, written without exponent."""
-    out = format(Decimal(repr(v)), "f")
-    if "." in out:
-        out = out.rstrip("0").rstrip(".")
-    return out
+_MAX_DIGITS = 17
+_TWO_63 = float(2**63)
 
 
-def shortest_exponent(v: float) -> str:
-    """Shortest round-trip digits in exponent form, JSON style: ``1e+21``, ``1.5e-7``."""
-    sign, digit_tuple, exp = Decimal(repr(v)).as_tuple()
-    digits = "".join(map(str, digit_tuple))
-    e = exp + len(digits) - 1
-    digits = digits.rstrip("0") or "0"
-    mant = digits[0] + ("." + digits[1:] if len(digits) > 1 else "")
-    # Two exponent digits at least, except that a negative exponent drops its leading zero.
-    width = 1 if e < 0 else 2
-    return f"{'-' if sign else ''}{mant}e{'-' if e < 0 else '+'}{abs(e):0{width}d}"
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _map_present(v: pa.Array, fn) -> pa.Array:
-    """Apply ``fn`` to the non-null values only; all-null batches cost nothing."""
-    if v.null_count == len(v):
-        return pa.nulls(len(v), type=pa.string())
-    return pa.array([None if x is None else fn(x) for x in v.to_pylist()], type=pa.string())
+def _div(n: Column, d: Column) -> Column:
+    """Whole-number division of bigints."""
+    return F.call_function("div", n, d)
 
 
-@F.arrow_udf(T.StringType())
-def _plain_tail(v: pa.Array) -> pa.Array:
-    return _map_present(v, shortest_plain)
+def _java_digits(a: Column) -> Column:
+    """``(m, x)`` with ``a = m * 10**x``: the digits that the JVM prints for a positive double."""
+    s = a.cast("string")
+    mantissa = F.substring_index(s, "E", 1)
+    fraction = F.substring_index(mantissa, ".", -1)
+    exponent = F.when(s.contains("E"), F.substring_index(s, "E", -1).cast("int")).otherwise(0)
+    digits = F.concat(F.substring_index(mantissa, ".", 1), fraction).cast("bigint")
+    return F.struct(digits.alias("m"), (exponent - F.length(fraction)).cast("int").alias("x"))
 
 
-def shortest_json(v: float) -> str:
-    """JSON number text: plain in ``[1e-6, 1e21)``, exponent form outside."""
-    return shortest_plain(v) if _JSON_PLAIN_MIN <= abs(v) < _JSON_PLAIN_MAX else shortest_exponent(v)
+def _shortest_digits(a: Column) -> Column:
+    """``(digits, x)``: shortest decimal digits (no zeros at the end) of a positive finite double."""
+    whole = F.struct(a.cast("bigint").alias("m"), F.lit(0).alias("x"))
+    start = F.when((a >= F.lit(_NATIVE_MAX)) & (a < F.lit(_TWO_63)), whole).otherwise(_java_digits(a))
+    power = F.array(*[F.lit(10**k).cast("bigint") for k in range(19)])
+
+    def search(z: Column) -> Column:
+        size = F.length(z["m"].cast("string"))
+
+        def rounded(n: Column) -> Column:
+            cut = size - n
+            unit = F.element_at(power, cut + 1)
+            up = F.when(z["m"] % unit >= unit - z["m"] % unit, 1).otherwise(0)  # no sum that could leave int64
+            low, x = _div(z["m"], unit), (z["x"] + cut).alias("x")
+            # The nearer neighbour first; below a power of two only the other one may read back.
+            return F.array(F.struct((low + up).cast("string").alias("d"), x), F.struct((low + 1 - up).cast("string").alias("d"), x))
+
+        texts = F.flatten(F.transform(F.sequence(F.lit(1), F.least(size, F.lit(_MAX_DIGITS))), rounded))
+        good = F.filter(texts, lambda t: F.concat(t["d"], F.lit("E"), t["x"].cast("string")).cast("double") == z["a"])
+        return _let(F.element_at(good, 1), _without_end_zeros)
+
+    return _let(F.struct(a.alias("a"), start["m"].alias("m"), start["x"].alias("x")), search)
+
+
+def _without_end_zeros(t: Column) -> Column:
+    d = F.rtrim(t["d"], F.lit("0"))
+    return F.struct(d.alias("d"), (t["x"] + F.length(t["d"]) - F.length(d)).alias("x"))
+
+
+def _sign(v: Column) -> Column:
+    return F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+
+
+def _plain(t: Column) -> Column:
+    """Digits times 10**x without an exponent."""
+    point = F.length(t["d"]) + t["x"]
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    return (
+        F.when(t["x"] >= 0, F.concat(t["d"], zeros(t["x"])))
+        .when(point > 0, F.concat(F.substring(t["d"], F.lit(1), point), F.lit("."), F.substring(t["d"], point + 1, F.length(t["d"]))))
+        .otherwise(F.concat(F.lit("0."), zeros(-point), t["d"]))
+    )
+
 
+def _exponent(t: Column) -> Column:
+    """Exponent form, JSON style: ``1e+21``, ``1.5e-7`` (two exponent digits at least where it is not negative)."""
+    e = F.length(t["d"]) + t["x"] - 1
+    mantissa = F.concat(F.substring(t["d"], 1, 1), F.when(F.length(t["d"]) > 1, F.concat(F.lit("."), F.substring(t["d"], F.lit(2), F.length(t["d"])))).otherwise(""))
+    power = F.abs(e).cast("string")
+    return F.concat(mantissa, F.when(e < 0, F.concat(F.lit("e-"), power)).otherwise(F.concat(F.lit("e+"), F.lpad(power, F.greatest(F.length(power), F.lit(2)), F.lit("0")))))
 
-@F.arrow_udf(T.StringType())
-def _json_tail(v: pa.Array) -> pa.Array:
-    return _map_present(v, shortest_json)
+
+def _plain_tail(v: Column) -> Column:
+    return F.concat(_sign(v), _let(_shortest_digits(F.abs(v)), _plain))
+
+
+def _json_tail(v: Column) -> Column:
+    """JSON number text: plain in ``[1e-6, 1e21)``, exponent form outside."""
+    a = F.abs(v)
+    is_plain = (a >= F.lit(_JSON_PLAIN_MIN)) & (a < F.lit(_JSON_PLAIN_MAX))
+    return F.concat(_sign(v), _let(_shortest_digits(a), lambda t: F.when(is_plain, _plain(t)).otherwise(_exponent(t))))
 
 
 def _strip_fraction_zeros(s: Column) -> Column:
@@ -106,7 +147,7 @@ def format_float(value: str | Column) -> Column:
         .when(v == F.lit(float("-inf")), F.lit(NEG_INF_TEXT))
         .when(v == 0, _strip_fraction_zeros(v.cast("string")))
         .when(native, _native_plain(v))
-        .otherwise(_plain_tail(F.when(tail, v)))
+        .when(tail, _plain_tail(v))
     )
 
 
@@ -124,12 +165,40 @@ def value_text(type_: str | Column = "type", delta: str | Column = "delta", valu
     )
 
 
+_LIMB, _STEP_BITS = 10**9, 20
+
+
+def _whole_text(a: Column) -> Column:
+    """Exact decimal digits of a finite double from 2**63 on."""
+    shift = F.floor(F.log2(a)).cast("int") - 60
+    small = (a / F.pow(F.lit(2.0), shift.cast("double"))).cast("bigint")  # exact: only the exponent changes
+    limb = F.lit(_LIMB).cast("bigint")
+    limbs = F.array(small % limb, _div(small, limb) % limb, _div(small, limb * limb))
+
+    def times(n: Column, factor: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            t = x * factor + acc["carry"]
+            return F.struct(_div(t, limb).alias("carry"), F.array_append(acc["out"], t % limb).alias("out"))
+
+        zero = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        done = F.aggregate(n, zero, step)
+        return F.array_append(done["out"], done["carry"])
+
+    factors = F.concat(
+        F.array_repeat(F.lit(1 << _STEP_BITS).cast("bigint"), F.floor(shift / _STEP_BITS).cast("int")),
+        F.array(F.call_function("shiftleft", F.lit(1).cast("bigint"), shift % _STEP_BITS)),
+    )
+    product = F.aggregate(factors, limbs, times)
+    text = F.array_join(F.transform(F.reverse(product), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    return F.ltrim(text, F.lit("0"))
+
+
 def round_half_even_text(value: str | Column) -> Column:
     """``%.0f`` of the exact binary value, half-even: ``2.5 -> "2"``, ``-0.4 -> "-0"``.
 
-    Below 2**53 ``bround`` is exact; from 2**53 to 2**63 every double is an integer
-    and the bigint cast prints it exactly (Java's ``%.0f`` would print its own
-    digits there).
+    Below 2**53 ``bround`` is exact; above, every double is an integer. The bigint
+    cast prints it exactly up to 2**63, and from there on it is a bigint times a
+    power of two, multiplied out in limbs (Java's ``%.0f`` would print its own digits).
     """
     v = _c(value)
     a = F.abs(v)
@@ -139,6 +208,7 @@ def round_half_even_text(value: str | Column) -> Column:
         .when(v == F.lit(float("inf")), F.lit(POS_INF_TEXT))
         .when(v == F.lit(float("-inf")), F.lit(NEG_INF_TEXT))
         .when((a >= F.lit(_NATIVE_MAX)) & (a < F.lit(float(2**63))), v.cast("bigint").cast("string"))
+        .when(a >= F.lit(_TWO_63), F.concat(_sign(v), _whole_text(a)))
         .when((v < 0) & (F.bround(v, 0) == 0), F.lit("-0"))
         .otherwise(rounded)
     )
@@ -157,18 +227,15 @@ def debug_text(id_: str | Column = "id", type_: str | Column = "type",
 
 
 def _json_string(s: Column) -> Column:
-    """JSON string literal of ``s``; ``<``, ``>`` and ``&`` escaped as in HTML-safe JSON."""
+    """JSON string literal of ``s``; ``<``, ``>``, ``&`` and the line separators escaped as in HTML-safe JSON."""
     quoted = F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", "")
-    for ch, esc in (("<", "\\\\u003c"), (">", "\\\\u003e"), ("&", "\\\\u0026")):
-        quoted = F.regexp_replace(quoted, ch, esc)
+    for ch in ("<", ">", "&", "\u2028", "\u2029"):
+        quoted = F.replace(quoted, F.lit(ch), F.lit(f"\\u{ord(ch):04x}"))
     return quoted
 
 
 def json_float(value: str | Column) -> Column:
-    """A double as JSON number text (plain in [1e-6, 1e21), else exponent); NULL if not finite.
-
-    One Arrow UDF call covers every non-native case (tail rows only, others NULL).
-    """
+    """A double as JSON number text (plain in [1e-6, 1e21), else exponent); NULL if not finite."""
     v = _c(value)
     a = F.abs(v)
     finite = ~F.isnan(v) & (a != F.lit(float("inf")))
@@ -177,7 +244,7 @@ def json_float(value: str | Column) -> Column:
     return (
         F.when(v == 0, _strip_fraction_zeros(v.cast("string")))
         .when(native, _native_plain(v))
-        .when(finite, _json_tail(F.when(tail, v)))
+        .when(tail, _json_tail(v))
     )
 
 

@@ -1,10 +1,9 @@
 """Keep-last per key (W2) and latest sample per report window.
 
-W2 is ``max_by(struct(row), order)`` per key: a partial aggregate, so copies of a
-hot key are reduced map-side before the shuffle instead of being sorted in one
-window task. A6 finds each window's newest sample time with a small aggregate
-and keeps the matching rows with a ``left_semi`` join on (window, ts), so rows of
-one big window spread over the join partitions by ``ts``.
+Both first find the largest order value per key, a partial and final HashAggregate over
+fixed-width buffers, and then keep the rows that carry it with a semi join on (key,
+order). Rows of one hot key spread over the join's partitions by their order, and
+are never sorted in one window task.
 """
 
 from __future__ import annotations
@@ -15,18 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _rows_with_largest(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    largest = df.groupBy(*key).agg(F.max(order).alias("_order"))
+    largest = largest.select(*[F.col(k).alias(f"_k_{k}") for k in key], "_order")
+    on = F.col(order) == F.col("_order")
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(largest, on, "left_semi")
+
+
 def keep_last(df: DataFrame, key: Sequence[str], order: str = "seq") -> DataFrame:
-    """The row with the highest ``order`` per key (all columns kept)."""
+    """The row with the highest ``order`` per key (all columns kept, key columns first).
+
+    ``order`` is a number or time, unique within a key and not null, as ``seq`` is.
+    """
     key = list(key)
-    rest = [c for c in df.columns if c not in key]
-    last = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
-    return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest])
+    return _rows_with_largest(df, key, order).select(*key, *[c for c in df.columns if c not in key])
 
 
 def newest_sample_rows(samples: DataFrame, window: str, ts: str = "ts") -> DataFrame:
     """Rows whose sample time is the newest of their report window."""
-    newest = samples.groupBy(window).agg(F.max(ts).alias(ts))
-    return samples.join(newest, [window, ts], "left_semi")
+    return _rows_with_largest(samples, [window], ts)
 
 
 def latest_sample(samples: DataFrame, window: str, ts: str = "ts", id_col: str = "id", order: str = "seq") -> DataFrame:

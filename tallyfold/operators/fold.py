@@ -16,29 +16,31 @@ from pyspark.sql import functions as F
 from tallyfold.model import COUNTER, GAUGE, KEY
 
 
-OVERFLOW_ERROR = "error"
 OVERFLOW_FINAL = "final"
 OVERFLOW_WRAP = "wrap"
 _TWO_63 = 2**63
 
 
-def null_propagating_sum(col: str | Column, overflow: str = OVERFLOW_ERROR) -> Column:
+def exact_sum(col: str | Column) -> Column:
+    """Sum of int64 values in ``decimal(38,0)``: the same whatever the order of partial sums."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.sum(c.cast("decimal(20,0)"))
+
+
+def null_propagating_sum(col: str | Column, overflow: str = OVERFLOW_FINAL) -> Column:
     """A1: sum that is NULL as soon as one input is NULL (SQL ``a + NULL`` rule).
 
-    ``sum`` skips nulls, so compare the non-null count with the row count.
+    ``sum`` skips nulls, so compare the non-null count with the row count. The sum is
+    exact, so partitioning and the order of partial sums never matter.
     ``overflow``:
 
-    * ``error`` (default): ANSI ``sum`` raises when a (partial) sum leaves int64,
-      as the database upsert does;
-    * ``final``: exact sum in ``decimal(38,0)``; raises only when the total does
-      not fit in int64, whatever the order of partial sums;
+    * ``final`` (default, and the rule of every fold here): raises only when the
+      total does not fit in int64;
     * ``wrap``: the total modulo 2**64 as a signed int64 (in-memory Go counters).
     """
     c = F.col(col) if isinstance(col, str) else col
     no_null = F.count(c) == F.count(F.lit(1))
-    if overflow == OVERFLOW_ERROR:
-        return F.when(no_null, F.sum(c))
-    exact = F.sum(c.cast("decimal(38,0)"))
+    exact = exact_sum(c).cast("decimal(38,0)")
     if overflow == OVERFLOW_FINAL:
         return F.when(no_null, exact.cast("bigint"))
     if overflow == OVERFLOW_WRAP:
@@ -54,7 +56,7 @@ def last_by_seq(col: str, seq: str = "seq") -> Column:
 
 
 def fold_updates(
-    updates: DataFrame, key: Sequence[str] = KEY, seq: str = "seq", overflow: str = OVERFLOW_ERROR
+    updates: DataFrame, key: Sequence[str] = KEY, seq: str = "seq", overflow: str = OVERFLOW_FINAL
 ) -> DataFrame:
     """A3: fold an ordered, mixed batch of updates into one row per key.
 
@@ -126,63 +128,19 @@ def fold_states(rows: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 def _merge_rows(s_delta, s_value, s_seq, u_delta, u_value, u_seq, s_in, u_in) -> list[Column]:
     u_later = u_in & (~s_in | s_seq.isNull() | (u_seq > s_seq))
     return [
-        F.when(s_in & u_in, s_delta + u_delta).when(u_in, u_delta).otherwise(s_delta).alias("delta"),
+        F.when(s_in & u_in, (s_delta.cast("decimal(20,0)") + u_delta.cast("decimal(20,0)")).cast("bigint")).when(u_in, u_delta).otherwise(s_delta).alias("delta"),
         F.when(u_later, u_value).otherwise(s_value).alias("value"),
         F.when(u_later, u_seq).otherwise(s_seq).alias("seq"),
     ]
 
 
-def merge_folded_broadcast(state: DataFrame, folded: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """J1 for a folded batch of proven small size: the state is never shuffled.
-
-    * every state row, left-outer joined to the broadcast batch, is merged in place;
-    * keys of the batch not in the state (found with a broadcast semi join over the
-      state's key columns, then a small anti join) are inserted.
-
-    Same result as ``merge_folded``. The caller must bound ``folded``'s size.
-    """
-    key = list(key)
-    s_seq = F.col("seq") if "seq" in state.columns else F.lit(None).cast("bigint")
-    s = state.select(*key, "delta", "value", s_seq.alias("seq"))
-    u = F.broadcast(
-        folded.select(
-            *key,
-            F.col("delta").alias("_u_delta"),
-            F.col("value").alias("_u_value"),
-            F.col("seq").alias("_u_seq"),
-            F.lit(True).alias("_u_in"),
-        )
-    )
-    u_in = F.coalesce(F.col("_u_in"), F.lit(False))
-    kept = s.join(u, key, "left").select(
-        *key,
-        *_merge_rows(F.col("delta"), F.col("value"), F.col("seq"),
-                     F.col("_u_delta"), F.col("_u_value"), F.col("_u_seq"), F.lit(True), u_in),
-    )
-    matched = s.select(*key).join(F.broadcast(folded.select(*key)), key, "left_semi")
-    new = folded.join(matched, key, "left_anti").select(*key, "delta", "value", "seq")
-    return kept.unionByName(new)
-
-
-def upsert(
-    state: DataFrame,
-    updates: DataFrame,
-    key: Sequence[str] = KEY,
-    seq: str = "seq",
-    broadcast_max_keys: int | None = None,
-) -> DataFrame:
-    """Pre-aggregate the updates (map-side combined), then merge.
+def upsert(state: DataFrame, updates: DataFrame, key: Sequence[str] = KEY, seq: str = "seq") -> DataFrame:
+    """Pre-aggregate the updates (map-side combined), then one full outer join.
 
-    With ``broadcast_max_keys`` set, the folded batch is counted (bounded:
-    ``limit(n + 1)``) and, when it has at most that many keys, merged by
-    broadcast so the state is not shuffled; otherwise, and by default, one
-    shuffled full outer join. Persist ``updates`` when it is expensive to
-    recompute (the count and the merge both read it).
+    Both sides leave their aggregates partitioned by the key, so the join adds no
+    exchange; there is one plan, whatever the sizes.
     """
-    folded = fold_updates(updates, key, seq)
-    if broadcast_max_keys is not None and folded.limit(broadcast_max_keys + 1).count() <= broadcast_max_keys:
-        return merge_folded_broadcast(state, folded, key)
-    return merge_folded(state, folded, key)
+    return merge_folded(state, fold_updates(updates, key, seq), key)
 
 
 def type_conflicts(updates: DataFrame, seq: str = "seq") -> DataFrame:

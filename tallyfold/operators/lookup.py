@@ -1,11 +1,9 @@
 """Lookups against metric state: point (P1), value text (P2) and bulk.
 
-Bulk lookups are a ``left`` join on (id, type). By default we do not force a
-strategy: AQE sees the runtime size of the state side and broadcasts it only when
-it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays
-a sort-merge join whose skewed request partitions (many requests for one hot key)
-AQE splits. With ``broadcast_max_requests`` a request batch proven small by a
-bounded count is broadcast instead, and the (large) state is only streamed.
+Bulk lookups are a ``left`` join on (id, type). We force no strategy: AQE sees the
+runtime bytes of the state side and broadcasts it only when it is under
+``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a sort-merge
+join whose skewed request partitions (many requests for one hot key) AQE splits.
 """
 
 from __future__ import annotations
@@ -26,39 +24,10 @@ def lookup_one(state: DataFrame, id_: str, type_: str) -> DataFrame:
     return state.filter((F.col("id") == F.lit(id_)) & (F.col("type") == F.lit(type_)))
 
 
-def _is_small(df: DataFrame, max_rows: int | None) -> bool:
-    """Bounded size check: counts at most ``max_rows + 1`` rows."""
-    return max_rows is not None and df.limit(max_rows + 1).count() <= max_rows
-
-
-def _left_join(requests: DataFrame, right: DataFrame, key: list[str], small_requests: bool) -> DataFrame:
-    """``requests LEFT JOIN right`` on ``key``; ``right`` carries a ``found`` marker.
-
-    With ``small_requests`` (size already checked) the requests are broadcast and
-    the state side is only streamed, never shuffled: hits by a broadcast inner
-    join, misses by an anti join against the broadcast semi join of the state's
-    key columns. Same rows as the plain left join.
-    """
-    if not small_requests:
-        return requests.join(right, key, "left")
-    req = F.broadcast(requests)
-    hits = right.join(req, key, "inner").select(*requests.columns, *[c for c in right.columns if c not in key])
-    matched = right.select(*key).join(F.broadcast(requests.select(*key)), key, "left_semi")
-    misses = requests.join(matched, key, "left_anti")
-    return hits.unionByName(misses, allowMissingColumns=True)
-
-
-def lookup(
-    requests: DataFrame, state: DataFrame, key: Sequence[str] = KEY, broadcast_max_requests: int | None = None
-) -> DataFrame:
-    """Every request with the found state row (NULLs and ``found = false`` on a miss).
-
-    ``broadcast_max_requests``: when the requests are at most that many (checked
-    with a bounded count), they are broadcast and the state is not shuffled.
-    """
+def lookup(requests: DataFrame, state: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """Every request with the found state row (NULLs and ``found = false`` on a miss)."""
     key = list(key)
-    found = state.select(*key, "delta", "value", F.lit(True).alias("found"))
-    out = _left_join(requests, found, key, _is_small(requests, broadcast_max_requests))
+    out = requests.join(state.select(*key, "delta", "value", F.lit(True).alias("found")), key, "left")
     return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
 
 
@@ -67,36 +36,27 @@ def lookup_misses(requests: DataFrame, state: DataFrame, key: Sequence[str] = KE
     return requests.join(state.select(*key), list(key), "left_anti")
 
 
-def value_lookup(
-    requests: DataFrame, state: DataFrame, kind: str = VALUE_LOOKUP, broadcast_max_requests: int | None = None
-) -> DataFrame:
+def value_lookup(requests: DataFrame, state: DataFrame, kind: str = VALUE_LOOKUP) -> DataFrame:
     """P2 + P7: per request the value text and the outcome.
 
     The key rules (id, then type) run first; a valid key that is not in the state
     is ``not found``. ``text`` is the F5 text of the found row, NULL otherwise.
     """
-    return _lookup_text(requests, state, value_text(), kind, broadcast_max_requests)
+    return _lookup_text(requests, state, value_text(), kind)
 
 
-def json_lookup(requests: DataFrame, state: DataFrame, broadcast_max_requests: int | None = None) -> DataFrame:
+def json_lookup(requests: DataFrame, state: DataFrame) -> DataFrame:
     """P7 JSON lookup: per request the found metric as JSON (F7) in ``text`` and the
     outcome (invalid keys answer 404 here, as not found does). Requests may carry
     an ``error`` from decoding their body (``decode_single_bodies``): 400."""
-    return _lookup_text(requests, state, metric_json(), JSON_LOOKUP, broadcast_max_requests)
+    return _lookup_text(requests, state, metric_json(), JSON_LOOKUP)
 
 
-def _lookup_text(
-    requests: DataFrame, state: DataFrame, text: Column, kind: str, broadcast_max_requests: int | None
-) -> DataFrame:
+def _lookup_text(requests: DataFrame, state: DataFrame, text: Column, kind: str) -> DataFrame:
     checked = requests.withColumn("_key_error", validation_error([RULE_ID, RULE_TYPE]))
-    if _is_small(requests, broadcast_max_requests):
-        # Few requests: join first, then format only the matched rows.
-        found = state.select(*KEY, "delta", "value", F.lit(True).alias("found"))
-        joined = _left_join(checked, found, list(KEY), True).withColumn("_text", text)
-    else:
-        # Many requests: format once per state key, not once per request.
-        texts = state.select(*KEY, text.alias("_text"), F.lit(True).alias("found"))
-        joined = _left_join(checked, texts, list(KEY), False)
+    # Formatted once per state key, not once per request.
+    texts = state.select(*KEY, text.alias("_text"), F.lit(True).alias("found"))
+    joined = checked.join(texts, list(KEY), "left")
     joined = joined.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
     # An earlier stage may already have refused the request (decode or routing error).
     prior = F.col("error") if "error" in requests.columns else F.lit(None).cast("string")

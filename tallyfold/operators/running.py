@@ -1,32 +1,37 @@
 """The row as it stands after each update (``RETURNING *`` of every upsert).
 
 For update i of key k: ``delta_i = state.delta + d_1 + ... + d_i`` with SQL NULL
-propagation, and ``value_i`` is the update's own value.
+propagation, and ``value_i`` is the update's own value. Sums are exact, and only a
+result that does not fit in int64 raises.
 
-Skew: all agents share metric ids, so one key may hold a large share of all rows.
-A plain ``Window.partitionBy(key)`` would sort that key in one task. We use a
-two-level prefix sum instead:
-
-1. ``bucket = seq div width``. ``seq`` is unique, so a bucket holds at most
-   ``width`` rows of any key: running sums inside (key, bucket) are a window over
-   at most ``width`` rows.
-2. Per-(key, bucket) totals (partial/final HashAggregate) and their running
-   offsets: at most ``seq range / width`` rows per key, not the key's row count.
-3. Add each bucket's offset to its rows (join on (key, bucket)).
+Skew: all agents share metric ids, so one key may hold a large share of all rows,
+and a plain ``Window.partitionBy(key)`` would sort that key in one task. The prefix
+sum is a tree of fixed depth over the 64 bits of ``seq`` instead: its rows meet in
+(key, seq >> 16), the totals of those in (key, seq >> 32), theirs in
+(key, seq >> 48), and theirs in the key. A node has at most 2^16 children at every
+level, so no window partition holds more than 2^16 rows, whether ``seq`` is
+dense, sparse or in nanoseconds (``seq`` is unique per key).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.model import KEY
 
-DEFAULT_BUCKET_WIDTH = 1 << 20
-# Seeds (prior state) get the lowest possible bucket so they precede every update.
-SEED_BUCKET = -(1 << 63)
+#: Bits of ``seq`` that each level of the tree covers.
+LEVEL_BITS = 16
+
+
+def _add(sums: Column) -> Column:
+    return F.sum(sums).cast("decimal(38,0)")
+
+
+def _levels(level_bits: int) -> list[str]:
+    return [f"_b{k}" for k in range(1, -(-64 // level_bits))]
 
 
 def running_result(
@@ -34,62 +39,52 @@ def running_result(
     state: DataFrame | None = None,
     key: Sequence[str] = KEY,
     seq: str = "seq",
-    bucket_width: int = DEFAULT_BUCKET_WIDTH,
+    level_bits: int = LEVEL_BITS,
 ) -> DataFrame:
     """Per-update result rows ``seq, id, type, delta, value``.
 
-    ``state`` (one row per key) is the table before the first update; it enters as
-    a seed row ordered before every update and is not returned.
+    ``state`` (one row per key) is the table before the first update. Only its rows
+    of the updated keys are used; a small batch therefore reads a large state
+    once, by a semi join, and never shuffles it when the keys are few.
     """
     key = list(key)
-    rows = updates.select(
-        F.col(seq).alias("_seq"), *key, "delta", "value", F.lit(False).alias("_seed")
-    )
-    if state is not None:
-        seeds = state.select(
-            F.lit(None).cast("bigint").alias("_seq"), *key, "delta", F.lit(None).cast("double").alias("value"),
-            F.lit(True).alias("_seed"),
-        )
-        rows = rows.unionByName(seeds)
-    rows = rows.select(
-        "*",
-        F.when(F.col("_seed"), F.lit(SEED_BUCKET))
-        .otherwise(F.expr(f"_seq div {int(bucket_width)}"))
-        .alias("_bucket"),
-        F.coalesce(F.col("delta"), F.lit(0).cast("bigint")).alias("_d"),
-        F.col("delta").isNull().cast("bigint").alias("_n"),
-    )
+    levels = _levels(level_bits)
+    shift = [F.shiftright("_seq", level_bits * (k + 1)).alias(b) for k, b in enumerate(levels)]
+    rows = updates.select(F.col(seq).alias("_seq"), *key, "value", F.col("delta").cast("decimal(38,0)").alias("_d"))
+    rows = rows.select("*", *shift, F.col("_d").isNull().cast("bigint").alias("_n"))
+    # One exchange: the windows and the totals of the lowest level both read it.
+    rows = rows.repartition(*key, levels[0])
+    upto = Window.partitionBy(*key, levels[0]).orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.select("_seq", *key, "value", levels[0], F.sum("_d").over(upto).alias("_ld"), F.sum("_n").over(upto).alias("_ln"))
+    totals = [rows.groupBy(*key, *levels).agg(_add(F.col("_d")).alias("_d"), F.sum("_n").alias("_n"))]
+    for k in range(1, len(levels)):
+        totals.append(totals[-1].groupBy(*key, *levels[k:]).agg(_add(F.col("_d")).alias("_d"), F.sum("_n").alias("_n")))
 
-    # 1. Running sums inside each (key, bucket): a window partition holds at most
-    #    `bucket_width` rows. The seed (if any) comes first, then updates by seq.
-    within = (
-        Window.partitionBy(*key, "_bucket")
-        .orderBy(F.col("_seed").desc(), F.col("_seq"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = rows.select(
-        "_seq", *key, "value", "_seed", "_bucket",
-        F.sum("_d").over(within).alias("_lsum"),
-        F.sum("_n").over(within).alias("_lnull"),
-    )
-    # 2. Bucket totals (partial aggregation) and their running offsets per key: one
-    #    row per (key, bucket), never one row per update.
-    totals = rows.groupBy(*key, "_bucket").agg(F.sum("_d").alias("_bsum"), F.sum("_n").alias("_bnull"))
-    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *key,
-        "_bucket",
-        F.coalesce(F.sum("_bsum").over(before), F.lit(0).cast("bigint")).alias("_osum"),
-        F.coalesce(F.sum("_bnull").over(before), F.lit(0).cast("bigint")).alias("_onull"),
-    )
-    # 3. Join the offsets last: the windowed side is already partitioned by
-    #    (key, bucket); only the small offsets side moves (or is broadcast by AQE).
-    joined = local.join(offsets, [*key, "_bucket"], "inner")
-    out = joined.select(
-        F.col("_seq").alias(seq),
-        *key,
-        F.when(F.col("_onull") + F.col("_lnull") == 0, F.col("_osum") + F.col("_lsum")).alias("delta"),
-        F.col("value"),
-        F.col("_seed"),
-    )
-    return out.filter(~F.col("_seed")).drop("_seed")
+    # Offsets from the top of the tree down; the state enters there, once per key.
+    offsets = None
+    for k in reversed(range(len(levels))):
+        own, parent = levels[k], levels[k + 1 :]
+        before = Window.partitionBy(*key, *parent).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+        here = totals[k].select(*key, *levels[k:], F.sum("_d").over(before).alias("_od"), F.sum("_n").over(before).alias("_on"))
+        if offsets is not None:
+            above = offsets.select(*key, *parent, F.col("_od").alias("_ad"), F.col("_on").alias("_an"))
+            here = here.join(above, [*key, *parent])
+        elif state is not None:
+            # ``totals`` of the top level hold a few rows per updated key.
+            own_keys = totals[k].select(*key).distinct()
+            seeds = state.join(own_keys, key, "left_semi").select(
+                *key, F.col("delta").cast("decimal(38,0)").alias("_ad"), F.col("delta").isNull().cast("bigint").alias("_an")
+            )
+            here = here.join(seeds, key, "left")
+        else:
+            here = here.select("*", F.lit(None).cast("decimal(38,0)").alias("_ad"), F.lit(0).cast("bigint").alias("_an"))
+        zero = F.lit(0).cast("decimal(38,0)")
+        offsets = here.select(
+            *key,
+            *levels[k:],
+            (F.coalesce("_od", zero) + F.coalesce("_ad", zero)).cast("decimal(38,0)").alias("_od"),
+            (F.coalesce("_on", F.lit(0).cast("bigint")) + F.coalesce("_an", F.lit(0).cast("bigint"))).alias("_on"),
+        )
+    joined = local.join(offsets.select(*key, levels[0], "_od", "_on"), [*key, levels[0]])
+    total = (F.coalesce("_ld", F.lit(0).cast("decimal(38,0)")) + F.col("_od")).cast("decimal(38,0)").cast("bigint")
+    return joined.select(F.col("_seq").alias(seq), *key, F.when(F.col("_on") + F.col("_ln") == 0, total).alias("delta"), "value")

@@ -76,8 +76,12 @@ def bad_batches(validated: DataFrame, batch: str = "batch_id") -> DataFrame:
 
 
 def accept_batches(validated: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """P5: keep only rows of batches without any invalid row (the ``error`` column is dropped)."""
-    return validated.join(bad_batches(validated, batch), batch, "left_anti").drop("error")
+    """P5: keep only rows of batches without any invalid row (the ``error`` column is dropped).
+
+    Rows without a batch id are one batch of their own.
+    """
+    bad = bad_batches(validated, batch).select(F.col(batch).alias("_bad_batch"))
+    return validated.join(bad, F.col(batch).eqNullSafe(F.col("_bad_batch")), "left_anti").drop("error")
 
 
 def first_errors(validated: DataFrame, batch: str = "batch_id", pos: str = "pos") -> DataFrame:

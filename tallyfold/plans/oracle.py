@@ -2,27 +2,28 @@
 
 The driver registers the parquet tables as views; each string here is a complete
 statement over those views. The derived fixtures are rebuilt as CTEs with the
-same rules as ``tallyfold.sources.updates``.
+same rules as ``tallyfold.sources.updates``. Nothing is imported from the code under
+test: all values are written out here.
 """
 
 from __future__ import annotations
 
-from tallyfold.functions.errors import RETRYABLE_SQLSTATES
-from tallyfold.functions.parse import DECIMAL_FLOAT_PATTERN, HEX_FLOAT_PATTERN, INT_PATTERN
-from tallyfold.functions.sign import _pads
-from tallyfold.sources.updates import PATH_TEXTS, SIGNING_KEY, SQLSTATE_CODES
+# Fixed values of the fixtures and formats.
+_INT = "[+-]?[0-9]+"
+_DECIMAL = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+_HEX = r"[+-]?0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+"
+_PATH_TEXTS = (
+    "['5', '+5', '-7', '1.5', ' 1', '1d', '0x10', '1e3', '1e400', '9223372036854775807', "
+    "'9223372036854775808', 'NaN', 'Inf', '', 'abc', '-inf', '.5', '5.']"
+)
+_N_PATH_TEXTS = 18
+_SQLSTATES = "['08000', '08003', '08006', '40000', '40001', '40P01', '57P03', '22000', '23505', '42P01', 'XX999']"
+_N_CODES = 11
+_RETRY = "'08000', '08003', '08006', '40000', '40001', '40P01', '57P03'"
 
-
-def _sql_list(values) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def _full(pattern: str) -> str:
-    """Spark patterns are anchored; DuckDB's regexp_full_match anchors itself."""
-    return pattern.removeprefix("^").removesuffix("$")
-
-
-_IPAD, _OPAD = (p.hex() for p in _pads(SIGNING_KEY))
+# The signing key padded to a SHA-256 block, against the two HMAC constants.
+_KEY = b"tallyfold-test-key".ljust(64, b"\0")
+_IPAD, _OPAD = ("".join(f"{k ^ x:02x}" for k in _KEY) for x in (0x36, 0x5C))
 
 
 def hmac_sql(col: str) -> str:
@@ -39,14 +40,14 @@ def value_text_sql(t: str = "type", d: str = "delta", v: str = "value") -> str:
 
 
 def int_parse_sql(t: str) -> str:
-    return f"CASE WHEN regexp_full_match({t}, '{_full(INT_PATTERN)}') THEN TRY_CAST({t} AS BIGINT) END"
+    return f"CASE WHEN regexp_full_match({t}, '{_INT}') THEN TRY_CAST({t} AS BIGINT) END"
 
 
 def float_parse_sql(t: str) -> str:
     return f"""CASE WHEN lower({t}) IN ('inf', '+inf', 'infinity', '+infinity') THEN CAST('inf' AS DOUBLE)
             WHEN lower({t}) IN ('-inf', '-infinity') THEN CAST('-inf' AS DOUBLE)
             WHEN lower({t}) = 'nan' THEN CAST('nan' AS DOUBLE)
-            WHEN (regexp_full_match({t}, '{_full(DECIMAL_FLOAT_PATTERN)}') OR regexp_full_match({t}, '{_full(HEX_FLOAT_PATTERN)}'))
+            WHEN (regexp_full_match({t}, '{_DECIMAL}') OR regexp_full_match({t}, '{_HEX}'))
                  AND NOT isnan(TRY_CAST({t} AS DOUBLE)) AND NOT isinf(TRY_CAST({t} AS DOUBLE))
             THEN TRY_CAST({t} AS DOUBLE) END"""
 
@@ -132,7 +133,7 @@ FROM {source}
 WINDOW w AS (PARTITION BY id, type ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 TEXTS_CTE = f"""texts AS (
-  SELECT seq, list_extract({_sql_list(PATH_TEXTS)}, CAST(seq % {len(PATH_TEXTS)} + 1 AS INTEGER)) AS text FROM dirty)"""
+  SELECT seq, list_extract({_PATH_TEXTS}, CAST(seq % {_N_PATH_TEXTS} + 1 AS INTEGER)) AS text FROM dirty)"""
 
 REQUESTS = """requests AS (
   SELECT seq AS request_id, id,
@@ -174,7 +175,7 @@ LI_WINDOWED = f"""li AS (
 DAY_WINDOW = "strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S')"
 
 PATH_INGEST = f"""paths AS (
-  SELECT seq, '/update/' || type || '/' || id || '/' || list_extract({_sql_list(PATH_TEXTS)}, CAST(seq % {len(PATH_TEXTS)} + 1 AS INTEGER)) AS path
+  SELECT seq, '/update/' || type || '/' || id || '/' || list_extract({_PATH_TEXTS}, CAST(seq % {_N_PATH_TEXTS} + 1 AS INTEGER)) AS path
   FROM dirty),
 parts AS (SELECT seq, path, string_split(path, '/') AS p FROM paths),
 parsed AS (
@@ -282,8 +283,36 @@ bodies AS (
   FROM last GROUP BY window_start)
 SELECT window_start, body, {hmac_sql('body')} AS signature FROM bodies"""
 
-_RETRY = ", ".join(f"'{c}'" for c in RETRYABLE_SQLSTATES)
-_N_CODES = len(SQLSTATE_CODES)
+
+def plain_float_sql(x: str) -> str:
+    """F3 over the whole range: DuckDB's shortest digits, written without an exponent."""
+    t = f"CAST(abs({x}) AS VARCHAR)"
+    mant = f"split_part({t}, 'e', 1)"
+    digits = f"replace(regexp_replace({mant}, '\\.0$', ''), '.', '')"
+    point = f"(length(split_part({mant}, '.', 1)) + CASE WHEN contains({t}, 'e') THEN CAST(split_part({t}, 'e', 2) AS INTEGER) ELSE 0 END)"
+    return f"""CASE WHEN {point} <= 0 THEN '0.' || repeat('0', -{point}) || {digits}
+            WHEN {point} >= length({digits}) THEN {digits} || repeat('0', {point} - length({digits}))
+            ELSE substr({digits}, 1, {point}) || '.' || substr({digits}, {point} + 1) END"""
+
+
+_WIDE = "[" + ", ".join(f"CAST('1e{k}' AS DOUBLE)" for k in range(-300, 301, 25)) + "]"
+GAUGE_TEXT_WIDE = f"""SELECT l_orderkey, l_linenumber, {plain_float_sql('a')} AS scaled, {plain_float_sql('b')} AS whole
+FROM (SELECT l_orderkey, l_linenumber,
+             CAST(l_extendedprice AS DOUBLE) * list_extract({_WIDE}, CAST(l_orderkey % 25 + 1 AS INTEGER)) AS a,
+             CAST(l_partkey AS DOUBLE) * CAST('45035996273704960' AS DOUBLE) + CAST(l_orderkey AS DOUBLE) AS b
+      FROM lineitem) x"""
+
+# What becomes of each hard body, written out: form, error, ids, deltas.
+_BAD = "'invalid JSON was passed'"
+STRICT = f"""outcomes(form, error, ids, deltas) AS (VALUES
+  (0, NULL, 'a', '1'), (1, {_BAD}, NULL, NULL), (2, {_BAD}, NULL, NULL), (3, NULL, 'a', '2'), (4, NULL, '', ''),
+  (5, NULL, '', ''), (6, NULL, 'b', '3'), (7, NULL, 'a', '5'), (8, {_BAD}, NULL, NULL), (9, {_BAD}, NULL, NULL),
+  (10, {_BAD}, NULL, NULL), (11, {_BAD}, NULL, NULL), (12, {_BAD}, NULL, NULL), (13, NULL, 'a', '-9223372036854775808'),
+  (14, {_BAD}, NULL, NULL), (15, {E_ID}, '-', '-'), (16, {E_NOVAL}, 'a,b', '1,-'), (17, NULL, 'c', '6'), (18, {_BAD}, NULL, NULL))
+SELECT u.seq AS batch_id, o.form, o.error, CASE WHEN o.error IS NULL THEN 200 ELSE 400 END AS status, o.ids, o.deltas
+FROM updates u JOIN outcomes o ON u.seq % 19 = o.form"""
+
+LARGE_FORMS = ", ".join(f"('{f}')" for f in ("one", "seven", "spread", "merged", "states"))
 
 ORACLE: dict[str, str] = {
     "updates": with_(UPDATES) + "SELECT seq, id, type, delta, value FROM updates",
@@ -292,7 +321,6 @@ ORACLE: dict[str, str] = {
     "accepted_state": with_(UPDATES, DIRTY, VALIDATED, ACCEPTED) + fold_sql("accepted"),
     # J1 must reproduce the single fold of all updates.
     "upsert_merge": with_(UPDATES) + fold_sql("updates"),
-    "upsert_merge_broadcast": with_(UPDATES) + fold_sql("updates"),
     "upsert_merge_dirty": with_(UPDATES, DIRTY, GATED) + fold_sql("gated"),
     "upsert_merge_union": with_(UPDATES, DIRTY, GATED) + fold_sql("gated"),
     "running_result": with_(UPDATES, DIRTY, GATED) + RUNNING.format(source="gated"),
@@ -301,6 +329,28 @@ ORACLE: dict[str, str] = {
     + "SELECT * FROM ("
     + RUNNING.format(source="gated")
     + ") r WHERE seq IN (SELECT seq FROM gated WHERE ts >= TIMESTAMP '2024-01-16 00:00:00')",
+    "running_sparse": with_(UPDATES, DIRTY, GATED, "sparse AS (SELECT * REPLACE (seq * 1000003 AS seq) FROM gated)")
+    + RUNNING.format(source="sparse"),
+    "metric_state_large": with_(UPDATES, f"forms(form) AS (VALUES {LARGE_FORMS})")
+    + """SELECT form, id, type, CASE WHEN count(delta) = count(*) THEN CAST(sum(delta) AS BIGINT) END AS delta, arg_max_null(value, seq) AS value
+FROM updates, forms WHERE type = 'counter' GROUP BY form, id, type""",
+    "duplicate_keys": with_(UPDATES, DIRTY, GATED) + "SELECT id, type, count(*) AS rows FROM gated GROUP BY id, type HAVING count(*) > 1",
+    "lookup_state": with_(UPDATES, state_cte("state", "updates"))
+    + "SELECT id, type, delta, value FROM state WHERE id = 'click_8' AND type = 'counter'",
+    "gauge_text_wide": GAUGE_TEXT_WIDE,
+    "json_strict_outcome": with_more(UPDATES, tail=STRICT),
+    "json_update_saved_row": with_(UPDATES, DIRTY, VALIDATED, "ok AS (SELECT * FROM validated WHERE error IS NULL)", "ran AS (" + RUNNING.format(source="ok") + ")")
+    + f"""SELECT v.seq, v.error, CASE WHEN v.error IS NULL THEN 200 ELSE 400 END AS status, r.saved
+FROM validated v LEFT JOIN (SELECT seq, {METRIC_JSON_SQL} AS saved FROM ran) r ON v.seq = r.seq""",
+    "snapshot_array_restore": with_(UPDATES)
+    + """SELECT id, type, delta, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY id, type ORDER BY seq DESC) AS rn FROM updates) x WHERE rn = 1""",
+    "stream_results": with_(UPDATES) + RUNNING.format(source="updates"),
+    "report_live": with_(UPDATES)
+    + f"""SELECT {DAY_WINDOW} AS window_start, id, type, count(*) AS polls,
+       CASE WHEN count(delta) = count(*) THEN CAST(sum(delta) AS BIGINT) END AS delta,
+       arg_max_null(value, seq) AS value
+FROM updates GROUP BY {DAY_WINDOW}, id, type""",
     "type_conflicts": with_(UPDATES, DIRTY, GATED)
     + """SELECT id,
        CASE WHEN min(seq) FILTER (WHERE type = 'counter') < min(seq) FILTER (WHERE type = 'gauge')
@@ -354,7 +404,6 @@ FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS
     + f"SELECT seq, text, {int_parse_sql('text')} AS as_int, {float_parse_sql('text')} AS as_float FROM texts",
     "path_ingest": with_more(UPDATES, DIRTY, tail=PATH_INGEST),
     "lookup_bulk": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_BULK),
-    "lookup_bulk_broadcast": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_BULK),
     "lookup_json": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_JSON),
     "value_path_lookup": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=VALUE_PATH_LOOKUP),
     "json_lookup_bodies": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=JSON_LOOKUP_BODIES),
@@ -409,7 +458,7 @@ FROM validated GROUP BY batch_id""",
        CASE WHEN sqlstate IN ({_RETRY}) THEN 'retryable' ELSE 'non_retryable' END AS class
 FROM (SELECT event_id,
              CASE WHEN event_id % {_N_CODES + 1} < {_N_CODES}
-                  THEN list_extract({_sql_list(SQLSTATE_CODES)}, CAST(event_id % {_N_CODES + 1} + 1 AS INTEGER)) END AS sqlstate
+                  THEN list_extract({_SQLSTATES}, CAST(event_id % {_N_CODES + 1} + 1 AS INTEGER)) END AS sqlstate
       FROM events) x""",
     "snapshot_roundtrip": with_(UPDATES) + fold_sql("updates"),
     "stream_state": with_(UPDATES) + fold_sql("updates"),

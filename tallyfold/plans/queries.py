@@ -21,11 +21,38 @@ from tallyfold.streaming import fold_stream
 
 # Time split used by the merge/seeded queries: earlier rows form the prior state.
 SPLIT_TS = "2024-01-16 00:00:00"
+# Batch bodies of ``json_strict_outcome``, in turn.
+STRICT_BODIES = [
+    '[{"id":"a","type":"counter","delta":1}]',
+    '[{"id":"a","type":"gauge","value":1e400}]',
+    '[{"id":"a","type":"gauge","value":-1e999}]',
+    '[{"id":"a","type":"counter","delta":2,"meta":{"id":5},"tags":[{"value":"x"}]}]',
+    "null",
+    "[]",
+    '[{"ID":"a","id":"b","TYPE":"counter","Delta":3}]',
+    '[{"id":"a","type":"counter","delta":4,"delta":5}]',
+    '{"id":"a","type":"counter","delta":1}',
+    '[{"id":"a","type":"counter","delta":1.5}]',
+    '[{"id":"a","type":"counter","delta":"5"}]',
+    '[{"id":5,"type":"counter","delta":1}]',
+    '[{"id":"a","type":"counter","delta":9223372036854775808}]',
+    '[{"id":"a","type":"counter","delta":-9223372036854775808}]',
+    '[{"id":"a","type":"counter","delta":1}',
+    "[null]",
+    '[{"id":"a","type":"counter","delta":1},{"id":"b","type":"gauge"}]',
+    '[{"id":"c","type":"counter","delta":6}] tail',
+    "",
+]
 # Report intervals: events are reported daily, lineitem samples weekly.
 EVENT_REPORT_EVERY = "1 day"
 LINEITEM_REPORT_EVERY = "7 days"
-# Size bound under which a folded update batch is merged by broadcast.
-BROADCAST_MAX_KEYS = 1_000_000
+# Factors of ``gauge_text_wide``: powers of ten, and one that makes integers beyond 2**53.
+WIDE_SCALES = [float(f"1e{k}") for k in range(-300, 301, 25)]
+WIDE_INTEGER = 45_035_996_273_704_960.0
+# Distance between the order values of ``running_sparse``.
+SPARSE_STEP = 1_000_003
+# Rows of one array file of ``snapshot_array_restore``.
+SNAPSHOT_ROWS = 1000
 # The point lookup of P1.
 LOOKUP_ID, LOOKUP_TYPE = "click_8", "counter"
 # Lineitem as agent samples: sample id columns, gauge columns, counter columns.
@@ -87,13 +114,6 @@ def q_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.upsert(state, _after(u)).select(*STATE_COLUMNS)
 
 
-def q_upsert_merge_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1 by broadcast: the later half folds to few keys (checked), the state is not shuffled."""
-    u = _updates(spark, sf_dir)
-    state = fold.fold_updates(_before(u))
-    return fold.upsert(state, _after(u), broadcast_max_keys=BROADCAST_MAX_KEYS).select(*STATE_COLUMNS)
-
-
 def q_upsert_merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 as one aggregate over (state, folded batch): the merge-on-read form."""
     g = _gated(spark, sf_dir)
@@ -120,6 +140,48 @@ def q_running_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running.running_result(_after(g), state=state)
 
 
+def q_running_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 where the order column is sparse: rows spread over all levels of the prefix tree."""
+    g = _gated(spark, sf_dir)
+    return running.running_result(g.withColumn("seq", F.col("seq") * SPARSE_STEP))
+
+
+def q_metric_state_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1's overflow rule: deltas near 2**63 whose partial sums leave int64 and whose totals do not.
+
+    The same fold over one, seven and many partitions, and as a merge of two halves;
+    every form must give the same state.
+    """
+    u = _updates(spark, sf_dir).filter(F.col("type") == "counter")
+    step = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
+    big = F.lit(2**63 - 1)
+    three = u.select("id", "type", "value", "seq", "delta", step).select(
+        (F.col("seq") * 3 + F.col("k")).alias("seq"),
+        "id",
+        "type",
+        F.when(F.col("k") == 0, big).when(F.col("k") == 2, -big).otherwise(F.col("delta")).alias("delta"),
+        "value",
+        (F.col("seq") % 2 == 0).alias("early"),
+    )
+    forms = {
+        "one": fold.fold_updates(three.coalesce(1)),
+        "seven": fold.fold_updates(three.repartition(7, "seq")),
+        "spread": fold.fold_updates(three),
+        "merged": fold.upsert(fold.fold_updates(three.filter("early")), three.filter("not early")),
+        "states": fold.fold_states(fold.fold_updates(three.filter("early")).unionByName(fold.fold_updates(three.filter("not early")))),
+    }
+    out = None
+    for name, df in forms.items():
+        one = df.select(F.lit(name).alias("form"), *STATE_COLUMNS)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that occur more than once, with their rows."""
+    return fold.duplicate_keys(_gated(spark, sf_dir))
+
+
 def q_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids written with both types and the type of their first write."""
     return fold.type_conflicts(_gated(spark, sf_dir))
@@ -209,7 +271,7 @@ def q_agent_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The agent's report path: per report window the latest sample's metrics
     (S10 + A6) as one JSON array body (F7, ordered by id) and its signature (F8)."""
     last = _latest_wide(spark, sf_dir).withColumn("window_start", report.window_text())
-    bodies = json_ingest.batch_bodies(last, batch="window_start", pos="id")
+    bodies = json_ingest.batch_bodies(last, batch="window_start", pos="id", single_object=True)
     return bodies.select("window_start", "body", sign.hmac_sha256_hex("body", upd.SIGNING_KEY).alias("signature"))
 
 
@@ -259,11 +321,6 @@ def q_lookup_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.value_lookup(_requests(spark, sf_dir), _state(spark, sf_dir))
 
 
-def q_lookup_bulk_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2 with the request batch broadcast after a bounded size check: no state shuffle."""
-    return lookup.value_lookup(_requests(spark, sf_dir), _state(spark, sf_dir), broadcast_max_requests=BROADCAST_MAX_KEYS)
-
-
 def q_value_path_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2 in path form: ``/value/{type}/{id}`` for every lookup request -> text and status."""
     req = _requests(spark, sf_dir).select(
@@ -303,6 +360,13 @@ def q_lookup_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.lookup_one(_state(spark, sf_dir), LOOKUP_ID, LOOKUP_TYPE)
 
 
+def q_lookup_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 on published state: the key filters reach the scan of the base."""
+    root = scratch_path(spark, "lookup-state")
+    snapshot.publish_state(_state(spark, sf_dir), root)
+    return lookup.lookup_one(snapshot.base_state(spark, root), LOOKUP_ID, LOOKUP_TYPE).select(*STATE_COLUMNS)
+
+
 def q_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing line of every metric."""
     return report.listing(_state(spark, sf_dir))
@@ -335,6 +399,17 @@ def q_gauge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_gauge_text_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 over the whole range: values times powers of ten, and integers from 2**53 to 2**63."""
+    li = tables.table(spark, sf_dir, "lineitem")
+    scale = F.element_at(F.array(*[F.lit(x) for x in WIDE_SCALES]), (F.col("l_orderkey") % len(WIDE_SCALES) + 1).cast("int"))
+    return li.select(
+        *LINEITEM_IDS,
+        text.format_float(F.col("l_extendedprice").cast("double") * scale).alias("scaled"),
+        text.format_float(F.col("l_partkey").cast("double") * F.lit(WIDE_INTEGER) + F.col("l_orderkey").cast("double")).alias("whole"),
+    )
+
+
 def q_debug_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """debug text (half-even) of the state."""
     return _state(spark, sf_dir).select("id", "type", text.debug_text().alias("line"))
@@ -369,6 +444,31 @@ def q_json_batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_json_strict_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hard bodies, one form per update in turn, and what becomes of them."""
+    forms = F.array(*[F.lit(b) for b in STRICT_BODIES])
+    form = (F.col("seq") % len(STRICT_BODIES)).cast("int")
+    bodies = _updates(spark, sf_dir).select(F.col("seq").alias("batch_id"), form.alias("form"), F.element_at(forms, form + 1).alias("body"))
+    decoded = json_ingest.decode_batch_bodies(bodies)
+    outcome = json_ingest.batch_outcomes(decoded, "batch_id")
+    shown = decoded.select("batch_id", "form", F.transform("metrics", lambda m: m["id"]).alias("ids"), F.transform("metrics", lambda m: m["delta"]).alias("deltas"))
+    return shown.join(outcome, "batch_id").select(
+        "batch_id", "form", "error", "status", F.array_join("ids", ",", "-").alias("ids"), F.array_join(F.transform("deltas", lambda d: d.cast("string")), ",", "-").alias("deltas")
+    )
+
+
+def q_json_update_saved_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 + P3 + W1 + F7 + P7: each single-metric body, its status, and the row as saved, as JSON."""
+    bodies = _dirty(spark, sf_dir).select("seq", text.metric_json().alias("body"))
+    decoded = json_ingest.decode_single_bodies(bodies)
+    error = F.coalesce("decode_error", validate.validation_error())
+    judged = decoded.select("seq", "id", "type", "delta", "value", error.alias("error"))
+    saved = running.running_result(judged.filter(F.col("error").isNull())).select(F.col("seq").alias("_seq"), text.metric_json().alias("saved"))
+    return judged.join(saved, F.col("seq") == F.col("_seq"), "left").select(
+        "seq", "error", validate.status_code(validate.JSON_UPDATE, "error").alias("status"), "saved"
+    )
+
+
 def _batch_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_ingest.decode_batch_bodies(json_ingest.batch_bodies(_dirty(spark, sf_dir)))
 
@@ -408,14 +508,14 @@ def q_gzip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_stream_fold_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold as a streaming aggregation in update mode (Spark's state store);
-    every micro-batch's changed rows are appended to parquet, the last per key wins."""
+    every micro-batch's changed rows go to a folder of their own, the last per key wins."""
     root = scratch_path(spark, "stream-agg")
-    stream = _stream_source(spark, sf_dir, root)
+    stream = _stream_source(spark, _updates(spark, sf_dir).select(*UPDATE_COLUMNS), root)
     out = f"{root}/emitted"
     q = (
         fold_stream.stream_fold(stream)
         .writeStream.outputMode("update")
-        .foreachBatch(lambda df, bid: df.withColumn("batch_id", F.lit(bid)).write.mode("append").parquet(out))
+        .foreachBatch(lambda df, bid: df.withColumn("batch_id", F.lit(bid)).write.mode("overwrite").parquet(f"{out}/batch={bid}"))
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -441,42 +541,99 @@ def q_snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.restore_state(spark, path)
 
 
-def _stream_source(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
-    """The updates as files in a folder, read back as a stream in about four
-    micro-batches. One file per shuffle partition (range-partitioned by seq), so
-    the write is as parallel as the session and no task carries a fixed share."""
-    u = _updates(spark, sf_dir).select(*UPDATE_COLUMNS)
+def q_snapshot_array_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + S6 with array files that repeat keys: the last copy of a key wins."""
+    path = scratch_path(spark, "snapshot-arrays")
+    label = F.lpad(F.expr(f"seq div {SNAPSHOT_ROWS}").cast("string"), 20, "0")
+    snapshot.write_snapshot_arrays(_updates(spark, sf_dir).withColumn("file", label), path, "file", "seq")
+    return snapshot.restore_state(spark, path, snapshot.ARRAY_FORMAT)
+
+
+def _stream_source(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
+    """Rows as files in a folder, read back as a stream in about four micro-batches.
+
+    One file per shuffle partition (range-partitioned by seq), so the write is as
+    parallel as the session and no task carries a fixed share.
+    """
     try:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     except ValueError:  # a non-numeric setting: Spark's own default
         n = 200
-    u.repartitionByRange(n, "seq").write.parquet(f"{root}/source")
+    rows.repartitionByRange(n, "seq").write.parquet(f"{root}/source")
     per_batch = max(1, -(-n // 4))
-    return spark.readStream.schema(u.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{root}/source")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{root}/source")
 
 
 def q_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The updates arrive as files over about four micro-batches, folded into
-    the versioned state table by the stream sink; the result is the final state."""
+    """State from a base and two streams with checkpoints of their own, every
+    micro-batch applied twice (a replay), then rebased into a new root and read there."""
     root = scratch_path(spark, "stream")
-    stream = _stream_source(spark, sf_dir, root)
-    q = fold_stream.start_state_stream(stream, f"{root}/state", f"{root}/checkpoint", {"availableNow": True})
-    q.awaitTermination()
-    return snapshot.read_state(spark, f"{root}/state").select(*STATE_COLUMNS)
+    u = _updates(spark, sf_dir)
+    snapshot.publish_state(fold.fold_updates(_before(u)), f"{root}/state")
+    late = _after(u).select(*UPDATE_COLUMNS)
+    for k in (0, 1):
+        own = f"{root}/stream{k}"
+        stream = _stream_source(spark, late.filter(F.col("seq") % 2 == k), own)
+
+        def twice(batch: DataFrame, batch_id: int, checkpoint: str = f"{own}/checkpoint") -> None:
+            source = fold_stream.source_id(batch.sparkSession, checkpoint)
+            for _ in range(2):
+                fold_stream.apply_batch(batch, batch_id, f"{root}/state", source)
+
+        sink = stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{own}/checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    snapshot.rebase(spark, f"{root}/state", f"{root}/rebased")
+    return snapshot.read_state(spark, f"{root}/rebased").select(*STATE_COLUMNS)
+
+
+def q_stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: the updates as a stream; the row as it stands after each of them.
+
+    They arrive in four parts in apply order, and the stream restarts for each.
+    """
+    root = scratch_path(spark, "stream-results")
+    u = _updates(spark, sf_dir).select(*UPDATE_COLUMNS)
+    first, last = u.agg(F.min("seq"), F.max("seq")).first()
+    quarter = F.floor((F.col("seq") - first) * 4 / (last - first + 1))
+    for k in range(4):
+        u.filter(quarter == k).write.mode("append").parquet(f"{root}/source")
+        stream = spark.readStream.schema(u.schema).parquet(f"{root}/source")
+        fold_stream.start_state_stream(
+            stream, f"{root}/state", f"{root}/checkpoint", {"availableNow": True}, results_root=f"{root}/results"
+        ).awaitTermination()
+    return spark.read.parquet(f"{root}/results").select("seq", *STATE_COLUMNS)
+
+
+def q_report_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 live: daily report windows as a streaming aggregation in update mode; the
+    latest emission of each window and metric."""
+    root = scratch_path(spark, "report-live")
+    rows = _updates(spark, sf_dir).select("ts", *UPDATE_COLUMNS).withColumn("ts", F.col("ts").cast("timestamp"))
+    emitted = f"{root}/emitted"
+    live = fold_stream.stream_report(_stream_source(spark, rows, root), EVENT_REPORT_EVERY)
+    live.writeStream.outputMode("update").foreachBatch(
+        lambda df, bid: df.withColumn("batch_id", F.lit(bid)).write.mode("overwrite").parquet(f"{emitted}/batch={bid}")
+    ).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(emitted).select(
+        report.window_text(F.col("window.start")).alias("window_start"), "id", "type", "polls", "delta", "value", "batch_id"
+    )
+    return dedup.keep_last(out, ["window_start", "id", "type"], "batch_id").drop("batch_id")
 
 
 QUERIES: dict[str, Query] = {
     "updates": q_updates,
     "metric_state": q_metric_state,
     "metric_state_dirty": q_metric_state_dirty,
+    "metric_state_large": q_metric_state_large,
     "accepted_state": q_accepted_state,
     "upsert_merge": q_upsert_merge,
-    "upsert_merge_broadcast": q_upsert_merge_broadcast,
     "upsert_merge_dirty": q_upsert_merge_dirty,
     "upsert_merge_union": q_upsert_merge_union,
     "running_result": q_running_result,
     "running_seeded": q_running_seeded,
+    "running_sparse": q_running_sparse,
     "type_conflicts": q_type_conflicts,
+    "duplicate_keys": q_duplicate_keys,
     "validate": q_validate,
     "validate_key_only": q_validate_key_only,
     "batch_accept": q_batch_accept,
@@ -495,21 +652,24 @@ QUERIES: dict[str, Query] = {
     "parse_value": q_parse_value,
     "path_ingest": q_path_ingest,
     "lookup_bulk": q_lookup_bulk,
-    "lookup_bulk_broadcast": q_lookup_bulk_broadcast,
     "lookup_json": q_lookup_json,
     "value_path_lookup": q_value_path_lookup,
     "json_lookup_bodies": q_json_lookup_bodies,
     "lookup_miss": q_lookup_miss,
     "lookup_one": q_lookup_one,
+    "lookup_state": q_lookup_state,
     "listing": q_listing,
     "metric_count": q_metric_count,
     "path_export": q_path_export,
     "value_text": q_value_text,
     "gauge_text": q_gauge_text,
+    "gauge_text_wide": q_gauge_text_wide,
     "debug_text": q_debug_text,
     "metric_json": q_metric_json,
     "json_single_ingest": q_json_single_ingest,
     "json_batch_ingest": q_json_batch_ingest,
+    "json_strict_outcome": q_json_strict_outcome,
+    "json_update_saved_row": q_json_update_saved_row,
     "batch_outcome": q_batch_outcome,
     "json_pipeline_state": q_json_pipeline_state,
     "signed_pipeline_state": q_signed_pipeline_state,
@@ -517,5 +677,8 @@ QUERIES: dict[str, Query] = {
     "stream_fold_update": q_stream_fold_update,
     "sqlstate_class": q_sqlstate_class,
     "snapshot_roundtrip": q_snapshot_roundtrip,
+    "snapshot_array_restore": q_snapshot_array_restore,
     "stream_state": q_stream_state,
+    "stream_results": q_stream_results,
+    "report_live": q_report_live,
 }

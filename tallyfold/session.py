@@ -2,7 +2,7 @@
 
 Library functions never build their own session; they take the caller's. On a
 cluster ``spark.checkpoint.dir`` names the shared folder (HDFS/S3/...) used to
-cut lineage and to hold versioned state; we only set it where it is unset.
+cut lineage and to hold state; we only set it in local mode where it is unset.
 """
 
 from __future__ import annotations
@@ -38,9 +38,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset.
+    """The shared checkpoint folder that the session names; an error where it names none.
 
-    The cluster's value always wins. The fallback is for local tests only.
+    Only a ``local`` master, where the driver is the only machine, gets a scratch
+    folder instead: on a cluster such a folder would exist on one machine alone.
     """
     try:
         sc = spark.sparkContext
@@ -50,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tallyfold-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(configured)

@@ -1,15 +1,15 @@
 """JSON update bodies -> metric rows (S1, S2, F9) and update files.
 
-A body is one request: a JSON array of metrics (batch) or one metric object.
-Each body is parsed once, into a VARIANT. ``schema_of_variant`` gives the merged
-JSON types of the whole body, and a strict check runs on them: ``"delta": 1.5`` or
-``"5"`` and a lone object where an array is expected are rejected (``from_json``
-alone would silently turn them into NULLs). Any mismatch rejects the whole body,
-as a decode error does. Only then is the variant cast to the metric type.
-Field names match case-insensitively (``"ID"`` is ``id``), as the reference's
-decoder does. A body with a duplicated key is rejected by default; with the
-session setting ``spark.sql.variant.allowDuplicateKeys=true`` the last copy wins,
-as in the reference (the library does not change session settings itself).
+A body is one request: a JSON array of metrics (batch) or one metric object. It is
+parsed once, into ordered entries of VARIANT, and every element's own five
+fields are then checked by their JSON types: ``"delta": 1.5`` or ``"5"``, a lone
+object where an array is expected, and a number that leaves the double's range (``1e400``) are refused
+(``from_json`` to the metric type would silently turn them into NULLs). Any mismatch
+rejects the whole body, as a decode error does.
+As the reference's decoder does it: field names match case-insensitively, of a
+field given twice the last one wins (a ``null`` leaves a text field as it was), unknown fields are
+ignored whatever they hold, a batch body ``null`` is an empty batch, a ``null``
+element or single body is a metric without fields, and what follows the first JSON value is not read.
 """
 
 from __future__ import annotations
@@ -18,54 +18,77 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import metric_json
-from tallyfold.model import ERR_BAD_JSON, METRIC_ARRAY_DDL, METRIC_SCHEMA, METRIC_STRUCT_DDL
+from tallyfold.model import ERR_BAD_JSON, METRIC_ARRAY_DDL, METRIC_SCHEMA
 from tallyfold.operators.validate import BATCH_UPDATE, status_code, validation_error
 
 # The metric's JSON field names.
 FIELD_NAMES = ("id", "type", "delta", "value", "hash")
 
-# JSON types each field may have (as named by schema_of_variant).
-_FIELD_OK = r"(,|>)"
-_BAD_FIELD_TYPES = (
-    r"(<|, )delta: (?!(BIGINT|VOID)" + _FIELD_OK + ")",
-    r"(<|, )value: (?!(BIGINT|DOUBLE|VOID|DECIMAL\(\d+,\d+\))" + _FIELD_OK + ")",
-    r"(<|, )(id|type|hash): (?!(STRING|VOID)" + _FIELD_OK + ")",
-)
-_ARRAY_SHAPE = r"^ARRAY<(VOID|OBJECT<.*>)>$"
-_OBJECT_SHAPE = r"^OBJECT<.*>$"
+_ENTRIES_DDL = "map<string,variant>"
+# Single quotes are no JSON; NaN and Infinity neither.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
+# JSON types (as named by schema_of_variant) of each field.
+_TEXT_TYPES = r"^(STRING|VOID)$"
+_FIELD_TYPES = {
+    "id": _TEXT_TYPES,
+    "type": _TEXT_TYPES,
+    "hash": _TEXT_TYPES,
+    "delta": r"^(BIGINT|VOID)$",
+    "value": r"^(BIGINT|DOUBLE|VOID|DECIMAL\(\d+,\d+\))$",
+}
 
-def normalise_keys(body: str | Column) -> Column:
-    """Lower-case the metric field names used as object keys (``"Delta":`` -> ``"delta":``).
 
-    Only a quoted name directly followed by ``:`` is a key; such text cannot occur
-    inside a JSON string value (its quotes would be escaped).
-    """
-    b = F.col(body) if isinstance(body, str) else body
-    for name in FIELD_NAMES:
-        b = F.regexp_replace(b, r'(?i)"' + name + r'"(\s*):', '"' + name + '"$1:')
-    return b
+def _field(entries: Column, name: str) -> Column:
+    """The values given to one field of an element, in order."""
+    return F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == name), lambda e: e["value"])
+
+
+def _all_of_type(values: Column, pattern: str) -> Column:
+    return F.forall(values, lambda v: F.schema_of_variant(v).rlike(pattern))
+
+
+def _last(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(-1))
+
+
+def _metric(element: Column) -> Column:
+    """One element (ordered entries; NULL for ``null``) as ``(ok, metric)``."""
+    entries = F.coalesce(F.map_entries(element), F.array().cast("array<struct<key:string,value:variant>>"))
+    given = {name: _field(entries, name) for name in FIELD_NAMES}
 
+    def text(name: str) -> Column:
+        named = F.filter(given[name], lambda v: F.schema_of_variant(v) == "STRING")
+        return F.try_variant_get(_last(named), "$", "string").alias(name)
 
-def json_shape_error(parsed: Column, array: bool = True) -> Column:
-    """F9 strictness on a parsed VARIANT: ``invalid JSON`` when the body is malformed,
-    has the wrong top-level shape or a field of the wrong JSON type; NULL otherwise."""
-    schema = F.schema_of_variant(parsed)
-    bad = parsed.isNull() | ~schema.rlike(_ARRAY_SHAPE if array else _OBJECT_SHAPE)
-    for pattern in _BAD_FIELD_TYPES:
-        bad = bad | schema.rlike(pattern)
-    return F.when(bad, F.lit(ERR_BAD_JSON))
+    number = F.try_variant_get(_last(given["value"]), "$", "double")
+    ok = F.forall(given["value"], lambda v: F.coalesce(F.abs(F.try_variant_get(v, "$", "double")) < float("inf"), F.lit(True)))
+    for name, pattern in _FIELD_TYPES.items():
+        ok = ok & _all_of_type(given[name], pattern)
+    metric = F.struct(text("id"), text("type"), F.try_variant_get(_last(given["delta"]), "$", "bigint").alias("delta"), number.alias("value"), text("hash"))
+    return F.struct(ok.alias("ok"), metric.alias("metric"))
 
 
 def _decode(bodies: DataFrame, body: str, array: bool) -> DataFrame:
-    parsed = bodies.withColumn("_v", F.try_parse_json(normalise_keys(body)))
-    err = json_shape_error(F.col("_v"), array)
-    ddl = METRIC_ARRAY_DDL if array else METRIC_STRUCT_DDL
-    return parsed.select(
-        *bodies.columns,
-        F.when(err.isNull(), F.try_variant_get("_v", "$", ddl)).alias("_decoded"),
-        err.alias("decode_error"),
-    )
+    """Adds ``_decoded`` (the metrics of the body) and ``decode_error``."""
+    text = F.col(body)
+    null_body = text.rlike(r"^\s*null\b")
+    if array:
+        entries = F.from_json(text, f"array<{_ENTRIES_DDL}>", _STRICT)
+    else:
+        one = F.from_json(text, _ENTRIES_DDL, _STRICT)
+        entries = F.when(one.isNotNull(), F.array(one))
+    parsed = bodies.withColumn("_elements", F.transform(entries, _metric))
+    shape = text.rlike(r"^\s*\[" if array else r"^\s*\{")
+    good = shape & F.col("_elements").isNotNull() & F.forall("_elements", lambda e: e["ok"])
+    metrics = F.transform("_elements", lambda e: e["metric"]).cast(METRIC_ARRAY_DDL)
+    none = F.array().cast(METRIC_ARRAY_DDL)
+    empty = none if array else F.array(F.lit(None)).cast(METRIC_ARRAY_DDL)
+    ok = F.coalesce(null_body | good, F.lit(False))
+    result = F.struct(F.when(null_body, empty).when(good, metrics).alias("metrics"), F.when(~ok, F.lit(ERR_BAD_JSON)).alias("error"))
+    # One row for each body; a generator, so that no later filter or projection parses it again.
+    once = parsed.select(*bodies.columns, F.explode(F.array(result)).alias("_result"))
+    return once.select(*bodies.columns, F.col("_result.metrics").alias("_decoded"), F.col("_result.error").alias("decode_error"))
 
 
 def decode_batch_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
@@ -85,11 +108,8 @@ def explode_batches(decoded: DataFrame, keep: list[str]) -> DataFrame:
 
 def decode_single_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
     """One metric object per body -> ``id, type, delta, value, hash`` + ``decode_error``."""
-    dec = _decode(bodies, body, array=False)
-    return dec.select(
-        *bodies.columns, "_decoded.id", "_decoded.type", "_decoded.delta", "_decoded.value", "_decoded.hash",
-        "decode_error",
-    )
+    dec = _decode(bodies, body, array=False).withColumn("_m", F.try_element_at("_decoded", F.lit(1)))
+    return dec.select(*bodies.columns, "_m.id", "_m.type", "_m.delta", "_m.value", "_m.hash", "decode_error")
 
 
 def first_record_error(metrics: str | Column = "metrics") -> Column:
@@ -115,17 +135,18 @@ def accepted_updates(decoded: DataFrame, batch: str = "batch_id") -> DataFrame:
     return explode_batches(decoded.filter(ok), [batch])
 
 
-def batch_bodies(rows: DataFrame, batch: str = "batch_id", pos: str = "pos") -> DataFrame:
+def batch_bodies(rows: DataFrame, batch: str = "batch_id", pos: str = "pos", single_object: bool = False) -> DataFrame:
     """Encode request bodies: per batch a JSON array of its metrics in ``pos`` order.
 
-    The batch is one request, bounded by the sender; this is the inverse of S1.
+    The batch is one request, bounded by the sender; this is the inverse of S1. With
+    ``single_object`` a batch of one metric is that metric's object, as an agent signs it.
     """
     elems = rows.select(batch, F.struct(F.col(pos).alias("p"), metric_json().alias("j")).alias("e"))
     grouped = elems.groupBy(batch).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    return grouped.select(
-        batch,
-        F.concat(F.lit("["), F.array_join(F.transform("es", lambda e: e["j"]), ","), F.lit("]")).alias("body"),
-    )
+    body = F.concat(F.lit("["), F.array_join(F.transform("es", lambda e: e["j"]), ","), F.lit("]"))
+    if single_object:
+        body = F.when(F.size("es") == 1, F.element_at("es", 1)["j"]).otherwise(body)
+    return grouped.select(batch, body.alias("body"))
 
 
 def read_update_files(spark: SparkSession, path: str) -> DataFrame:

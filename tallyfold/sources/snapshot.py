@@ -1,19 +1,18 @@
-"""Metric state on shared storage: versioned state (S5, S7, S8, S9), JSON snapshot
+"""Metric state on shared storage: state folders (S5, S7, S8, S9), JSON snapshot
 files (S4) and restore (S6).
 
 Layout under a state root (HDFS/S3/local, whatever the cluster shares)::
 
-    root/data/v=<version>/     a base: the whole state at that version (parquet)
-    root/delta/v=<version>/    a delta: one folded micro-batch (parquet, small)
-    root/_commits/v=<version>/ one JSON record {version, batch_id, kind}
-
-A version is visible only once its commit record exists, so a reader never sees
-a half-written version and a writer never overwrites a folder anyone reads.
-The state at a version is the fold of the newest base and the deltas committed
-after it (merge-on-read: a micro-batch writes only its own folded rows, never a
-copy of the whole state). ``compact`` folds them into a new base. The
-``batch_id`` in a commit record lets a streaming writer skip a micro-batch it
-already committed (a replay after a failure). Everything is DataFrame I/O.
+    root/base/                       one whole state, written once (parquet)
+    root/included/                   per source, the last batch that the base holds
+    root/batch/source=<s>/batch=<n>/ one folded micro-batch (parquet, small)
+
+The state is the fold of all of it: the fold is associative and ordered by ``seq``, so
+neither the order of folders nor their number matters. A micro-batch writes only its
+own folder and overwrites it when it is replayed, so it counts once; no log is
+needed for that. Batch ids belong to a source (a stream's checkpoint), so a second
+stream, or a fresh checkpoint, gets folders of its own. ``rebase`` folds a root
+into the base of a new root, as an ordinary batch job beside the stream.
 """
 
 from __future__ import annotations
@@ -21,79 +20,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.model import KEY, STATE_COLUMNS, STATE_SCHEMA
-from tallyfold.operators.dedup import keep_last
-from tallyfold.operators.fold import fold_states, merge_folded_broadcast
+from tallyfold.operators.fold import fold_states, fold_updates
+from tallyfold.sources.json_ingest import batch_bodies
 
-_COMMIT_DDL = "version BIGINT, batch_id BIGINT, kind STRING"
 STATE_WITH_SEQ_DDL = "id STRING, type STRING, delta BIGINT, value DOUBLE, seq BIGINT"
-BASE = "base"
-DELTA = "delta"
-
+_BATCH_DDL = STATE_WITH_SEQ_DDL + ", source STRING, batch BIGINT"
+_INCLUDED_DDL = "source STRING, upto BIGINT"
 
-def _version_dir(version: int) -> str:
-    return f"v={version:020d}"
 
-
-def _commits(spark: SparkSession, root: str) -> DataFrame | None:
+def _folder(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A folder's rows; none if it does not exist yet."""
     try:
-        # A record removed by a concurrent expiry is skipped, not an error.
-        return spark.read.schema(_COMMIT_DDL).option("ignoreMissingFiles", "true").json(f"{root}/_commits")
-    except AnalysisException:
-        return None
-
-
-def latest_commit(spark: SparkSession, root: str) -> Row | None:
-    """The newest committed ``(version, batch_id, kind)`` under ``root``, or None."""
-    commits = _commits(spark, root)
-    if commits is None:
-        return None
-    rows = commits.orderBy(F.col("version").desc()).limit(1).collect()
-    return rows[0] if rows else None
-
-
-def _live_versions(spark: SparkSession, root: str) -> tuple[int | None, list[int]]:
-    """The newest base version and the delta versions committed after it.
-
-    The list is bounded by the compaction interval, so collecting it is cheap.
-    """
-    commits = _commits(spark, root)
-    if commits is None:
-        return None, []
-    base = commits.filter(F.col("kind") == BASE).agg(F.max("version")).collect()[0][0]
-    after = commits.filter(F.col("kind") == DELTA)
-    if base is not None:
-        after = after.filter(F.col("version") > base)
-    return base, sorted(r.version for r in after.select("version").collect())
-
-
-# Pending deltas folding to at most this many keys are merged into the base by
-# broadcast, so reading the state does not shuffle the base.
-DEFAULT_BROADCAST_MAX_KEYS = 2_000_000
-
-
-def read_state(spark: SparkSession, root: str, broadcast_max_keys: int | None = DEFAULT_BROADCAST_MAX_KEYS) -> DataFrame:
-    """The newest committed state (``id, type, delta, value, seq``); empty if none.
-
-    With deltas pending, they are folded (small) and merged into the base: by
-    broadcast when a bounded count proves them small (the base is only streamed),
-    otherwise by one aggregate over base and deltas.
-    """
-    base, deltas = _live_versions(spark, root)
-    reader = spark.read.schema(STATE_WITH_SEQ_DDL)
-    base_df = reader.parquet(f"{root}/data/{_version_dir(base)}") if base is not None else None
-    if not deltas:
-        return base_df if base_df is not None else spark.createDataFrame([], STATE_WITH_SEQ_DDL)
-    delta_rows = reader.parquet(*[f"{root}/delta/{_version_dir(v)}" for v in deltas])
-    if base_df is None:
-        return fold_states(delta_rows).select(*STATE_COLUMNS, "seq")
-    folded = fold_states(delta_rows)
-    if broadcast_max_keys is not None and folded.limit(broadcast_max_keys + 1).count() <= broadcast_max_keys:
-        return merge_folded_broadcast(base_df, folded).select(*STATE_COLUMNS, "seq")
-    return fold_states(base_df.unionByName(delta_rows)).select(*STATE_COLUMNS, "seq")
+        return spark.read.schema(ddl).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return spark.createDataFrame([], ddl)
 
 
 def _with_seq(df: DataFrame) -> DataFrame:
@@ -102,85 +48,60 @@ def _with_seq(df: DataFrame) -> DataFrame:
     return out if "seq" in cols else out.withColumn("seq", F.lit(None).cast("bigint"))
 
 
-def _commit(spark: SparkSession, root: str, version: int, batch_id: int | None, kind: str) -> None:
-    record = spark.createDataFrame([(version, batch_id, kind)], _COMMIT_DDL)
-    record.coalesce(1).write.mode("errorifexists").json(f"{root}/_commits/{_version_dir(version)}")
+def read_state(spark: SparkSession, root: str) -> DataFrame:
+    """The state under ``root`` (``id, type, delta, value, seq``); empty if there is none.
+
+    One aggregate over the base and the batches that it does not hold yet.
+    """
+    return _folded(spark, root, F.lit(True))
 
 
-def _next_version(spark: SparkSession, root: str) -> int:
-    last = latest_commit(spark, root)
-    return 1 if last is None else last.version + 1
+def _folded(spark: SparkSession, root: str, wanted: Column) -> DataFrame:
+    batches = _folder(spark, f"{root}/batch", _BATCH_DDL).filter(wanted)
+    included = _folder(spark, f"{root}/included", _INCLUDED_DDL).withColumnRenamed("source", "_source")
+    on = (F.col("source") == F.col("_source")) & (F.col("batch") <= F.col("upto"))
+    pending = batches.join(included, on, "left_anti").drop("source", "batch")
+    return fold_states(base_state(spark, root).unionByName(pending)).select(*STATE_COLUMNS, "seq")
 
 
-def publish_state(
-    spark: SparkSession, state: DataFrame, root: str, batch_id: int | None = None, cluster: bool = False
-) -> int:
-    """Write ``state`` as a new base version, then commit it. Returns the version.
+def publish_state(state: DataFrame, root: str) -> None:
+    """Write ``state`` as the base of a root. A base is written once: a second call fails.
 
-    The data folder of an uncommitted version may exist from a crashed attempt;
-    it is overwritten. Committed versions are never touched. Rows are sorted by
-    key inside each file, so row-group statistics prune a point lookup (P1) to
-    about one row group per file. With ``cluster`` the rows are first
-    range-partitioned by key (one sampled shuffle), so each file holds a key range
-    and a point lookup skips whole files.
+    Rows are range-partitioned and sorted by key, so each file holds a key range and
+    a point lookup (P1) on the base skips whole files and row groups.
     """
-    version = _next_version(spark, root)
-    out = _with_seq(state)
-    if cluster:
-        out = out.repartitionByRange(*KEY)
-    out.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{root}/data/{_version_dir(version)}")
-    _commit(spark, root, version, batch_id, BASE)
-    return version
+    _with_seq(state).repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.mode("errorifexists").parquet(f"{root}/base")
 
 
-def publish_delta(spark: SparkSession, folded: DataFrame, root: str, batch_id: int | None = None) -> int:
-    """Commit one folded batch (one row per key, with ``seq``) as a delta version."""
-    version = _next_version(spark, root)
-    _with_seq(folded).write.mode("overwrite").parquet(f"{root}/delta/{_version_dir(version)}")
-    _commit(spark, root, version, batch_id, DELTA)
-    return version
+def base_state(spark: SparkSession, root: str) -> DataFrame:
+    """The base alone: filters on the key reach its scan."""
+    return _folder(spark, f"{root}/base", STATE_WITH_SEQ_DDL)
 
 
-def pending_deltas(spark: SparkSession, root: str) -> int:
-    """Number of deltas a reader must fold on top of the newest base."""
-    return len(_live_versions(spark, root)[1])
+def write_batch(updates: DataFrame, root: str, source: str, batch: int) -> None:
+    """Fold one batch of updates into its own folder; a replay overwrites it with the same rows."""
+    if not source or "/" in source:
+        raise ValueError(f"not a source id: {source!r}")
+    _with_seq(fold_updates(updates)).write.mode("overwrite").parquet(f"{root}/batch/source={source}/batch={int(batch)}")
 
 
-def expire_versions(spark: SparkSession, root: str, retain_bases: int = 2) -> list[int]:
-    """Delete versions older than the ``retain_bases``-th newest base: their data
-    folders and their commit records. Returns the expired versions.
+def state_before(spark: SparkSession, root: str, source: str, batch: int) -> DataFrame:
+    """The state as it stood before one batch of a source, also when that batch is replayed."""
+    return _folded(spark, root, ~((F.col("source") == source) & (F.col("batch") >= batch)))
 
-    Everything from that base on stays, so current readers and the replay check
-    (which needs only the newest commit) are unaffected. Deletes go through the
-    Hadoop FileSystem of the state root, the same shared store the data is on.
+
+def rebase(spark: SparkSession, root: str, new_root: str) -> None:
+    """Fold everything under ``root`` into the base of ``new_root``, a batch job of its own.
+
+    ``new_root`` remembers the last batch of each source that its base holds: a stream
+    that moves there with its checkpoint may replay them without counting twice.
+    Run it while no stream writes to ``root``.
     """
-    if retain_bases < 1:
-        raise ValueError("retain_bases must be at least 1")
-    commits = _commits(spark, root)
-    if commits is None:
-        return []
-    bases = [r.version for r in commits.filter(F.col("kind") == BASE).select("version")
-             .orderBy(F.col("version").desc()).limit(retain_bases).collect()]
-    if len(bases) < retain_bases:
-        return []
-    oldest_kept = min(bases)
-    old = commits.filter(F.col("version") < oldest_kept).select("version", "kind").collect()
-    jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in sorted(old, key=lambda r: r.version):
-        folder = "data" if r.kind == BASE else "delta"
-        fs.delete(fs_path(f"{root}/{folder}/{_version_dir(r.version)}"), True)
-        fs.delete(fs_path(f"{root}/_commits/{_version_dir(r.version)}"), True)
-    return sorted(r.version for r in old)
-
-
-def compact(spark: SparkSession, root: str) -> int:
-    """Fold the newest base and its deltas into a new, key-range-clustered base
-    (keeps the last batch id). Compaction rewrites the state anyway, so this is
-    where the range shuffle is paid."""
-    last = latest_commit(spark, root)
-    return publish_state(spark, read_state(spark, root), root, None if last is None else last.batch_id, cluster=True)
+    old = _folder(spark, f"{root}/included", _INCLUDED_DDL)
+    seen = _folder(spark, f"{root}/batch", _BATCH_DDL).select("source", F.col("batch").alias("upto"))
+    publish_state(read_state(spark, root), new_root)
+    upto = old.unionByName(seen).groupBy("source").agg(F.max("upto").alias("upto"))
+    upto.write.mode("errorifexists").parquet(f"{new_root}/included")
 
 
 # Snapshot file formats: one JSON array per file (the reference's snapshot file)
@@ -194,9 +115,8 @@ def _snapshot_rows(spark: SparkSession, path: str, fmt: str) -> DataFrame | None
     """Snapshot records with their file and position; None when the path is missing.
 
     The JSON reader streams each file (an array document is parsed element by
-    element, not held as one string). Positions come from
-    ``monotonically_increasing_id`` taken at the scan: inside one file they rise
-    in file order, which is all that last-copy-wins needs. A file holding ``null``
+    element, not held as one string). Records are ordered by the file's whole path, the
+    start of the block in it, and their place in the block. A file holding ``null``
     contributes no rows; a malformed file fails the job.
     """
     if fmt not in (ARRAY_FORMAT, LINES_FORMAT):
@@ -212,7 +132,10 @@ def _snapshot_rows(spark: SparkSession, path: str, fmt: str) -> DataFrame | None
     except AnalysisException:
         return None
     rows = raw.select(
-        "*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_pos")
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_pos"),  # rises inside a block
     )
     corrupt = F.col("_corrupt_record")
     malformed = corrupt.isNotNull() & (F.trim(corrupt) != "null")
@@ -235,15 +158,26 @@ def read_snapshot_json(spark: SparkSession, path: str, fmt: str = LINES_FORMAT)
 
 def restore_state(spark: SparkSession, path: str, fmt: str = LINES_FORMAT, key: Sequence[str] = KEY) -> DataFrame:
     """Snapshot as initial state; a repeated key keeps its last copy (replace,
-    not sum; by file name, then position). The result has no ``seq``: any later
+    not sum; by file path, then position). The result has no ``seq``: any later
     update counts as newer."""
     rows = _snapshot_rows(spark, path, fmt)
     if rows is None:
         return spark.createDataFrame([], STATE_SCHEMA)
-    ordered = rows.select(*STATE_COLUMNS, F.struct("_file", "_pos").alias("_order"))
-    return keep_last(ordered, list(key), "_order").select(*STATE_COLUMNS)
+    rest = [c for c in STATE_COLUMNS if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_file", "_block", "_pos")).alias("_last"))
+    return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*STATE_COLUMNS)
 
 
 def write_snapshot_json(state: DataFrame, path: str) -> None:
     """S5 in JSON: the state as JSON lines (NULL fields omitted), into a new folder."""
     state.select(*STATE_COLUMNS).write.mode("errorifexists").json(path)
+
+
+def write_snapshot_arrays(rows: DataFrame, path: str, label: str, order: str) -> None:
+    """S5 as the reference's file form: one JSON array per file, one file per ``label``.
+
+    ``label`` is text whose order is the order of the files; a file is one snapshot of
+    bounded size, its records ordered by ``order``.
+    """
+    bodies = batch_bodies(rows, batch=label, pos=order).repartition(label)
+    bodies.select(label, F.col("body").alias("value")).write.mode("errorifexists").partitionBy(label).text(path)

@@ -5,27 +5,24 @@
 * ``stream_fold``: the fold as a streaming aggregation (``outputMode("update")``);
   Spark keeps per-key state in its state store and checkpoints it.
 * ``start_state_stream``: a stateless stream whose ``foreachBatch`` folds each
-  micro-batch and commits it as a delta of the versioned state table
-  (``tallyfold.sources.snapshot``; merge-on-read with periodic compaction and
-  expiry of superseded versions),
-  optionally writing the per-update results (W1) of that batch too.
-  The commit record of every version holds the micro-batch id, so a batch
-  replayed after a failure (committed, but not yet marked done in the stream
-  checkpoint) is skipped instead of counted twice. State lives in the table, not
-  in the state store, so it can be restored, read and compacted by ordinary
-  batch jobs.
+  micro-batch into a folder of its own (``tallyfold.sources.snapshot``), optionally
+  with the per-update results (W1) of that batch. The folder is named by the
+  stream's source id and the batch id and overwritten on a replay, so a batch
+  counts once; the source id is the checkpoint's own, so neither a second stream nor a fresh
+  checkpoint can meet another's batches. State lives in these folders, not in
+  the state store, and ordinary batch jobs restore, read and rebase it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyfold.model import KEY, STATE_COLUMNS
 from tallyfold.operators.fold import fold_updates, last_by_seq, null_propagating_sum
 from tallyfold.operators.running import running_result
-from tallyfold.sources.snapshot import compact, expire_versions, latest_commit, pending_deltas, publish_delta, read_state
+from tallyfold.sources.snapshot import state_before, write_batch
 
 
 def stream_fold(updates: DataFrame) -> DataFrame:
@@ -50,47 +47,28 @@ def stream_report(updates: DataFrame, every: str, ts: str = "ts", watermark: str
     )
 
 
-# Deltas a reader may have to fold before the stream compacts them into a base.
-DEFAULT_COMPACT_EVERY = 16
-# Bases (with the deltas after them) kept when older versions are expired.
-DEFAULT_RETAIN_BASES = 2
+def source_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave a stream when it made its checkpoint; it lasts as long as that."""
+    return spark.read.json(f"{checkpoint}/metadata").select("id").first().id
 
 
-def apply_batch(
-    batch: DataFrame,
-    batch_id: int,
-    state_root: str,
-    results_root: str | None = None,
-    compact_every: int = DEFAULT_COMPACT_EVERY,
-    retain_bases: int | None = DEFAULT_RETAIN_BASES,
-) -> bool:
-    """Commit one micro-batch into the state table; False if it was already applied.
-
-    The batch is folded (partial aggregation) and committed as a delta: the write
-    is proportional to the batch, not to the state. Every ``compact_every`` deltas
-    the state is compacted into a new base, which bounds the work of readers; then
-    versions older than the ``retain_bases``-th newest base are deleted (None keeps
-    everything), which bounds storage and the commit log.
+def apply_batch(batch: DataFrame, batch_id: int, state_root: str, source: str, results_root: str | None = None) -> None:
+    """Fold one micro-batch of a source into its folder under the state root.
+
+    The write is proportional to the batch, not to the state. With ``results_root``
+    the per-update results are written too, from the state before this batch: only
+    the batch's own keys of it are used.
     """
     spark = batch.sparkSession
-    last = latest_commit(spark, state_root)
-    if last is not None and last.batch_id is not None and last.batch_id >= batch_id:
-        return False
     batch = batch.persist()
     try:
         if results_root is not None:
-            # W1 needs the state as it stands before the batch; rewritten in full on
-            # a replay that failed before the commit.
-            state = read_state(spark, state_root)
-            running_result(batch, state=state).write.mode("overwrite").parquet(f"{results_root}/batch_id={batch_id}")
-        publish_delta(spark, fold_updates(batch), state_root, batch_id=batch_id)
+            before = state_before(spark, state_root, source, batch_id)
+            out = f"{results_root}/source={source}/batch_id={int(batch_id)}"
+            running_result(batch, state=before).write.mode("overwrite").parquet(out)
+        write_batch(batch, state_root, source, batch_id)
     finally:
         batch.unpersist()
-    if pending_deltas(spark, state_root) >= compact_every:
-        compact(spark, state_root)
-        if retain_bases is not None:
-            expire_versions(spark, state_root, retain_bases)
-    return True
 
 
 def start_state_stream(
@@ -102,10 +80,11 @@ def start_state_stream(
 ) -> StreamingQuery:
     """Start the upsert stream. ``trigger`` is passed to ``DataStreamWriter.trigger``
     (e.g. ``{"processingTime": "5 seconds"}`` or ``{"availableNow": True}``)."""
-    writer = (
-        updates.writeStream.foreachBatch(lambda df, bid: apply_batch(df, bid, state_root, results_root))
-        .option("checkpointLocation", checkpoint)
-    )
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        apply_batch(batch, batch_id, state_root, source_id(batch.sparkSession, checkpoint), results_root)
+
+    writer = updates.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.start()

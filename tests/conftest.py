@@ -28,6 +28,14 @@ def scratch(spark):
 UPDATE_DDL = "seq BIGINT, id STRING, type STRING, delta BIGINT, value DOUBLE"
 
 
+def shortest_plain(v):
+    """Shortest round-trip digits of a finite double, written without exponent."""
+    from decimal import Decimal
+
+    out = format(Decimal(repr(v)), "f")
+    return out.rstrip("0").rstrip(".") if "." in out else out
+
+
 def rows(df, *cols):
     """Rows as sorted tuples (order-insensitive compare)."""
     cols = cols or df.columns

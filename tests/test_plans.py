@@ -21,11 +21,12 @@ def test_scan_reads_only_needed_columns(spark):
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double,props:string>" in p
 
 
-def test_running_result_window_is_bucketed(spark):
+def test_running_result_windows_and_exchanges(spark):
     p = plan(q.q_running_result(spark, SF_SMALL))
-    # Every Window operator partitions by a key that includes the seq bucket, or
-    # runs over the per-bucket aggregates only.
-    assert "_bucket" in p and "Window" in p
+    # The rows' own window and the lowest totals read one exchange, on (key, seq >> 16).
+    assert p.count("hashpartitioning(id") >= 1 and "_b1" in p and "Window" in p
+    seeded = plan(q.q_running_seeded(spark, SF_SMALL))
+    assert "LeftSemi" in seeded
 
 
 def test_batch_rejection_is_anti_join(spark):
@@ -40,15 +41,25 @@ def test_no_python_in_core_paths(spark):
         assert "EvalPython" not in p, name
 
 
-def test_keep_last_is_partial_aggregate(spark):
-    p = plan(q.q_keep_last(spark, SF_SMALL))
-    assert "partial_max_by" in p and "Window" not in p
+def test_keep_last_and_latest_sample_use_hash_aggregates(spark):
+    for name in ("keep_last", "latest_sample", "latest_sample_wide", "agent_reports"):
+        p = plan(getattr(q, f"q_{name}")(spark, SF_SMALL))
+        assert "LeftSemi" in p and "Window" not in p, name
+        if name != "agent_reports":  # its bodies gather a batch's metrics
+            assert "SortAggregate" not in p, name
+
+
+def test_texts_stay_in_the_jvm(spark):
+    for name in ("debug_text", "gauge_text", "gauge_text_wide", "value_text", "metric_json", "listing", "path_export", "lookup_bulk", "lookup_json",
+                 "json_batch_ingest", "agent_reports"):
+        assert "EvalPython" not in plan(getattr(q, f"q_{name}")(spark, SF_SMALL)), name
 
 
-def test_small_batch_merge_does_not_shuffle_state_for_the_join(spark):
-    p = plan(q.q_upsert_merge_broadcast(spark, SF_SMALL))
-    assert "FullOuter" not in p and "BroadcastHashJoin" in p
+def test_point_lookup_filters_reach_the_published_scan(spark):
+    p = plan(q.q_lookup_state(spark, SF_SMALL))
+    assert "EqualTo(id,click_8)" in p and "EqualTo(type,counter)" in p
 
 
-def test_debug_text_stays_in_the_jvm(spark):
-    assert "EvalPython" not in plan(q.q_debug_text(spark, SF_SMALL))
+def test_no_forced_broadcast(spark):
+    for name in ("upsert_merge", "lookup_bulk", "accepted_state", "running_seeded"):
+        assert "strategy=broadcast" not in getattr(q, f"q_{name}")(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString(), name

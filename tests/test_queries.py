@@ -22,7 +22,7 @@ def _norm(v):
             return (1, "nan")
         if math.isinf(v):
             return (1, str(v))
-        return (2, float(f"{v:.9g}"))
+        return (2, v)
     if isinstance(v, bool):
         return (3, int(v))
     if isinstance(v, int):

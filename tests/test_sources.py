@@ -86,22 +86,94 @@ def test_snapshot_json_roundtrip_gzip(spark, scratch):
     assert rows(spark.read.schema("id STRING, type STRING, delta BIGINT, value DOUBLE").json(gz)) == rows(state)
 
 
-def test_versioned_state_publish_and_lookup(spark, scratch):
+def test_state_base_batches_and_lookup(spark, scratch):
     root = scratch("state")
-    assert snapshot.latest_commit(spark, root) is None
     assert snapshot.read_state(spark, root).count() == 0
     u = spark.createDataFrame([(1, "a", "counter", 2, None), (2, "b", "gauge", None, 1.0)],
                               "seq BIGINT, id STRING, type STRING, delta BIGINT, value DOUBLE")
-    v1 = snapshot.publish_state(spark, fold.fold_updates(u), root, batch_id=0)
-    v2 = snapshot.publish_state(spark, fold.upsert(snapshot.read_state(spark, root), u), root, batch_id=1)
-    assert (v1, v2) == (1, 2)
-    assert snapshot.latest_commit(spark, root).batch_id == 1
-    st = snapshot.read_state(spark, root)
-    assert rows(st, "id", "delta", "value") == [("a", 4, None), ("b", None, 1.0)]
-    one = lookup.lookup_one(st, "a", "counter")
+    snapshot.publish_state(fold.fold_updates(u), root)
+    with pytest.raises(Exception, match="(?i)exists"):
+        snapshot.publish_state(fold.fold_updates(u), root)
+    for source, batch in (("s1", 0), ("s1", 1), ("s1", 1), ("s2", 0)):  # one replay
+        snapshot.write_batch(u, root, source, batch)
+    assert rows(snapshot.read_state(spark, root), "id", "delta", "value") == [("a", 8, None), ("b", None, 1.0)]
+    one = lookup.lookup_one(snapshot.base_state(spark, root), "a", "counter")
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(id,a)" in plan
-    assert one.count() == 1
+    assert rows(one, "delta") == [(2,)]
+    with pytest.raises(ValueError):
+        snapshot.write_batch(u, root, "a/b", 0)
+
+
+def test_rebase_counts_each_batch_once(spark, scratch):
+    old, new, newer = scratch("old"), scratch("new"), scratch("newer")
+    u = spark.createDataFrame([(1, "a", "counter", 1, None)], "seq BIGINT, id STRING, type STRING, delta BIGINT, value DOUBLE")
+    for batch in range(3):
+        snapshot.write_batch(u, old, "s", batch)
+    snapshot.rebase(spark, old, new)
+    snapshot.write_batch(u, new, "s", 2)  # a replay of what the base holds
+    snapshot.write_batch(u, new, "s", 3)
+    snapshot.write_batch(u, new, "other", 0)
+    assert snapshot.read_state(spark, new).first().delta == 5
+    snapshot.rebase(spark, new, newer)
+    snapshot.write_batch(u, newer, "s", 3)
+    assert snapshot.read_state(spark, newer).first().delta == 5
+    # Each file of a base holds a key range: ranges do not overlap.
+    many = spark.range(400).selectExpr("id AS seq", "concat('m', id % 50) AS id", "'counter' AS type", "1L AS delta", "CAST(NULL AS DOUBLE) AS value")
+    snapshot.publish_state(fold.fold_updates(many), scratch("x") + "/r")
+
+
+def test_array_files_restore_the_last_copy(spark, scratch):
+    data = [(i, f"m{i % 7}", "counter", i, None) for i in range(100)]
+    u = spark.createDataFrame(data, "seq BIGINT, id STRING, type STRING, delta BIGINT, value DOUBLE")
+    path = scratch("arrays")
+    snapshot.write_snapshot_arrays(u.selectExpr("*", "lpad(seq div 9, 5, '0') AS file"), path, "file", "seq")
+    got = dict(rows(snapshot.restore_state(spark, path, snapshot.ARRAY_FORMAT), "id", "delta"))
+    assert got == {f"m{k}": max(i for i in range(100) if i % 7 == k) for k in range(7)}
+
+
+def test_files_of_one_name_are_ordered_by_path(spark, scratch):
+    base = _local(scratch("paths"))
+    for folder, delta in (("a", 1), ("b", 2)):
+        os.makedirs(f"{base}/{folder}")
+        _write(f"{base}/{folder}/part.json", '{"id":"m","type":"counter","delta":%d}' % delta)
+    assert snapshot.restore_state(spark, f"{base}/*").first().delta == 2
+
+
+def test_a_cluster_must_name_its_folder(spark):
+    from tallyfold import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_batches_without_an_id_are_judged_too(spark):
+    from tallyfold.operators import validate
+
+    df = spark.createDataFrame([(None, "a", "counter", 1, None), (None, "", "counter", 1, None), (1, "b", "counter", 1, None)],
+                               "batch_id BIGINT, id STRING, type STRING, delta BIGINT, value DOUBLE")
+    assert rows(validate.accept_batches(validate.validate(df)), "id") == [("b",)]
+
+
+def test_single_metric_bodies_are_objects(spark):
+    df = spark.createDataFrame([(1, 0, "a", "counter", 1, None), (2, 0, "a", "counter", 1, None), (2, 1, "b", "gauge", None, 2.0)],
+                               "batch_id BIGINT, pos BIGINT, id STRING, type STRING, delta BIGINT, value DOUBLE")
+    got = dict(rows(json_ingest.batch_bodies(df, single_object=True)))
+    a = '{"id":"a","type":"counter","delta":1}'
+    assert got == {1: a, 2: f'[{a},{{"id":"b","type":"gauge","value":2}}]'}
 
 
 def test_case_insensitive_keys_and_outcomes(spark):
@@ -133,20 +205,6 @@ def test_read_update_files(spark, scratch):
     assert got == [("0001.json.gz", 0, "a", 2, None), ("0001.json.gz", 1, "a", 3, None), ("0002.json", 0, "g", None, 0.5)]
 
 
-def test_small_lookup_broadcasts_requests(spark):
-    state = spark.createDataFrame([("a", "counter", 3, None), ("g", "gauge", None, 0.5)],
-                                  "id STRING, type STRING, delta BIGINT, value DOUBLE")
-    req = spark.createDataFrame([(1, "a", "counter"), (2, "a", "counter"), (3, "g", "counter"), (4, "", "gauge"),
-                                 (5, "g", "gauge")], "request_id BIGINT, id STRING, type STRING")
-    plain = rows(lookup.value_lookup(req, state))
-    small = lookup.value_lookup(req, state, broadcast_max_requests=10)
-    assert rows(small.select(*lookup.value_lookup(req, state).columns)) == plain
-    plan = small._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "LeftOuter" not in plan
-    assert rows(lookup.lookup(req, state, broadcast_max_requests=10).select("request_id", "found", "delta")) == rows(
-        lookup.lookup(req, state).select("request_id", "found", "delta"))
-
-
 def test_first_record_error_order_and_null_elements(spark):
     bodies = [
         (1, '[{"id":"a","type":"counter","delta":1},{"id":"","type":"gauge","value":1},{"id":"b","type":"x","delta":1}]'),
@@ -160,17 +218,9 @@ def test_first_record_error_order_and_null_elements(spark):
     assert json_ingest.accepted_updates(dec).count() == 0
 
 
-def test_duplicate_keys_follow_the_session_setting(spark):
-    df = spark.createDataFrame([(1, '[{"id":"a","type":"counter","delta":1,"delta":7}]')], "batch_id BIGINT, body STRING")
-    assert json_ingest.explode_batches(json_ingest.decode_batch_bodies(df), ["batch_id"]).count() == 0
-    key = "spark.sql.variant.allowDuplicateKeys"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        got = rows(json_ingest.explode_batches(json_ingest.decode_batch_bodies(df), ["batch_id"]), "id", "delta")
-        assert got == [("a", 7)]
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+def test_fields_given_twice(spark):
+    bodies = ['[{"id":"a","type":"counter","delta":1,"delta":7}]', '[{"id":"a","ID":"b","id":null,"type":"counter","delta":1}]',
+              '[{"id":"a","type":"counter","delta":1,"DELTA":"x"}]']
+    df = spark.createDataFrame(list(enumerate(bodies)), "batch_id BIGINT, body STRING")
+    got = rows(json_ingest.explode_batches(json_ingest.decode_batch_bodies(df), ["batch_id"]), "batch_id", "id", "delta")
+    assert got == [(0, "a", 7), (1, "b", 1)]

@@ -38,51 +38,58 @@ def test_stream_fold_update_mode(spark, scratch):
     assert rows(final) == rows(batch)
 
 
+def _state(spark, root):
+    return rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS))
+
+
+def _folded(df):
+    return rows(fold.fold_updates(df).select(*STATE_COLUMNS))
+
+
 def test_upsert_stream_replay_and_restart(spark, scratch):
     src, root, ck, res = scratch("src"), scratch("state"), scratch("ck"), scratch("results")
     _write_parts(spark, src, [(0, 40), (40, 80)])
     stream = spark.readStream.schema(UPDATE_DDL).option("maxFilesPerTrigger", 1).parquet(src)
     fold_stream.start_state_stream(stream, root, ck, {"availableNow": True}, results_root=res).awaitTermination()
-    last = snapshot.latest_commit(spark, root)
-    assert last.batch_id == 1
-    expected = rows(fold.fold_updates(spark.read.parquet(src)).select(*STATE_COLUMNS))
-    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == expected
+    assert _state(spark, root) == _folded(spark.read.parquet(src))
 
-    # A replayed micro-batch (already committed) is skipped, not counted twice.
-    again = fold_stream.apply_batch(_updates(spark, 40, 80), 1, root)
-    assert again is False
-    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == expected
+    # A replayed micro-batch overwrites its folder, and its results, and counts once.
+    source = fold_stream.source_id(spark, ck)
+    results = rows(spark.read.parquet(res))
+    fold_stream.apply_batch(_updates(spark, 40, 80), 1, root, source, res)
+    assert _state(spark, root) == _folded(spark.read.parquet(src))
+    assert rows(spark.read.parquet(res)) == results
 
     # Restart on the same checkpoint with one more file: only the new file is applied.
     _write_parts(spark, src, [(80, 120)])
     stream = spark.readStream.schema(UPDATE_DDL).option("maxFilesPerTrigger", 1).parquet(src)
     fold_stream.start_state_stream(stream, root, ck, {"availableNow": True}, results_root=res).awaitTermination()
     all_updates = spark.read.parquet(src)
-    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == rows(
-        fold.fold_updates(all_updates).select(*STATE_COLUMNS))
+    assert _state(spark, root) == _folded(all_updates)
 
     # T4: the per-update results of all micro-batches equal W1 over all updates.
-    live = spark.read.parquet(res).drop("batch_id")
+    live = spark.read.parquet(res).drop("batch_id", "source")
     assert rows(live) == rows(running.running_result(all_updates).select(*live.columns))
 
 
-def test_deltas_compact_into_a_base(spark, scratch):
-    src, root, ck = scratch("src"), scratch("state"), scratch("ck")
-    _write_parts(spark, src, [(0, 30), (30, 60), (60, 90), (90, 120), (120, 150)])
-    stream = spark.readStream.schema(UPDATE_DDL).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (stream.writeStream.foreachBatch(
-        lambda df, bid: fold_stream.apply_batch(df, bid, root, compact_every=2, retain_bases=None))
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
-    commits = spark.read.json(f"{root}/_commits")
-    kinds = sorted((r.version, r.kind) for r in commits.collect())
-    assert [k for _, k in kinds].count("base") == 2
-    assert snapshot.pending_deltas(spark, root) == 1
-    expected = rows(fold.fold_updates(spark.read.parquet(src)).select(*STATE_COLUMNS))
-    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == expected
-    snapshot.compact(spark, root)
-    assert snapshot.pending_deltas(spark, root) == 0
-    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == expected
+def test_second_stream_and_fresh_checkpoint_lose_nothing(spark, scratch):
+    """Batch ids start at 0 again in each checkpoint; every update still counts once."""
+    root, seen = scratch("state"), None
+    snapshot.publish_state(fold.fold_updates(_updates(spark, 0, 40)), root)
+    seen = _updates(spark, 0, 40)
+    for lo in (40, 80, 120):
+        src = scratch("src")
+        _write_parts(spark, src, [(lo, lo + 20), (lo + 20, lo + 40)])
+        stream = spark.readStream.schema(UPDATE_DDL).option("maxFilesPerTrigger", 1).parquet(src)
+        fold_stream.start_state_stream(stream, root, scratch("ck"), {"availableNow": True}).awaitTermination()
+        seen = seen.unionByName(spark.read.parquet(src))
+        assert _state(spark, root) == _folded(seen)
+
+
+def test_results_read_only_the_batch_keys_of_the_state(spark):
+    state = fold.fold_updates(_updates(spark, 0, 80))
+    plan = running.running_result(_updates(spark, 80, 120), state=state)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
 
 
 def test_stream_report_windows(spark, scratch):
@@ -110,22 +117,6 @@ def test_stream_report_windows(spark, scratch):
     assert rows(final) == rows(batch.select(*final.columns))
 
 
-def test_expiry_keeps_state_and_replay_check(spark, scratch):
-    src, root, ck = scratch("src"), scratch("state"), scratch("ck")
-    _write_parts(spark, src, [(i * 20, i * 20 + 20) for i in range(7)])
-    stream = spark.readStream.schema(UPDATE_DDL).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (stream.writeStream.foreachBatch(
-        lambda df, bid: fold_stream.apply_batch(df, bid, root, compact_every=2, retain_bases=1))
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
-    versions = sorted((r.version, r.kind) for r in spark.read.json(f"{root}/_commits").collect())
-    # Only the newest base and what follows it remain.
-    assert versions[0][1] == "base" and [k for _, k in versions].count("base") == 1
-    expected = rows(fold.fold_updates(spark.read.parquet(src)).select(*STATE_COLUMNS))
-    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == expected
-    assert fold_stream.apply_batch(_updates(spark, 0, 20), 6, root) is False
-
-
 def test_stream_report_append_with_watermark(spark, scratch):
     """Append mode emits each window once, after the watermark has passed it."""
     from tallyfold.operators import report
@@ -151,53 +142,3 @@ def test_stream_report_append_with_watermark(spark, scratch):
     assert got and len({r[0] for r in got}) == len(got) // 3
     assert set(got) <= set(rows(batch.select(*emitted.columns)))
     assert "2024-01-04 00:00:00" not in {r[0] for r in got}
-
-
-def test_crash_between_write_and_commit(spark, scratch):
-    """A delta whose data was written but whose commit record was not (the writer
-    died in between) is invisible, and the replayed batch overwrites it once."""
-    root = scratch("state")
-    first = _updates(spark, 0, 40)
-    assert fold_stream.apply_batch(first, 0, root)
-    second = _updates(spark, 40, 80)
-    # Simulate the crash: the next version's data folder exists, no commit record.
-    version = snapshot.latest_commit(spark, root).version + 1
-    fold.fold_updates(second).write.parquet(f"{root}/delta/v={version:020d}")
-    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == rows(
-        fold.fold_updates(first).select(*STATE_COLUMNS))
-    # The replay of batch 1 commits it exactly once.
-    assert fold_stream.apply_batch(second, 1, root)
-    assert fold_stream.apply_batch(second, 1, root) is False
-    both = first.unionByName(second)
-    assert rows(snapshot.read_state(spark, root).select(*STATE_COLUMNS)) == rows(
-        fold.fold_updates(both).select(*STATE_COLUMNS))
-
-
-def test_read_state_merges_small_deltas_by_broadcast(spark, scratch):
-    root = scratch("state")
-    first, second = _updates(spark, 0, 40), _updates(spark, 40, 80)
-    snapshot.publish_state(spark, fold.fold_updates(first), root, batch_id=0)
-    snapshot.publish_delta(spark, fold.fold_updates(second), root, batch_id=1)
-    expected = rows(fold.fold_updates(first.unionByName(second)).select(*STATE_COLUMNS))
-    small = snapshot.read_state(spark, root)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert rows(small.select(*STATE_COLUMNS)) == expected
-    big = snapshot.read_state(spark, root, broadcast_max_keys=1)
-    assert rows(big.select(*STATE_COLUMNS)) == expected
-
-
-def test_compaction_clusters_files_by_key_range(spark, scratch):
-    root = scratch("state")
-    data = [(i, f"m{i % 50:02d}", "counter", 1, None) for i in range(400)]
-    u = spark.createDataFrame(data, UPDATE_DDL)
-    snapshot.publish_state(spark, fold.fold_updates(u.filter("seq < 200")), root, batch_id=0)
-    snapshot.publish_delta(spark, fold.fold_updates(u.filter("seq >= 200")), root, batch_id=1)
-    snapshot.compact(spark, root)
-    st = snapshot.read_state(spark, root)
-    assert rows(st.select(*STATE_COLUMNS)) == rows(fold.fold_updates(u).select(*STATE_COLUMNS))
-    # Each file of the compacted base holds a key range: ranges do not overlap.
-    ranges = sorted(
-        (r.lo, r.hi) for r in st.groupBy(F.col("_metadata.file_name")).agg(
-            F.min("id").alias("lo"), F.max("id").alias("hi")).collect()
-    )
-    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))

@@ -1,6 +1,6 @@
 """Text of values (F3-F7), listing and path export."""
 
-from conftest import rows
+from conftest import rows, shortest_plain
 from pyspark.sql import functions as F
 
 from tallyfold.functions import text
@@ -30,7 +30,29 @@ def test_shortest_digits_random(spark):
     rnd = random.Random(7)
     vals = [rnd.uniform(-1e6, 1e6) for _ in range(300)] + [rnd.random() * 10 ** rnd.randint(-12, 25) for _ in range(300)]
     got = fmt(spark, vals)
-    assert got == [text.shortest_plain(v) for v in vals]
+    assert got == [shortest_plain(v) for v in vals]
+
+
+def test_wide_texts_against_python(spark):
+    """Every exponent, subnormals, powers of two and ten, and integers around 2**53 to 2**63."""
+    import random
+    import struct
+
+    rnd = random.Random(11)
+    vals = [struct.unpack("<d", struct.pack("<Q", rnd.getrandbits(64)))[0] for _ in range(3000)]
+    vals += [float(rnd.randrange(2**53, 2**63)) for _ in range(1500)] + [10.0**k for k in range(-323, 309)] + [2.0**k for k in range(-1074, 1024)]
+    vals += [struct.unpack("<d", struct.pack("<Q", k))[0] for k in (*range(1, 200), *(rnd.getrandbits(52) for _ in range(300)))]
+    vals = [v for v in vals if v == v and abs(v) != float("inf")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i INT, v DOUBLE")
+    got = df.select("i", text.format_float("v").alias("f"), text.json_float("v").alias("j"), text.round_half_even_text("v").alias("r")).orderBy("i").collect()
+    assert [r.f for r in got] == [shortest_plain(v) for v in vals]
+    assert [float(r.j) for r in got] == vals
+    assert [r.r for r in got] == [f"{v:.0f}" for v in vals]
+
+
+def test_line_separators_are_escaped(spark):
+    df = spark.createDataFrame([("a\u2028b\u2029c", "gauge", None, 1.0)], "id STRING, type STRING, delta BIGINT, value DOUBLE")
+    assert df.select(text.metric_json().alias("j")).first().j == '{"id":"a\\u2028b\\u2029c","type":"gauge","value":1}'
 
 
 def test_value_text_and_debug(spark):
