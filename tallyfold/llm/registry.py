@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyfold.llm import byte_bpe, decontaminate, html_text, licenses, near_dup, quality, secrets, token_files, top_k, toxicity
+from tallyfold.llm.oracle import ORACLE as ORACLE
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,5 +17,3 @@ QUERIES = {
     "op9_top_k": top_k.op9_top_k,
     "op10_quality": quality.op10_quality,
 }
-
-ORACLE: dict[str, str] = {}
