@@ -5,9 +5,9 @@ never in exponent form (``10.0 -> "10"``, ``1e21 -> "1000000000000000000000"``).
 For ``1e-4 <= |v| < 2**53`` the Java digits of ``cast(v as string)`` are the shortest:
 in ``[1e-3, 1e7)`` they are already plain and only trailing zeros are cut; elsewhere
 in the range an exact decimal cast removes the exponent first. Outside that range
-Java's digits are not always the shortest. Those values are rounded to 1, 2, ... 17
-digits, and the first one that reads back to the same double is printed;
-integers below 2**63 start from their exact digits.
+Java's digits are not always the shortest. Those values are rounded to 15, 16 and 17
+digits (subnormals from 1 on), and the first one that reads back to the same double is
+printed; integers below 2**63 start from their exact digits.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ def _c(col: str | Column) -> Column:
 
 
 _MAX_DIGITS = 17
+_LEAST_NORMAL = 2.0**-1022
 _TWO_63 = float(2**63)
 
 
@@ -65,18 +66,29 @@ def _shortest_digits(a: Column) -> Column:
 
     def search(z: Column) -> Column:
         size = F.length(z["m"].cast("string"))
+        whole = F.struct(z["m"].cast("string").alias("d"), z["x"].alias("x"))
 
-        def rounded(n: Column) -> Column:
+        def neighbours(n: Column) -> list[Column]:
+            """The two roundings to n digits, the nearer first: below a power of two only the other may read back."""
             cut = size - n
             unit = F.element_at(power, cut + 1)
             up = F.when(z["m"] % unit >= unit - z["m"] % unit, 1).otherwise(0)  # no sum that could leave int64
             low, x = _div(z["m"], unit), (z["x"] + cut).alias("x")
-            # The nearer neighbour first; below a power of two only the other one may read back.
-            return F.array(F.struct((low + up).cast("string").alias("d"), x), F.struct((low + 1 - up).cast("string").alias("d"), x))
-
-        texts = F.flatten(F.transform(F.sequence(F.lit(1), F.least(size, F.lit(_MAX_DIGITS))), rounded))
-        good = F.filter(texts, lambda t: F.concat(t["d"], F.lit("E"), t["x"].cast("string")).cast("double") == z["a"])
-        return _let(F.element_at(good, 1), _without_end_zeros)
+            return [F.struct(m.cast("string").alias("d"), x) for m in (low + up, low + 1 - up)]
+
+        def reads_back(t: Column) -> Column:
+            return F.concat(t["d"], F.lit("E"), t["x"].cast("string")).cast("double") == z["a"]
+
+        # Up to 15 digits there is one decimal at most that reads back, so fewer come out as zeros at the end.
+        tries = [
+            F.when(size >= n, _let(t, lambda t: F.when(reads_back(t), t)))
+            for n, k in ((15, 1), (16, 2), (17, 2))
+            for t in neighbours(F.lit(n))[:k]
+        ]
+        normal = F.when(size <= 15, whole).otherwise(F.coalesce(*tries, whole))
+        every = F.flatten(F.transform(F.sequence(F.lit(1), F.least(size, F.lit(_MAX_DIGITS))), lambda n: F.array(*neighbours(n))))
+        subnormal = F.element_at(F.filter(every, reads_back), 1)
+        return _let(F.when(z["a"] < F.lit(_LEAST_NORMAL), subnormal).otherwise(normal), _without_end_zeros)
 
     return _let(F.struct(a.alias("a"), start["m"].alias("m"), start["x"].alias("x")), search)
 

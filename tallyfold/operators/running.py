@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.model import KEY
@@ -26,14 +26,22 @@ from tallyfold.model import KEY
 LEVEL_BITS = 16
 
 
-def _add(sums: Column) -> Column:
-    return F.sum(sums).cast("decimal(38,0)")
-
-
 def _levels(level_bits: int) -> list[str]:
     return [f"_b{k}" for k in range(1, -(-64 // level_bits))]
 
 
+def _dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` partitioned by ``by``, its other columns packed into one.
+
+    Every branch that reads the result then needs the same columns, so Spark runs one
+    exchange for all of them instead of one pruned copy (and one scan) for each.
+    """
+    rest = [c for c in df.columns if c not in by]
+    packed = df.select(*by, F.array(F.struct(*rest)).alias("_rest")).repartition(*by)
+    one = F.element_at("_rest", 1)
+    return packed.select(*by, *[one[c].alias(c) for c in rest])
+
+
 def running_result(
     updates: DataFrame,
     state: DataFrame | None = None,
@@ -49,42 +57,46 @@ def running_result(
     """
     key = list(key)
     levels = _levels(level_bits)
+    wide = "decimal(38,0)"
+    zero, none = F.lit(0).cast(wide), F.lit(0).cast("bigint")
+    # The key as one struct, and an order that is never null: no row can fall out of a join.
+    order = F.coalesce(F.col(seq), F.lit(-(2**63)))
+    rows = updates.select(F.struct(*key).alias("_k"), order.alias("_seq"), "value", F.col("delta").cast(wide).alias("_d"))
     shift = [F.shiftright("_seq", level_bits * (k + 1)).alias(b) for k, b in enumerate(levels)]
-    rows = updates.select(F.col(seq).alias("_seq"), *key, "value", F.col("delta").cast("decimal(38,0)").alias("_d"))
     rows = rows.select("*", *shift, F.col("_d").isNull().cast("bigint").alias("_n"))
     # One exchange: the windows and the totals of the lowest level both read it.
-    rows = rows.repartition(*key, levels[0])
-    upto = Window.partitionBy(*key, levels[0]).orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.select("_seq", *key, "value", levels[0], F.sum("_d").over(upto).alias("_ld"), F.sum("_n").over(upto).alias("_ln"))
-    totals = [rows.groupBy(*key, *levels).agg(_add(F.col("_d")).alias("_d"), F.sum("_n").alias("_n"))]
-    for k in range(1, len(levels)):
-        totals.append(totals[-1].groupBy(*key, *levels[k:]).agg(_add(F.col("_d")).alias("_d"), F.sum("_n").alias("_n")))
+    rows = _dealt(rows, ["_k", levels[0]])
+    upto = Window.partitionBy("_k", levels[0]).orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.select("_k", levels[0], "_seq", "value", F.sum("_d").over(upto).alias("_ld"), F.sum("_n").over(upto).alias("_ln"))
+    sums = [F.sum("_d").cast(wide).alias("_d"), F.sum("_n").alias("_n")]
+    totals = []
+    for k in range(len(levels)):
+        below = rows if k == 0 else totals[-1]
+        totals.append(_dealt(below.groupBy("_k", *levels[k:]).agg(*sums), ["_k", *levels[k + 1 :]]))
 
     # Offsets from the top of the tree down; the state enters there, once per key.
     offsets = None
     for k in reversed(range(len(levels))):
         own, parent = levels[k], levels[k + 1 :]
-        before = Window.partitionBy(*key, *parent).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
-        here = totals[k].select(*key, *levels[k:], F.sum("_d").over(before).alias("_od"), F.sum("_n").over(before).alias("_on"))
+        before = Window.partitionBy("_k", *parent).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+        here = totals[k].select("_k", *levels[k:], F.sum("_d").over(before).alias("_od"), F.sum("_n").over(before).alias("_on"))
         if offsets is not None:
-            above = offsets.select(*key, *parent, F.col("_od").alias("_ad"), F.col("_on").alias("_an"))
-            here = here.join(above, [*key, *parent])
+            above = offsets.select("_k", *parent, F.col("_od").alias("_ad"), F.col("_on").alias("_an"))
+            here = here.join(above, ["_k", *parent])
         elif state is not None:
-            # ``totals`` of the top level hold a few rows per updated key.
-            own_keys = totals[k].select(*key).distinct()
-            seeds = state.join(own_keys, key, "left_semi").select(
-                *key, F.col("delta").cast("decimal(38,0)").alias("_ad"), F.col("delta").isNull().cast("bigint").alias("_an")
-            )
-            here = here.join(seeds, key, "left")
+            # The top level holds a few rows per updated key.
+            seeds = state.select(F.struct(*key).alias("_k"), F.col("delta").cast(wide).alias("_ad"), F.col("delta").isNull().cast("bigint").alias("_an"))
+            here = here.join(seeds.join(totals[k].select("_k").distinct(), "_k", "left_semi"), "_k", "left")
         else:
-            here = here.select("*", F.lit(None).cast("decimal(38,0)").alias("_ad"), F.lit(0).cast("bigint").alias("_an"))
-        zero = F.lit(0).cast("decimal(38,0)")
+            here = here.select("*", F.lit(None).cast(wide).alias("_ad"), none.alias("_an"))
         offsets = here.select(
-            *key,
+            "_k",
             *levels[k:],
-            (F.coalesce("_od", zero) + F.coalesce("_ad", zero)).cast("decimal(38,0)").alias("_od"),
-            (F.coalesce("_on", F.lit(0).cast("bigint")) + F.coalesce("_an", F.lit(0).cast("bigint"))).alias("_on"),
+            (F.coalesce("_od", zero) + F.coalesce("_ad", zero)).cast(wide).alias("_od"),
+            (F.coalesce("_on", none) + F.coalesce("_an", none)).alias("_on"),
         )
-    joined = local.join(offsets.select(*key, levels[0], "_od", "_on"), [*key, levels[0]])
-    total = (F.coalesce("_ld", F.lit(0).cast("decimal(38,0)")) + F.col("_od")).cast("decimal(38,0)").cast("bigint")
-    return joined.select(F.col("_seq").alias(seq), *key, F.when(F.col("_on") + F.col("_ln") == 0, total).alias("delta"), "value")
+    joined = local.join(offsets.select("_k", levels[0], "_od", "_on"), ["_k", levels[0]])
+    total = (F.coalesce("_ld", zero) + F.col("_od")).cast(wide).cast("bigint")
+    return joined.select(
+        F.col("_seq").alias(seq), *[F.col(f"_k.{c}").alias(c) for c in key], F.when(F.col("_on") + F.col("_ln") == 0, total).alias("delta"), "value"
+    )

@@ -108,6 +108,12 @@ def test_sparse_order_keeps_windows_small(spark):
         assert got[seq] == total
 
 
+def test_rows_without_key_or_value_stay(spark):
+    u = upd(spark, [(1, None, "counter", 1, None), (2, None, "counter", 2, None), (3, "a", None, None, 2.0)])
+    got = {(r.seq, r.id, r.type, r.delta, r.value) for r in running.running_result(u).collect()}
+    assert got == {(1, None, "counter", 1, None), (2, None, "counter", 3, None), (3, "a", None, None, 2.0)}
+
+
 def test_partial_sums_may_leave_int64(spark):
     """One rule for every form: only the total has to fit."""
     big = 2**63 - 1
