@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -40,11 +42,28 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: what a task makes of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null is the empty text."""
     return [t or "" for t in column.to_pylist()]
 
 
+def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], salts: int = 16) -> DataFrame:
+    """Inner join of many ``rows`` with one row ``per_key``; a key's rows are dealt to ``salts`` parts.
+
+    For keys that may hold a third of all rows. The other side is small: it is repeated ``salts`` times.
+    """
+    parts = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    return dealt.join(parts, [*keys, "__salt"]).drop("__salt")
+
+
 def id_filter(ids: Column, df: DataFrame) -> np.ndarray:
     """A fixed-size hashed bitmap of the ids of ``df`` (one-sided: no false negatives).
 

@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, filter_slot, id_filter, in_filter, staged, texts_of
+from tallyfold.llm.common import columns, documents, filter_slot, id_filter, in_filter, salted_join, small_batches, staged, texts_of
 from tallyfold.llm.components import components
-from tallyfold.llm.shingles import MinHash, shingle_set, sketch, words_of
+from tallyfold.llm.shingles import MinHash, forget, shingle_set, sketch, words_of
 
 BANDS, ROWS = 32, 4
 SIMILARITY_PERCENT = 75
@@ -51,7 +51,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(BANDS, ROWS)
-        for b in batches:
+        for b in small_batches(batches):
             digest, n, sk, bands = [], [], [], []
             for text in texts_of(b.column(1)):
                 words = words_of(text)
@@ -65,6 +65,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 [b.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(sk, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 ["id", "digest", "n", "sketch", "bands"],
             )
+        forget()
 
     return docs.mapInArrow(run, "id long, digest binary, n long, sketch binary, bands array<long>")
 
@@ -78,12 +79,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             b = b.filter(pa.array(in_filter(shared.value, b.column(2).to_numpy())))
             words = [words_of(t) for t in texts_of(b.column(1))]
             sets = [shingle_set(w).tobytes() for w in words]
             digest = [xxhash.xxh3_128_digest("\n".join(w).encode("utf-8", "surrogatepass")) for w in words]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "shingles"])
+        forget()
 
     rows = docs.select("id", "text", filter_slot(F.col("id")).alias("slot")).mapInArrow(run, "id long, digest binary, shingles binary")
     return rows.join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
@@ -120,7 +122,7 @@ def _full_sets_agree(pairs: DataFrame) -> DataFrame:
     """Pairs (c, id, c_set, id_set) that the full sets confirm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
@@ -140,7 +142,7 @@ def _blocks(members: DataFrame, per_block: int, weight: Column, block_weight: in
     heavy = lambda flag: F.sum(F.when(flag, weight).otherwise(0))
     count = lambda flag: F.greatest(F.ceil(side(flag) / per_block), F.ceil(heavy(flag) / block_weight), F.lit(1)).cast("int")
     sizes = members.groupBy("c").agg(count(F.col("main")).alias("n_main"), count(~F.col("main")).alias("n_rest"))
-    m = members.join(sizes, "c")
+    m = salted_join(members, sizes, ["c"], ["id", "digest"])
     own = F.pmod(F.xxhash64("id", "digest"), F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
     m = m.withColumn("own", own)
     mains = F.transform(F.sequence(F.lit(0), F.col("n_main") - 1), lambda i: F.struct(i.alias("i"), (F.col("own") + 0).alias("j"), F.lit(False).alias("left")))
@@ -239,9 +241,11 @@ def _rest_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, comps: Data
     named = members.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("c", "id", F.coalesce("component", "id").alias("comp"))
     named = staged(named, "members")
     # Two nodes alone, the centre and another, have been compared already.
-    split = named.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo < hi and k > 2").select("c")
-    centre = named.filter("c = id").select("c", F.col("comp").alias("c_comp"))
-    open_members = named.join(split, "c", "left_semi").join(centre, "c").select("c", "id", "comp", (F.col("comp") == F.col("c_comp")).alias("main"))
+    # Two nodes alone, the centre and another, have been compared already.
+    c_comp = F.max(F.when(F.col("c") == F.col("id"), F.col("comp")))
+    split = named.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), c_comp.alias("c_comp"))
+    split = split.filter("lo < hi and k > 2").select("c", "c_comp")
+    open_members = salted_join(named, split, ["c"], ["id"]).select("c", "id", "comp", (F.col("comp") == F.col("c_comp")).alias("main"))
     with_sketch = open_members.join(nodes.select("id", "digest", "n", "sketch"), "id")
     dealt = _blocks(with_sketch, SKETCH_BLOCK, F.lit(0), 1)
 

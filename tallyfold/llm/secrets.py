@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, staged
+from tallyfold.llm.common import columns, documents, salted_join, staged
 
 # The base patterns (the last two with their least length), in listed order.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,8 +31,6 @@ OWNED = r"[A-Za-z0-9+/_-]{20,}"
 EXAMPLE_OWNERS = 3
 #: A live-looking value has so many different characters, letters and digits among them.
 LIVE_CHARACTERS = 8
-#: Parts that the candidates of one hash are dealt to when its counts are joined.
-SALTS = 16
 
 
 def _spans(text: Column, kind: int, regex: str, group: int, least: int) -> Column:
@@ -109,13 +107,11 @@ def classified(scanned: DataFrame) -> DataFrame:
     """Candidates with corpus counts: doc_id, text_hash, start, stop, kind, n_owners, n_repos, verdict.
 
     verdict: ``example`` (many owners), ``live`` (few owners, looks random) or ``plain``.
-    One hash may hold a third of all candidates: its rows are dealt to SALTS parts.
+    One hash may hold a third of all candidates: its rows are dealt to several parts.
     """
     each = scanned.select("doc_id", "text_hash", "owner", "repo", F.explode("found").alias("f")).select("doc_id", "text_hash", "owner", "repo", "f.*")
-    counts = ownership(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.lit(SALTS)).cast("int"))
     verdict = F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when(F.col("live"), "live").otherwise("plain")
-    joined = each.join(counts, ["hash", "salt"])
+    joined = salted_join(each, ownership(each), ["hash"], ["doc_id", "text_hash", "start"])
     return joined.select("doc_id", "text_hash", "start", "stop", "kind", "n_owners", "n_repos", verdict.alias("verdict"))
 
 

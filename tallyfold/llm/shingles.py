@@ -11,7 +11,8 @@ SHINGLE_WORDS = 5
 _LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 400_000
+#: Words whose hash a worker remembers before it starts afresh.
+_CACHE = 200_000
 
 
 class _Hashes(dict):
@@ -25,6 +26,16 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget() -> None:
+    """Give the memory back at the end of a task."""
+    _HASHES.clear()
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words, one by one."""
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 def words_of(text: str) -> list[str]:
     """Words with A-Z in lower case; white space is the space and U+0009 to U+000D."""
     return _WORD.findall(text.translate(_LOWER))
@@ -34,7 +45,7 @@ def shingle_set(words: list[str], size: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; fewer words make one shingle."""
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = hashes_of(words)
     k = min(size, len(h))
     with np.errstate(over="ignore"):
         s = h[: len(h) - k + 1] ^ np.uint64(k)
