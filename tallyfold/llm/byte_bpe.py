@@ -28,9 +28,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, texts_of
+from tallyfold.llm.common import columns, documents, small_batches, texts_of
 from tallyfold.llm.runs import WHITE_SPACE, RunEncoder
 
+#: Runs, and letter cores, that a worker remembers before it starts afresh.
+CACHE_RUNS, CACHE_CORES = 400_000, 300_000
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 _RUNS = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 
@@ -70,7 +72,7 @@ class ByteBpe(RunEncoder):
             ]
         )
         self.bytes_of = {r: b for b, r in ranks.items()}
-        super().__init__(tokenizer)
+        super().__init__(tokenizer, cache_runs=CACHE_RUNS, cache_cores=CACHE_CORES)
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_runs(_RUNS.findall(text))
@@ -107,7 +109,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, kind = byte_bpe(path), pa.list_(pa.int32())
-        for b in batches:
+        for b in small_batches(batches):
             texts = texts_of(b.column(1))
             ids = [bpe.encode(t) for t in texts]
             out = [b.column(0), pa.array([x.astype(np.int32) for x in ids], kind)]
@@ -115,6 +117,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
                 both = [bpe.offsets(t, x) for t, x in zip(texts, ids, strict=True)]
                 out += [pa.array([o[k].astype(np.int32) for o in both], kind) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "starts", "ends"][: len(out)])
+        bpe.forget()
 
     return columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
@@ -138,7 +141,7 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
-        for b in batches:
+        for b in small_batches(batches):
             n, ids_sha, text_sha = [], [], []
             for text in texts_of(b.column(1)):
                 ids = bpe.encode(text)
@@ -149,6 +152,7 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)

@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, staged, texts_of
+from tallyfold.llm.common import columns, documents, small_batches, staged, texts_of
+from tallyfold.llm.shingles import forget, hashes_of
 
 # Fixed masks: 1 selects a word, 0 ignores it.
 MASKS = ["110111", "1101011", "1110010111"]
@@ -39,23 +40,10 @@ FILTER_BITS = 1 << 25
 _BITMAP = 8 * 4096
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 400_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > _CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-_HASHES = _Hashes()
 
 
 def word_hashes(text: str) -> np.ndarray:
-    words = _WORD.findall(text.lower())
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    return hashes_of(_WORD.findall(text.lower()))
 
 
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
@@ -126,7 +114,7 @@ def suspects(docs: DataFrame, bench: DataFrame, masks: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         hit_type = pa.list_(pa.struct([("pos", pa.int32()), ("seed", pa.int64())]))
-        for b in batches:
+        for b in small_batches(batches):
             texts = texts_of(b.column(1))
             each = [word_hashes(t) for t in texts]
             ends = np.cumsum([len(h) for h in each])
@@ -154,6 +142,7 @@ def suspects(docs: DataFrame, bench: DataFrame, masks: list[str]) -> DataFrame:
                     ],
                     ["doc_id", "text_hash", "words", "hits"],
                 )
+        forget()
 
     schema = "doc_id long, text_hash long, words binary, hits array<struct<pos:int,seed:long>>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)

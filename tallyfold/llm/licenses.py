@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, texts_of
-from tallyfold.llm.decontaminate import _HASHES, _WORD, seeds
+from tallyfold.llm.common import columns, documents, small_batches, texts_of
+from tallyfold.llm.decontaminate import _WORD, seeds
+from tallyfold.llm.shingles import hashes_of
 
 GRAM, WINDOW, BAND = 3, 2, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -80,10 +81,6 @@ TEMPLATES: dict[str, list[str]] = {
 }
 
 
-def _hashed(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def winnow(h: np.ndarray) -> np.ndarray:
     """Places of the fingerprints among the gram hashes: the last smallest of each window."""
     if len(h) <= WINDOW:
@@ -102,7 +99,7 @@ class Index:
         for t, words in enumerate(self.words):
             if len(words) < GRAM + WINDOW - 1:
                 raise ValueError(f"template of {self.names[t]} is too short to be found for certain")
-            grams = seeds(_hashed(words), "1" * GRAM)
+            grams = seeds(hashes_of(words), "1" * GRAM)
             for p in winnow(grams).tolist():
                 self.places[int(grams[p])].append((t, p))
         self.keys = np.array(sorted(self.places), dtype=np.uint64)
@@ -179,10 +176,10 @@ def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
-        for b in batches:
+        for b in small_batches(batches):
             ids, rows = b.column(0).to_pylist(), []
             for i, text in zip(ids, texts_of(b.column(1)), strict=True):
-                grams = seeds(_hashed(_WORD.findall(text.lower())), "1" * GRAM)
+                grams = seeds(hashes_of(_WORD.findall(text.lower())), "1" * GRAM)
                 at = index.hits(grams)
                 if len(at):
                     rows += [(i, *m) for m in scan_text(text, index, at, grams)]

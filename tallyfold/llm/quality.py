@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, staged, texts_of
+from tallyfold.llm.common import columns, documents, small_batches, staged, texts_of
 from tallyfold.llm.toxicity import _logistic, held_out
 
 TRAIN_DOCS, TRAIN_CHARS = 2000, 20_000
@@ -149,7 +149,7 @@ def log_odds(docs: DataFrame, model: Classifier | None, *, text_col: str, out: s
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             texts = texts_of(b.column(at))
             v = np.zeros(len(texts)) if shared.value is None else shared.value.log_odds(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v, pa.float64())], [*b.schema.names, out])

@@ -9,8 +9,6 @@ import numpy as np
 
 #: Inside of a character class: Unicode White_Space.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Runs, and letter cores, that a worker remembers before it starts afresh.
-CACHE_RUNS, CACHE_CORES = 1_000_000, 700_000
 #: Marks that end a run of letters, open no contraction and combine with nothing.
 _TAIL = ".,;:!?*%&#$|"
 _BATCH = 4096
@@ -23,12 +21,19 @@ class RunEncoder:
     letters and marks are encoded, and remembered, on their own.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, *, cache_runs: int, cache_cores: int):
+        """``cache_runs``, ``cache_cores``: runs and letter cores remembered before starting afresh."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one worker per core
         self._batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self._limits = cache_runs, cache_cores
         self._known: dict[str, bytes] = {}
         self._cores: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the memory back: a worker outlives its task, and the next one may be of another operator."""
+        self._known.clear()
+        self._cores.clear()
+
     def core_key(self, core: str) -> str:
         """What a run of letters is remembered under."""
         return core
@@ -38,7 +43,7 @@ class RunEncoder:
         if None in found:
             at = [i for i, ids in enumerate(found) if ids is None]
             missing = list(dict.fromkeys([runs[i] for i in at]))
-            if len(self._known) + len(missing) > CACHE_RUNS:
+            if len(self._known) + len(missing) > self._limits[0]:
                 self._known.clear()
             self._learn(missing)
             for i in at:
@@ -53,7 +58,7 @@ class RunEncoder:
                 pieces.append((self.core_key(core), r[len(core) :]))
             else:
                 pieces.append((r, ""))
-        if len(cores) > CACHE_CORES:
+        if len(cores) > self._limits[1]:
             cores.clear()
         new = list(dict.fromkeys(p for pair in pieces for p in pair if p and p not in cores))
         for at in range(0, len(new), _BATCH):

@@ -42,6 +42,8 @@ RANK_BLOCK = 512  # bits per rank directory entry
 END_ID = 2
 #: A file is closed once it holds this many tokens; one document is never split.
 FILE_TOKENS = 8_000_000
+#: Words, and letter cores, that a worker remembers before it starts afresh.
+CACHE_RUNS, CACHE_CORES = 1_000_000, 700_000
 WORD_VOCAB = "word_bpe_49k.json"
 
 
@@ -63,7 +65,7 @@ class WordEncoder(RunEncoder):
 
         tokenizer = Tokenizer.from_file(vocab_path)
         tokenizer.encode_special_tokens = True
-        super().__init__(tokenizer)
+        super().__init__(tokenizer, cache_runs=CACHE_RUNS, cache_cores=CACHE_CORES)
 
     def core_key(self, core: str) -> str:
         low = core.lower()

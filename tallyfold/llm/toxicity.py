@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, texts_of
+from tallyfold.llm.common import columns, documents, small_batches, texts_of
 
 TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
 PREFIXES = (4, 5, 6)
@@ -270,7 +270,7 @@ def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in small_batches(batches):
             got = [(0.0, []) if model is None else model.document(t) for t in texts_of(b.column(1))]
             spans = [",".join(f"{s}:{e}" for s, e in x[1]) for x in got]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in got], pa.float64()), pa.array(spans)], ["doc_id", "held_out", "score", "spans"])

@@ -56,10 +56,8 @@ def test_split_characters_decode_in_parts():
 
 
 def test_cache_limits_change_nothing(monkeypatch):
-    from tallyfold.llm import runs
-
-    monkeypatch.setattr(runs, "CACHE_RUNS", 20)
-    monkeypatch.setattr(runs, "CACHE_CORES", 10)
+    monkeypatch.setattr(byte_bpe, "CACHE_RUNS", 20)
+    monkeypatch.setattr(byte_bpe, "CACHE_CORES", 10)
     test_byte_ids_match_tiktoken_and_decode()
 
 
