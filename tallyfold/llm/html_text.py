@@ -55,9 +55,16 @@ _WORDS = re.compile(
     re.I,
 )
 _COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|reply|disqus)(?:$|[\s_-])", re.I)
+# A layout that has a sidebar is no sidebar.
+_ABOUT = re.compile(r"(?:has|with|without|no|is|show|hide)[_-]", re.I)
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _names(attrs: dict) -> list[str]:
+    """The class words and the id of an element, without those that tell of its layout."""
+    return [n for n in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split() if not _ABOUT.match(n)]
+
+
 class _Lines(HTMLParser):
     """Cuts a page into lines: (container, text, tags)."""
 
@@ -83,12 +90,13 @@ class _Lines(HTMLParser):
     def _drops(self, tag: str, attrs: dict) -> bool:
         if tag in _DROPPED:
             return True
-        named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+        named = _names(attrs)
+        words = _COMMENTS if tag in _CONTAINERS else _WORDS
         return bool(
             ("hidden" in attrs)
             or attrs.get("aria-hidden") == "true"
             or (attrs.get("role") or "").lower() in _ROLES
-            or (tag not in ("html", "body") and named != " " and _WORDS.search(named))
+            or (tag not in ("html", "body") and any(words.search(n) for n in named))
             or _NOT_SHOWN.search(attrs.get("style") or "")
         )
 
@@ -108,7 +116,7 @@ class _Lines(HTMLParser):
         if self._dropped_at is None:
             if self._drops(tag, found):
                 self._dropped_at = len(self._open) - 1
-                self._in_comments = bool(_COMMENTS.search(f"{found.get('class') or ''} {found.get('id') or ''}"))
+                self._in_comments = any(_COMMENTS.search(n) for n in _names(found))
             elif tag in _CONTAINERS:
                 self._n_containers += 1
                 self._containers.append((len(self._open) - 1, self._n_containers))

@@ -106,6 +106,7 @@ def test_main_text_of_pages(spark):
     for tag in ("article", "main"):
         assert main_text(PAGE % (article % (tag, tag))) == want
     assert main_text("<div class=ad>unclosed <article><p>Body text</p></article>") == "Body text"
+    assert main_text("<div class='page with-sidebar'><article class='post related'><p>Body</p><div class=post-comments>No</div></article></div>") == "Body"
     for broken in ("<", "<p", "a < b", "<!-- x", "&#x;", "</p></div>", "<a href='", "<script>x"):
         main_text(broken)
     rows = [(1, "u", PAGE % (article % ("article", "article")), "s"), (2, None, None, "s"), (None, "u", "", "s"), (4, "u", "<p>" + "long " * 100_000, "s"), (4, "u", "<p>x", "s")]
