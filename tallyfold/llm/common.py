@@ -28,9 +28,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under names that cannot clash, and where each of its names went (the first of equal ones)."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    where = dict(zip(reversed([c.lower() for c in df.columns]), reversed(names), strict=True))
+    return df.toDF(*names), where | dict(zip(reversed(df.columns), reversed(names), strict=True))
+
+
 def columns(df: DataFrame, **named: str) -> DataFrame:
     """Only the columns used, under our own names: extra or clashing columns cannot interfere."""
-    return df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in named.items()])
+    renamed, where = by_position(df)
+    return renamed.select(*[F.col(where[src]).alias(dst) for dst, src in named.items()])
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:

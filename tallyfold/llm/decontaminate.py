@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, small_batches, staged, texts_of
+from tallyfold.llm.common import by_position, columns, documents, small_batches, staged, texts_of
 from tallyfold.llm.shingles import forget, hashes_of
 
 # Fixed masks: 1 selects a word, 0 ignores it.
@@ -211,8 +211,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
     """``docs`` without the rows that overlap with a benchmark item; all columns stay."""
     bad = staged(overlaps(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col), "overlaps")
     bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
+    rows, where = by_position(docs)
+    text = F.coalesce(F.col(where[text_col]), F.lit(""))
+    same = F.col(where[id_col]).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    return rows.join(bad, same, "left_anti").toDF(*docs.columns)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

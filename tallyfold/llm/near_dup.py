@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, filter_slot, id_filter, in_filter, salted_join, small_batches, staged, texts_of
+from tallyfold.llm.common import by_position, columns, documents, filter_slot, id_filter, in_filter, salted_join, small_batches, staged, texts_of
 from tallyfold.llm.components import components
 from tallyfold.llm.shingles import MinHash, forget, shingle_set, sketch, words_of
 
@@ -298,7 +298,8 @@ def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept"))
     gone = staged(gone.select(F.col("doc_id").alias("__id")).distinct(), "near-duplicates-gone")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    rows, where = by_position(docs)
+    return rows.join(gone, F.col(where[id_col]) == F.col("__id"), "left_anti").toDF(*docs.columns)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, small_batches, staged, texts_of
+from tallyfold.llm.common import by_position, columns, documents, small_batches, staged, texts_of
 from tallyfold.llm.toxicity import _logistic, held_out
 
 TRAIN_DOCS, TRAIN_CHARS = 2000, 20_000
@@ -188,11 +188,12 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
 def kept_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """``docs`` without the rows that :func:`quality` rejects; all columns stay."""
     model, sites, mean = fitted(docs, labels, id_col=id_col, text_col=text_col, host_col=host_col, path_col=path_col, label_col=label_col)
-    scored = log_odds(docs, model, text_col=text_col, out="__odds")
+    rows, where = by_position(docs)
+    scored = log_odds(rows, model, text_col=where[text_col], out="__odds")
     s = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("site").alias("__site"))
-    on = (_key(F.col(f"`{host_col}`")) == F.col("__host")) & (_key(F.col(f"`{path_col}`")) == F.col("__path"))
+    on = (_key(F.col(where[host_col])) == F.col("__host")) & (_key(F.col(where[path_col])) == F.col("__path"))
     kept = scored.join(s, on, "left").filter(_posterior(F.col("__odds"), F.col("__site"), mean) >= KEEP)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*rows.columns).toDF(*docs.columns)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, salted_join, staged
+from tallyfold.llm.common import by_position, columns, documents, salted_join, staged
 
 # The base patterns (the last two with their least length), in listed order.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -150,7 +150,8 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
     spans = secret_spans(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col)
     live = spans.select("doc_id", "text_hash", F.filter("spans", lambda s: s["verdict"] == "live").alias("live")).filter(F.size("live") > 0)
     live = live.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("live").alias("__live"))
-    text = F.col(f"`{text_col}`")
+    rows, where = by_position(docs)
+    text = F.col(where[text_col])
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -159,13 +160,13 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
 
     walked = F.aggregate("__live", first, step)
     clean = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
-    hit = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash"))
+    hit = F.col(where[id_col]).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash"))
     changed = F.col("__live").isNotNull()
-    new = {text_col: clean}
+    new = {where[text_col]: clean}
     if length_col:
-        new[length_col] = F.length(clean).cast(docs.schema[length_col].dataType)
-    named = [F.when(changed, new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(live, hit, "left").select(*named)
+        new[where[length_col]] = F.length(clean).cast(rows.schema[where[length_col]].dataType)
+    named = [F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns]
+    return rows.join(live, hit, "left").select(*named).toDF(*docs.columns)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,7 +193,7 @@ def test_pipeline_is_its_parts_and_keeps_clean_documents(spark):
 
 def test_stages_return_the_columns_and_survive_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", None), (None, "x y z", "a"), (3, "one two three", "a"), (3, "one two three", "a"), (4, "password=abcdefgh12", "a")]
-    for extra in ((), ("digest", "hits", "spans")):
+    for extra in ((), ("digest", "hits", "spans", "__id"), ("text", "doc_id", "TEXT", "source")):
         docs = documents(spark, rows, extra=extra)
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, SF)
