@@ -71,7 +71,47 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM docs d LEFT JOIN per_doc p ON p.doc_id = d.doc_id"""
 
+def _seeds(table: str, key: str, words: str) -> str:
+    """(key, mask, pos, seed): the selected words of every window, by mask."""
+    parts = []
+    for mask, (span, picks) in enumerate(((6, (0, 1, 3, 4, 5)), (7, (0, 1, 3, 5, 6)), (10, (0, 1, 2, 5, 7, 8, 9)))):
+        seed = " || ' ' || ".join(f"{words}[i + {k}]" for k in picks)
+        each = f"list_transform(range(1, len({words}) - {span - 2}), lambda i: {{'pos': i, 'seed': {seed}}})"
+        parts.append(f"SELECT {key}, {mask} AS mask, s.pos AS pos, s.seed AS seed FROM (SELECT {key}, unnest({each}) AS s FROM {table} WHERE len({words}) >= {span}) x{mask}")
+    return " UNION ALL ".join(parts)
+
+
+# For items of at least six words; shorter ones, sought whole, are held against brute force in the tests.
+DECONTAMINATE = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS v FROM benchmark),
+ds AS ({_seeds('d', 'doc_id', 'w')}),
+bs AS ({_seeds('b', 'item_id', 'v')}),
+diagonals AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.pos - bs.pos AS g FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+sides AS (SELECT x.doc_id, x.item_id, x.g, d.w, b.v FROM diagonals x JOIN d ON d.doc_id = x.doc_id JOIN b ON b.item_id = x.item_id),
+cells AS (
+  SELECT doc_id, item_id, g, n, lo, c.p AS p, c.same AS same FROM (
+    SELECT doc_id, item_id, g, len(v) AS n, greatest(0, -g) AS lo,
+           unnest(list_transform(range(greatest(0, -g), least(len(v), len(w) - g)), lambda i: {{'p': i, 'same': v[i + 1] = w[i + 1 + g]}})) AS c
+    FROM sides) x),
+sums AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE -2 END) OVER (PARTITION BY doc_id, item_id, g ORDER BY p) AS total FROM cells),
+gains AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY doc_id, item_id, g ORDER BY p)) AS gain FROM sums),
+tops AS (SELECT doc_id, item_id, g, max(gain) AS top FROM gains GROUP BY 1, 2, 3),
+ends AS (SELECT x.doc_id, x.item_id, x.g, min(x.p) AS e FROM gains x JOIN tops t ON t.doc_id = x.doc_id AND t.item_id = x.item_id AND t.g = x.g AND x.gain = t.top WHERE t.top > 0 GROUP BY 1, 2, 3),
+lows AS (SELECT x.doc_id, x.item_id, x.g, e.e, min(x.total) AS low FROM gains x JOIN ends e ON e.doc_id = x.doc_id AND e.item_id = x.item_id AND e.g = x.g WHERE x.p <= e.e GROUP BY 1, 2, 3, 4),
+cuts AS (
+  SELECT l.doc_id, l.item_id, l.g, l.e + 1 AS stop, CASE WHEN l.low >= 0 THEN min(x.lo) ELSE min(x.p) FILTER (WHERE x.total = l.low) + 1 END AS start
+  FROM lows l JOIN gains x ON x.doc_id = l.doc_id AND x.item_id = l.item_id AND x.g = l.g AND x.p <= l.e GROUP BY l.doc_id, l.item_id, l.g, l.e, l.low),
+found AS (
+  SELECT c.doc_id, c.item_id, c.start + c.g AS doc_start, c.stop + c.g AS doc_end, c.start AS item_start, c.stop AS item_end, x.n, count(*) FILTER (WHERE x.same) AS matched
+  FROM cuts c JOIN gains x ON x.doc_id = c.doc_id AND x.item_id = c.item_id AND x.g = c.g AND x.p >= c.start AND x.p < c.stop GROUP BY ALL),
+kept AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_start, doc_end DESC, item_start DESC, item_end DESC) AS rn
+  FROM found WHERE item_end - item_start >= least(12, n) AND matched >= 0.8 * (item_end - item_start))
+SELECT doc_id, CAST(item_id AS BIGINT) AS item_id, CAST(doc_start AS INTEGER) AS doc_start, CAST(doc_end AS INTEGER) AS doc_end,
+       CAST(item_start AS INTEGER) AS item_start, CAST(item_end AS INTEGER) AS item_end, CAST(matched AS INTEGER) AS matched FROM kept WHERE rn = 1"""
+
 ORACLE = {
+    "op5_decontaminate": DECONTAMINATE,
     "op2_secret_scan": SECRETS,
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op9_top_k": TOP_K,
