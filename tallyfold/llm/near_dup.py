@@ -145,8 +145,8 @@ def _blocks(members: DataFrame, per_block: int, weight: Column, block_weight: in
     m = salted_join(members, sizes, ["c"], ["id", "digest"])
     own = F.pmod(F.xxhash64("id", "digest"), F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
     m = m.withColumn("own", own)
-    mains = F.transform(F.sequence(F.lit(0), F.col("n_main") - 1), lambda i: F.struct(i.alias("i"), (F.col("own") + 0).alias("j"), F.lit(False).alias("left")))
-    as_main = F.transform(F.sequence(F.lit(0), F.col("n_rest") - 1), lambda j: F.struct((F.col("own") + 0).alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    mains = F.transform(F.sequence(F.lit(0), F.col("n_main") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left")))
+    as_main = F.transform(F.sequence(F.lit(0), F.col("n_rest") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("left")))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("n_rest") - 1),
         lambda k: F.struct((F.col("n_main") + F.least(F.col("own"), k)).alias("i"), F.greatest(F.col("own"), k).alias("j"), (F.col("own") < k).alias("left")),

@@ -20,6 +20,7 @@ and every document is kept.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ def evidence_row(text: str) -> np.ndarray:
     k = len(words) + SHORT / 4
     shares = [
         *(h[c] / n for c in _PUNCT), h[48:58].sum() / n, h[128:].sum() / n, h[65:91].sum() / letters, doubled / n, h[32] / n, h[10] / n,
-        (len(words) - len(set(words))) / k, (len(lines) - len(set(lines))) / (len(lines) + 2),
+        sum(map(operator.eq, words, words[1:])) / k, (len(lines) - len(set(lines))) / (len(lines) + 8),
     ]
     return np.array([1.0, *np.log1p(100 * np.array(shares, dtype=np.float64)), math.log1p(len(raw) / k)])
 
