@@ -5,7 +5,6 @@ import hmac
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from tallyfold.functions import errors, parse, sign
 from tallyfold.operators import validate

@@ -4,7 +4,6 @@ import os
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from tallyfold.operators import fold, lookup
 from tallyfold.sources import json_ingest, samples, snapshot

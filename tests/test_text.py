@@ -1,7 +1,6 @@
 """Text of values (F3-F7), listing and path export."""
 
 from conftest import rows, shortest_plain
-from pyspark.sql import functions as F
 
 from tallyfold.functions import text
 from tallyfold.operators import report
