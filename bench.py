@@ -24,6 +24,8 @@ from tallyfold.plans.queries import QUERIES  # noqa: E402
 from tallyfold.session import local_session, scratch_path  # noqa: E402
 from tallyfold.sources import json_ingest, snapshot, tables, updates as upd  # noqa: E402
 
+#: A query that takes longer is run once.
+LONG_S = 5.0
 HEADLINE = [
     "metric_state",
     "accepted_state",
@@ -88,6 +90,8 @@ def main() -> None:
             t0 = time.perf_counter()
             query().write.format("noop").mode("overwrite").save()
             best = min(best, time.perf_counter() - t0)
+            if best > LONG_S:
+                break
         times[name] = round(best, 3)
     spark.stop()
     sf = os.path.basename(sf_dir).removeprefix("sf")
