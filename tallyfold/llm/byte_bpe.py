@@ -32,7 +32,7 @@ from tallyfold.llm.common import columns, documents, small_batches, texts_of
 from tallyfold.llm.runs import WHITE_SPACE, RunEncoder
 
 #: Runs, and letter cores, that a worker remembers before it starts afresh.
-CACHE_RUNS, CACHE_CORES = 400_000, 300_000
+CACHE_RUNS, CACHE_CORES = 250_000, 200_000
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 _RUNS = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
 
