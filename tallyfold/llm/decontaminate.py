@@ -3,8 +3,9 @@
 A mask selects some positions of a window of words and ignores the others; the
 hash of the selected words finds an overlap even where ignored words were
 replaced. Seeds of the documents are joined with seeds of the benchmark; around
-each hit the two texts are laid side by side on the hit's diagonal and the best
-stretch, matches against substitutions, decides.
+each hit the two texts are laid side by side on the hit's diagonal. An overlap is any
+stretch of it that is long and equal enough; the best one, matches against
+substitutions, is reported where it is such a stretch, else the longest that is.
 
 Only documents that may hold a benchmark seed leave the scan: a Bloom filter of the
 benchmark's seeds, of fixed size whatever the benchmark's, spares the others the
@@ -163,6 +164,41 @@ def best_stretch(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     return lo + start, lo + end, int(same[start:end].sum())
 
 
+def longest_stretch(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
+    """As ``best_stretch``: the longest stretch of at least min(MIN_WORDS, item) words with identity IDENTITY, if there is any.
+
+    At scores 1 - IDENTITY and -IDENTITY (as integers) these are the ranges of non-negative sum.
+    Of the longest, different words at the ends are left out as far as it stays long enough.
+    """
+    lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+    need = min(MIN_WORDS, len(item))
+    if need <= 0 or hi - lo < need:
+        return None
+    same = item[lo:hi] == doc[lo + diagonal : hi + diagonal]
+    per_cent = round(100 * IDENTITY)
+    total = np.concatenate([[0], np.cumsum(np.where(same, 100 - per_cent, -per_cent))])
+    low = np.minimum.accumulate(total)
+    # The first place with a total no higher than that of each end.
+    first = np.searchsorted(-low, -total, side="left")
+    end = int(np.argmax(np.arange(len(total)) - first))
+    start = int(first[end])
+    if end - start < need:
+        return None
+    while end - start > need and not same[end - 1]:
+        end -= 1
+    while end - start > need and not same[start]:
+        start += 1
+    return lo + start, lo + end, int(same[start:end].sum())
+
+
+def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
+    """The stretch to report of one diagonal, if any of its stretches is long and equal enough."""
+    s = best_stretch(doc, item, diagonal)
+    if s and s[1] - s[0] >= min(MIN_WORDS, len(item)) and s[2] >= IDENTITY * (s[1] - s[0]):
+        return s
+    return longest_stretch(doc, item, diagonal)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``doc_id, text_hash, item_id, doc_start, doc_end, item_start, item_end, matched`` (in words), the best one per document and item."""
     docs = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
@@ -190,8 +226,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
             keep, out = [], []
             for r, (d, item, diagonal) in enumerate(zip(b.column(4), b.column(5), b.column(3).to_pylist(), strict=True)):
                 item = np.frombuffer(item.as_buffer(), dtype=np.uint64)
-                s = best_stretch(np.frombuffer(d.as_buffer(), dtype=np.uint64), item, diagonal)
-                if s and s[1] - s[0] >= min(MIN_WORDS, len(item)) and s[2] >= IDENTITY * (s[1] - s[0]):
+                s = overlap(np.frombuffer(d.as_buffer(), dtype=np.uint64), item, diagonal)
+                if s:
                     keep.append(r)
                     out.append((s[0] + diagonal, s[1] + diagonal, *s))
             cols = list(zip(*out, strict=True)) or [[]] * 5

@@ -7,7 +7,7 @@ import numpy as np
 from helpers_llm import by_id, documents, words
 
 from tallyfold.llm import html_text
-from tallyfold.llm.decontaminate import best_stretch, decontaminated, overlaps
+from tallyfold.llm.decontaminate import best_stretch, decontaminated, overlap, overlaps
 from tallyfold.llm.html_text import extract, main_text
 from tallyfold.llm.licenses import TEMPLATES, Index, license_matches, winnow
 
@@ -57,6 +57,38 @@ def test_best_stretch_by_brute_force():
             assert score[got[:2]] == max(score.values())
 
 
+def test_any_stretch_of_a_diagonal_by_brute_force():
+    """Long items: one long and equal enough stretch suffices, whatever surrounds it."""
+    rng = np.random.default_rng(7)
+    seen = {True: 0, False: 0}
+    for _ in range(150):
+        n = int(rng.integers(1, 130))
+        share = np.repeat(rng.choice([0.4, 0.6, 0.7, 0.75, 0.95, 1.0], 12), 11)[:n]
+        same = rng.random(n) < share
+        item = np.arange(n)
+        d = int(rng.integers(0, 4))
+        doc = np.concatenate([np.full(d, -1), np.where(same, item, -1), np.full(3, -1)])
+        total, need = np.concatenate([[0], np.cumsum(same)]), min(12, n)
+        want = any(5 * (total[j] - total[i]) >= 4 * (j - i) for i in range(n) for j in range(i + need, n + 1))
+        got = overlap(doc, item, d)
+        assert (got is not None) == want
+        seen[want] += 1
+        if got:
+            i, j, k = got
+            assert j - i >= need and k == total[j] - total[i] and 5 * k >= 4 * (j - i)
+    assert min(seen.values()) > 20
+
+
+def test_more_overlap_does_not_hide_a_passage(spark):
+    w = words(140, 77)
+    mixed = w[:40] + [x if k % 10 < 7 else f"y{k}" for k, x in enumerate(w[40:])]
+    ends = w[:12] + [x if k % 3 else f"z{k}" for k, x in enumerate(w[12:60])] + w[60:72]
+    docs = documents(spark, [(1, " ".join(mixed)), (2, " ".join(ends)), (3, " ".join(x if k % 3 else f"q{k}" for k, x in enumerate(w)))])
+    bench = items(spark, [(1, " ".join(w)), (2, " ".join(w[:72]))])
+    assert {(r.doc_id, r.item_id) for r in overlaps(docs, bench).collect()} == {(d, i) for d in (1, 2) for i in "12"}
+    assert [r.doc_id for r in decontaminated(docs, bench).collect()] == [3]
+
+
 def test_no_tables(spark):
     docs, bench = documents(spark, [(1, "a b c")]), items(spark, [])
     assert overlaps(docs, bench).count() == 0 and decontaminated(docs, bench).count() == 1
