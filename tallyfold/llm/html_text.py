@@ -3,9 +3,11 @@
 The standard library's parser gives events; block tags cut them into lines, each
 with its text and the number of tags met in it. The text-to-tag ratios of the
 lines are smoothed by a Gaussian and clustered by a threshold (a share of their
-spread): lines above it are content. The article is then the container (article, main, or
-the page itself) that holds most of that content; inside it, short paragraphs count as
-well, as they are lines of a content region.
+spread): lines above it are content. An article or main element is a hint: every
+outermost one that holds content is kept with all it holds, nested ones in page order, as
+short paragraphs are lines of a content region; one that began inside of a menu, a sidebar
+or the like only where no other holds content. Where more content lies outside of them,
+and where there are none, the region from the first to the last content line is taken as well.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments never make lines: their elements, roles and class words are a fixed list. An element
@@ -66,7 +68,7 @@ def _names(attrs: dict) -> list[str]:
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines: (container, text, tags)."""
+    """Cuts a page into lines: (outermost container, text, tags)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -75,6 +77,7 @@ class _Lines(HTMLParser):
         self._count: Counter = Counter()
         self._containers: list[tuple[int, int]] = []  # (depth, number)
         self._n_containers = 0
+        self.released: set[int] = set()  # containers that began inside of a dropped element
         self._dropped_at: int | None = None  # depth of the dropped element
         self._in_comments = False
         self._text: list[str] = []
@@ -83,7 +86,7 @@ class _Lines(HTMLParser):
     def _cut(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            self.lines.append((self._containers[-1][1] if self._containers else 0, text, self._tags))
+            self.lines.append((self._containers[0][1] if self._containers else 0, text, self._tags))
             self._tags = 0
         self._text = []
 
@@ -108,9 +111,9 @@ class _Lines(HTMLParser):
             self._close(len(self._open) - 1)
         if tag in _VOID:
             return
-        found = dict(attrs)
+        found, released = dict(attrs), False
         if self._dropped_at is not None and tag in _CONTAINERS and not self._in_comments and not self._drops(tag, found):
-            self._dropped_at = None  # what was left open before the article
+            self._dropped_at, released = None, True  # what was left open before the article
         self._open.append(tag)
         self._count[tag] += 1
         if self._dropped_at is None:
@@ -120,6 +123,8 @@ class _Lines(HTMLParser):
             elif tag in _CONTAINERS:
                 self._n_containers += 1
                 self._containers.append((len(self._open) - 1, self._n_containers))
+                if released:
+                    self.released.add(self._n_containers)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self._tags += 1
@@ -180,19 +185,21 @@ def main_text(html: str) -> str:
         return ""
     plain = np.array([len(t) / max(1, tags) for _, t, tags in lines], dtype=np.float64)
     ratio = smoothed(plain)
-    content = ratio >= THRESHOLD * ratio.std()
-    size: dict[int, tuple[int, int]] = {}
-    for (c, t, _), ok in zip(lines, content.tolist(), strict=True):
-        a, b = size.get(c, (0, 0))
-        size[c] = (a + len(t) * ok, b + len(t))
-    named = {c: s for c, s in size.items() if c}
-    best = max(named or size, key=lambda c: size[c])
-    if best:
-        chosen = [t for c, t, _ in lines if c == best]
-    else:  # no article element: the region from the first to the last content line
-        # Smoothing also lifts the neighbours of a region; its ends are lines that pass by themselves.
-        at = np.nonzero(content & (plain >= THRESHOLD * ratio.std()))[0]
-        chosen = [t for _, t, _ in lines[at[0] : at[-1] + 1]] if len(at) else [t for _, t, _ in lines]
+    least = THRESHOLD * ratio.std()
+    content = ratio >= least
+    # Smoothing also lifts the neighbours of a region; its ends are lines that pass by themselves.
+    core = content & (plain >= least)
+    inside = np.array([c for c, _, _ in lines])
+    size = np.array([len(t) for _, t, _ in lines])
+    holding = set(inside[core].tolist()) - {0} or {max(set(inside.tolist()) - {0}, key=lambda c: size[inside == c].sum(), default=0)}
+    holding = holding - parser.released or holding
+    keep = np.isin(inside, list(holding - {0}))
+    if size[core & (inside == 0)].sum() > size[core & keep].sum() or not keep.any():
+        at = np.nonzero(core)[0]
+        region = np.arange(len(lines))
+        keep &= (core & keep).any()
+        keep |= (region >= at[0]) & (region <= at[-1]) if len(at) else True
+    chosen = [t for (_, t, _), k in zip(lines, keep.tolist(), strict=True) if k]
     return " ".join(chosen)
 
 

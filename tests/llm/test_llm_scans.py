@@ -148,6 +148,15 @@ def test_main_text_of_pages(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_all_containers_with_content_are_kept():
+    a, b, c = (" ".join(words(60, k)) for k in (31, 32, 33))
+    assert main_text(f"<main><h1>Head</h1><p>{a}</p><article><p>{b}</p><article><p>{c}</p></article></article><p>End</p></main>") == f"Head {a} {b} {c} End"
+    assert main_text(f"<body><article><p>{a}</p></article><div>x</div><article><p>{b}</p><p>Short</p></article></body>") == f"{a} {b} Short"
+    # The ratios decide beside a container: a teaser is no page, an article in a sidebar not the text.
+    assert main_text(f"<body><div><p>{a}</p><p>{b}</p></div><article>Teaser</article></body>") == f"{a} {b}"
+    assert main_text(f"<body><article><p>{a}</p></article><aside><article><p>{b}</p></article></aside></body>") == a
+
+
 def test_pages_without_article_drop_link_lists():
     body = "".join(f"<p>{' '.join(words(40, k))}.</p>" for k in range(6))
     links = "".join(f"<div><a href=/{k}>l{k}</a> <a href=/>m</a></div>" for k in range(12))
