@@ -9,9 +9,14 @@ short paragraphs are lines of a content region; one that began inside of a menu,
 or the like only where no other holds content. Where more content lies outside of them,
 and where there are none, the region from the first to the last content line is taken as well.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments never make lines: their elements, roles and class words are a fixed list. An element
+Menus, headers, footers, sidebars, scripts and styles never make lines: their elements and
+roles are a fixed list. Class words and forms are marks. A marked element whose name
+says nothing but its mark (a sidebar, a notice, an advert, reader comments) is left out, unless
+it holds most of the page's text; a mark beside other words, on a paragraph, or a header or notice
+inside an article lowers the ratio only. Headings cannot be marked. An element
 that is never closed ends with the element around it, or where an article begins.
+Outside of articles a region is extended from its content lines to the headings and short lines that
+adjoin them.
 
 White space inside a line becomes one space, lines are joined by one space.
 Defined cases: null and empty pages give the empty text; ids and urls (null, repeated)
@@ -24,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +48,14 @@ _BLOCKS = set(
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _DROPPED = set(
-    "script style noscript template head title nav header footer aside form button select option textarea input label fieldset iframe object embed "
+    "script style noscript template head title nav header footer aside button select option textarea input label fieldset iframe object embed "
     "svg canvas map menu dialog audio video".split()
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _OWN_END = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody", "tfoot"}
 _INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 _CONTAINERS = {"article", "main"}
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "alert", "dialog", "form"}
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "alert", "dialog"}
 _WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|notices?|alerts?|sidebars?|side|aside|menus?|nav\w*|breadcrumbs?|footer|"
     r"header|masthead|toolbar|comments?|commentlist|respond|replies|reply|disqus|share\w*|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login|popup|"
@@ -57,6 +63,20 @@ _WORDS = re.compile(
     re.I,
 )
 _COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|reply|disqus)(?:$|[\s_-])", re.I)
+# Words that say what an element is part of, not what it is about.
+_NEUTRAL = re.compile(
+    r"(?:site|page|post|posts|entry|main|article|articles|area|box|block|list|section|container|wrap|wrapper|inner|outer|content|left|right|top|bottom|primary|secondary|"
+    r"links?|icons?|buttons?|btn|bar|items?|form|panel|group|row|col|column|global|text|js|the|user|reader|story|stories|thread|policy|\d+)?",
+    re.I,
+)
+# Names that an article's own parts may have.
+_ARTICLE_PART = re.compile(r"(?:^|[\s_-])(?:header|notices?|alerts?|banner\w*|masthead|side)(?:$|[\s_-])", re.I)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_PARAGRAPHS = {"p", "li", "dd", "dt", "td", "th", "pre", "blockquote", "caption", "figcaption"}
+#: Kinds of marks, what a weak one leaves of a line's ratio, and the share of the text from which an element is the page itself.
+WEAK, STRONG, COMMENTS = 0, 1, 2
+WEIGHT = 0.5
+WRAPPER, COMMENT_WRAPPER = 0.5, 0.9
 # A layout that has a sidebar is no sidebar.
 _ABOUT = re.compile(r"(?:has|with|without|no|is|show|hide)[_-]", re.I)
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -67,13 +87,50 @@ def _names(attrs: dict) -> list[str]:
     return [n for n in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split() if not _ABOUT.match(n)]
 
 
+class _Line(NamedTuple):
+    container: int  # the outermost one
+    text: str
+    tags: int
+    marks: tuple[tuple[int, int, bool], ...]  # (number, kind, opened before the container)
+    linked: int  # characters in links
+    heading: bool
+    parent: int  # the element around the line's own block
+
+
+def _mark(tag: str, attrs: dict, in_container: bool) -> int | None:
+    """The kind of mark that an element's name gives it."""
+    if tag in _HEADINGS or tag in ("html", "body"):
+        return None
+    names = _names(attrs)
+    if any(_COMMENTS.search(n) for n in names) and (tag in _CONTAINERS or any(_pure(n) for n in names if _COMMENTS.search(n))):
+        return COMMENTS if tag not in _PARAGRAPHS or not in_container else WEAK
+    if tag in _CONTAINERS:
+        return None
+    marked = [n for n in names if _WORDS.search(n)]
+    if tag == "form" or (attrs.get("role") or "").lower() == "form":
+        return STRONG
+    if not marked:
+        return None
+    pure = [n for n in marked if _pure(n) and not (in_container and _ARTICLE_PART.search(n))]
+    return STRONG if pure and tag not in _PARAGRAPHS else WEAK
+
+
+def _pure(name: str) -> bool:
+    """Nothing in the name but marks and words of layout."""
+    return all(_NEUTRAL.fullmatch(w) or _WORDS.search(w) for w in re.split(r"[_-]", name)) and not name.lower().endswith("policy")
+
+
 class _Lines(HTMLParser):
-    """Cuts a page into lines: (outermost container, text, tags)."""
+    """Cuts a page into lines."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[int, str, int]] = []
+        self.lines: list[_Line] = []
         self._open: list[str] = []
+        self._ids: list[int] = []  # of the open elements
+        self._n_ids = 0
+        self._marks: list[tuple[int, int, int]] = []  # (depth, number, kind)
+        self._linked = 0
         self._count: Counter = Counter()
         self._containers: list[tuple[int, int]] = []  # (depth, number)
         self._n_containers = 0
@@ -86,21 +143,25 @@ class _Lines(HTMLParser):
     def _cut(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            self.lines.append((self._containers[0][1] if self._containers else 0, text, self._tags))
+            depth, container = self._containers[0] if self._containers else (-1, 0)
+            marks = tuple((number, kind, d < depth) for d, number, kind in self._marks)
+            own = len(self._open) - 1
+            while own >= 0 and self._open[own] not in _BLOCKS:
+                own -= 1
+            heading = any(t in _HEADINGS for t in self._open[max(0, own) :])
+            self.lines.append(_Line(container, text, self._tags, marks, min(self._linked, len(text)), heading, self._ids[own - 1] if own > 0 else 0))
             self._tags = 0
-        self._text = []
+        self._text, self._linked = [], 0
 
     def _drops(self, tag: str, attrs: dict) -> bool:
         if tag in _DROPPED:
             return True
-        named = _names(attrs)
-        words = _COMMENTS if tag in _CONTAINERS else _WORDS
         return bool(
             ("hidden" in attrs)
             or attrs.get("aria-hidden") == "true"
             or (attrs.get("role") or "").lower() in _ROLES
-            or (tag not in ("html", "body") and any(words.search(n) for n in named))
             or _NOT_SHOWN.search(attrs.get("style") or "")
+            or (tag in _INLINE and _mark(tag, attrs, bool(self._containers)) in (STRONG, COMMENTS))
         )
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -114,13 +175,21 @@ class _Lines(HTMLParser):
         found, released = dict(attrs), False
         if self._dropped_at is not None and tag in _CONTAINERS and not self._in_comments and not self._drops(tag, found):
             self._dropped_at, released = None, True  # what was left open before the article
+        mark = None if self._dropped_at is not None or tag in _INLINE else _mark(tag, found, bool(self._containers))
+        if mark is not None:
+            self._cut()
         self._open.append(tag)
+        self._n_ids += 1
+        self._ids.append(self._n_ids)
         self._count[tag] += 1
         if self._dropped_at is None:
             if self._drops(tag, found):
                 self._dropped_at = len(self._open) - 1
                 self._in_comments = any(_COMMENTS.search(n) for n in _names(found))
-            elif tag in _CONTAINERS:
+                return
+            if mark is not None:
+                self._marks.append((len(self._open) - 1, self._n_ids, mark))
+            if tag in _CONTAINERS and mark is None:
                 self._n_containers += 1
                 self._containers.append((len(self._open) - 1, self._n_containers))
                 if released:
@@ -136,14 +205,16 @@ class _Lines(HTMLParser):
         self._cut_if_block(depth)
         for t in self._open[depth:]:
             self._count[t] -= 1
-        del self._open[depth:]
+        del self._open[depth:], self._ids[depth:]
+        while self._marks and self._marks[-1][0] >= depth:
+            self._marks.pop()
         while self._containers and self._containers[-1][0] >= depth:
             self._containers.pop()
         if self._dropped_at is not None and self._dropped_at >= depth:
             self._dropped_at, self._in_comments = None, False
 
     def _cut_if_block(self, depth: int) -> None:
-        if any(t in _BLOCKS for t in self._open[depth:]):
+        if any(t in _BLOCKS for t in self._open[depth:]) or (self._marks and self._marks[-1][0] >= depth):
             self._cut()
 
     def handle_endtag(self, tag: str) -> None:
@@ -161,6 +232,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self._dropped_at is None:
             self._text.append(data)
+            if self._count["a"] > 0:
+                self._linked += len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -175,31 +248,70 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel, mode="full")[RADIUS : RADIUS + len(ratios)] / weight
 
 
+def unmarked(lines: list[_Line]) -> tuple[list[_Line], np.ndarray, set[int]]:
+    """The lines that no mark leaves out, their weights, and the containers that began inside of a mark.
+
+    An element that holds most of the text, and where there are containers one of them, is a wrapper: its mark counts for nothing.
+    """
+    held: Counter = Counter()
+    whole = {True: 0, False: 0}
+    for r in lines:
+        n = len(r.text) - r.linked
+        comments = any(kind == COMMENTS for _, kind, _ in r.marks)
+        whole[comments] += n
+        for number, kind, _ in r.marks:
+            held[number] += n if kind == COMMENTS or not comments else 0
+    around = {number for r in lines if r.container for number, _, _ in r.marks}
+    if any(r.container for r in lines):
+        held = Counter({number: n for number, n in held.items() if number in around})
+    text = {COMMENTS: COMMENT_WRAPPER * sum(whole.values()), STRONG: WRAPPER * whole[False], WEAK: WRAPPER * whole[False]}
+    marks = [[(kind, before) for number, kind, before in r.marks if not held[number] >= text[kind] > 0] for r in lines]
+    rows = [k for k, m in enumerate(marks) if not any(kind == COMMENTS or (kind == STRONG and not before) for kind, before in m)]
+    rows = rows or [k for k, m in enumerate(marks) if not any(kind == COMMENTS for kind, _ in m)]
+    weight = np.array([WEIGHT if any(kind == WEAK for kind, _ in marks[k]) else 1.0 for k in rows])
+    return [lines[k] for k in rows], weight, {lines[k].container for k in rows if any(kind == STRONG and before for kind, before in marks[k])}
+
+
+def extended(lines: list[_Line], first: int, last: int) -> tuple[int, int]:
+    """The region grown over the headings and the lines of the same parent that adjoin it, up to a list of links."""
+
+    def adjoins(k: int, edge: int) -> bool:
+        r = lines[k]
+        return 2 * r.linked < len(r.text) and (r.heading or r.parent == lines[edge].parent)
+
+    while first and adjoins(first - 1, first):
+        first -= 1
+    while last + 1 < len(lines) and adjoins(last + 1, last) and not lines[last + 1].heading:
+        last += 1
+    return first, last
+
+
 def main_text(html: str) -> str:
     """The article of one page."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
+    lines, weight, released = unmarked(parser.lines)
     if not lines:
         return ""
-    plain = np.array([len(t) / max(1, tags) for _, t, tags in lines], dtype=np.float64)
+    plain = np.array([len(r.text) / max(1, r.tags) for r in lines], dtype=np.float64) * weight
     ratio = smoothed(plain)
     least = THRESHOLD * ratio.std()
     content = ratio >= least
     # Smoothing also lifts the neighbours of a region; its ends are lines that pass by themselves.
     core = content & (plain >= least)
-    inside = np.array([c for c, _, _ in lines])
-    size = np.array([len(t) for _, t, _ in lines])
+    inside = np.array([r.container for r in lines])
+    size = np.array([len(r.text) for r in lines])
     holding = set(inside[core].tolist()) - {0} or {max(set(inside.tolist()) - {0}, key=lambda c: size[inside == c].sum(), default=0)}
-    holding = holding - parser.released or holding
+    holding = holding - parser.released - released or holding
     keep = np.isin(inside, list(holding - {0}))
     if size[core & (inside == 0)].sum() > size[core & keep].sum() or not keep.any():
         at = np.nonzero(core)[0]
         region = np.arange(len(lines))
         keep &= (core & keep).any()
-        keep |= (region >= at[0]) & (region <= at[-1]) if len(at) else True
-    chosen = [t for (_, t, _), k in zip(lines, keep.tolist(), strict=True) if k]
+        first, last = extended(lines, int(at[0]), int(at[-1])) if len(at) else (0, len(lines))
+        keep |= (region >= first) & (region <= last)
+    chosen = [r.text for r, k in zip(lines, keep.tolist(), strict=True) if k]
     return " ".join(chosen)
 
 

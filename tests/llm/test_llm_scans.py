@@ -157,6 +157,23 @@ def test_all_containers_with_content_are_kept():
     assert main_text(f"<body><article><p>{a}</p></article><aside><article><p>{b}</p></article></aside></body>") == a
 
 
+def test_class_words_inside_an_article_lose_no_text():
+    a, b, c, d = (" ".join(words(60, k)) for k in (41, 42, 43, 44))
+    page = f"<article><h2 class='section-header'>Prices</h2><p>{a}</p><p class='share-price'>Up 3 %.</p><section id='social-policy'><p>{b}</p></section><div class='related-work'>{c}</div><div class='header'>Part</div></article>"
+    for body in (f"<body><div class=sidebar>{d[:90]}</div>%s<div class='share-buttons'>Send it</div></body>", "<body><form action='x.aspx'>%s</form></body>", "<div class='layout sidebar-right'>%s</div>"):
+        assert main_text(body % page) == f"Prices {a} Up 3 %. {b} {c} Part"
+
+
+def test_div_only_pages_keep_headline_and_short_ends():
+    a, b = (" ".join(words(80, k)) for k in (51, 52))
+    links = "".join(f"<div><a href=/{k}>l{k}</a> <a href=/>m</a></div>" for k in range(12))
+    text = f"<h1>Head line</h1><p>By me</p><p>{a}</p><p>Oh.</p><p>{b}</p><p>The end.</p>"
+    want = f"Head line By me {a} Oh. {b} The end."
+    for start, end in (("<div>", "</div>"), ("<div class='layout sidebar-right'>", "</div>"), ("<form id=aspnetForm><div>", "</div></form>")):
+        assert main_text(f"<body><div>{links}</div>{start}{text}{end}<div class='sidebar'>Other news</div><div>{links}</div></body>") == want
+    assert main_text(f"<body><div>{text.replace('<p>', '<div>').replace('</p>', '</div>')}</div><div class=comments>{a[:200]}</div></body>") == want
+
+
 def test_pages_without_article_drop_link_lists():
     body = "".join(f"<p>{' '.join(words(40, k))}.</p>" for k in range(6))
     links = "".join(f"<div><a href=/{k}>l{k}</a> <a href=/>m</a></div>" for k in range(12))
