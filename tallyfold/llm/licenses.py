@@ -6,8 +6,10 @@ common run of GRAM + WINDOW - 1 words. The fingerprints of the templates are an
 inverted index (hash to template and place; its size is that of the template
 list, never of the data). A hit of a template is a candidate diagonal;
 a local alignment inside a band around it gives the words matched, the share of
-the template that they cover, and the span in the text. Of matches that overlap in a text
-the best stays.
+the template that they cover, and the span in the text. The words that tell a license from its
+neighbours (name, version) must all be there, in a row and in place, whatever the coverage. Of
+matches that overlap in a text the best stays. Full texts of the long licenses are found by
+their openings.
 
 Defined cases: null and empty texts match nothing; ids (null, repeated) are carried along;
 every row is scanned whole; rows without a match are not reported.
@@ -40,6 +42,8 @@ TEMPLATES: dict[str, list[str]] = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
         'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
         "either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION "
+        '1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.',
     ],
     "MIT": [
         "Released under the MIT License.",
@@ -58,6 +62,17 @@ TEMPLATES: dict[str, list[str]] = {
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution.",
     ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+        "met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         "above copyright notice and this permission notice appear in all copies.",
@@ -66,19 +81,86 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and "
+        "distribute verbatim copies of this license document, but changing it is not allowed.",
     ],
     "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and "
+        "distribute verbatim copies of this license document, but changing it is not allowed.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and "
+        "distribute verbatim copies of this license document, but changing it is not allowed.",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and "
+        "distribute verbatim copies of this license document, but changing it is not allowed.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and "
+        "distribute verbatim copies of this license document, but changing it is not allowed.",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the '
+        "creation of, or owns Covered Software.",
     ],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-NC-3.0": ["Licensed under CC BY-NC 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-SA-3.0": ["Licensed under CC BY-SA 3.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-ND-3.0": ["Licensed under CC BY-ND 3.0.", "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-SA-3.0": ["Licensed under CC BY-NC-SA 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-ND-3.0": ["Licensed under CC BY-NC-ND 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-3.0": ["Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
 }
+# Words of every match of a license, in a row; alternatives are separated by |.
+_THREE, _TWO = "version 3|v3|license 3", "version 2|v2|license 2"
+DECIDING: dict[str, list[str]] = {
+    "Apache-2.0": ["apache license version 2 0|apache license 2 0|apache license v2 0"],
+    "MIT": ["mit|shall be included in all copies"],
+    "BSD-3-Clause": ["endorse or promote"],
+    "Unlicense": ["unencumbered software|public domain"],
+    "ISC": ["permission notice appear"],
+    "GPL-3.0": ["gnu general", _THREE],
+    "GPL-2.0": ["gnu general", _TWO],
+    "LGPL-3.0": ["gnu lesser general", _THREE],
+    "LGPL-2.1": ["gnu lesser general", "version 2 1|v2 1|license 2 1"],
+    "AGPL-3.0": ["gnu affero general", _THREE],
+    "MPL-2.0": ["mozilla public license v 2 0|mozilla public license v2 0|mozilla public license version 2 0|mozilla public license 2 0"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0|attribution noncommercial 4 0"],
+    "CC-BY-NC-3.0": ["cc by nc 3 0|attribution noncommercial 3 0"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0|attribution sharealike 4 0"],
+    "CC-BY-SA-3.0": ["cc by sa 3 0|attribution sharealike 3 0"],
+    "CC-BY-ND-4.0": ["cc by nd 4 0|attribution noderivatives 4 0|attribution noderivs 4 0"],
+    "CC-BY-ND-3.0": ["cc by nd 3 0|attribution noderivatives 3 0|attribution noderivs 3 0"],
+    "CC-BY-NC-SA-4.0": ["cc by nc sa 4 0|attribution noncommercial sharealike 4 0"],
+    "CC-BY-NC-SA-3.0": ["cc by nc sa 3 0|attribution noncommercial sharealike 3 0"],
+    "CC-BY-NC-ND-4.0": ["cc by nc nd 4 0|attribution noncommercial noderivatives 4 0|attribution noncommercial noderivs 4 0"],
+    "CC-BY-NC-ND-3.0": ["cc by nc nd 3 0|attribution noncommercial noderivatives 3 0|attribution noncommercial noderivs 3 0"],
+    "CC-BY-4.0": ["cc by 4 0|attribution 4 0"],
+    "CC-BY-3.0": ["cc by 3 0|attribution 3 0"],
+}
+#: Words that soon after a match make it another license.
+NOT_BEFORE = {"BSD-2-Clause": ["endorse or promote", "advertising materials mentioning"]}
+SOON = 40
 
 
 def winnow(h: np.ndarray) -> np.ndarray:
@@ -92,9 +174,11 @@ def winnow(h: np.ndarray) -> np.ndarray:
 class Index:
     """Inverted index of the templates' fingerprints."""
 
-    def __init__(self, templates: dict[str, list[str]]):
+    def __init__(self, templates: dict[str, list[str]], deciding: dict[str, list[str]] | None = None):
         self.names = [name for name, texts in templates.items() for _ in texts]
         self.words = [_WORD.findall(t.lower()) for texts in templates.values() for t in texts]
+        phrases = {name: [[f" {p} " for p in w.split("|")] for w in (deciding or {}).get(name, [])] for name in templates}
+        self.deciding = [phrases[name] for name in self.names]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
             if len(words) < GRAM + WINDOW - 1:
@@ -104,6 +188,13 @@ class Index:
                 self.places[int(grams[p])].append((t, p))
         self.keys = np.array(sorted(self.places), dtype=np.uint64)
 
+    def decided(self, t: int, text: list[str], matched: int, first: int, last: int) -> bool:
+        """True if the template's deciding words are in the match; those at its ends may be beside it."""
+        missing = len(self.words[t]) - matched
+        span = f" {' '.join(text[max(0, first - missing) : last + missing])} "
+        after = f" {' '.join(text[last : last + SOON])} "
+        return all(any(p in span for p in each) for each in self.deciding[t]) and not any(f" {p} " in after for p in NOT_BEFORE.get(self.names[t], []))
+
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Places among the gram hashes of a text that are fingerprints of a template."""
         at = winnow(h)
@@ -156,7 +247,7 @@ def scan_text(text: str, index: Index, hit_at: np.ndarray, grams: np.ndarray) ->
                 continue  # this diagonal, or a match over this place, is known
             seen.add((t, p - q))
             a = align(words, index.words[t], p - q)
-            if a and a[1] >= COVERAGE * len(index.words[t]):
+            if a and a[1] >= COVERAGE * len(index.words[t]) and index.decided(t, words, *a[1:]):
                 results.add((a[0], a[1], t, a[2], a[3]))
                 last[t] = a[3]
     kept: list = []
@@ -170,12 +261,12 @@ def scan_text(text: str, index: Index, hit_at: np.ndarray, grams: np.ndarray) ->
 
 def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
     """``doc_id, license, coverage, matched, span_start, span_end``: one row per match."""
-    shared = docs.sparkSession.sparkContext.broadcast(templates or TEMPLATES)
+    shared = docs.sparkSession.sparkContext.broadcast((templates, None) if templates else (TEMPLATES, DECIDING))
     schema = "doc_id long, license string, coverage double, matched int, span_start int, span_end int"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = Index(*shared.value)
         for b in small_batches(batches):
             ids, rows = b.column(0).to_pylist(), []
             for i, text in zip(ids, texts_of(b.column(1)), strict=True):

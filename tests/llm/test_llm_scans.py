@@ -115,6 +115,34 @@ def test_licenses(spark):
     assert license_matches(documents(spark, [])).count() == 0
 
 
+def test_near_miss_licenses(spark):
+    work = "This work is licensed under the"
+    bsd = TEMPLATES["BSD-2-Clause"][0]
+    cases = [
+        (f"{work} GNU General Public License, version 2.", "GPL-2.0"),
+        (f"{work} GNU General Public License v3.", "GPL-3.0"),
+        (f"{work} GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        (f"{work} GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        (f"{work} GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        ("Licensed under the Apache License, Version 1.0.", None),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Licensed under the Apache License 2.0.", "Apache-2.0"),
+        ("Licensed under the Academic License, Version 2.0.", None),
+        ("Released under the BSD License.", None),
+        ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"),
+        ("Licensed under CC BY-SA 2.0.", None),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        (f"{bsd} 3. Neither the name of Acme Inc. nor the names of its contributors may be used to endorse or promote products derived from this "
+         "software without specific prior written permission.", "BSD-3-Clause"),
+        (f"{bsd} THIS SOFTWARE IS PROVIDED AS IS", "BSD-2-Clause"),
+    ]
+    docs = documents(spark, [(d, f"We say: {t} And more words follow here.") for d, (t, _) in enumerate(cases)])
+    got = {}
+    for r in license_matches(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert got == {d: [name] for d, (_, name) in enumerate(cases) if name}
+
+
 def test_winnowing_keeps_a_fingerprint_of_every_window():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 50):
