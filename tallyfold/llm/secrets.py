@@ -4,8 +4,9 @@ Candidates are found in every whole text, with their spans in code points. Their
 hashes are then counted over the corpus: distinct repositories and distinct owners
 per hash. A value that many owners hold is a copied example; a value that looks
 random and belongs to few owners is taken for a live credential. Besides the
-three base kinds there is ``owned``: any long mixed run, a secret only because its
-owner alone has it.
+three base kinds there is ``owned``: a long mixed run, a secret only because its
+owner alone has it. Words, numbers and UUIDs joined to a path or slug are no such run, nor
+is the address part of a URL (what follows ``?`` is looked at).
 
 Repeated rows are one repository's; a null text is the empty text, a null owner
 or repository counts as one of its own, a null id is kept. Values leave the scan
@@ -27,6 +28,14 @@ KINDS = ["assign", "access", "hex", "owned"]
 
 #: Long runs that may be credentials of any form.
 OWNED = r"[A-Za-z0-9+/_-]{20,}"
+# What the parts of paths and slugs look like: words, abbreviations, numbers, words with a short number.
+ORDINARY = r"^(?:(?:[A-Z]?[a-z]+)*|[A-Z]+[a-z]*|[0-9]+|(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{1,4}|[0-9]{1,4}[A-Za-z]{1,3})$"
+UUID = r"(?i)(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])"
+IN_URL = r"""(?i)(?:[a-z][a-z0-9+.-]*://|www\.)[^\s?#=&@:<>"']*(?::[0-9]+/[^\s?#=&@:<>"']*)?$"""
+#: Characters before a run in which a URL may begin.
+URL_REACH = 2000
+#: So many characters, or this share of them, are in parts of a run that look random.
+RANDOM_CHARACTERS, RANDOM_SHARE = 16, 0.6
 #: A hash with at least so many owners is a copied example.
 EXAMPLE_OWNERS = 3
 #: A live-looking value has so many different characters, letters and digits among them.
@@ -64,6 +73,16 @@ def _live_looking(value: Column) -> Column:
     return mixed & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_CHARACTERS)
 
 
+def _random_run(text: Column, run: Column) -> Column:
+    """True for a long run with random parts that is not the address part of a URL."""
+    value = run["value"]
+    parts = F.filter(F.split(F.regexp_replace(value, UUID, ""), "[/_+-]"), lambda p: ~p.rlike(ORDINARY))
+    n = F.length(F.array_join(parts, ""))
+    reach = F.least(run["start"], F.lit(URL_REACH))
+    before = F.concat(F.substring(text, run["start"] - reach + 1, reach), F.substring(value, 1, 2))
+    return ((n >= RANDOM_CHARACTERS) | (n >= RANDOM_SHARE * F.length(value))) & ~before.rlike(IN_URL)
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """``doc_id, text_hash, owner, repo, found`` per row; ``found`` holds the candidates in order.
 
@@ -82,7 +101,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
         }
     )
     base = F.concat("assign", "access", "hex")
-    apart = F.filter("owned", lambda o: _live_looking(o["value"]) & ~F.exists("base", lambda b: (b["start"] < o["stop"]) & (o["start"] < b["stop"])))
+    apart = F.filter("owned", lambda o: _live_looking(o["value"]) & _random_run(t, o) & ~F.exists("base", lambda b: (b["start"] < o["stop"]) & (o["start"] < b["stop"])))
     rows = rows.withColumn("base", base).withColumn("found", F.array_sort(F.concat("base", apart)))
     found = F.transform(
         "found",

@@ -53,6 +53,27 @@ def test_ownership_separates_examples_from_live(spark):
     assert {r.text for r in clean if r.doc_id < 10} == {f"key {example} end"}
 
 
+def test_clean_documents_with_links_paths_and_ids_stay(spark):
+    clean = [
+        "see https://example.org/blog/2024/05/how-to-bake-bread and http://localhost:8080/api/v2/user-list-page-10 now",
+        "in /usr/local/lib/python3/site-packages or C/Users2/MyDocuments/Report_2024_final",
+        "id 3f2b8c1a-77de-4b0a-9c1d-0e5f6a7b8c9d of item/3F2B8C1A-77DE-4B0A-9C1D-0E5F6A7B8C9D/edit",
+        "the slug top-10-places-to-visit-in-2024, https://docs.example.com/d/1BxiMVs0XRA5nFMdKvBdBZjgmUUqptlbs74OgVE2upms/edit",
+        "é😀 https://intranet/wiki/1BxiMVs0XRA5nFMdKvBdBZjg",
+    ]
+    live = [
+        "key wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzAMPLEKEY end",
+        "xoxb-123456789012-1234567890123-AbC1dEf2GhI3jKl4MnO5pQ6r",
+        "https://user:aB3dE5fG7hJ9kL1mN3pQ5r@host/x",
+        "https://api.example.org/v1/list?key=aB3dE5fG7hJ9kL1mN3pQ5s",
+        "ghp_16C7e42F292c6912E7710c838347Ae178B4a",
+    ]
+    docs = documents(spark, [(i, t, "only") for i, t in enumerate(clean + live)])
+    got = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert [got[i] for i in range(len(clean))] == clean
+    assert all("<secret>" in got[len(clean) + k] for k in range(len(live)))
+
+
 def test_counts_by_owner_and_repository(spark):
     rows = [("h", "a", "1"), ("h", "a", "1"), ("h", "a", "2"), ("h", "b", "1"), ("h", None, None), ("g", "a", "1")]
     got = {r.hash: (r.n_owners, r.n_repos) for r in ownership(spark.createDataFrame(rows, "hash string, owner string, repo string")).collect()}
