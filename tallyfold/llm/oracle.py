@@ -110,7 +110,142 @@ kept AS (
 SELECT doc_id, CAST(item_id AS BIGINT) AS item_id, CAST(doc_start AS INTEGER) AS doc_start, CAST(doc_end AS INTEGER) AS doc_end,
        CAST(item_start AS INTEGER) AS item_start, CAST(item_end AS INTEGER) AS item_end, CAST(matched AS INTEGER) AS matched FROM kept WHERE rn = 1"""
 
+
+# -- centroid clustering -----------------------------------------------------------------------
+
+
+def _lloyd(rounds: int) -> str:
+    """Assignments a1, a2, ... and the centroids c1, c2, ... after each of them; the last assignment moves none."""
+    out = []
+    for r in range(1, rounds + 2):
+        out.append(f"""a{r} AS (
+  SELECT rid, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+    SELECT v.rid, c.j, CAST(list_sum(list_transform(list_zip(v.x, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r - 1} c) z GROUP BY rid)""")
+        if r <= rounds:
+            out.append(f"""c{r} AS (
+  SELECT c.j, coalesce(m.c, c.c) AS c FROM c{r - 1} c LEFT JOIN (
+    SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT a.j, i, sum(v.x[i]) AS s, count(*) AS n FROM a{r} a JOIN v ON v.rid = a.rid, range(1, 65) t(i) GROUP BY a.j, i) s GROUP BY j) m ON m.j = c.j)""")
+    return ",\n".join(out)
+
+
+CENTROIDS = f"""WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT j, x AS c FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS j, x FROM v) z WHERE j < 16),
+{_lloyd(3)}
+SELECT v.vec_id, CAST(a.j AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a4 a JOIN v ON v.rid = a.rid JOIN c3 c ON c.j = a.j"""
+
+# -- CRC-32 by its table, for conversations and sharding ---------------------------------------------
+
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def _crc(text: str) -> str:
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: CAST('0x' || b AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda a, b: xor(a >> 8, table_[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+# -- conversation repair: a walk over the rows with the best edits for each of four states ----------------------
+
+_ROW_KEY = " || ".join(f"length({c}) || '=' || {c}" for c in ("coalesce(CAST(conv AS VARCHAR), ' ')", "coalesce(CAST(turn AS VARCHAR), ' ')", "role", "text"))
+_FAR = "{'c': 1000000000000, 'a': '', 'r': CAST([] AS VARCHAR[])}"
+_FREE = "fault NOT IN ('blank', 'duplicate')"
+_LATE = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+
+
+def _edit(state: str, letter: str, cost: str, line: str | None = None) -> str:
+    lines = f"{state}.r || [{line}]" if line else f"{state}.r"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {lines}}}"
+
+
+def _insert(state: str, role: str) -> str:
+    return _edit(state, "I", "5", f"'{role}:'")
+
+
+def _delete(state: str) -> str:
+    return _edit(state, "D", "2")
+
+
+def _keep(state: str, letter: str) -> str:
+    return f"CASE WHEN {_FREE} AND ini = '{letter}' THEN {_edit(state, 'K', _LATE, "role || ':' || text")} ELSE {_FAR} END"
+
+
+def _rerole(state: str, role: str) -> str:
+    return f"CASE WHEN {_FREE} THEN {_edit(state, 'R', f'1 + {_LATE}', f"'{role}:' || text")} ELSE {_FAR} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+CONVERSATIONS = f"""WITH RECURSIVE crc(table_) AS ({_CRC_TABLE}),
+raw AS (SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hit AS (SELECT *, {_crc('k')} % 20 AS kind FROM raw, crc),
+damaged AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE kind <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS ini, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+         row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, substr(sha256({_ROW_KEY}), 1, 32), copy) AS i FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(ini) OVER (PARTITION BY conv ORDER BY i) AS earlier FROM placed),
+counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE i > 1 AND earlier || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faulty GROUP BY conv),
+walk(conv, i, z, s, u, a) AS (
+  SELECT DISTINCT conv, CAST(0 AS BIGINT), {{'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])}}, {_FAR}, {_FAR}, {_FAR} FROM faulty
+  UNION ALL
+  SELECT conv, i, {_delete('z')}, {_least(_delete('s'), _keep('z', 's'))},
+         {_least(_delete('u'), *[_rerole(p, 'user') for p in 'zsa'], *[_keep(p, 'u') for p in 'zsa'])},
+         {_least(_delete('a'), _rerole('u', 'assistant'), _keep('u', 'a'))}
+  FROM (
+    SELECT f.conv, f.i, f.role, f.text, f.ini, f.fault, z, s, {_least('u1', _insert('a1', 'user'))} AS u, a1 AS a FROM (
+      SELECT conv, i, z, s, u1, {_least('a', _insert('u1', 'assistant'))} AS a1 FROM (
+        SELECT conv, i, z, s, {_least('u', *[_insert(p, 'user') for p in 'zsa'])} AS u1, a FROM walk) x1) x2
+    JOIN faulty f ON f.conv IS NOT DISTINCT FROM x2.conv AND f.i = x2.i + 1) x3),
+ends AS (
+  SELECT w.conv, {_least('z', 'a', _insert('u', 'assistant'), "{'c': s.c + 10, 'a': s.a || 'II', 'r': s.r || ['user:', 'assistant:']}")} AS best
+  FROM walk w JOIN counts c ON c.conv IS NOT DISTINCT FROM w.conv AND c.n = w.i)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(e.best.c, 0) AS BIGINT) AS cost, coalesce(e.best.a, '') AS audit,
+       sha256(coalesce(array_to_string(e.best.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv IS NOT DISTINCT FROM o.conv_id"""
+
+# -- rendezvous sharding ---------------------------------------------------------------------------
+
+
+def _as_key(*cols: str) -> str:
+    return " || ".join(f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || '=' || CAST({c} AS VARCHAR), '-')" for c in cols)
+
+
+def _best_shard(n: int) -> str:
+    u = "(CAST('0x' || substr(sha256(k || '@' || CAST(s AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE"
+    return f"CAST((list_sort(list_transform(range({n}), lambda s: {{'score': 1.0::DOUBLE / ln({u}), 's': s}}))[1]).s AS INTEGER)"
+
+
+SHARDING = f"""WITH crc(table_) AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, coalesce(text, '') AS t, {_as_key('doc_id')} AS k FROM documents),
+c AS (
+  SELECT doc_id, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, {_crc('t')} AS text_crc32, {_best_shard(8)} AS shard, {_best_shard(9)} AS grown_shard
+  FROM d, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(sha256({_as_key('doc_id', 'size', 'text_crc32', 'shard', 'grown_shard')}), 1, 13) AS BIGINT),
+                          doc_id, size, text_crc32) - 1 AS slot, grown_shard
+FROM c"""
+
 ORACLE = {
+    "op11_centroids": CENTROIDS,
+    "op12_conversations": CONVERSATIONS,
+    "op13_sharding": SHARDING,
     "op5_decontaminate": DECONTAMINATE,
     "op2_secret_scan": SECRETS,
     "op4_near_duplicates": NEAR_DUPLICATES,

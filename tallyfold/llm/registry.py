@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfold.llm import byte_bpe, decontaminate, html_text, licenses, near_dup, quality, secrets, token_files, top_k, toxicity
+from tallyfold.llm import byte_bpe, centroids, conversations, decontaminate, html_text, licenses, near_dup, quality, secrets, sharding, token_files, top_k, toxicity
 from tallyfold.llm.oracle import ORACLE as ORACLE
 
 QUERIES = {
@@ -16,4 +16,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_top_k": top_k.op9_top_k,
     "op10_quality": quality.op10_quality,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_sharding": sharding.op13_sharding,
 }

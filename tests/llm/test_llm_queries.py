@@ -7,12 +7,12 @@ import __spark_entry__ as entry
 from tallyfold.llm.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def test_the_entry_lists_them():
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {q[: q.index("_") + 1] for q in QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q[: q.index("_") + 1] for q in QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
