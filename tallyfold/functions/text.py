@@ -1,13 +1,14 @@
-"""Metric values as text (F3-F7), in Spark's own functions throughout.
+"""Metric values as text (F3-F7), in the JVM throughout.
 
 F3 prints a double with the fewest digits that read back to the same value and
 never in exponent form (``10.0 -> "10"``, ``1e21 -> "1000000000000000000000"``).
-For ``1e-4 <= |v| < 2**53`` the Java digits of ``cast(v as string)`` are the shortest:
+For ``1e-4 <= |v| < 2**53`` the digits of ``cast(v as string)`` are the shortest:
 in ``[1e-3, 1e7)`` they are already plain and only trailing zeros are cut; elsewhere
-in the range an exact decimal cast removes the exponent first. Outside that range
-Java's digits are not always the shortest. Those values are rounded to 15, 16 and 17
-digits (subnormals from 1 on), and the first one that reads back to the same double is
-printed; integers below 2**63 start from their exact digits.
+in the range an exact decimal cast removes the exponent first. Outside that range they
+are not always the shortest. There the digits come from the Schubfach algorithm, which finds
+them once, in integer arithmetic on the interval of decimals that read back, by a
+static method of Jackson, the JSON library that Spark itself runs on (``java_method``). It writes
+two digits at least, so the least subnormals, where one may do, are tried with one.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-_MAX_DIGITS = 17
-_LEAST_NORMAL = 2.0**-1022
 _TWO_63 = float(2**63)
+# Shortest digits of a double, in the notation of Double.toString.
+_SHORTEST = "com.fasterxml.jackson.core.io.schubfach.DoubleToDecimal"
+#: Up to it decimals of two digits are closer together than doubles.
+_TWO_DIGITS_MAX = 1e-322
 
 
 def _let(value: Column, body) -> Column:
@@ -48,54 +51,21 @@ def _div(n: Column, d: Column) -> Column:
     return F.call_function("div", n, d)
 
 
-def _java_digits(a: Column) -> Column:
-    """``(m, x)`` with ``a = m * 10**x``: the digits that the JVM prints for a positive double."""
-    s = a.cast("string")
-    mantissa = F.substring_index(s, "E", 1)
-    fraction = F.substring_index(mantissa, ".", -1)
-    exponent = F.when(s.contains("E"), F.substring_index(s, "E", -1).cast("int")).otherwise(0)
-    digits = F.concat(F.substring_index(mantissa, ".", 1), fraction).cast("bigint")
-    return F.struct(digits.alias("m"), (exponent - F.length(fraction)).cast("int").alias("x"))
-
-
 def _shortest_digits(a: Column) -> Column:
     """``(digits, x)``: shortest decimal digits (no zeros at the end) of a positive finite double."""
-    whole = F.struct(a.cast("bigint").alias("m"), F.lit(0).alias("x"))
-    start = F.when((a >= F.lit(_NATIVE_MAX)) & (a < F.lit(_TWO_63)), whole).otherwise(_java_digits(a))
-    power = F.array(*[F.lit(10**k).cast("bigint") for k in range(19)])
-
-    def search(z: Column) -> Column:
-        size = F.length(z["m"].cast("string"))
-        whole = F.struct(z["m"].cast("string").alias("d"), z["x"].alias("x"))
-
-        def neighbours(n: Column) -> list[Column]:
-            """The two roundings to n digits, the nearer first: below a power of two only the other may read back."""
-            cut = size - n
-            unit = F.element_at(power, cut + 1)
-            up = F.when(z["m"] % unit >= unit - z["m"] % unit, 1).otherwise(0)  # no sum that could leave int64
-            low, x = _div(z["m"], unit), (z["x"] + cut).alias("x")
-            return [F.struct(m.cast("string").alias("d"), x) for m in (low + up, low + 1 - up)]
-
-        def reads_back(t: Column) -> Column:
-            return F.concat(t["d"], F.lit("E"), t["x"].cast("string")).cast("double") == z["a"]
-
-        # Up to 15 digits there is one decimal at most that reads back, so fewer come out as zeros at the end.
-        tries = [
-            F.when(size >= n, _let(t, lambda t: F.when(reads_back(t), t)))
-            for n, k in ((15, 1), (16, 2), (17, 2))
-            for t in neighbours(F.lit(n))[:k]
-        ]
-        normal = F.when(size <= 15, whole).otherwise(F.coalesce(*tries, whole))
-        every = F.flatten(F.transform(F.sequence(F.lit(1), F.least(size, F.lit(_MAX_DIGITS))), lambda n: F.array(*neighbours(n))))
-        subnormal = F.element_at(F.filter(every, reads_back), 1)
-        return _let(F.when(z["a"] < F.lit(_LEAST_NORMAL), subnormal).otherwise(normal), _without_end_zeros)
-
-    return _let(F.struct(a.alias("a"), start["m"].alias("m"), start["x"].alias("x")), search)
-
-
-def _without_end_zeros(t: Column) -> Column:
-    d = F.rtrim(t["d"], F.lit("0"))
-    return F.struct(d.alias("d"), (t["x"] + F.length(t["d"]) - F.length(d)).alias("x"))
+    digits = F.java_method(F.lit(_SHORTEST), F.lit("toString"), a)
+    one = F.upper(F.format_string("%.0e", a))
+    return _let(F.when((a <= F.lit(_TWO_DIGITS_MAX)) & (one.cast("double") == a), one).otherwise(digits), _as_digits)
+
+
+def _as_digits(s: Column) -> Column:
+    """``12.5E7`` as its digits 125 and the power of ten 6 behind them."""
+    mantissa = F.substring_index(s, "E", 1)
+    fraction = F.rtrim(F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise(""), F.lit("0"))
+    exponent = F.when(s.contains("E"), F.substring_index(s, "E", -1).cast("int")).otherwise(0)
+    all_ = F.ltrim(F.concat(F.substring_index(mantissa, ".", 1), fraction), F.lit("0"))
+    d = F.rtrim(all_, F.lit("0"))
+    return F.struct(d.alias("d"), (exponent - F.length(fraction) + F.length(all_) - F.length(d)).alias("x"))
 
 
 def _sign(v: Column) -> Column:

@@ -1,9 +1,9 @@
-"""Keep-last per key (W2) and latest sample per report window.
+"""Keep-last per key (W2) and latest sample per report window (A6), in one pass each.
 
-Both first find the largest order value per key, a partial and final HashAggregate over
-fixed-width buffers, and then keep the rows that carry it with a semi join on (key,
-order). Rows of one hot key spread over the join's partitions by their order, and
-are never sorted in one window task.
+The last row of a key is the largest struct of (order, all other columns): one aggregate, in which every
+task first keeps one row a key of its own, so a hot key is one row a task before any
+shuffle, and no row is joined back. Ties are settled by the other columns, and a null order
+comes before all others, so every key keeps exactly one row.
 """
 
 from __future__ import annotations
@@ -14,32 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _rows_with_largest(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    largest = df.groupBy(*key).agg(F.max(order).alias("_order"))
-    largest = largest.select(*[F.col(k).alias(f"_k_{k}") for k in key], "_order")
-    on = F.col(order) == F.col("_order")
-    for k in key:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return df.join(largest, on, "left_semi")
+def keep_last(df: DataFrame, key: Sequence[str], order: str | Sequence[str] = "seq") -> DataFrame:
+    """The row with the highest ``order`` (one or more columns) per key; all columns kept, key columns first.
 
-
-def keep_last(df: DataFrame, key: Sequence[str], order: str = "seq") -> DataFrame:
-    """The row with the highest ``order`` per key (all columns kept, key columns first).
-
-    ``order`` is a number or time, unique within a key and not null, as ``seq`` is.
+    Of rows with equal order the one with the larger other columns, compared in their order, is
+    kept. Columns must have an order (no maps).
     """
-    key = list(key)
-    return _rows_with_largest(df, key, order).select(*key, *[c for c in df.columns if c not in key])
-
-
-def newest_sample_rows(samples: DataFrame, window: str, ts: str = "ts") -> DataFrame:
-    """Rows whose sample time is the newest of their report window."""
-    return _rows_with_largest(samples, [window], ts)
+    key, order = list(key), [order] if isinstance(order, str) else list(order)
+    rest = [c for c in df.columns if c not in key and c not in order]
+    last = df.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("_last"))
+    return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in df.columns if c not in key])
 
 
 def latest_sample(samples: DataFrame, window: str, ts: str = "ts", id_col: str = "id", order: str = "seq") -> DataFrame:
     """What a report carries: only the newest sample of the window, last row per id.
 
-    Unlike latest-per-id, an id missing from the newest sample is not reported.
+    Unlike latest-per-id, an id missing from the newest sample is not reported. The samples are read
+    once: what remains is a row per window and id, and of these the window's newest.
     """
-    return keep_last(newest_sample_rows(samples, window, ts), [window, id_col], order)
+    last = keep_last(samples, [window, id_col], [ts, order])
+    newest = last.groupBy(F.col(window).alias("_window")).agg(F.max(ts).alias("_newest"))
+    on = F.col(window).eqNullSafe(F.col("_window")) & F.col(ts).eqNullSafe(F.col("_newest"))
+    return last.join(newest, on, "left_semi")
+
+
+def latest_wide_sample(samples: DataFrame, window: str, ts: str = "ts", order: str = "seq") -> DataFrame:
+    """A6 where a row is a whole sample, with a column per metric: the newest row of each window, before any unpivot."""
+    return keep_last(samples, [window], [ts, order])

@@ -4,13 +4,14 @@ For update i of key k: ``delta_i = state.delta + d_1 + ... + d_i`` with SQL NULL
 propagation, and ``value_i`` is the update's own value. Sums are exact, and only a
 result that does not fit in int64 raises.
 
-Skew: all agents share metric ids, so one key may hold a large share of all rows,
-and a plain ``Window.partitionBy(key)`` would sort that key in one task. The prefix
-sum is a tree of fixed depth over the 64 bits of ``seq`` instead: its rows meet in
-(key, seq >> 16), the totals of those in (key, seq >> 32), theirs in
-(key, seq >> 48), and theirs in the key. A node has at most 2^16 children at every
-level, so no window partition holds more than 2^16 rows, whether ``seq`` is
-dense, sparse or in nanoseconds (``seq`` is unique per key).
+Skew: all agents share metric ids, so one key may hold a large share of all rows, and a
+plain ``Window.partitionBy(key)`` would sort that key in one task. It is a prefix scan in two
+passes instead. Rows are range-partitioned by (key, order), so a hot key covers many
+partitions, whatever its order column looks like: dense, sparse or in nanoseconds. A window
+inside of each (partition, key) gives running sums there, and their last rows are the
+totals of the pieces. A second window adds up the totals before each piece of a key.
+Only a key that crosses a partition border has such a piece, so at most one a border,
+and these offsets are broadcast back to the rows.
 """
 
 from __future__ import annotations
@@ -22,81 +23,65 @@ from pyspark.sql import functions as F
 
 from tallyfold.model import KEY
 
-#: Bits of ``seq`` that each level of the tree covers.
-LEVEL_BITS = 16
+_WIDE = "decimal(38,0)"
 
 
-def _levels(level_bits: int) -> list[str]:
-    return [f"_b{k}" for k in range(1, -(-64 // level_bits))]
-
-
-def _dealt(df: DataFrame, by: list[str]) -> DataFrame:
-    """``df`` partitioned by ``by``, its other columns packed into one.
-
-    Every branch that reads the result then needs the same columns, so Spark runs one
-    exchange for all of them instead of one pruned copy (and one scan) for each.
-    """
-    rest = [c for c in df.columns if c not in by]
-    packed = df.select(*by, F.array(F.struct(*rest)).alias("_rest")).repartition(*by)
-    one = F.element_at("_rest", 1)
-    return packed.select(*by, *[one[c].alias(c) for c in rest])
+def of_keys(rows: DataFrame, keys: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The rows whose key is among ``keys``: a semi join on the plain key columns."""
+    few = keys.select(*[F.col(k).alias(f"_of_{k}") for k in key])
+    on = F.lit(True)
+    for k in key:
+        on = on & rows[k].eqNullSafe(few[f"_of_{k}"])
+    return rows.join(few, on, "left_semi")
 
 
 def running_result(
-    updates: DataFrame,
-    state: DataFrame | None = None,
-    key: Sequence[str] = KEY,
-    seq: str = "seq",
-    level_bits: int = LEVEL_BITS,
+    updates: DataFrame, state: DataFrame | None = None, key: Sequence[str] = KEY, seq: str = "seq", *, picked: bool = False
 ) -> DataFrame:
     """Per-update result rows ``seq, id, type, delta, value``.
 
-    ``state`` (one row per key) is the table before the first update. Only its rows
-    of the updated keys are used; a small batch therefore reads a large state
-    once, by a semi join, and never shuffles it when the keys are few.
+    ``state`` (one row per key) is the table before the first update; only its rows of the
+    updated keys are used, picked by a semi join unless ``picked`` says that it has no others.
+    Updates of a key with equal ``seq`` are taken by delta, then by value.
     """
     key = list(key)
-    levels = _levels(level_bits)
-    wide = "decimal(38,0)"
-    zero, none = F.lit(0).cast(wide), F.lit(0).cast("bigint")
-    # The key as one struct, and an order that is never null: no row can fall out of a join.
-    order = F.coalesce(F.col(seq), F.lit(-(2**63)))
-    rows = updates.select(F.struct(*key).alias("_k"), order.alias("_seq"), "value", F.col("delta").cast(wide).alias("_d"))
-    shift = [F.shiftright("_seq", level_bits * (k + 1)).alias(b) for k, b in enumerate(levels)]
-    rows = rows.select("*", *shift, F.col("_d").isNull().cast("bigint").alias("_n"))
-    # One exchange: the windows and the totals of the lowest level both read it.
-    rows = _dealt(rows, ["_k", levels[0]])
-    upto = Window.partitionBy("_k", levels[0]).orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.select("_k", levels[0], "_seq", "value", F.sum("_d").over(upto).alias("_ld"), F.sum("_n").over(upto).alias("_ln"))
-    sums = [F.sum("_d").cast(wide).alias("_d"), F.sum("_n").alias("_n")]
-    totals = []
-    for k in range(len(levels)):
-        below = rows if k == 0 else totals[-1]
-        totals.append(_dealt(below.groupBy("_k", *levels[k:]).agg(*sums), ["_k", *levels[k + 1 :]]))
-
-    # Offsets from the top of the tree down; the state enters there, once per key.
-    offsets = None
-    for k in reversed(range(len(levels))):
-        own, parent = levels[k], levels[k + 1 :]
-        before = Window.partitionBy("_k", *parent).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
-        here = totals[k].select("_k", *levels[k:], F.sum("_d").over(before).alias("_od"), F.sum("_n").over(before).alias("_on"))
-        if offsets is not None:
-            above = offsets.select("_k", *parent, F.col("_od").alias("_ad"), F.col("_on").alias("_an"))
-            here = here.join(above, ["_k", *parent])
-        elif state is not None:
-            # The top level holds a few rows per updated key.
-            seeds = state.select(F.struct(*key).alias("_k"), F.col("delta").cast(wide).alias("_ad"), F.col("delta").isNull().cast("bigint").alias("_an"))
-            here = here.join(seeds.join(totals[k].select("_k").distinct(), "_k", "left_semi"), "_k", "left")
-        else:
-            here = here.select("*", F.lit(None).cast(wide).alias("_ad"), none.alias("_an"))
-        offsets = here.select(
-            "_k",
-            *levels[k:],
-            (F.coalesce("_od", zero) + F.coalesce("_ad", zero)).cast(wide).alias("_od"),
-            (F.coalesce("_on", none) + F.coalesce("_an", none)).alias("_on"),
-        )
-    joined = local.join(offsets.select("_k", levels[0], "_od", "_on"), ["_k", levels[0]])
-    total = (F.coalesce("_ld", zero) + F.col("_od")).cast(wide).cast("bigint")
-    return joined.select(
-        F.col("_seq").alias(seq), *[F.col(f"_k.{c}").alias(c) for c in key], F.when(F.col("_on") + F.col("_ln") == 0, total).alias("delta"), "value"
-    )
+    keys = [F.col(k).alias(f"_k_{k}") for k in key]
+    mine = [f"_k_{k}" for k in key]
+    rows = updates.select(*keys, F.col(seq).alias("_seq"), F.col("delta").alias("_delta"), F.col("value").alias("_value"))
+    placed = rows.repartitionByRange(*mine, "_seq").withColumn("_part", F.spark_partition_id())
+    # Both readers of the pieces order by all columns, so they share one exchange.
+    piece = Window.partitionBy("_part", *mine).orderBy("_seq", "_delta", "_value")
+    upto = piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.select(
+        "_part", *mine, "_seq", "_value",
+        F.sum(F.col("_delta").cast("decimal(20,0)")).over(upto).cast(_WIDE).alias("_sum"),
+        F.count(F.when(F.col("_delta").isNull(), 1)).over(upto).alias("_nulls"),
+        F.lead(F.lit(1)).over(piece).isNull().alias("_last"),
+    )
+    totals = local.filter("_last").select("_part", *mine, F.coalesce("_sum", F.lit(0).cast(_WIDE)).alias("_sum"), "_nulls")
+    before = Window.partitionBy(*mine).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = totals.select("_part", *mine, F.sum("_sum").over(before).cast(_WIDE).alias("_sum0"), F.sum("_nulls").over(before).alias("_nulls0"))
+    if state is None:
+        # One piece a partition border at most.
+        offsets = F.broadcast(pieces.filter(F.col("_nulls0").isNotNull()))
+    else:
+        seeds = state if picked else of_keys(state, updates.select(*key).distinct(), key)
+        seeds = seeds.select(*[F.col(k).alias(f"_s_{k}") for k in key], F.col("delta").alias("_seed"), F.col("delta").isNull().cast("bigint").alias("_seed_null"))
+        on = F.lit(True)
+        for k in key:
+            on = on & F.col(f"_k_{k}").eqNullSafe(F.col(f"_s_{k}"))
+        seeded = pieces.join(seeds, on, "left")
+        zero = F.lit(0).cast("bigint")
+        offsets = seeded.select(
+            "_part", *mine,
+            (F.coalesce("_sum0", F.lit(0).cast(_WIDE)) + F.coalesce(F.col("_seed"), zero).cast(_WIDE)).cast(_WIDE).alias("_sum0"),
+            (F.coalesce("_nulls0", zero) + F.coalesce("_seed_null", zero)).alias("_nulls0"),
+        )
+    offsets = offsets.select(F.col("_part").alias("_p"), *[F.col(m).alias(f"_o{m}") for m in mine], "_sum0", "_nulls0")
+    on = F.col("_part") == F.col("_p")
+    for m in mine:
+        on = on & F.col(m).eqNullSafe(F.col(f"_o{m}"))
+    joined = local.join(offsets, on, "left")
+    total = (F.coalesce("_sum", F.lit(0).cast(_WIDE)) + F.coalesce("_sum0", F.lit(0).cast(_WIDE))).cast(_WIDE).cast("bigint")
+    known = (F.col("_nulls") + F.coalesce("_nulls0", F.lit(0))) == 0
+    return joined.select(F.col("_seq").alias(seq), *[F.col(m).alias(k) for m, k in zip(mine, key, strict=True)], F.when(known, total).alias("delta"), F.col("_value").alias("value"))
