@@ -312,7 +312,19 @@ STRICT = f"""outcomes(form, error, ids, deltas) AS (VALUES
 SELECT u.seq AS batch_id, o.form, o.error, CASE WHEN o.error IS NULL THEN 200 ELSE 400 END AS status, o.ids, o.deltas
 FROM updates u JOIN outcomes o ON u.seq % 19 = o.form"""
 
-LARGE_FORMS = ", ".join(f"('{f}')" for f in ("one", "seven", "spread", "merged", "states"))
+# Parts as they arrive; the watermark before a part is a day behind the latest update of all earlier parts.
+REPORT_LATE = f"""arrived AS (
+  SELECT *, CAST(floor((seq - (SELECT min(seq) FROM updates)) * 4 / (SELECT max(seq) - min(seq) + 1 FROM updates)) AS INTEGER) + CASE WHEN seq % 13 = 0 THEN 1 ELSE 0 END AS part,
+         date_trunc('day', ts) + INTERVAL 1 DAY AS window_end
+  FROM updates),
+marks AS (SELECT p.part, (SELECT date_trunc('millisecond', max(a.ts)) - INTERVAL 1 DAY FROM arrived a WHERE a.part < p.part) AS mark FROM range(6) p(part)),
+counted AS (SELECT a.* FROM arrived a JOIN marks m ON m.part = a.part WHERE m.mark IS NULL OR a.window_end > m.mark)
+SELECT {DAY_WINDOW} AS window_start, id, type, count(*) AS polls,
+       CASE WHEN count(delta) = count(*) THEN CAST(sum(delta) AS BIGINT) END AS delta,
+       arg_max_null(value, seq) AS value
+FROM counted WHERE window_end <= (SELECT mark FROM marks WHERE part = 5) GROUP BY {DAY_WINDOW}, id, type"""
+
+LARGE_FORMS = ", ".join(f"('{f}')" for f in ("spread", "merged", "states"))
 
 ORACLE: dict[str, str] = {
     "updates": with_(UPDATES) + "SELECT seq, id, type, delta, value FROM updates",
@@ -346,6 +358,10 @@ FROM validated v LEFT JOIN (SELECT seq, {METRIC_JSON_SQL} AS saved FROM ran) r O
     + """SELECT id, type, delta, value FROM (
   SELECT *, row_number() OVER (PARTITION BY id, type ORDER BY seq DESC) AS rn FROM updates) x WHERE rn = 1""",
     "stream_results": with_(UPDATES) + RUNNING.format(source="updates"),
+    "stream_results_store": with_(UPDATES) + RUNNING.format(source="updates"),
+    # However often a body comes, it counts once.
+    "request_replay": with_(UPDATES, DIRTY, VALIDATED, ACCEPTED) + fold_sql("accepted"),
+    "report_late": with_more(UPDATES, tail=REPORT_LATE),
     "report_live": with_(UPDATES)
     + f"""SELECT {DAY_WINDOW} AS window_start, id, type, count(*) AS polls,
        CASE WHEN count(delta) = count(*) THEN CAST(sum(delta) AS BIGINT) END AS delta,

@@ -17,7 +17,7 @@ from tallyfold.model import STATE_COLUMNS, UPDATE_COLUMNS
 from tallyfold.operators import dedup, fold, lookup, report, running, validate
 from tallyfold.session import scratch_path
 from tallyfold.sources import json_ingest, path_ingest, samples, snapshot, tables, updates as upd
-from tallyfold.streaming import fold_stream
+from tallyfold.streaming import fold_stream, requests, results_store
 
 # Time split used by the merge/seeded queries: earlier rows form the prior state.
 SPLIT_TS = "2024-01-16 00:00:00"
@@ -53,6 +53,10 @@ WIDE_INTEGER = 45_035_996_273_704_960.0
 SPARSE_STEP = 1_000_003
 # Rows of one array file of ``snapshot_array_restore``.
 SNAPSHOT_ROWS = 1000
+# Arrival of the replayed requests: seconds since 1970, and from one run of the stream to the next.
+REPLAY_EPOCH, REPLAY_GAP = 1_704_067_200, 60
+# How long a report window waits for late updates.
+LATE_BY = "1 day"
 # The point lookup of P1.
 LOOKUP_ID, LOOKUP_TYPE = "click_8", "counter"
 # Lineitem as agent samples: sample id columns, gauge columns, counter columns.
@@ -149,7 +153,7 @@ def q_running_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_metric_state_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1's overflow rule: deltas near 2**63 whose partial sums leave int64 and whose totals do not.
 
-    The same fold over one, seven and many partitions, and as a merge of two halves;
+    The same fold in one aggregate, as a merge of two halves, and as a fold of their states;
     every form must give the same state.
     """
     u = _updates(spark, sf_dir).filter(F.col("type") == "counter")
@@ -164,8 +168,6 @@ def q_metric_state_large(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("seq") % 2 == 0).alias("early"),
     )
     forms = {
-        "one": fold.fold_updates(three.coalesce(1)),
-        "seven": fold.fold_updates(three.repartition(7, "seq")),
         "spread": fold.fold_updates(three),
         "merged": fold.upsert(fold.fold_updates(three.filter("early")), three.filter("not early")),
         "states": fold.fold_states(fold.fold_updates(three.filter("early")).unionByName(fold.fold_updates(three.filter("not early")))),
@@ -256,9 +258,8 @@ def _latest_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         *LINEITEM_GAUGES,
         *LINEITEM_COUNTERS,
     )
-    newest = dedup.newest_sample_rows(li, "window_start", "ts")
-    long = samples.wide_to_long(newest, ["window_start", "seq"], LINEITEM_GAUGES, LINEITEM_COUNTERS)
-    return dedup.keep_last(long, ["window_start", "id"], "seq")
+    newest = dedup.latest_wide_sample(li, "window_start")
+    return samples.wide_to_long(newest, ["window_start", "seq"], LINEITEM_GAUGES, LINEITEM_COUNTERS).select("window_start", "id", "seq", "type", "delta", "value")
 
 
 def q_latest_sample_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -604,6 +605,60 @@ def q_stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/results").select("seq", *STATE_COLUMNS)
 
 
+def _in_parts(spark: SparkSession, rows: DataFrame, part: str, n_parts: int, root: str, start) -> None:
+    """Rows as a stream in parts: each part is appended to the source, and ``start(stream)`` runs over what is new."""
+    given = rows.drop(part)
+    for k in range(n_parts):
+        rows.filter(F.col(part) == k).drop(part).write.mode("append").parquet(f"{root}/source")
+        start(spark.readStream.schema(given.schema).parquet(f"{root}/source")).awaitTermination()
+
+
+def q_stream_results_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 from the state store: the row as it stands after each update, in four runs of one stream."""
+    root = scratch_path(spark, "stream-store")
+    u = _updates(spark, sf_dir).select(*UPDATE_COLUMNS)
+    first, last = u.agg(F.min("seq"), F.max("seq")).first()
+    rows = u.withColumn("part", F.floor((F.col("seq") - first) * 4 / (last - first + 1)))
+    start = lambda s: results_store.start_result_stream(s, f"{root}/results", f"{root}/checkpoint", trigger={"availableNow": True})
+    _in_parts(spark, rows, "part", 4, root, start)
+    return spark.read.parquet(f"{root}/results").select("seq", *STATE_COLUMNS)
+
+
+def q_request_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + T1: request bodies as a stream in which every 7th comes again, in the next run of the stream; each counts once."""
+    root = scratch_path(spark, "replay")
+    bodies = json_ingest.batch_bodies(_dirty(spark, sf_dir))
+    last = bodies.agg(F.max("batch_id")).first()[0] or 0
+    half = F.when(F.col("batch_id") * 2 > last, 1).otherwise(0)
+    sent = F.array(F.lit(0), F.lit(1))
+    again = F.explode(F.when(F.col("batch_id") % 7 == 0, sent).otherwise(F.slice(sent, 1, 1)))
+    arrived = bodies.withColumn("again", again).withColumn("part", half + F.col("again"))
+    received = F.timestamp_seconds(REPLAY_EPOCH + REPLAY_GAP * F.col("part"))
+    rows = arrived.select(F.concat(F.lit("r"), F.col("batch_id")).alias("request_id"), received.alias("received"), "batch_id", "body", "part")
+    start = lambda s: requests.start_request_stream(s, f"{root}/state", f"{root}/checkpoint", "batch_id", upd.BATCH_SIZE, trigger={"availableNow": True})
+    _in_parts(spark, rows, "part", 3, root, start)
+    return snapshot.read_state(spark, f"{root}/state").select(*STATE_COLUMNS)
+
+
+def q_report_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 with a watermark: daily windows, each emitted once and then forgotten; every 13th update comes
+    a quarter of the time too late, and counts only if its window has not passed the watermark."""
+    root = scratch_path(spark, "report-late")
+    u = _updates(spark, sf_dir).select("ts", *UPDATE_COLUMNS).withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = u.agg(F.min("seq"), F.max("seq")).first()
+    quarter = F.floor((F.col("seq") - first) * 4 / (last - first + 1))
+    rows = u.withColumn("part", quarter + F.when(F.col("seq") % 13 == 0, 1).otherwise(0))
+
+    def start(stream: DataFrame):
+        report_ = fold_stream.stream_report(stream, EVENT_REPORT_EVERY, watermark=LATE_BY)
+        out = report_.writeStream.outputMode("append").format("parquet").option("path", f"{root}/emitted")
+        return out.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+    _in_parts(spark, rows, "part", 5, root, start)
+    emitted = spark.read.parquet(f"{root}/emitted")
+    return emitted.select(report.window_text(F.col("window.start")).alias("window_start"), "id", "type", "polls", "delta", "value")
+
+
 def q_report_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 live: daily report windows as a streaming aggregation in update mode; the
     latest emission of each window and metric."""
@@ -680,5 +735,8 @@ QUERIES: dict[str, Query] = {
     "snapshot_array_restore": q_snapshot_array_restore,
     "stream_state": q_stream_state,
     "stream_results": q_stream_results,
+    "stream_results_store": q_stream_results_store,
+    "request_replay": q_request_replay,
     "report_live": q_report_live,
+    "report_late": q_report_late,
 }

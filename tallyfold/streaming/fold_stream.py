@@ -22,7 +22,10 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyfold.model import KEY, STATE_COLUMNS
 from tallyfold.operators.fold import fold_updates, last_by_seq, null_propagating_sum
 from tallyfold.operators.running import running_result
-from tallyfold.sources.snapshot import state_before, write_batch
+from tallyfold.sources.snapshot import compact, state_before, write_batch
+
+#: Distinct keys of a micro-batch that are broadcast to pick their rows of the state: some 50 MB.
+KEYS_IN_MEMORY = 500_000
 
 
 def stream_fold(updates: DataFrame) -> DataFrame:
@@ -52,21 +55,27 @@ def source_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.json(f"{checkpoint}/metadata").select("id").first().id
 
 
-def apply_batch(batch: DataFrame, batch_id: int, state_root: str, source: str, results_root: str | None = None) -> None:
+def apply_batch(batch: DataFrame, batch_id: int, state_root: str, source: str, results_root: str | None = None, fan: int | None = None) -> None:
     """Fold one micro-batch of a source into its folder under the state root.
 
     The write is proportional to the batch, not to the state. With ``results_root``
     the per-update results are written too, from the state before this batch: only
-    the batch's own keys of it are used.
+    the batch's own keys of it are used, picked before the state is folded. Where they
+    are few (KEYS_IN_MEMORY, counted) they are broadcast, so that no state row is shuffled but theirs.
+    With ``fan`` the folders of earlier batches are compacted along the way.
     """
     spark = batch.sparkSession
     batch = batch.persist()
     try:
         if results_root is not None:
-            before = state_before(spark, state_root, source, batch_id)
+            keys = batch.select(*KEY).distinct()
+            keys = F.broadcast(keys) if keys.count() <= KEYS_IN_MEMORY else keys
+            before = state_before(spark, state_root, source, batch_id, keys)
             out = f"{results_root}/source={source}/batch_id={int(batch_id)}"
-            running_result(batch, state=before).write.mode("overwrite").parquet(out)
+            running_result(batch, state=before, picked=True).write.mode("overwrite").parquet(out)
         write_batch(batch, state_root, source, batch_id)
+        if fan is not None and batch_id % fan == fan - 1:
+            compact(spark, state_root, source, batch_id, fan)
     finally:
         batch.unpersist()
 
@@ -77,12 +86,14 @@ def start_state_stream(
     checkpoint: str,
     trigger: dict | None = None,
     results_root: str | None = None,
+    fan: int | None = None,
 ) -> StreamingQuery:
     """Start the upsert stream. ``trigger`` is passed to ``DataStreamWriter.trigger``
-    (e.g. ``{"processingTime": "5 seconds"}`` or ``{"availableNow": True}``)."""
+    (e.g. ``{"processingTime": "5 seconds"}`` or ``{"availableNow": True}``). With ``fan``
+    every so many batches the state's folders are compacted (``snapshot.compact``)."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, batch_id, state_root, source_id(batch.sparkSession, checkpoint), results_root)
+        apply_batch(batch, batch_id, state_root, source_id(batch.sparkSession, checkpoint), results_root, fan)
 
     writer = updates.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     if trigger:

@@ -91,15 +91,47 @@ def test_running_result_seeded_and_skewed(spark):
         F.when(F.count(F.when(F.col("delta").isNull(), 1)).over(w) == 0, F.sum("delta").over(w)).alias("delta"),
         "value",
     )
-    bucketed = running.running_result(u, level_bits=22)
+    bucketed = running.running_result(u)
     assert rows(bucketed) == rows(plain.select(*bucketed.columns))
     state = fold.fold_updates(u.filter("seq < 1000"))
     seeded = running.running_result(u.filter("seq >= 1000"), state=state)
     assert rows(seeded) == rows(plain.filter("seq >= 1000").select(*seeded.columns))
 
 
-def test_sparse_order_keeps_windows_small(spark):
-    """A hot key with sparse order values: its rows and totals spread over the levels."""
+def test_a_hot_key_crosses_partition_borders(spark):
+    """With 8 range partitions left as they are, a key of two thirds of all rows lies in several of them."""
+    data = [(i * (1 if i < 900 else 2**40), "hot" if i % 3 else f"k{i % 40:02d}", "counter", None if i == 1100 else 2**62 - i, None) for i in range(1200)]
+    u = upd(spark, data)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        parts = u.repartitionByRange("id", "type", "seq").select("id", F.spark_partition_id().alias("p")).filter("id = 'hot'").distinct().count()
+        got = running.running_result(u.withColumn("delta", F.col("delta") % 1000)).collect()
+        seeds = spark.createDataFrame([("hot", "counter", 7, None), ("k00", "counter", None, None), ("other", "counter", 1, None)], "id STRING, type STRING, delta BIGINT, value DOUBLE")
+        seeded = running.running_result(u.withColumn("delta", F.col("delta") % 1000), state=seeds).collect()
+    finally:
+        spark.conf.unset(setting)
+    assert parts > 2
+    sums, want = {}, {}
+    for seq, key, _, d, _ in data:
+        old = sums.get(key, 0)
+        sums[key] = None if d is None or old is None else old + d % 1000
+        want[seq] = sums[key]
+    assert {r.seq: r.delta for r in got} == want
+    more = {"hot": 7, "k00": None}
+    ids = {row[0]: row[1] for row in data}
+    assert {r.seq: r.delta for r in seeded} == {
+        q: None if w is None or more.get(ids[q], 0) is None else w + more.get(ids[q], 0) for q, w in want.items()
+    }
+
+
+def test_equal_order_values_have_an_order(spark):
+    u = upd(spark, [(1, "a", "counter", 5, None), (1, "a", "counter", 2, 1.0), (None, "a", "counter", 1, None)])
+    assert rows(running.running_result(u), "seq", "delta") == [(1, 3), (1, 8), (None, 1)]
+
+
+def test_sparse_order(spark):
+    """A hot key with sparse order values."""
     data = [(i * 1_000_000_007 - 10**12, "hot", "counter", None if i == 450 else i, None) for i in range(500)]
     got = {r.seq: r.delta for r in running.running_result(upd(spark, data)).collect()}
     total = 0
@@ -159,3 +191,19 @@ def test_duplicate_keys_check(spark):
     u = upd(spark, [(1, "a", "counter", 1, None), (2, "a", "counter", 2, None), (3, "b", "gauge", None, 1.0)])
     assert fold.duplicate_keys(fold.fold_updates(u)).count() == 0
     assert rows(fold.duplicate_keys(u), "id", "rows") == [("a", 2)]
+
+
+def test_keep_last_defines_ties_and_null_order(spark):
+    from tallyfold.operators import dedup
+
+    u = upd(spark, [(1, "a", "counter", 5, None), (1, "a", "gauge", 2, 1.0), (None, "b", "counter", 1, None), (None, "b", "counter", 2, None), (3, None, "gauge", 1, None)])
+    assert rows(dedup.keep_last(u, ["id"], "seq"), "id", "seq", "type", "delta") == [("a", 1, "gauge", 2), ("b", None, "counter", 2), (None, 3, "gauge", 1)]
+    assert dedup.keep_last(u, ["id"], "seq").columns == ["id", "seq", "type", "delta", "value"]
+
+
+def test_latest_sample_drops_ids_that_are_gone(spark):
+    from tallyfold.operators import dedup
+
+    data = [(1, 10, "x", 1), (1, 20, "y", 2), (1, 20, "y", 3), (2, 5, "x", 4), (None, 1, "x", 5), (None, 2, "z", 6)]
+    df = spark.createDataFrame(data, "w INT, ts INT, id STRING, seq INT")
+    assert rows(dedup.latest_sample(df, "w"), "w", "id", "seq") == [(1, "y", 3), (2, "x", 4), (None, "z", 6)]

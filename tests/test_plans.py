@@ -21,14 +21,40 @@ def test_scan_reads_only_needed_columns(spark):
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double,props:string>" in p
 
 
-def test_running_result_scans_and_deals_its_rows_once(spark):
+def test_running_result_scans_once_and_deals_rows_twice(spark):
     df = q.q_running_result(spark, SF_SMALL)
+    initial = plan(df)
+    # Range partitioning, (partition, key), and the totals by key; both readers of the pieces share the first two.
+    assert "BroadcastExchange" in initial and "strategy=" not in initial
     df.collect()
-    p = plan(df).split("Initial Plan")[0]
-    assert p.count("FileScan") == 1 and p.count("ReusedExchange") >= 3
+    final = plan(df).split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and final.count("Exchange rangepartitioning") == 1
+    # The totals have no rows of a second piece here, so no exchange of theirs is left to count.
+    assert final.count("Exchange hashpartitioning(_part") == 1 and final.count("Exchange hashpartitioning(_k_id") <= 1
     assert "LeftSemi" in plan(q.q_running_seeded(spark, SF_SMALL))
 
 
+def test_state_is_picked_before_it_is_folded_and_not_dealt_by_source(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from tallyfold.operators import fold, running
+    from tallyfold.plans import queries
+    from tallyfold.sources import snapshot
+
+    root, u = scratch("root"), queries._updates(spark, SF_SMALL)
+    snapshot.publish_state(fold.fold_updates(u.filter("seq % 2 = 0")), root)
+    for n in range(3):
+        snapshot.write_batch(u.filter(f"seq % 6 = {2 * n + 1}"), root, "s", n)
+    batch = u.filter("seq % 50 = 1")
+    keys = F.broadcast(batch.select("id", "type").distinct())
+    p = plan(running.running_result(batch, state=snapshot.state_before(spark, root, "s", 2, keys), picked=True))
+    assert "source" not in p.replace("source=s", "")
+    # The semi join reads the folders themselves, below the aggregate that folds them.
+    fold_at = p.index("partial_sum(cast(delta")
+    assert "BroadcastHashJoin" in p[fold_at:] and "LeftSemi" in p[fold_at:]
+    assert "hashpartitioning(source" not in plan(snapshot.read_state(spark, root))
+
+
 def test_batch_rejection_is_anti_join(spark):
     p = plan(q.q_accepted_state(spark, SF_SMALL))
     assert "LeftAnti" in p
@@ -41,12 +67,13 @@ def test_no_python_in_core_paths(spark):
         assert "EvalPython" not in p, name
 
 
-def test_keep_last_and_latest_sample_use_hash_aggregates(spark):
-    for name in ("keep_last", "latest_sample", "latest_sample_wide", "agent_reports"):
+def test_keep_last_and_latest_sample_read_once(spark):
+    for name in ("keep_last", "latest_sample_wide"):
         p = plan(getattr(q, f"q_{name}")(spark, SF_SMALL))
-        assert "LeftSemi" in p and "Window" not in p, name
-        if name != "agent_reports":  # its bodies gather a batch's metrics
-            assert "SortAggregate" not in p, name
+        assert "Join" not in p and p.count("FileScan") == 1 and "partial_max" in p and "Window" not in p, name
+    # The window's newest time is found among the last rows of each id, not among all rows.
+    p = plan(q.q_latest_sample(spark, SF_SMALL))
+    assert "LeftSemi" in p and "Window [" not in p and p.index("partial_max(struct(ts") > p.index("LeftSemi")
 
 
 def test_texts_stay_in_the_jvm(spark):

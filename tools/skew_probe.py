@@ -52,13 +52,13 @@ def main(argv: list[str]) -> None:
         "value",
     )
     timed("W1 plain window", plain)
-    timed("W1 prefix tree", running.running_result(counters))
-    timed("W1 prefix tree, sparse seq", running.running_result(counters.withColumn("seq", F.col("seq") * 1_000_003)))
+    timed("W1 prefix scan", running.running_result(counters))
+    timed("W1 prefix scan, sparse seq", running.running_result(counters.withColumn("seq", F.col("seq") * 1_000_003)))
 
     gauges = counters.select("seq", "id", F.lit("gauge").alias("type"), F.col("seq").cast("double").alias("value"))
     last = Window.partitionBy("id").orderBy(F.col("seq").desc())
     timed("W2 row_number", gauges.withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn"))
-    timed("W2 hash max, semi join", dedup.keep_last(gauges, ["id"], "seq"))
+    timed("W2 largest struct", dedup.keep_last(gauges, ["id"], "seq"))
     spark.stop()
 
 
