@@ -165,6 +165,38 @@ def type_conflicts(updates: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
+def fold_by_id(updates: DataFrame, seq: str = "seq") -> DataFrame:
+    """A7 as a state: the in-memory store, keyed by id alone (``id, type, delta, value, seq``).
+
+    The first write makes the metric as it is and fixes its type. A later counter adds its delta, a
+    later gauge replaces the value, whatever the type of the metric. Where the in-memory
+    store fails (a counter without a delta, or one onto a metric without) the update
+    changes nothing. Fixed-width aggregates only, so one hash aggregate a side of the exchange.
+    Updates of an id have different ``seq``.
+    """
+    is_c, is_g = F.col("type") == COUNTER, F.col("type") == GAUGE
+    agg = updates.filter(is_c | is_g).groupBy("id").agg(
+        F.min_by(is_c, F.col(seq)).alias("_counter"),
+        F.min_by("delta", seq).alias("_delta"),
+        F.min_by("value", seq).alias("_value"),
+        exact_sum(F.when(is_c, F.col("delta"))).alias("_sum"),
+        F.count(F.when(is_g, 1)).alias("_gauges"),
+        F.max_by(F.when(is_g, F.col("value")), F.when(is_g, F.col(seq))).alias("_last"),
+        F.max(seq).alias("seq"),
+    )
+    wide = "decimal(38,0)"
+    # The first write is in the sum already if it is a counter.
+    first = F.when(F.col("_counter"), F.lit(0)).otherwise(F.col("_delta")).cast(wide)
+    total = F.coalesce(F.col("_sum").cast(wide), F.lit(0).cast(wide)) + first
+    return agg.select(
+        "id",
+        F.when(F.col("_counter"), F.lit(COUNTER)).otherwise(F.lit(GAUGE)).alias("type"),
+        F.when(F.col("_delta").isNotNull(), total.cast(wide).cast("bigint")).alias("delta"),
+        F.when(F.col("_gauges") > 0, F.col("_last")).otherwise(F.col("_value")).alias("value"),
+        "seq",
+    )
+
+
 def duplicate_keys(state: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Key uniqueness is a check, not a Spark constraint: the keys that occur
     more than once, with their row count (empty for a valid state)."""

@@ -324,6 +324,26 @@ SELECT {DAY_WINDOW} AS window_start, id, type, count(*) AS polls,
        arg_max_null(value, seq) AS value
 FROM counted WHERE window_end <= (SELECT mark FROM marks WHERE part = 5) GROUP BY {DAY_WINDOW}, id, type"""
 
+# The first write makes the metric; later counters add, later gauges replace, and what has no delta to add to changes nothing.
+ID_STORE = """ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM gated),
+firsts AS (SELECT * FROM ranked WHERE rn = 1),
+later AS (SELECT id, coalesce(sum(delta) FILTER (WHERE type = 'counter'), 0) AS more, count(*) FILTER (WHERE type = 'gauge') AS gauges,
+                 arg_max_null(value, seq) FILTER (WHERE type = 'gauge') AS last_value FROM ranked WHERE rn > 1 GROUP BY id),
+state AS (
+  SELECT f.id, f.type, CAST(f.delta + coalesce(l.more, 0) AS BIGINT) AS delta, CASE WHEN l.gauges > 0 THEN l.last_value ELSE f.value END AS value
+  FROM firsts f LEFT JOIN later l ON f.id = l.id)"""
+
+RESTORE_SERVE = f"""restored AS (
+  SELECT id, type, delta, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY id, type ORDER BY seq DESC) AS rn FROM updates WHERE ts < TIMESTAMP '2024-01-16 00:00:00') x WHERE rn = 1),
+late AS ({fold_sql("(SELECT * FROM updates WHERE ts >= TIMESTAMP '2024-01-16 00:00:00') u")}),
+state AS (
+  SELECT coalesce(r.id, l.id) AS id, coalesce(r.type, l.type) AS type,
+         CASE WHEN r.id IS NULL THEN l.delta WHEN l.id IS NULL THEN r.delta ELSE r.delta + l.delta END AS delta,
+         CASE WHEN l.id IS NULL THEN r.value ELSE l.value END AS value
+  FROM restored r FULL JOIN late l ON r.id = l.id AND r.type = l.type)
+SELECT id, type, 'ID: ' || id || ' Type: ' || type || ' Value: ' || {value_text_sql()} AS line FROM state"""
+
 LARGE_FORMS = ", ".join(f"('{f}')" for f in ("spread", "merged", "states"))
 
 ORACLE: dict[str, str] = {
@@ -335,6 +355,10 @@ ORACLE: dict[str, str] = {
     "upsert_merge": with_(UPDATES) + fold_sql("updates"),
     "upsert_merge_dirty": with_(UPDATES, DIRTY, GATED) + fold_sql("gated"),
     "upsert_merge_union": with_(UPDATES, DIRTY, GATED) + fold_sql("gated"),
+    "upsert_merge_buckets": with_(UPDATES, DIRTY, GATED) + fold_sql("gated"),
+    "id_store_state": with_(UPDATES, DIRTY, GATED, ID_STORE) + "SELECT id, type, delta, value FROM state",
+    "id_store_lookup": with_more(UPDATES, DIRTY, GATED, REQUESTS, ID_STORE, tail=LOOKUP_BULK),
+    "restore_serve": with_more(UPDATES, tail=RESTORE_SERVE),
     "running_result": with_(UPDATES, DIRTY, GATED) + RUNNING.format(source="gated"),
     # W1 seeded with the state at the split must equal the tail of the full W1.
     "running_seeded": with_(UPDATES, DIRTY, GATED)

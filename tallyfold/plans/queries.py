@@ -53,6 +53,8 @@ WIDE_INTEGER = 45_035_996_273_704_960.0
 SPARSE_STEP = 1_000_003
 # Rows of one array file of ``snapshot_array_restore``.
 SNAPSHOT_ROWS = 1000
+# Buckets of a state by key.
+BUCKETS = 16
 # Arrival of the replayed requests: seconds since 1970, and from one run of the stream to the next.
 REPLAY_EPOCH, REPLAY_GAP = 1_704_067_200, 60
 # How long a report window waits for late updates.
@@ -132,6 +134,34 @@ def q_upsert_merge_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.upsert(state, _after(g)).select(*STATE_COLUMNS)
 
 
+def q_upsert_merge_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 on a state in buckets by key: only the updates are shuffled."""
+    root, g = scratch_path(spark, "buckets"), _gated(spark, sf_dir)
+    snapshot.publish_buckets(fold.fold_updates(_before(g)), root, BUCKETS)
+    return fold.upsert(snapshot.bucketed_state(spark, root, BUCKETS), _after(g)).select(*STATE_COLUMNS)
+
+
+def q_id_store_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 as a state: the fold by id alone, the first writer's type, on the dirty updates (ids with both types)."""
+    return fold.fold_by_id(_gated(spark, sf_dir)).select(*STATE_COLUMNS)
+
+
+def q_id_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2 + A7: every lookup request against the store by id; a metric asked for by the other type is not found."""
+    return lookup.value_lookup(_requests(spark, sf_dir), fold.fold_by_id(_gated(spark, sf_dir)).select(*STATE_COLUMNS))
+
+
+def q_restore_serve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + S6 + J1 + S13, a server's life: a snapshot of array files is restored (last copy of a key), later updates
+    are folded onto it, and the metrics are listed."""
+    path = scratch_path(spark, "serve")
+    u = _updates(spark, sf_dir)
+    label = F.lpad(F.expr(f"seq div {SNAPSHOT_ROWS}").cast("string"), 20, "0")
+    snapshot.write_snapshot_arrays(_before(u).withColumn("file", label), path, "file", "seq")
+    restored = snapshot.restore_state(spark, path, snapshot.ARRAY_FORMAT)
+    return report.listing(fold.upsert(restored, _after(u)))
+
+
 def q_running_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row as it stands after each update (skew-safe bucketed window)."""
     return running.running_result(_gated(spark, sf_dir))
@@ -684,6 +714,10 @@ QUERIES: dict[str, Query] = {
     "upsert_merge": q_upsert_merge,
     "upsert_merge_dirty": q_upsert_merge_dirty,
     "upsert_merge_union": q_upsert_merge_union,
+    "upsert_merge_buckets": q_upsert_merge_buckets,
+    "id_store_state": q_id_store_state,
+    "id_store_lookup": q_id_store_lookup,
+    "restore_serve": q_restore_serve,
     "running_result": q_running_result,
     "running_seeded": q_running_seeded,
     "running_sparse": q_running_sparse,

@@ -23,6 +23,7 @@ but one that finds it, so a job that listed it before has time to read it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
@@ -135,9 +136,32 @@ def publish_state(state: DataFrame, root: str) -> None:
     """Write ``state`` as the base of a root. A base is written once: a second call fails.
 
     Rows are range-partitioned and sorted by key, so each file holds a key range and
-    a point lookup (P1) on the base skips whole files and row groups.
+    a point lookup (P1) on the base skips whole files and row groups. Ids that are random inside of
+    a file's range are told apart by a Bloom filter of the ids of each row group.
     """
-    _with_seq(state).repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.mode("errorifexists").parquet(f"{root}/base")
+    rows = _with_seq(state).repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+    rows.write.mode("errorifexists").option("parquet.bloom.filter.enabled#id", "true").parquet(f"{root}/base")
+
+
+def publish_buckets(state: DataFrame, root: str, buckets: int) -> None:
+    """S5/S9 for J1: write ``state`` as the base of a root in ``buckets`` by key, sorted, for merges that move the updates only.
+
+    The folder's name carries the number of buckets. One task writes one bucket, so a bucket is one file.
+    """
+    name = f"tallyfold_{uuid.uuid4().hex}"
+    rows = _with_seq(state)
+    rows.repartition(buckets, *KEY).write.mode("errorifexists").bucketBy(buckets, *KEY).sortBy(*KEY).option("path", f"{root}/buckets-{buckets}").saveAsTable(name)
+    rows.sparkSession.sql(f"DROP TABLE {name}")  # an external table: its files stay
+
+
+def bucketed_state(spark: SparkSession, root: str, buckets: int) -> DataFrame:
+    """The state that ``publish_buckets`` wrote, known to Spark as partitioned and sorted by key."""
+    name = f"tallyfold_{uuid.uuid4().hex}"
+    by = ", ".join(KEY)
+    spark.sql(f"CREATE TABLE {name} ({STATE_WITH_SEQ_DDL}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{root}/buckets-{buckets}'")
+    state = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return state
 
 
 def base_state(spark: SparkSession, root: str) -> DataFrame:

@@ -207,3 +207,22 @@ def test_latest_sample_drops_ids_that_are_gone(spark):
     data = [(1, 10, "x", 1), (1, 20, "y", 2), (1, 20, "y", 3), (2, 5, "x", 4), (None, 1, "x", 5), (None, 2, "z", 6)]
     df = spark.createDataFrame(data, "w INT, ts INT, id STRING, seq INT")
     assert rows(dedup.latest_sample(df, "w"), "w", "id", "seq") == [(1, "y", 3), (2, "x", 4), (None, "z", 6)]
+
+
+def test_store_by_id_against_a_sequential_one(spark):
+    import random
+
+    rng, data = random.Random(5), []
+    for i in range(400):
+        kind = rng.choice(["counter", "gauge"])
+        data.append((i, f"m{rng.randrange(40)}", kind, rng.choice([None, rng.randrange(9), rng.randrange(9)]), rng.choice([None, rng.random()])))
+    store = {}
+    for _, id_, kind, delta, value in data:
+        if id_ not in store:
+            store[id_] = [kind, delta, value]
+        elif kind == "gauge":
+            store[id_][2] = value
+        elif delta is not None and store[id_][1] is not None:
+            store[id_][1] += delta
+    got = {r.id: [r.type, r.delta, r.value] for r in fold.fold_by_id(upd(spark, data).repartition(5)).collect()}
+    assert got == store

@@ -90,3 +90,38 @@ def test_point_lookup_filters_reach_the_published_scan(spark):
 def test_no_forced_broadcast(spark):
     for name in ("upsert_merge", "lookup_bulk", "accepted_state", "running_seeded"):
         assert "strategy=broadcast" not in getattr(q, f"q_{name}")(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_a_merge_into_buckets_moves_the_updates_only(spark):
+    p = plan(q.q_upsert_merge_buckets(spark, SF_SMALL))
+    lines = p[p.index("FullOuter"):].splitlines()
+    first, second = [i for i, line in enumerate(lines) if "FileScan" in line]
+    assert "Bucketed: true" in lines[first] and "Bucketed: true" not in lines[second]
+    assert not any("Exchange" in line for line in lines[:first]) and sum("Exchange" in line for line in lines[first:second]) == 1
+
+
+def test_an_id_that_is_absent_reads_no_row_group(spark, scratch):
+    """The id lies inside of the range of the file's ids, so only the Bloom filter can tell."""
+    from pyspark.sql import functions as F
+
+    from tallyfold.operators import lookup
+    from tallyfold.sources import snapshot
+
+    root = scratch("bloom")
+    ids = spark.range(5000).select(F.sha1(F.col("id").cast("string")).alias("id"), F.lit("counter").alias("type"), F.col("id").alias("delta"), F.lit(None).cast("double").alias("value"))
+    snapshot.publish_state(ids, root)
+
+    def rows_read(id_: str) -> tuple[int, int]:
+        df = lookup.lookup_one(snapshot.base_state(spark, root), id_, "counter")
+        found, executed = len(df.collect()), df._jdf.queryExecution().executedPlan()
+        scans = executed.collectLeaves()
+        return found, scans.apply(0).metrics().apply("numOutputRows").value()
+
+    some = ids.first().id
+    assert rows_read(some)[0] == 1 and rows_read(some)[1] > 0
+    assert rows_read("7" + "0" * 39) == (0, 0)
+
+
+def test_the_store_by_id_is_one_hash_aggregate(spark):
+    p = plan(q.q_id_store_state(spark, SF_SMALL))
+    assert "HashAggregate" in p and "SortAggregate" not in p and "ObjectHashAggregate" not in p and p.count("Exchange") == 1
