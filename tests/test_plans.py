@@ -97,7 +97,9 @@ def test_a_merge_into_buckets_moves_the_updates_only(spark):
     lines = p[p.index("FullOuter"):].splitlines()
     first, second = [i for i, line in enumerate(lines) if "FileScan" in line]
     assert "Bucketed: true" in lines[first] and "Bucketed: true" not in lines[second]
-    assert not any("Exchange" in line for line in lines[:first]) and sum("Exchange" in line for line in lines[first:second]) == 1
+    assert not any("Exchange" in line for line in lines[:first])
+    # The updates are folded by Spark's own number of partitions, and their few rows a key dealt to the buckets.
+    assert sum("Exchange" in line for line in lines[first:second]) == 2
 
 
 def test_an_id_that_is_absent_reads_no_row_group(spark, scratch):
