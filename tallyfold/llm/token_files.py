@@ -57,13 +57,17 @@ class WordEncoder(RunEncoder):
 
     The vocabulary's normaliser and splitter never look across white space, and
     white space itself gives no id, so a text's ids are its words' ids joined. The
-    vocabulary is of lower case. Texts that spell a special token are ordinary text.
+    vocabulary is of lower case. As the library does it, a special token that a text spells out, letter
+    by letter, becomes its id, and what stands before and after it is encoded apart; in other case it is ordinary text.
     """
 
     def __init__(self, vocab_path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocab_path)
+        self._special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
+        self._spelled = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if self._special else None
+        # They are cut out before; a run that spells one only in lower case is none.
         tokenizer.encode_special_tokens = True
         super().__init__(tokenizer, cache_runs=CACHE_RUNS, cache_cores=CACHE_CORES)
 
@@ -74,6 +78,12 @@ class WordEncoder(RunEncoder):
         return low if "\u03a3" not in core and low.isalpha() and unicodedata.is_normalized("NFC", core) else core
 
     def encode(self, text: str) -> np.ndarray:
+        if self._spelled is None or not self._spelled.search(text):
+            return self._plain(text)
+        parts = self._spelled.split(text)
+        return np.concatenate([np.array([self._special[p]], dtype="<u4") if i % 2 else self._plain(p) for i, p in enumerate(parts)])
+
+    def _plain(self, text: str) -> np.ndarray:
         if text.isascii():
             text = text.lower()
         return self.encode_runs(_WORDS.findall(text) if _PYTHON_ONLY_SPACE.search(text) else text.split())
