@@ -78,7 +78,7 @@ def test_dac_random_access(tmp_path, n):
 
 def test_files_are_in_id_order_and_read_back(spark, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_TOKENS", 200)
-    rows = [(i * 7 % 83, t) for i, t in enumerate(texts(69))] + [(None, "null id"), (1000, None), (1000, None)]
+    rows = [(i * 7 % 83, t) for i, t in enumerate(texts(60))] + [(None, "null id"), (1000, None), (1000, None)]
     docs = documents(spark, rows, extra=["start", "path", "id"])
     manifest = write_token_files(docs, scratch_path(spark, "t"))
     got = read_token_files(manifest, block_tokens=100).orderBy("start").collect()
