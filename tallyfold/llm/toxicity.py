@@ -34,8 +34,9 @@ from tallyfold.llm.common import columns, documents, small_batches, texts_of
 
 TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
 PREFIXES = (4, 5, 6)
-#: A feature takes part from so many toxic contexts and such log odds on; it labels tokens from the higher odds on.
-FEATURE_CONTEXTS, FEATURE_ODDS, LABEL_ODDS = 10, 2.0, 3.0
+#: Log odds shrink by n / (n + SHRINK) for a feature of n toxic contexts, whatever the size of the sample. From
+#: such odds on a feature takes part; it labels tokens from the higher odds on.
+SHRINK, FEATURE_ODDS, LABEL_ODDS = 3.0, 2.0, 3.0
 WINDOW, CLEAN_WINDOWS = 32, 1
 ROUNDS, STEP, RIDGE = 50, 0.4, 1e-3
 THRESHOLD = 0.7
@@ -176,8 +177,8 @@ def train_chain(toxic: list[str], clean: list[str]) -> Chain | None:
     (a, n_a), (b, n_b) = _counts(toxic), _counts(clean)
     odds = {}
     for f, n in a.items():
-        o = math.log((n + 0.5) / (n_a + 1)) - math.log((b[f] + 0.5) / (n_b + 1))
-        if n >= FEATURE_CONTEXTS and o >= FEATURE_ODDS:
+        o = n / (n + SHRINK) * (math.log((n + 0.5) / (n_a + 1)) - math.log((b[f] + 0.5) / (n_b + 1)))
+        if o >= FEATURE_ODDS:
             odds[f] = o
     index = {f: i for i, f in enumerate(sorted(odds))}
     windows = _windows(toxic, odds, True, CLEAN_WINDOWS) + _windows(clean, odds, False, CLEAN_WINDOWS)

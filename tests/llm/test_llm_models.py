@@ -99,6 +99,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert other[None].spans == "2:10"
 
 
+def test_few_labels_find_most_held_out_toxic_rows(spark):
+    """Some eight toxic rows to learn from, each root in fewer than ten contexts."""
+    rows, marks = labelled(56)
+    got = toxicity.toxicity(documents(spark, rows), spark.createDataFrame(marks, LABEL_DDL)).filter("held_out").collect()
+    truth = {d: t for d, _, t in marks}
+    toxic = [r for r in got if truth[r.doc_id]]
+    assert len(toxic) >= 4 and sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert not any(r.predicted for r in got if not truth[r.doc_id])
+
+
 def test_labels_of_held_out_rows_are_never_read(spark):
     rows, marks = labelled(200)
     docs = documents(spark, rows)
