@@ -37,6 +37,7 @@ from tallyfold.llm.components import components
 from tallyfold.llm.shingles import MinHash, forget, shingle_set, sketch, words_of
 
 BANDS, ROWS = 32, 4
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SIMILARITY_PERCENT = 75
 #: Of equal sketch bytes; 0.75 less four standard deviations of 128 minima.
 SKETCH_LEAST = 0.59
@@ -241,7 +242,6 @@ def _rest_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, comps: Data
     named = members.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("c", "id", F.coalesce("component", "id").alias("comp"))
     named = staged(named, "members")
     # Two nodes alone, the centre and another, have been compared already.
-    # Two nodes alone, the centre and another, have been compared already.
     c_comp = F.max(F.when(F.col("c") == F.col("id"), F.col("comp")))
     split = named.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), c_comp.alias("c_comp"))
     split = split.filter("lo < hi and k > 2").select("c", "c_comp")
@@ -263,9 +263,8 @@ def _rest_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, comps: Data
     return jobs.groupBy("job").applyInPandas(forest, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``."""
-    docs = columns(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text")
+def _classes(docs: DataFrame) -> DataFrame:
+    """``id, n, digest, component`` per row of ``docs`` (id, text); digest is null where a row takes no part."""
     signed = staged(signatures(docs), "signatures")
     nodes = signed.filter("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch", "bands")).alias("s"))
     nodes = staged(nodes.select("s.id", "digest", "s.n", "s.sketch", "s.bands"), "nodes")
@@ -283,23 +282,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         by_star = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(by_star.unionByName(more))
     classes = nodes.select("id", "digest").join(found.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.select("digest", F.coalesce("component", "id").alias("component_id"))
+    classes = classes.select("digest", F.coalesce("component", "id").alias("component"))
     rows = signed.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest"))
-    out = rows.join(classes, "digest", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")
-    )
+    return rows.join(classes, "digest", "left").select("id", "n", "digest", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``."""
+    out = _classes(columns(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text"))
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+#: Keys of rows without an id begin here, above all ids, so that a row with an id is kept before one without.
+_OWN_KEYS = 1 << 62
+#: Ids with repeated rows that are broadcast: some 30 MB.
+REPEATS_IN_MEMORY = 1_000_000
+
+
 def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, the one with the smallest id; all columns stay.
+    """``docs`` with one row of each class, of the smallest id; all columns stay.
 
-    Rows that repeat the id of a kept document stay, as the class is one of ids.
+    A row without an id takes part under a key of its own, and is kept only where its class
+    has no row with an id. Of rows that repeat the id and the words of a kept one, one
+    stays. An id that stands for different texts keeps one row of each of them.
     """
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept"))
-    gone = staged(gone.select(F.col("doc_id").alias("__id")).distinct(), "near-duplicates-gone")
     rows, where = by_position(docs)
-    return rows.join(gone, F.col(where[id_col]) == F.col("__id"), "left_anti").toDF(*docs.columns)
+    id_, text = where[id_col], where[text_col]
+    # Rows without an id are written once with their keys; the others are their own.
+    own = staged(rows.filter(F.col(id_).isNull()).withColumn("__key", F.monotonically_increasing_id() + _OWN_KEYS), "rows-without-id")
+    keyed = rows.filter(F.col(id_).isNotNull()).withColumn("__key", F.col(id_).cast("bigint")).unionByName(own)
+    found = staged(_classes(keyed.select(F.col("__key").alias("id"), F.col(text).alias("text"))).drop("n"), "classes")
+    kept = F.col("id") == F.col("component")
+    gone = found.filter(~kept).select(F.col("id").alias("__gone")).distinct()
+    again = found.filter(kept).groupBy("id", F.coalesce("digest", F.lit(b""))).count().filter("count > 1").select(F.col("id").alias("__gone")).distinct()
+    again = staged(again, "repeated-ids")
+    once = keyed.join(gone.unionByName(again).distinct(), F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
+    few = F.broadcast(again) if again.count() <= REPEATS_IN_MEMORY else again
+    words = F.array_join(F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), " ")
+    repeated = keyed.join(few, F.col("__key") == F.col("__gone"), "left_semi").withColumn("__words", F.md5(words.cast("binary")))
+    one = repeated.groupBy("__key", "__words").agg(F.first(F.struct(*rows.columns)).alias("r")).select("r.*")
+    return once.unionByName(one).toDF(*docs.columns)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

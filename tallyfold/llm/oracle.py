@@ -47,19 +47,27 @@ def _spans(kind: int, pattern: str, group: int, least: int) -> str:
 _LIVE = "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8"
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
+_URL = r"""(?i)([a-z0-9+.-]://|www\.)[^\s?#=&@:<>"']*(:[0-9]+/[^\s?#=&@:<>"']*)?"""
+_NO_UUID = "regexp_replace({v}, '(?i)(^|[/_+-])[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}($|[/_+-])', '\\1\\3', 'g')"
+_PARTS = f"string_split_regex({_NO_UUID.format(v=_NO_UUID.format(v='value'))}, '[/_+-]')"
+_ORDINARY = "^(([A-Z]?[a-z]+)*|[A-Z]+[a-z]*|[0-9]+|([A-Z]?[a-z]+|[A-Z]+)[0-9]{1,4}|[0-9]{1,4}[A-Za-z]{1,3})$"
+_RANDOM = f"length(array_to_string(list_filter({_PARTS}, lambda p: NOT regexp_matches(p, '{_ORDINARY}')), ''))"
+
 SECRETS = f"""WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 base AS (
   {_spans(0, _ASSIGN, 2, 8)}
   UNION ALL {_spans(1, 'AKIA[A-Z0-9]+', 0, 16)}
   UNION ALL {_spans(2, '[0-9a-f]+', 0, 32)}),
 runs AS ({_spans(3, '[A-Za-z0-9+/_-]{20,}', 0, 20)}),
+urls AS ({_spans(4, _URL, 0, 0)}),
 own AS (
-  SELECT * FROM runs r WHERE {_LIVE}
-  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop)),
-found AS (SELECT * FROM base UNION ALL SELECT * FROM own),
-owners AS (SELECT value, count(DISTINCT source) AS n FROM found GROUP BY value),
+  SELECT * FROM (SELECT *, {_RANDOM} AS n FROM runs r WHERE {_LIVE}) r WHERE (n >= 16 OR n >= 0.6 * length(value))
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop)
+  AND NOT EXISTS (SELECT 1 FROM urls u WHERE u.doc_id = r.doc_id AND u.start <= r.start AND u.stop >= r.start + 2)),
+found AS (SELECT * FROM base UNION ALL SELECT * EXCLUDE (n) FROM own),
+owners AS (SELECT value, count(DISTINCT source) AS n, count(DISTINCT (source, doc_id)) AS repos FROM found GROUP BY value),
 judged AS (
-  SELECT f.doc_id, f.kind, f.start, f.stop, o.n >= 3 AS example, o.n < 3 AND ({_LIVE.replace('value', 'f.value')}) AS live
+  SELECT f.doc_id, f.kind, f.start, f.stop, o.n >= 3 OR o.repos >= 100 AS example, NOT (o.n >= 3 OR o.repos >= 100) AND ({_LIVE.replace('value', 'f.value')}) AS live
   FROM found f JOIN owners o ON f.value = o.value),
 shown AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS s FROM judged WHERE kind < 3 OR live),
 per_doc AS (
@@ -71,6 +79,7 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM docs d LEFT JOIN per_doc p ON p.doc_id = d.doc_id"""
 
+
 def _seeds(table: str, key: str, words: str) -> str:
     """(key, mask, pos, seed): the selected words of every window, by mask."""
     parts = []

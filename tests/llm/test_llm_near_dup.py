@@ -86,6 +86,27 @@ def test_defined_cases(spark):
     )
 
 
+def test_one_row_of_each_class_is_kept(spark):
+    """Repeated rows, rows without an id and near copies; extra columns stay with their row."""
+    base = words(60, 4)
+    near = [*base[:30], "changed", *base[31:]]
+    rows = [(5, " ".join(base))] * 3 + [(7, " ".join(near)), (None, " ".join(base)), (None, " ".join(near)), (None, " ".join(near))]
+    rows += [(None, "no id at all here now")] * 4 + [(None, "No ID at all HERE now"), (8, "b c d e f g"), (8, "B C d e f g"), (8, "other words of the same id"), (9, None), (9, None), (10, ""), (None, None)]
+    docs = documents(spark, rows, extra=["Doc_ID2", "c1", "__key", "count"])
+    got = near_dup.kept_documents(docs)
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text.lower() if r.text else r.text) for r in got.collect()), key=repr)
+    want = [(5, " ".join(base)), (None, "no id at all here now"), (8, "b c d e f g"), (8, "other words of the same id"), (9, None), (10, ""), (None, None)]
+    assert kept == sorted(want, key=repr)
+
+
+def test_kept_rows_are_those_of_the_classes(spark):
+    rows = corpus()
+    docs = documents(spark, rows)
+    kept = sorted(r.doc_id for r in near_duplicates(docs).collect() if r.kept)
+    assert sorted(r.doc_id for r in near_dup.kept_documents(docs).collect()) == kept
+
+
 def test_empty_and_long(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
     long = " ".join(words(60_000, 3))

@@ -80,6 +80,47 @@ def test_counts_by_owner_and_repository(spark):
     assert got == {"h": (3, 4), "g": (1, 1)}
 
 
+def test_many_candidates_in_one_text(spark):
+    """Ten thousand runs of every kind in one text: places, overlaps and redaction against a plain walk, in seconds."""
+    import time
+
+    rng, parts = random.Random(8), []
+    for k in range(10_000):
+        run = "".join(rng.choice("0123456789abcdefABCDEFGHIJKXYZ") for _ in range(34))
+        parts.append([run, "password=" + run, "é😀 " + run.lower(), "AKIA" + run[:14].upper(), "plain-words-here", f"https://x.org/{run}", "0123456789abcdef" * 2][k % 7])
+    text = " ".join(parts)
+    started = time.time()
+    docs = documents(spark, [(1, text, "o"), (2, "clean", "o"), (1, text, "o")])
+    got = secret_spans(docs).collect()
+    clean = redact(docs).collect()
+    assert time.time() - started < 60
+    first = next(r for r in got if r.doc_id == 1)
+    assert sorted((s.start, s.kind, s.stop) for s in first.base) == base(text) and len(first.spans) > 5000
+    out, at = [], 0
+    for s in first.spans:
+        if s.verdict == "live":
+            if s.start >= at:
+                out += [text[at : s.start], "<secret>"]
+            at = max(at, s.stop)
+    want = "".join(out) + text[at:]
+    assert [r.text for r in clean if r.doc_id == 1] == [want, want] and [r.text for r in clean if r.doc_id == 2] == ["clean"]
+
+
+def test_a_url_is_followed_however_long_it_is(spark):
+    run = "aB3dE5fG7hJ9kL1mN3pQ5r"
+    long = "https://x.org/" + "path/" * 2000
+    rows = [(1, long + run, "a"), (2, long + " " + run[::-1], "a"), (3, long + "?k=" + run[1:] + "Z", "a")]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secret_spans(documents(spark, rows)).collect()}
+    assert got == {1: [], 2: [3], 3: [3]}
+
+
+def test_very_many_repositories_make_an_example(spark):
+    run, few = "aB3dE5fG7hJ9kL1mN3pQ5r", "zY9xW8vU7tS6rQ5pO4nM3l"
+    docs = documents(spark, [(i, f"k {run} {few if i < 5 else ''}", "only") for i in range(120)])
+    got = {r.doc_id: r for r in secret_spans(docs).collect()}
+    assert [len(got[i].spans) for i in (0, 4, 5, 119)] == [1, 1, 0, 0]
+
+
 def test_empty_table_and_long_text(spark):
     assert secret_spans(documents(spark, [])).count() == 0
     text = "word " * 300_000 + "password=" + hashlib.md5(b"x").hexdigest()
