@@ -26,7 +26,6 @@ are carried along; broken markup is read as far as it goes.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -58,11 +57,13 @@ _CONTAINERS = {"article", "main"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "alert", "dialog"}
 _WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|notices?|alerts?|sidebars?|side|aside|menus?|nav\w*|breadcrumbs?|footer|"
-    r"header|masthead|toolbar|comments?|commentlist|respond|replies|reply|disqus|share\w*|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login|popup|"
+    r"header|masthead|toolbar|comments?|commentlist|respond|responses?|replies|reply|disqus|discussions?|talkback|guestbook|share\w*|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login|popup|"
     r"modal|overlay|pagination|pager|widgets?|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
-_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|reply|disqus)(?:$|[\s_-])", re.I)
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|responses?|replies|reply|disqus|discussions?|talkback|guestbook)(?:$|[\s_-])", re.I)
+# What a line of rights begins with.
+_RIGHTS = re.compile(r"(?:\u00a9|\(c\)|copyright\b)", re.I)
 # Words that say what an element is part of, not what it is about.
 _NEUTRAL = re.compile(
     r"(?:site|page|post|posts|entry|main|article|articles|area|box|block|list|section|container|wrap|wrapper|inner|outer|content|left|right|top|bottom|primary|secondary|"
@@ -87,11 +88,35 @@ def _names(attrs: dict) -> list[str]:
     return [n for n in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split() if not _ABOUT.match(n)]
 
 
+class _Mark:
+    """A marked element that is open, and the one around it; lines point to the innermost, so a line costs the same at any depth."""
+
+    __slots__ = ("around", "comments", "counts", "depth", "first_strong", "free", "in_container", "kind", "last_strong", "some", "weak")
+
+    def __init__(self, depth: int, kind: int, around: _Mark | None):
+        self.depth, self.kind, self.around = depth, kind, around
+        self.some = kind == COMMENTS or (around is not None and around.some)  # reader comments here or around
+        self.free = self.counts = 0  # text outside of reader comments, and all text
+        self.in_container = False
+
+    def judge(self, wrapper: bool) -> None:
+        """What the marks from here outwards do, once the one around is judged; a wrapper's own mark does nothing."""
+        o = self.around
+        self.comments = (o is not None and o.comments) or (self.kind == COMMENTS and not wrapper)
+        self.weak = (o is not None and o.weak) or (self.kind == WEAK and not wrapper)
+        self.first_strong = o.first_strong if o is not None else None
+        self.last_strong = o.last_strong if o is not None else None
+        if self.kind == STRONG and not wrapper:
+            self.last_strong = self.depth
+            self.first_strong = self.depth if self.first_strong is None else self.first_strong
+
+
 class _Line(NamedTuple):
     container: int  # the outermost one
+    depth: int  # of that container
     text: str
     tags: int
-    marks: tuple[tuple[int, int, bool], ...]  # (number, kind, opened before the container)
+    mark: _Mark | None  # the innermost
     linked: int  # characters in links
     heading: bool
     parent: int  # the element around the line's own block
@@ -129,9 +154,13 @@ class _Lines(HTMLParser):
         self._open: list[str] = []
         self._ids: list[int] = []  # of the open elements
         self._n_ids = 0
-        self._marks: list[tuple[int, int, int]] = []  # (depth, number, kind)
+        self._blocks: list[int] = []  # depths of the open blocks
+        self._solid: list[int] = []  # depths of the open elements that are not inline
+        self._where: dict[str, list[int]] = {}  # depths of the open elements of a name
+        self._marks: list[_Mark] = []
+        self.marks: list[_Mark] = []  # all of them, outer ones first
+        self._last: tuple[str, dict[str, int]] = ("", {})
         self._linked = 0
-        self._count: Counter = Counter()
         self._containers: list[tuple[int, int]] = []  # (depth, number)
         self._n_containers = 0
         self.released: set[int] = set()  # containers that began inside of a dropped element
@@ -144,12 +173,10 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self._text).split())
         if text:
             depth, container = self._containers[0] if self._containers else (-1, 0)
-            marks = tuple((number, kind, d < depth) for d, number, kind in self._marks)
-            own = len(self._open) - 1
-            while own >= 0 and self._open[own] not in _BLOCKS:
-                own -= 1
-            heading = any(t in _HEADINGS for t in self._open[max(0, own) :])
-            self.lines.append(_Line(container, text, self._tags, marks, min(self._linked, len(text)), heading, self._ids[own - 1] if own > 0 else 0))
+            own = self._blocks[-1] if self._blocks else -1
+            heading = own >= 0 and self._open[own] in _HEADINGS
+            mark = self._marks[-1] if self._marks else None
+            self.lines.append(_Line(container, depth, text, self._tags, mark, min(self._linked, len(text)), heading, self._ids[own - 1] if own > 0 else 0))
             self._tags = 0
         self._text, self._linked = [], 0
 
@@ -178,17 +205,22 @@ class _Lines(HTMLParser):
         mark = None if self._dropped_at is not None or tag in _INLINE else _mark(tag, found, bool(self._containers))
         if mark is not None:
             self._cut()
+        self._where.setdefault(tag, []).append(len(self._open))
+        if tag in _BLOCKS:
+            self._blocks.append(len(self._open))
+        if tag not in _INLINE:
+            self._solid.append(len(self._open))
         self._open.append(tag)
         self._n_ids += 1
         self._ids.append(self._n_ids)
-        self._count[tag] += 1
         if self._dropped_at is None:
             if self._drops(tag, found):
                 self._dropped_at = len(self._open) - 1
                 self._in_comments = any(_COMMENTS.search(n) for n in _names(found))
                 return
             if mark is not None:
-                self._marks.append((len(self._open) - 1, self._n_ids, mark))
+                self._marks.append(_Mark(len(self._open) - 1, mark, self._marks[-1] if self._marks else None))
+                self.marks.append(self._marks[-1])
             if tag in _CONTAINERS and mark is None:
                 self._n_containers += 1
                 self._containers.append((len(self._open) - 1, self._n_containers))
@@ -204,9 +236,12 @@ class _Lines(HTMLParser):
         """Closes all elements from ``depth`` on."""
         self._cut_if_block(depth)
         for t in self._open[depth:]:
-            self._count[t] -= 1
+            self._where[t].pop()
         del self._open[depth:], self._ids[depth:]
-        while self._marks and self._marks[-1][0] >= depth:
+        for depths in (self._blocks, self._solid):
+            while depths and depths[-1] >= depth:
+                depths.pop()
+        while self._marks and self._marks[-1].depth >= depth:
             self._marks.pop()
         while self._containers and self._containers[-1][0] >= depth:
             self._containers.pop()
@@ -214,17 +249,15 @@ class _Lines(HTMLParser):
             self._dropped_at, self._in_comments = None, False
 
     def _cut_if_block(self, depth: int) -> None:
-        if any(t in _BLOCKS for t in self._open[depth:]) or (self._marks and self._marks[-1][0] >= depth):
+        if (self._blocks and self._blocks[-1] >= depth) or (self._marks and self._marks[-1].depth >= depth):
             self._cut()
 
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
-        if self._count[tag] > 0:
-            depth = len(self._open) - 1
-            while self._open[depth] != tag:
-                depth -= 1
+        if self._where.get(tag):
+            depth = self._where[tag][-1]
             # An inline end tag does not close blocks that were opened inside of it.
-            if tag not in _INLINE or all(t in _INLINE for t in self._open[depth:]):
+            if tag not in _INLINE or not self._solid or self._solid[-1] < depth:
                 self._close(depth)
         elif tag in _BLOCKS:
             self._cut()
@@ -232,9 +265,40 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self._dropped_at is None:
             self._text.append(data)
-            if self._count["a"] > 0:
+            if self._where.get("a"):
                 self._linked += len(data.strip())
 
+    def _ends(self, at: int, end: str) -> bool:
+        """True if ``end`` comes after ``at``. The parser looks for the end of every tag and comment anew; its last
+        place in the text, found once, tells when none is left: then the rest of the page belongs to it."""
+        if self._last[0] is not self.rawdata:
+            self._last = (self.rawdata, {})
+        last = self._last[1]
+        if end not in last:
+            last[end] = self.rawdata.rfind(end)
+        return last[end] >= at
+
+    def parse_starttag(self, i: int) -> int:
+        return super().parse_starttag(i) if self._ends(i, ">") else len(self.rawdata)
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if self._ends(i, ">") else len(self.rawdata)
+
+    def parse_pi(self, i: int) -> int:
+        return super().parse_pi(i) if self._ends(i, ">") else len(self.rawdata)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return super().parse_comment(i, report) if self._ends(i, "-->") else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        if not self._ends(i, ">"):
+            return len(self.rawdata)
+        if self.rawdata.startswith("<![", i) and not self._ends(i, "]]>"):
+            return self.rawdata.find(">", i) + 1  # a section that never ends is a comment up to the next mark
+        return super().parse_html_declaration(i)
+
     def close(self) -> None:
         super().close()
         self._cut()
@@ -248,28 +312,39 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel, mode="full")[RADIUS : RADIUS + len(ratios)] / weight
 
 
-def unmarked(lines: list[_Line]) -> tuple[list[_Line], np.ndarray, set[int]]:
+def unmarked(lines: list[_Line], marks: list[_Mark]) -> tuple[list[_Line], np.ndarray, set[int]]:
     """The lines that no mark leaves out, their weights, and the containers that began inside of a mark.
 
     An element that holds most of the text, and where there are containers one of them, is a wrapper: its mark counts for nothing.
+    ``marks`` are in the order in which they were opened; texts are summed up the other way round, each mark once.
     """
-    held: Counter = Counter()
     whole = {True: 0, False: 0}
     for r in lines:
         n = len(r.text) - r.linked
-        comments = any(kind == COMMENTS for _, kind, _ in r.marks)
+        comments = r.mark is not None and r.mark.some
         whole[comments] += n
-        for number, kind, _ in r.marks:
-            held[number] += n if kind == COMMENTS or not comments else 0
-    around = {number for r in lines if r.container for number, _, _ in r.marks}
-    if any(r.container for r in lines):
-        held = Counter({number: n for number, n in held.items() if number in around})
+        if r.mark is not None:
+            r.mark.counts += n
+            r.mark.free += 0 if comments else n
+            r.mark.in_container |= bool(r.container)
+    for m in reversed(marks):
+        if m.around is not None:
+            m.around.counts += m.counts
+            m.around.free += m.free
+            m.around.in_container |= m.in_container
+    contained = any(r.container for r in lines)
     text = {COMMENTS: COMMENT_WRAPPER * sum(whole.values()), STRONG: WRAPPER * whole[False], WEAK: WRAPPER * whole[False]}
-    marks = [[(kind, before) for number, kind, before in r.marks if not held[number] >= text[kind] > 0] for r in lines]
-    rows = [k for k, m in enumerate(marks) if not any(kind == COMMENTS or (kind == STRONG and not before) for kind, before in m)]
-    rows = rows or [k for k, m in enumerate(marks) if not any(kind == COMMENTS for kind, _ in m)]
-    weight = np.array([WEIGHT if any(kind == WEAK for kind, _ in marks[k]) else 1.0 for k in rows])
-    return [lines[k] for k in rows], weight, {lines[k].container for k in rows if any(kind == STRONG and before for kind, before in marks[k])}
+    for m in marks:
+        held = m.counts if m.kind == COMMENTS else m.free
+        m.judge(wrapper=(m.in_container or not contained) and held >= text[m.kind] > 0)
+
+    def dropped(r: _Line) -> bool:
+        return r.mark is not None and (r.mark.comments or (r.mark.last_strong is not None and r.mark.last_strong >= r.depth))
+
+    rows = [r for r in lines if not dropped(r)] or [r for r in lines if r.mark is None or not r.mark.comments]
+    weight = np.array([WEIGHT if r.mark is not None and r.mark.weak else 1.0 for r in rows])
+    before = {r.container for r in rows if r.mark is not None and r.mark.first_strong is not None and r.mark.first_strong < r.depth}
+    return rows, weight, before
 
 
 def extended(lines: list[_Line], first: int, last: int) -> tuple[int, int]:
@@ -277,7 +352,7 @@ def extended(lines: list[_Line], first: int, last: int) -> tuple[int, int]:
 
     def adjoins(k: int, edge: int) -> bool:
         r = lines[k]
-        return 2 * r.linked < len(r.text) and (r.heading or r.parent == lines[edge].parent)
+        return 2 * r.linked < len(r.text) and not _RIGHTS.match(r.text) and (r.heading or r.parent == lines[edge].parent)
 
     while first and adjoins(first - 1, first):
         first -= 1
@@ -291,7 +366,7 @@ def main_text(html: str) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    lines, weight, released = unmarked(parser.lines)
+    lines, weight, released = unmarked(parser.lines, parser.marks)
     if not lines:
         return ""
     plain = np.array([len(r.text) / max(1, r.tags) for r in lines], dtype=np.float64) * weight
@@ -306,10 +381,10 @@ def main_text(html: str) -> str:
     holding = holding - parser.released - released or holding
     keep = np.isin(inside, list(holding - {0}))
     if size[core & (inside == 0)].sum() > size[core & keep].sum() or not keep.any():
-        at = np.nonzero(core)[0]
+        at = [k for k in np.nonzero(core)[0].tolist() if not _RIGHTS.match(lines[k].text)]
         region = np.arange(len(lines))
         keep &= (core & keep).any()
-        first, last = extended(lines, int(at[0]), int(at[-1])) if len(at) else (0, len(lines))
+        first, last = extended(lines, at[0], at[-1]) if at else (0, len(lines))
         keep |= (region >= first) & (region <= last)
     chosen = [r.text for r, k in zip(lines, keep.tolist(), strict=True) if k]
     return " ".join(chosen)

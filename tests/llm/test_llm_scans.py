@@ -4,6 +4,7 @@ import html as H
 import random
 
 import numpy as np
+import pytest
 from helpers_llm import by_id, documents, words
 
 from tallyfold.llm import html_text
@@ -219,3 +220,32 @@ def test_registered_pages_against_plain_reading(spark):
         a = re.search(r"<article>(.*?)(?:</article>|<footer|$)", r.html, re.S)[1]
         want = " ".join(H.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", " ", a))).split())
         assert got[r.page_id]["text"] == want
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a <", '<a b="', "<a b='", "<!--", "<![CDATA[", "<?", "</", "</a ", "<x y=", "<a/", "<div class='sidebar'>x", "<div class='comments'>x", "<font>x<br>", "<a><div></a>", "<p>x", "<li>x", "<b", "<article>x"],
+)
+@pytest.mark.parametrize("end", ["", ">", "--> x"])
+def test_broken_markup_takes_linear_time(piece, end):
+    import time
+
+    started = time.process_time()
+    main_text(piece * 40_000 + end)
+    assert time.process_time() - started < 4
+
+
+def test_unfinished_markup_ends_the_page():
+    page = "<body><article><p>One two three four five six.</p><p>Seven eight nine ten.</p></article>"
+    whole = "One two three four five six. Seven eight nine ten."
+    for rest in ("<p", "<!-- no end <p>x</p>", "</p", "<a href='x", "<?php x", "<![CDATA[ x", "<![CDATA[ x ]]>"):
+        assert main_text(page + rest) == whole
+    assert main_text("<body><article><p>a < b and c &lt; d</p><!-- x --><p>e <!-- y --> f</p></article>") == "a < b and c < d e f"
+
+
+def test_comment_threads_and_rights():
+    body = "<p>" + "The article goes on for some time here. " * 5 + "</p>"
+    thread = "<section class='discussion'><article><p>I do not agree with this at all, said the reader, and wrote more.</p></article></section>"
+    assert "agree" not in main_text(f"<body><article>{body}</article>{thread}</body>")
+    plain = main_text(f"<body><div><h1>Title</h1>{body}{body}</div><div>Copyright 2024 X</div></body>")
+    assert plain.startswith("Title") and "Copyright" not in plain
