@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,14 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def places_in(text: str, lower: str) -> Callable[[int, int], tuple[int, int]]:
+    """Where a span of ``lower``, the lower case of ``text``, lies in ``text`` (a few letters have a longer lower case)."""
+    if len(lower) == len(text):
+        return lambda start, end: (start, end)
+    ends = np.cumsum([len(c.lower()) for c in text])
+    return lambda start, end: (int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, end, side="left")) + 1)
+
+
 def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], salts: int = 16) -> DataFrame:
     """Inner join of many ``rows`` with one row ``per_key``; a key's rows are dealt to ``salts`` parts.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import by_position, columns, documents, small_batches, staged, texts_of
+from tallyfold.llm.common import by_position, columns, documents, salted_join, small_batches, staged, texts_of
 from tallyfold.llm.shingles import forget, hashes_of
 
 # Fixed masks: 1 selects a word, 0 ignores it.
@@ -216,27 +216,32 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     bench = staged(benchmark_seeds(items, masks[len(MASKS) :]), "benchmark-seeds")
     held = staged(suspects(docs, bench, masks).dropDuplicates(["doc_id", "text_hash"]), "suspects")
     hits = held.select("doc_id", "text_hash", F.explode("hits").alias("h")).select("doc_id", "text_hash", F.col("h.pos").alias("pos"), F.col("h.seed").alias("seed"))
-    on = hits.join(bench.select("seed", "item_id", "item_pos"), "seed")
+    # A seed, or an item, may be that of a third of all documents: its rows are dealt to several parts.
+    on = salted_join(hits, bench.select("seed", "item_id", "item_pos"), ["seed"], ["doc_id", "text_hash", "pos"])
     on = on.select("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    # All diagonals of a document and an item in one row, so that their words are there once.
+    on = on.groupBy("doc_id", "text_hash", "item_id").agg(F.sort_array(F.collect_list("diagonal")).alias("diagonals"))
     key = lambda d: F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text_hash")
-    sides = on.withColumn("k", key(on)).join(held.select(key(held).alias("k"), "words"), "k").join(measured, "item_id")
+    sides = on.withColumn("k", key(on)).join(held.select(key(held).alias("k"), "words"), "k")
+    sides = salted_join(sides, measured, ["item_id"], ["doc_id", "text_hash"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, out = [], []
-            for r, (d, item, diagonal) in enumerate(zip(b.column(4), b.column(5), b.column(3).to_pylist(), strict=True)):
-                item = np.frombuffer(item.as_buffer(), dtype=np.uint64)
-                s = overlap(np.frombuffer(d.as_buffer(), dtype=np.uint64), item, diagonal)
-                if s:
-                    keep.append(r)
-                    out.append((s[0] + diagonal, s[1] + diagonal, *s))
+            for r, (d, item, diagonals) in enumerate(zip(b.column(4), b.column(5), b.column(3).to_pylist(), strict=True)):
+                item, words = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (item, d))
+                for diagonal in diagonals:
+                    s = overlap(words, item, diagonal)
+                    if s:
+                        keep.append(r)
+                        out.append((s[0] + diagonal, s[1] + diagonal, *s))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             rows = [b.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1, 2)]
             yield pa.RecordBatch.from_arrays([*rows, *(pa.array(c, pa.int32()) for c in cols)], names)
 
     names = ["doc_id", "text_hash", "item_id", "doc_start", "doc_end", "item_start", "item_end", "matched"]
     schema = "doc_id long, text_hash long, item_id string, " + ", ".join(f"{n} int" for n in names[3:])
-    seen = sides.select("doc_id", "text_hash", "item_id", "diagonal", "words", "item_words").mapInArrow(verify, schema)
+    seen = sides.select("doc_id", "text_hash", "item_id", "diagonals", "words", "item_words").mapInArrow(verify, schema)
     best = F.max(F.struct("matched", (-F.col("doc_start")).alias("first"), "doc_end", "item_start", "item_end")).alias("s")
     return seen.groupBy("doc_id", "text_hash", "item_id").agg(best).select(
         "doc_id", "text_hash", "item_id", (-F.col("s.first")).alias("doc_start"), "s.doc_end", "s.item_start", "s.item_end", "s.matched"

@@ -9,7 +9,7 @@ a local alignment inside a band around it gives the words matched, the share of
 the template that they cover, and the span in the text. The words that tell a license from its
 neighbours (name, version) must all be there, in a row and in place, whatever the coverage. Of
 matches that overlap in a text the best stays. Full texts of the long licenses are found by
-their openings.
+their openings, lines with an SPDX identifier by the identifier.
 
 Defined cases: null and empty texts match nothing; ids (null, repeated) are carried along;
 every row is scanned whole; rows without a match are not reported.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, small_batches, texts_of
+from tallyfold.llm.common import columns, documents, places_in, small_batches, texts_of
 from tallyfold.llm.decontaminate import _WORD, seeds
 from tallyfold.llm.shingles import hashes_of
 
@@ -158,9 +158,10 @@ DECIDING: dict[str, list[str]] = {
     "CC-BY-4.0": ["cc by 4 0|attribution 4 0"],
     "CC-BY-3.0": ["cc by 3 0|attribution 3 0"],
 }
-#: Words that soon after a match make it another license.
+#: Words between a match and the next one, or the end, that make it another license.
 NOT_BEFORE = {"BSD-2-Clause": ["endorse or promote", "advertising materials mentioning"]}
-SOON = 40
+#: A line that only names a license by its identifier, as the licenses are named here.
+IDENTIFIER = "SPDX-License-Identifier: "
 
 
 def winnow(h: np.ndarray) -> np.ndarray:
@@ -179,6 +180,12 @@ class Index:
         self.words = [_WORD.findall(t.lower()) for texts in templates.values() for t in texts]
         phrases = {name: [[f" {p} " for p in w.split("|")] for w in (deciding or {}).get(name, [])] for name in templates}
         self.deciding = [phrases[name] for name in self.names]
+        if deciding is not None:
+            for name in templates:
+                line = _WORD.findall((IDENTIFIER + name).lower())
+                self.names.append(name)
+                self.words.append(line)
+                self.deciding.append([[f" {' '.join(line[2:])} "]])  # the identifier, whole and in a row
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
             if len(words) < GRAM + WINDOW - 1:
@@ -192,8 +199,12 @@ class Index:
         """True if the template's deciding words are in the match; those at its ends may be beside it."""
         missing = len(self.words[t]) - matched
         span = f" {' '.join(text[max(0, first - missing) : last + missing])} "
-        after = f" {' '.join(text[last : last + SOON])} "
-        return all(any(p in span for p in each) for each in self.deciding[t]) and not any(f" {p} " in after for p in NOT_BEFORE.get(self.names[t], []))
+        return all(any(p in span for p in each) for each in self.deciding[t])
+
+    def continues(self, t: int, text: list[str], last: int, end: int) -> bool:
+        """True if the words from ``last`` to ``end`` make the match another license."""
+        unlike = NOT_BEFORE.get(self.names[t])
+        return bool(unlike) and any(f" {p} " in f" {' '.join(text[last:end])} " for p in unlike)
 
     def hits(self, h: np.ndarray) -> np.ndarray:
         """Places among the gram hashes of a text that are fingerprints of a template."""
@@ -238,7 +249,8 @@ def align(text: list[str], template: list[str], diagonal: int) -> tuple[int, int
 
 def scan_text(text: str, index: Index, hit_at: np.ndarray, grams: np.ndarray) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, start, end) of one text, in order of place."""
-    found = [m for m in _WORD.finditer(text.lower())]
+    lower = text.lower()
+    found = [m for m in _WORD.finditer(lower)]
     words = [m[0] for m in found]
     results, seen, last = set(), set(), {}
     for p in hit_at.tolist():
@@ -254,9 +266,16 @@ def scan_text(text: str, index: Index, hit_at: np.ndarray, grams: np.ndarray) ->
     for r in sorted(results, key=lambda r: (-r[0], -r[1], r[3], r[2])):
         if all(r[4] <= k[3] or k[4] <= r[3] for k in kept):
             kept.append(r)
-    same_length = len(text.lower()) == len(text)
-    place = (lambda m: m.span()) if same_length else (lambda m: (-1, -1))  # lower case of another length has other places
-    return [(index.names[t], m / len(index.words[t]), m, place(found[f])[0], place(found[e - 1])[1]) for _, m, t, f, e in sorted(kept, key=lambda r: r[3])]
+    kept.sort(key=lambda r: r[3])
+    # Up to the next match, whose own words these are, or to the end of the text.
+    ends = [*(r[3] for r in kept[1:]), len(words)][: len(kept)]
+    kept = [r for r, end in zip(kept, ends, strict=True) if not index.continues(r[2], words, r[4], end)]
+    place = places_in(text, lower)
+    out = []
+    for _, m, t, f, e in kept:
+        span = place(found[f].start(), found[e - 1].end())
+        out.append((index.names[t], m / len(index.words[t]), m, *span))
+    return out
 
 
 def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import columns, documents, small_batches, texts_of
+from tallyfold.llm.common import columns, documents, places_in, small_batches, texts_of
 
 TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
 PREFIXES = (4, 5, 6)
@@ -125,9 +125,10 @@ class Chain:
         x = np.array(_evidence(p))
         score = 1 / (1 + math.exp(-float(np.clip(self.score @ x, -30, 30))))
         spans = []
-        if p and max(p) >= SPAN_MARGINAL and len(lower) == len(text):
+        if p and max(p) >= SPAN_MARGINAL:
             bad = {i for i, v in zip(at, p, strict=True) if v >= SPAN_MARGINAL}
-            spans = [m.span() for i, m in enumerate(_WORD.finditer(lower)) if i in bad]
+            place = places_in(text, lower)
+            spans = [place(*m.span()) for i, m in enumerate(_WORD.finditer(lower)) if i in bad]
         return score, spans
 
 

@@ -99,6 +99,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert other[None].spans == "2:10"
 
 
+def test_spans_where_lower_case_is_longer():
+    chain = Chain({"=bad": 9.0}, -2.0, np.zeros((2, 2)), np.array([-6.0, 6.0, 3.0]))
+    text = "\u0130\u0130 x BAD y \u0130 bad"
+    assert [text[s:e] for s, e in chain.document(text)[1]] == ["BAD", "bad"]
+
+
 def test_few_labels_find_most_held_out_toxic_rows(spark):
     """Some eight toxic rows to learn from, each root in fewer than ten contexts."""
     rows, marks = labelled(56)

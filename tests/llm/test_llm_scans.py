@@ -249,3 +249,62 @@ def test_comment_threads_and_rights():
     assert "agree" not in main_text(f"<body><article>{body}</article>{thread}</body>")
     plain = main_text(f"<body><div><h1>Title</h1>{body}{body}</div><div>Copyright 2024 X</div></body>")
     assert plain.startswith("Title") and "Copyright" not in plain
+
+
+def test_identifier_lines_name_their_license(spark):
+    names = list(TEMPLATES)
+    rows = [(k, f"// SPDX-License-Identifier: {name}\nint main() {{}}") for k, name in enumerate(names)] + [(900, "SPDX-License-Identifier: Zlib"), (901, "SPDX License list")]
+    got = {r.doc_id: r.license for r in license_matches(documents(spark, rows)).collect()}
+    assert got == dict(enumerate(names))
+
+
+def test_spans_of_texts_whose_lower_case_is_longer(spark):
+    notice = TEMPLATES["MIT"][0]
+    text = "\u0130\u0130 stanbul " * 3 + notice + " \u0130."
+    r = license_matches(documents(spark, [(1, text)])).collect()[0]
+    assert text[r.span_start : r.span_end] == notice.rstrip(".")
+
+
+def test_a_long_middle_text_does_not_change_the_license(spark):
+    two, three = TEMPLATES["BSD-2-Clause"][0], TEMPLATES["BSD-3-Clause"][0]
+    rest = three[len(two) :]
+    middle = " " + " ".join(words(300, 6)) + " "
+    rows = [(1, two + middle + rest), (2, two + middle), (3, two + middle + three)]
+    got = {}
+    for r in license_matches(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert got.get(1) in (None, ["BSD-3-Clause"]) and got[2] == ["BSD-2-Clause"] and got[3] == ["BSD-2-Clause", "BSD-3-Clause"]
+
+
+def test_alignment_against_a_full_table():
+    """Where the best alignment stays inside the band, the banded one finds it: against the whole table."""
+    from tallyfold.llm.licenses import GAP, MATCH, MISMATCH, align
+
+    rng = random.Random(2)
+    for _ in range(150):
+        template = [rng.choice("abcdefg") for _ in range(rng.randint(4, 25))]
+        text = list(template)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(text) + 1)
+            text[at : at + rng.randint(0, 1)] = [rng.choice("abcxyz")] * rng.randint(0, 1)
+        before = [rng.choice("xyz") for _ in range(rng.randint(0, 6))]
+        whole = before + text
+        best, row = 0, [0] * (len(whole) + 1)
+        for word in template:
+            new = [0]
+            for j, other in enumerate(whole, 1):
+                new.append(max(0, row[j - 1] + (MATCH if word == other else MISMATCH), row[j] + GAP, new[j - 1] + GAP))
+            row, best = new, max(best, *new)
+        got = align(whole, template, len(before))
+        assert (got[0] if got else 0) == best
+
+
+def test_repetitive_texts_carry_their_words_once(spark):
+    """One word thousands of times, against an item of it: every diagonal is one row's, and the item is found."""
+    import time
+
+    started = time.time()
+    docs = documents(spark, [(1, "la " * 20_000), (2, "la " * 11 + "x"), (3, "lo " * 50)])
+    bench = spark.createDataFrame([("b", "la " * 40), ("s", "lo lo lo")], "item_id string, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in overlaps(docs, bench).collect()}
+    assert got == {(1, "b"): 40, (2, "b"): 11, (3, "s"): 3} and time.time() - started < 60
