@@ -296,8 +296,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 #: Keys of rows without an id begin here, above all ids, so that a row with an id is kept before one without.
 _OWN_KEYS = 1 << 62
-#: Ids with repeated rows that are broadcast: some 30 MB.
-REPEATS_IN_MEMORY = 1_000_000
+#: Keys of rows to leave out, or to look at again, that are broadcast: some 30 MB.
+KEYS_IN_MEMORY = 1_000_000
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Written keys, to be broadcast if they are few: then no text is shuffled to find their rows."""
+    return F.broadcast(keys) if keys.count() <= KEYS_IN_MEMORY else keys
 
 
 def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,10 +322,10 @@ def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gone = found.filter(~kept).select(F.col("id").alias("__gone")).distinct()
     again = found.filter(kept).groupBy("id", F.coalesce("digest", F.lit(b""))).count().filter("count > 1").select(F.col("id").alias("__gone")).distinct()
     again = staged(again, "repeated-ids")
-    once = keyed.join(gone.unionByName(again).distinct(), F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
-    few = F.broadcast(again) if again.count() <= REPEATS_IN_MEMORY else again
+    out = staged(gone.unionByName(again).distinct(), "rows-to-leave-out")
+    once = keyed.join(_few(out), F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
     words = F.array_join(F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), " ")
-    repeated = keyed.join(few, F.col("__key") == F.col("__gone"), "left_semi").withColumn("__words", F.md5(words.cast("binary")))
+    repeated = keyed.join(_few(again), F.col("__key") == F.col("__gone"), "left_semi").withColumn("__words", F.md5(words.cast("binary")))
     one = repeated.groupBy("__key", "__words").agg(F.first(F.struct(*rows.columns)).alias("r")).select("r.*")
     return once.unionByName(one).toDF(*docs.columns)
 
