@@ -44,6 +44,9 @@ HEADLINE = [
     "gauge_text_wide",
     "stream_state",
     "stream_results",
+    "stream_results_store",
+    "request_replay",
+    "restore_serve",
 ]
 
 
