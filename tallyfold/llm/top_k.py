@@ -7,13 +7,13 @@ product. Candidates are evaluated in the order of their bounds, in exact integer
 until no bound left reaches the k-th score found: the answer is exact, whatever the pivots.
 
 Work is dealt as (block of candidates, block of queries); a task holds one of each and
-returns k rows a query, which a second step merges.
+returns k rows a query, which are merged in two steps, so no list grows with the number of blocks.
 
 Components become floor(256 x). Defined cases: vectors that are null, empty or hold null
 or non-finite components take no part; missing components of a shorter vector count as 0;
 rows that repeat id and vector are one, an id with several vectors asks with each of
-them and the answers are merged; fewer than k candidates give fewer rows; ties go to the smaller id. Components beyond
-2^31 / 256 are refused with an error, as their scores would not fit in a long.
+them and the answers are merged; fewer than k candidates give fewer rows; ties go to the smaller id. Large components are
+exact too, in Python's integers; only a score that does not fit in a long is refused with an error.
 """
 
 from __future__ import annotations
@@ -33,6 +33,11 @@ PIVOT_SAMPLE = 2000
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 512
 SCALE = 256
+#: Least rows of a candidate block, where smaller blocks keep more cores busy.
+LEAST_BLOCK = 1024
+#: Blocks whose results are merged first.
+MERGED_BLOCKS = 256
+_LARGEST = 1 << 62
 
 
 def integer_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -57,16 +62,16 @@ def choose_pivots(vectors: np.ndarray, n: int = PIVOTS) -> np.ndarray:
 
 def pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     x = vectors.astype(np.float64)
-    sq = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * x @ pivots.T
-    return np.sqrt(np.maximum(sq, 0))
+    # By differences: no digits are lost where vectors are long and close to each other.
+    return np.sqrt(np.stack([((x - p) ** 2).sum(axis=1) for p in pivots], axis=1)) if len(pivots) else np.zeros((len(x), 0))
 
 
 def _matrix(lists: list, dim: int) -> np.ndarray:
     out = np.zeros((len(lists), dim), dtype=np.int64)
     for i, v in enumerate(lists):
         out[i, : len(v)] = v
-    if len(out) and np.abs(out).max() >= 2**31:
-        raise OverflowError("components this large have no exact score in a long")
+    if len(out) and (out.max() >= _LARGEST or out.min() <= -_LARGEST):
+        raise OverflowError("components this large have no score in a long")
     return out
 
 
@@ -77,9 +82,10 @@ def search_block(ids, x, to_pivots, q_ids, q, q_to_pivots, k: int) -> tuple[list
     values, q_values = (x.astype(np.float64), q.astype(np.float64)) if exact else (x.astype(object), q.astype(object))
     out, evaluated = [], 0
     for i in range(len(q)):
-        lower = np.abs(to_pivots - q_to_pivots[i]).max(axis=1) if to_pivots.shape[1] else np.zeros(len(x))
-        lower = np.maximum(0, lower * (1 - 1e-9) - 1e-3)  # rounding of the distances
-        upper = (norm + q_norm[i] - lower**2) / 2 + 0.5
+        # Less the rounding of the distances and the norms.
+        apart = np.abs(to_pivots - q_to_pivots[i]) - 1e-9 * (to_pivots + q_to_pivots[i])
+        lower = np.maximum(0, apart.max(axis=1) - 1e-3) if to_pivots.shape[1] else np.zeros(len(x))
+        upper = (norm + q_norm[i]) * (1 + 1e-9) / 2 - lower**2 * (1 - 1e-9) / 2 + 0.5
         upper[ids == q_ids[i]] = -np.inf
         best: list[tuple[int, int]] = []
         left, at, step = np.argsort(-upper, kind="stable"), 0, 64
@@ -115,7 +121,7 @@ def _blocked(rows: DataFrame, n_parts: int, pivots, dim, limit: int) -> DataFram
         def row() -> pa.RecordBatch:
             m = _matrix(vectors, dim.value)
             d = pivot_distances(m, pivots.value) if len(pivots.value) else np.zeros((len(m), 0))
-            data = [np.array(ids, dtype="<i8").tobytes(), m.astype("<i4").tobytes(), d.astype("<f8").tobytes()]
+            data = [np.array(ids, dtype="<i8").tobytes(), m.astype("<i4" if np.abs(m).max(initial=0) < 2**31 else "<i8").tobytes(), d.astype("<f8").tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([v], pa.binary()) for v in data)], ["part", "ids", "vectors", "distances"])
 
         for b in batches:
@@ -143,7 +149,7 @@ def top_k(rows: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str
     sample = vectors.orderBy(F.xxhash64("id")).limit(PIVOT_SAMPLE).collect()
     table = spark.sparkContext.broadcast(choose_pivots(_matrix([r.v for r in sample], longest or 0), pivots))
     asks = vectors.filter(is_query(F.col("id")))
-    n_parts = max(1, -(-n // CANDIDATE_BLOCK))
+    n_parts = max(1, -(-n // CANDIDATE_BLOCK), min(spark.sparkContext.defaultParallelism, n // LEAST_BLOCK))
     candidates = _blocked(vectors, n_parts, table, dim, CANDIDATE_BLOCK)
     queries = _blocked(asks, max(1, -(-asks.count() // QUERY_BLOCK)), table, dim, QUERY_BLOCK)
     # The stated queries against all rows, a block at a time.
@@ -156,19 +162,23 @@ def top_k(rows: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str
             for r in b.to_pylist():
                 read = lambda name, kind: np.frombuffer(r[name], dtype=kind)  # noqa: E731, B023
                 ids, q_ids = read("ids", "<i8"), read("q_ids", "<i8")
+                x, q = (read(c, "<i4" if len(r[c]) == 4 * d * len(i) else "<i8").reshape(len(i), d).astype(np.int64) for c, i in (("vectors", ids), ("q_vectors", q_ids)))
                 found, _ = search_block(
-                    ids, read("vectors", "<i4").reshape(len(ids), d).astype(np.int64), read("distances", "<f8").reshape(len(ids), -1),
-                    q_ids, read("q_vectors", "<i4").reshape(len(q_ids), d).astype(np.int64), read("q_distances", "<f8").reshape(len(q_ids), -1), k,
+                    ids, x, read("distances", "<f8").reshape(len(ids), -1), q_ids, q, read("q_distances", "<f8").reshape(len(q_ids), -1), k,
                 )
                 cols = list(zip(*found, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    part = jobs.select("ids", "vectors", "distances", "q_ids", "q_vectors", "q_distances").mapInArrow(search, "query_id long, vec_id long, score long")
-    # k rows per query and block: merged by a bounded aggregate, never a window over all.
-    best = part.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("found"))
-    top = F.slice(F.array_sort("found"), 1, k)
-    out = best.select("query_id", F.posexplode(top).alias("pos", "f"))
-    return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.s")).alias("score"))
+                merged = pa.array([r["part"] // MERGED_BLOCKS] * len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), merged], ["query_id", "vec_id", "score", "bucket"])
+
+    part = jobs.select("ids", "vectors", "distances", "q_ids", "q_vectors", "q_distances", "part").mapInArrow(search, "query_id long, vec_id long, score long, bucket long")
+
+    def leading(rows: DataFrame, *key: str) -> DataFrame:
+        best = rows.groupBy(*key).agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("found"))
+        out = best.select(*key, F.posexplode(F.slice(F.array_sort("found"), 1, k)).alias("pos", "f"))
+        return out.select(*key, (F.col("pos") + 1).alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.s")).alias("score"))
+
+    # k rows per query and block: first among some blocks, then over all.
+    return leading(leading(part, "query_id", "bucket"), "query_id")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,28 @@ def test_elimination_skips_candidates():
     assert evaluated < 3 * 4000
 
 
+def test_long_vectors_close_together_are_exact(spark):
+    """Components far beyond 2^31 whose differences decide: no bound may cut a neighbour off."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(2**13 + x / 64)) for x in rng.integers(-40, 40, 4)]) for i in range(150)]
+    rows += [(200 + i, [float(np.float32(2**23 * s)), 1.0, float(i), 0.0]) for i, s in enumerate((1, -1, 1, 1, -1))]
+    df = spark.createDataFrame([(i, v, "s", 1) for i, v in rows], DDL)
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df, lambda i: i % 50 == 0).collect()}
+    assert got == brute(rows)
+
+
+def test_results_are_merged_over_many_blocks(spark, monkeypatch):
+    from tallyfold.llm import top_k as module
+
+    monkeypatch.setattr(module, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(module, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(module, "MERGED_BLOCKS", 3)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 3)]) for i in range(400)]
+    df = spark.createDataFrame([(i, v, "s", 1) for i, v in rows], DDL)
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df, lambda i: i % 50 == 0).collect()} == brute(rows)
+
+
 def test_defined_cases(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 2.0], "a", 1), (1, [2.0], "a", 1), (1, [2.0], "a", 1), (2, None, "a", 1), (3, [], "a", 1), (4, [nan, 1.0], "a", 1)]
