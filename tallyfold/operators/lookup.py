@@ -31,6 +31,28 @@ def lookup(requests: DataFrame, state: DataFrame, key: Sequence[str] = KEY) -> D
     return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
 
 
+#: Bits of the filter of requested keys: 4 MB, whatever the number of requests.
+FILTER_BITS = 1 << 25
+_BITMAP_BITS = 8 * 4096  # of one bitmap of Spark's bitmap functions
+
+
+def requested(state: DataFrame, requests: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The state rows that some request may ask for, picked in the state's own scan.
+
+    The requests' keys are hashed into a bitmap of fixed size, each task its own bits first; it is
+    broadcast to the state, and a row whose bit is not set goes no further. No row that is asked for is
+    lost; a few others stay, so a join must follow. With many times more requests than
+    bits nothing is left out, and nothing is lost but the look at the bitmap.
+    """
+    slot = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    part, bit = F.call_function("div", slot, F.lit(_BITMAP_BITS)), (slot % _BITMAP_BITS).cast("bigint")
+    marks = requests.select(part.alias("_part"), bit.alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.call_function("div", F.col("_bit"), F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    asked = F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")) % 2 == 1
+    placed = state.select(*state.columns, part.alias("_part"), bit.alias("_bit"))
+    return placed.join(F.broadcast(marks), "_part").filter(asked).select(*state.columns)
+
+
 def lookup_misses(requests: DataFrame, state: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """J2 misses only (``left_anti``)."""
     return requests.join(state.select(*key), list(key), "left_anti")

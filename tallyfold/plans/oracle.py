@@ -444,6 +444,9 @@ FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS
     + f"SELECT seq, text, {int_parse_sql('text')} AS as_int, {float_parse_sql('text')} AS as_float FROM texts",
     "path_ingest": with_more(UPDATES, DIRTY, tail=PATH_INGEST),
     "lookup_bulk": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_BULK),
+    "lookup_rejected": with_more(
+        UPDATES, DIRTY, VALIDATED, "requests AS (SELECT seq AS request_id, id, type FROM validated WHERE error IS NOT NULL)", state_cte("state", "updates"), tail=LOOKUP_BULK
+    ),
     "lookup_json": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=LOOKUP_JSON),
     "value_path_lookup": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=VALUE_PATH_LOOKUP),
     "json_lookup_bodies": with_more(UPDATES, DIRTY, REQUESTS, state_cte("state", "updates"), tail=JSON_LOOKUP_BODIES),

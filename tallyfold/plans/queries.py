@@ -352,6 +352,17 @@ def q_lookup_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.value_lookup(_requests(spark, sf_dir), _state(spark, sf_dir))
 
 
+def q_lookup_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 with a filter of the requested keys: what the state holds of the metrics that refused updates named.
+
+    Refused updates are few, so few rows of the published state leave its scan.
+    """
+    root = scratch_path(spark, "lookup-rejected")
+    snapshot.publish_state(_state(spark, sf_dir), root)
+    refused = _validated(spark, sf_dir).filter(F.col("error").isNotNull()).select(F.col("seq").alias("request_id"), "id", "type")
+    return lookup.value_lookup(refused, lookup.requested(snapshot.base_state(spark, root).select(*STATE_COLUMNS), refused))
+
+
 def q_value_path_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2 in path form: ``/value/{type}/{id}`` for every lookup request -> text and status."""
     req = _requests(spark, sf_dir).select(
@@ -741,6 +752,7 @@ QUERIES: dict[str, Query] = {
     "parse_value": q_parse_value,
     "path_ingest": q_path_ingest,
     "lookup_bulk": q_lookup_bulk,
+    "lookup_rejected": q_lookup_rejected,
     "lookup_json": q_lookup_json,
     "value_path_lookup": q_value_path_lookup,
     "json_lookup_bodies": q_json_lookup_bodies,

@@ -127,3 +127,26 @@ def test_an_id_that_is_absent_reads_no_row_group(spark, scratch):
 def test_the_store_by_id_is_one_hash_aggregate(spark):
     p = plan(q.q_id_store_state(spark, SF_SMALL))
     assert "HashAggregate" in p and "SortAggregate" not in p and "ObjectHashAggregate" not in p and p.count("Exchange") == 1
+
+
+def test_only_requested_state_rows_leave_the_scan(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from tallyfold.operators import lookup
+    from tallyfold.sources import snapshot
+
+    root = scratch("requested")
+    state = spark.range(20000).select(F.concat(F.lit("m"), "id").alias("id"), F.lit("counter").alias("type"), F.col("id").alias("delta"), F.lit(None).cast("double").alias("value"))
+    snapshot.publish_state(state.unionByName(spark.createDataFrame([(None, "counter", 1, None)], "id STRING, type STRING, delta BIGINT, value DOUBLE")), root)
+    base = snapshot.base_state(spark, root)
+    asked = spark.createDataFrame([(i, f"m{i * 37}", "counter") for i in range(100)] + [(900, None, "counter"), (901, "m1", "gauge")], "request_id INT, id STRING, type STRING")
+    kept = lookup.requested(base, asked)
+    ids = {r.id for r in kept.collect()}
+    assert {f"m{i * 37}" for i in range(100)} | {None} <= ids and len(ids) < 120 and kept.columns == base.columns
+    assert lookup.requested(base, asked.filter("id = 'none'")).count() == 0
+    p = plan(lookup.lookup(asked, kept.select("id", "type", "delta", "value")))
+    # The bitmap is broadcast to the scan; the join by key comes above it.
+    at = p.index("FileScan parquet")
+    assert "bitmap_construct_agg" in p and "Exchange hashpartitioning(id" not in p[p.index("_bits"):at]
+    got = lookup.lookup(asked, kept.select("id", "type", "delta", "value")).filter("found").count()
+    assert got == 100
