@@ -15,6 +15,8 @@ from tallyfold.session import scratch_path
 #: Buckets of a fixed-size id filter (bits). Its broadcast is 4 MB whatever the data.
 FILTER_BITS = 1 << 25
 _BITS_PER_BITMAP = 8 * 4096
+#: A key of more than this part of all rows is split: one in HOT_SHARE.
+HOT_SHARE = 8192
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -80,6 +82,27 @@ def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by:
     return dealt.join(parts, [*keys, "__salt"]).drop("__salt")
 
 
+def hot_keys(per_key: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``key, __parts`` of the keys that hold more than 1 / HOT_SHARE of all ``total`` rows; ``weight`` is a key's number of rows.
+
+    They are fewer than HOT_SHARE whatever the data, and their parts of at most that share fewer than twice as many.
+    """
+    size = total // HOT_SHARE + 1
+    return per_key.filter(F.col(weight) > size).select(key, F.ceil(F.col(weight) / size).cast("int").alias("__parts"))
+
+
+def split_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: Column, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join of many ``rows`` with one row ``per_key``; rows of a hot key (of ``hot_keys``, by ``keys[0]``) go to its parts.
+
+    Only the rows of hot keys on the other side are repeated. ``how`` is inner or left.
+    """
+    hot = F.broadcast(hot)
+    part = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("__parts")).cast("int"), F.lit(0))
+    dealt = rows.join(hot, keys[0], "left").withColumn("__part", part).drop("__parts")
+    copies = per_key.join(hot, keys[0], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copies, [*keys, "__part"], how).drop("__part")
+
+
 def id_filter(ids: Column, df: DataFrame) -> np.ndarray:
     """A fixed-size hashed bitmap of the ids of ``df`` (one-sided: no false negatives).
 

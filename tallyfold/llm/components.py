@@ -10,20 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import staged
+from tallyfold.llm.common import hot_keys, split_join, staged
 
 
-def _star(edges: DataFrame, *, large: bool) -> DataFrame:
+def _star(edges: DataFrame, total: int, *, large: bool) -> DataFrame:
     """``edges`` (u, v), u > v. Every node links some neighbours to its smallest one.
 
-    Large star: the larger neighbours. Small star: the smaller ones and itself.
+    Large star: the larger neighbours. Small star: the smaller ones and itself. ``total`` is about
+    the number of edges: the neighbours of a node with a large part of them are split.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("m", "u").alias("m"), "k")
+    joined = split_join(both, least.select("u", "m"), ["u"], F.col("v"), hot_keys(least, "u", "k", total))
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -38,13 +39,13 @@ def components(links: DataFrame, *, a: str = "a", b: str = "b", max_rounds: int
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     edges = staged(edges, "links")
-    state = None
+    state, total = None, edges.count()
     for _ in range(max_rounds):
-        edges = staged(_star(_star(edges, large=True), large=False), "star")
+        edges = staged(_star(_star(edges, total, large=True), total, large=False), "star")
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (mark.n, mark.h) == state:
             break
-        state = (mark.n, mark.h)
+        state, total = (mark.n, mark.h), mark.n
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()

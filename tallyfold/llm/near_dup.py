@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import by_position, columns, documents, filter_slot, id_filter, in_filter, salted_join, small_batches, staged, texts_of
+from tallyfold.llm.common import by_position, columns, documents, filter_slot, hot_keys, id_filter, in_filter, salted_join, small_batches, split_join, staged, texts_of
 from tallyfold.llm.components import components
 from tallyfold.llm.shingles import MinHash, forget, shingle_set, sketch, words_of
 
@@ -75,17 +75,25 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``id, digest, shingles`` (little-endian 64-bit) of the nodes in ``wanted`` (id, digest).
 
     A fixed-size filter of ids spares the other texts the shuffle; the join is exact.
+    Of rows that repeat an id and its words, a task passes one on.
     """
     bits = id_filter(F.col("id"), wanted)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int | None, bytes]] = set()
         for b in small_batches(batches):
             b = b.filter(pa.array(in_filter(shared.value, b.column(2).to_numpy())))
-            words = [words_of(t) for t in texts_of(b.column(1))]
-            sets = [shingle_set(w).tobytes() for w in words]
-            digest = [xxhash.xxh3_128_digest("\n".join(w).encode("utf-8", "surrogatepass")) for w in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "shingles"])
+            ids, digests, sets = [], [], []
+            for i, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
+                words = words_of(text)
+                digest = xxhash.xxh3_128_digest("\n".join(words).encode("utf-8", "surrogatepass"))
+                if (i, digest) not in seen:
+                    seen.add((i, digest))
+                    ids.append(i)
+                    digests.append(digest)
+                    sets.append(shingle_set(words).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "shingles"])
         forget()
 
     rows = docs.select("id", "text", filter_slot(F.col("id")).alias("slot")).mapInArrow(run, "id long, digest binary, shingles binary")
@@ -99,8 +107,10 @@ def _similar(common: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int)
 def _centre_edges(nodes: DataFrame) -> DataFrame:
     """``c, id``: nodes that share a band key with a smaller node c, the smallest there."""
     keyed = nodes.select("id", F.explode("bands").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("last")).filter("c < last").select("key", "c")
-    return keyed.join(least, "key").filter("id != c").select("c", "id").distinct()
+    least = keyed.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("last"), F.count("*").alias("k")).filter("c < last").select("key", "c", "k")
+    least = staged(least, "band-keys")
+    hot = hot_keys(least, "key", "k", nodes.count() * BANDS)
+    return split_join(keyed, least.select("key", "c"), ["key"], F.col("id"), hot).filter("id != c").select("c", "id").distinct()
 
 
 def _sketches_pass(pairs: DataFrame) -> DataFrame:
@@ -266,15 +276,17 @@ def _rest_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, comps: Data
 def _classes(docs: DataFrame) -> DataFrame:
     """``id, n, digest, component`` per row of ``docs`` (id, text); digest is null where a row takes no part."""
     signed = staged(signatures(docs), "signatures")
-    nodes = signed.filter("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch", "bands")).alias("s"))
-    nodes = staged(nodes.select("s.id", "digest", "s.n", "s.sketch", "s.bands"), "nodes")
+    nodes = signed.filter("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch", "bands")).alias("s"), F.count("*").alias("copies"))
+    nodes = staged(nodes.select("s.id", "digest", "s.n", "s.sketch", "s.bands", "copies"), "nodes")
     edges = staged(_centre_edges(nodes), "centre-edges")
+    hot_centres = staged(hot_keys(edges.groupBy("c").agg(F.count("*").alias("k")), "c", "k", edges.count()), "hot-centres")
     c, i = (nodes.select(*[F.col(x).alias("id" if k == "id" and x == "id" else "c" if x == "id" else f"{k}_{x}") for x in ("id", "digest", "n", "sketch")]) for k in ("c", "id"))
-    passed = staged(_sketches_pass(edges.join(i, "id").join(c, "c")), "possible-pairs")
+    passed = staged(_sketches_pass(split_join(edges.join(i, "id"), c, ["c"], F.col("id"), hot_centres)), "possible-pairs")
     wanted = passed.select(F.col("c").alias("id"), F.col("c_digest").alias("digest")).union(passed.select("id", "id_digest")).distinct()
     sets = staged(shingle_sets(docs, wanted), "sets")
     pairs = passed.join(sets.select("id", F.col("digest").alias("id_digest"), F.col("shingles").alias("id_set")), ["id", "id_digest"])
-    pairs = pairs.join(sets.select(F.col("id").alias("c"), F.col("digest").alias("c_digest"), F.col("shingles").alias("c_set")), ["c", "c_digest"])
+    centre_sets = sets.select(F.col("id").alias("c"), F.col("digest").alias("c_digest"), F.col("shingles").alias("c_set"))
+    pairs = split_join(pairs, centre_sets, ["c", "c_digest"], F.col("id"), hot_centres)
     links = staged(_full_sets_agree(pairs).select(F.col("c").alias("a"), F.col("id").alias("b")), "centre-links")
     found = components(links)
     more = staged(_rest_links(docs, nodes, edges, found), "rest-links")
@@ -284,7 +296,11 @@ def _classes(docs: DataFrame) -> DataFrame:
     classes = nodes.select("id", "digest").join(found.withColumnRenamed("node", "id"), "id", "left")
     classes = classes.select("digest", F.coalesce("component", "id").alias("component"))
     rows = signed.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest"))
-    return rows.join(classes, "digest", "left").select("id", "n", "digest", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    # Rows without a digest meet nothing; rows of a digest that many share are told apart by their places in the written table.
+    hot = hot_keys(nodes, "digest", "copies", signed.count())
+    found = split_join(rows.filter("digest is not null"), classes, ["digest"], F.monotonically_increasing_id(), hot, "left")
+    alone = rows.filter("digest is null").withColumn("component", F.lit(None).cast("bigint"))
+    return found.unionByName(alone).select("id", "n", "digest", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

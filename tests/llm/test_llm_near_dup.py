@@ -2,7 +2,10 @@ import random
 
 from helpers_llm import by_id, documents, words
 
+from pyspark.sql import functions as F
+
 from tallyfold.llm import near_dup
+from tallyfold.llm.common import HOT_SHARE, hot_keys, split_join
 from tallyfold.llm.components import components
 from tallyfold.llm.near_dup import near_duplicates
 from tallyfold.llm.shingles import words_of
@@ -118,3 +121,38 @@ def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (103, 100), (200, 200)]
     found = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert found == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 103: 100}
+
+
+def test_hot_keys_are_split_and_lose_nothing(spark):
+    """One key with a third of the rows, one with many, the rest with few; unmatched and null keys."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 30 == 1, -2).when(F.col("id") % 1000 == 2, None).otherwise(F.col("id") % 9000).alias("key"), "id"
+    )
+    counts = rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("k"))
+    values = counts.filter("key % 7 != 0").select("key", (F.col("key") * 10).alias("value"))
+    hot = hot_keys(counts, "key", "k", 60_000)
+    parts = {r["key"]: r["__parts"] for r in hot.collect()}
+    size = 60_000 // HOT_SHARE + 1
+    assert parts[-1] == 20_000 // size and parts[-2] == 2_000 // size
+    assert len(parts) < HOT_SHARE and sum(parts.values()) < 2 * HOT_SHARE
+    for how in ("inner", "left"):
+        got = split_join(rows, values, ["key"], F.col("id"), hot, how)
+        want = rows.join(values, "key", how)
+        assert got.columns == want.columns
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_a_digest_and_an_id_that_many_rows_share(spark):
+    """Copies under many ids, rows repeated under one id, and rows without words."""
+    base = words(40, 11)
+    near = " ".join([*base[:20], "other", *base[21:]])
+    rows = [(i, " ".join(base)) for i in range(300)] + [(1000, near)] * 200 + [(2000 + i, None) for i in range(200)] + [(None, " ")] * 50
+    got = near_duplicates(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    linked = near_dup._similar(len(_shingles(base) & _shingles(near.split())), 36, 36)
+    want = sorted([(i, 36, 0) for i in range(300)] + [(1000, 36, 0 if linked else 1000)] * 200 + [(2000 + i, 0, 2000 + i) for i in range(200)] + [(None, 0, None)] * 50, key=repr)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+
+
+def _shingles(w):
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
