@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import by_position, columns, documents, small_batches, staged, texts_of
+from tallyfold.llm.common import by_position, columns, documents, hot_keys, small_batches, split_join, staged, texts_of
 from tallyfold.llm.toxicity import _logistic, held_out
 
 TRAIN_DOCS, TRAIN_CHARS = 2000, 20_000
@@ -40,6 +40,8 @@ KEEP = 0.5
 ODDS_LIMIT = 8.0
 #: What a site can add to the log odds at most.
 SITE_LIMIT = 2.0
+#: Paths whose values are broadcast: a digest and a number each, some 60 MB.
+SITES_IN_MEMORY = 500_000
 _PUNCT = [c for c in range(33, 127) if not chr(c).isalnum()]
 
 
@@ -119,7 +121,7 @@ def prior_strength(mean: float, groups: int, n: float, n_sq: float, spread: floa
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """``host, path, site`` (posterior mean) per path, and the corpus mean.
+    """``host, path, site`` (posterior mean) and ``n`` (rows) per path, and the corpus mean.
 
     ``scored``: host, path, p. Sums per path are combined before their shuffle, so a
     host with a third of all rows is a handful of partial sums; only totals of
@@ -129,7 +131,7 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     if not total.n:
-        return paths.select("host", "path", F.lit(0.5).alias("site")), 0.5
+        return paths.select("host", "path", F.lit(0.5).alias("site"), "n"), 0.5
     mean = total.s / total.n
 
     def strength(groups: DataFrame, centre: Column) -> float:
@@ -142,7 +144,7 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     with_host = paths.join(hosts, "host")
     k_path = strength(with_host, F.col("host_mean"))
     site = (F.col("s") + k_path * F.col("host_mean")) / (F.col("n") + k_path)
-    return with_host.select("host", "path", site.alias("site")), mean
+    return with_host.select("host", "path", site.alias("site"), "n"), mean
 
 
 def log_odds(docs: DataFrame, model: Classifier | None, *, text_col: str, out: str) -> DataFrame:
@@ -170,6 +172,24 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     return model, staged(sites, "sites"), mean
 
 
+def _site_key(host: Column, path: Column) -> Column:
+    return F.sha2(F.concat(F.length(host).cast("string"), F.lit(":"), host, path).cast("binary"), 256)
+
+
+def with_site(rows: DataFrame, host: Column, path: Column, sites: DataFrame, in_memory: int = SITES_IN_MEMORY) -> DataFrame:
+    """``rows`` with the value of their path as ``__site``.
+
+    Few paths are broadcast, so no text is shuffled. Of more, a path that holds many rows is dealt to parts.
+    """
+    values = sites.select(_site_key(F.col("host"), F.col("path")).alias("__key"), F.col("site").alias("__site"), F.col("n").alias("__n"))
+    known = values.agg(F.count(F.lit(1)).alias("paths"), F.coalesce(F.sum("__n"), F.lit(0)).alias("rows")).first()
+    keyed = rows.withColumn("__key", _site_key(host, path))
+    if known.paths <= in_memory:
+        return keyed.join(F.broadcast(values.drop("__n")), "__key", "left").drop("__key")
+    hot = staged(hot_keys(values, "__key", "__n", known.rows), "hot-paths")
+    return split_join(keyed, values.drop("__n"), ["__key"], F.monotonically_increasing_id(), hot, "left").drop("__key")
+
+
 def _posterior(odds: Column, site: Column, mean: float) -> Column:
     shift = _logit(site) - _logit(F.lit(mean))
     return 1 / (1 + F.exp(-(odds + F.greatest(F.least(shift, F.lit(SITE_LIMIT)), F.lit(-SITE_LIMIT)))))
@@ -181,9 +201,9 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     rows = columns(docs, doc_id=id_col, text=text_col, host=host_col, path=path_col)
     rows = rows.select("doc_id", "text", _key(F.col("host")).alias("host"), _key(F.col("path")).alias("path"))
     scored = log_odds(rows, model, text_col="text", out="odds").drop("text")
-    q = _posterior(F.col("odds"), F.col("site"), mean)
-    out = scored.join(sites, ["host", "path"], "left")
-    return out.select("doc_id", (1 / (1 + F.exp(-F.col("odds")))).alias("classifier"), "site", q.alias("quality"), (q >= KEEP).alias("kept"))
+    q = _posterior(F.col("odds"), F.col("__site"), mean)
+    out = with_site(scored, F.col("host"), F.col("path"), sites)
+    return out.select("doc_id", (1 / (1 + F.exp(-F.col("odds")))).alias("classifier"), F.col("__site").alias("site"), q.alias("quality"), (q >= KEEP).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
@@ -191,9 +211,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     model, sites, mean = fitted(docs, labels, id_col=id_col, text_col=text_col, host_col=host_col, path_col=path_col, label_col=label_col)
     rows, where = by_position(docs)
     scored = log_odds(rows, model, text_col=where[text_col], out="__odds")
-    s = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("site").alias("__site"))
-    on = (_key(F.col(where[host_col])) == F.col("__host")) & (_key(F.col(where[path_col])) == F.col("__path"))
-    kept = scored.join(s, on, "left").filter(_posterior(F.col("__odds"), F.col("__site"), mean) >= KEEP)
+    placed = with_site(scored, _key(F.col(where[host_col])), _key(F.col(where[path_col])), sites)
+    kept = placed.filter(_posterior(F.col("__odds"), F.col("__site"), mean) >= KEEP)
     return kept.select(*rows.columns).toDF(*docs.columns)
 
 

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers_llm import by_id, documents, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyfold.llm import quality, toxicity
@@ -218,3 +219,13 @@ def test_stages_return_the_columns_and_survive_odd_rows(spark):
     empty = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_paths_by_broadcast_and_in_parts_agree(spark):
+    """Two thirds of the rows in one path: dealt to parts they have the values that a broadcast gives them, nulls included."""
+    rows = [(k, "hot" if k % 3 else f"h{k % 50}", None if k % 7 == 0 else "p") for k in range(30_000)]
+    docs = spark.createDataFrame([*rows, (-1, "new", "p")], "id long, host string, path string")
+    host, path = quality._key(F.col("host")), quality._key(F.col("path"))
+    sites = docs.filter("id >= 0").groupBy(host.alias("host"), path.alias("path")).agg(F.count("*").alias("n"), F.avg("id").alias("site"))
+    few, many = (sorted(quality.with_site(docs, host, path, sites, limit).collect(), key=lambda r: r.id) for limit in (1000, 0))
+    assert few == many and len(few) == 30_001 and few[0]["__site"] is None and few[1]["__site"] is not None
