@@ -8,8 +8,13 @@ list, never of the data). A hit of a template is a candidate diagonal;
 a local alignment inside a band around it gives the words matched, the share of
 the template that they cover, and the span in the text. The words that tell a license from its
 neighbours (name, version) must all be there, in a row and in place, whatever the coverage. Of
-matches that overlap in a text the best stays. Full texts of the long licenses are found by
-their openings, lines with an SPDX identifier by the identifier.
+matches that overlap in a text the best stays. The full texts of the long licenses (folder
+license_texts) are templates by section, so that a part of one is found where it stands and a whole
+one is covered from its first section to its last; lines with an SPDX identifier are found by it.
+
+Long templates share phrases with many others, so a band must hold a fingerprint for every
+PER_FINGERPRINT words of its template (one at least) before it is aligned: half of what stays in common
+where a fifth of the words are changed, missing or new, wherever they are.
 
 Defined cases: null and empty texts match nothing; ids (null, repeated) are carried along;
 every row is scanned whole; rows without a match are not reported.
@@ -17,8 +22,10 @@ every row is scanned whole; rows without a match are not reported.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
+from bisect import bisect
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +40,12 @@ GRAM, WINDOW, BAND = 3, 2, 6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of a template's words that a match must cover.
 COVERAGE = 0.8
+#: Words of a template for each fingerprint that its band must hold.
+PER_FINGERPRINT = 20
+#: Sections of fewer words are no templates.
+SECTION_WORDS = 20
+#: Words of a text whose candidates are counted at a time.
+PIECE = 50_000
 
 # License notices and texts, by license.
 TEMPLATES: dict[str, list[str]] = {
@@ -162,6 +175,30 @@ DECIDING: dict[str, list[str]] = {
 NOT_BEFORE = {"BSD-2-Clause": ["endorse or promote", "advertising materials mentioning"]}
 #: A line that only names a license by its identifier, as the licenses are named here.
 IDENTIFIER = "SPDX-License-Identifier: "
+#: Licenses with a full text in the folder, and what ends the terms in it.
+FULL_TEXTS = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+_TERMS_END = re.compile(r"^ *END OF TERMS AND CONDITIONS|^Exhibit A - ", re.M)
+_HEADING = re.compile(r"^[ *]*(\d+)\. ", re.M)
+#: Sections of a license that are another's too, if that one's notice or title is the last before them.
+SHARED_SECTIONS = {"GPL-3.0": "AGPL-3.0"}
+
+
+def full_texts() -> dict[str, str]:
+    folder = resources.files("tallyfold.llm") / "license_texts"
+    return {name: (folder / f"{name}.txt").read_text(encoding="utf-8") for name in FULL_TEXTS}
+
+
+def sections(text: str) -> list[tuple[str, str]]:
+    """(number, text) of the sections of a full license text, up to the end of its terms; ``preamble`` is what comes before them."""
+    end = _TERMS_END.search(text)
+    text = text[: end.start()] if end else text
+    names, starts = ["preamble"], [0]
+    for m in _HEADING.finditer(text):
+        number = int(m[1])
+        if number == int(names[-1]) + 1 if len(names) > 1 else number < 2:
+            names.append(str(number))
+            starts.append(m.start())
+    return [(name, text[a:b]) for name, a, b in zip(names, starts, [*starts[1:], len(text)], strict=True)]
 
 
 def winnow(h: np.ndarray) -> np.ndarray:
@@ -175,25 +212,39 @@ def winnow(h: np.ndarray) -> np.ndarray:
 class Index:
     """Inverted index of the templates' fingerprints."""
 
-    def __init__(self, templates: dict[str, list[str]], deciding: dict[str, list[str]] | None = None):
-        self.names = [name for name, texts in templates.items() for _ in texts]
-        self.words = [_WORD.findall(t.lower()) for texts in templates.values() for t in texts]
+    def __init__(self, templates: dict[str, list[str]], deciding: dict[str, list[str]] | None = None, full: dict[str, str] | None = None):
         phrases = {name: [[f" {p} " for p in w.split("|")] for w in (deciding or {}).get(name, [])] for name in templates}
-        self.deciding = [phrases[name] for name in self.names]
+        self.names, self.words, self.deciding, self.sections = [], [], [], []
+        for name, texts in templates.items():
+            for t in texts:
+                self._add(name, t, phrases[name])
         if deciding is not None:
             for name in templates:
-                line = _WORD.findall((IDENTIFIER + name).lower())
-                self.names.append(name)
-                self.words.append(line)
-                self.deciding.append([[f" {' '.join(line[2:])} "]])  # the identifier, whole and in a row
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                # The identifier, whole and in a row.
+                self._add(name, IDENTIFIER + name, [[f" {' '.join(_WORD.findall(name.lower()))} "]])
+        for name, text in (full or {}).items():
+            for number, part in sections(text):
+                if len(_WORD.findall(part.lower())) >= SECTION_WORDS:
+                    self._add(name, part, [], number)
+        self.least = np.array([max(1, len(w) // PER_FINGERPRINT) for w in self.words], dtype=np.int64)
+        self.longest = max(map(len, self.words), default=0)
+        places = []
         for t, words in enumerate(self.words):
             if len(words) < GRAM + WINDOW - 1:
                 raise ValueError(f"template of {self.names[t]} is too short to be found for certain")
             grams = seeds(hashes_of(words), "1" * GRAM)
-            for p in winnow(grams).tolist():
-                self.places[int(grams[p])].append((t, p))
-        self.keys = np.array(sorted(self.places), dtype=np.uint64)
+            places += [(int(grams[p]), t, p) for p in winnow(grams).tolist()]
+        places.sort()
+        self.keys, first = np.unique(np.array([x[0] for x in places], dtype=np.uint64), return_index=True)
+        self.first = np.append(first, len(places))
+        self.template = np.array([x[1] for x in places], dtype=np.int64)
+        self.place = np.array([x[2] for x in places], dtype=np.int64)
+
+    def _add(self, name: str, text: str, deciding: list, section: str = "") -> None:
+        self.names.append(name)
+        self.words.append(_WORD.findall(text.lower()))
+        self.deciding.append(deciding)
+        self.sections.append(section)
 
     def decided(self, t: int, text: list[str], matched: int, first: int, last: int) -> bool:
         """True if the template's deciding words are in the match; those at its ends may be beside it."""
@@ -214,6 +265,23 @@ class Index:
         k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         return at[self.keys[k] == h[at]]
 
+    def candidates(self, at: np.ndarray, h: np.ndarray, piece: int = PIECE) -> Iterator[tuple[int, int, int]]:
+        """(place in the text, template, place in it) of the hits whose band holds enough of them, by place in the text."""
+        reach = self.longest + 2 * BAND
+        for start in range(0, int(at[-1]) + 1, piece):
+            hits = at[slice(*np.searchsorted(at, [start - reach, start + piece + reach]))]
+            k = np.searchsorted(self.keys, h[hits])
+            many = self.first[k + 1] - self.first[k]
+            p = np.repeat(hits, many)
+            each = np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[k], many)
+            t, q = self.template[each], self.place[each]
+            # Templates far apart, so that no band reaches from one into the next.
+            line = t * (int(h.size) + 2 * reach) + p - q
+            in_order = np.sort(line)
+            near = np.searchsorted(in_order, line + BAND, side="right") - np.searchsorted(in_order, line - BAND)
+            ok = (near >= self.least[t]) & (p >= start) & (p < start + piece)
+            yield from zip(p[ok].tolist(), t[ok].tolist(), q[ok].tolist(), strict=True)
+
 
 def align(text: list[str], template: list[str], diagonal: int) -> tuple[int, int, int, int] | None:
     """(score, matched, first word, last word + 1) of the best local alignment in the band.
@@ -247,41 +315,53 @@ def align(text: list[str], template: list[str], diagonal: int) -> tuple[int, int
     return best if best[0] else None
 
 
-def scan_text(text: str, index: Index, hit_at: np.ndarray, grams: np.ndarray) -> list[tuple[str, float, int, int, int]]:
-    """(license, coverage, matched words, start, end) of one text, in order of place."""
+def scan_text(text: str, index: Index, hit_at: np.ndarray, grams: np.ndarray) -> list[tuple[str, float, int, int, int, str]]:
+    """(license, coverage, matched words, start, end, section) of one text, in order of place."""
     lower = text.lower()
     found = [m for m in _WORD.finditer(lower)]
     words = [m[0] for m in found]
     results, seen, last = set(), set(), {}
-    for p in hit_at.tolist():
-        for t, q in index.places[int(grams[p])]:
-            if (t, p - q) in seen or p < last.get(t, 0):
-                continue  # this diagonal, or a match over this place, is known
-            seen.add((t, p - q))
-            a = align(words, index.words[t], p - q)
-            if a and a[1] >= COVERAGE * len(index.words[t]) and index.decided(t, words, *a[1:]):
-                results.add((a[0], a[1], t, a[2], a[3]))
-                last[t] = a[3]
-    kept: list = []
+    for p, t, q in index.candidates(hit_at, grams):
+        if (t, p - q) in seen or p < last.get(t, 0):
+            continue  # this diagonal, or a match over this place, is known
+        seen.add((t, p - q))
+        a = align(words, index.words[t], p - q)
+        if a and a[1] >= COVERAGE * len(index.words[t]) and index.decided(t, words, *a[1:]):
+            results.add((a[0], a[1], t, a[2], a[3]))
+            last[t] = a[3]
+    kept: list = []  # by place; none overlaps another, so a match is held against its two neighbours
     for r in sorted(results, key=lambda r: (-r[0], -r[1], r[3], r[2])):
-        if all(r[4] <= k[3] or k[4] <= r[3] for k in kept):
-            kept.append(r)
-    kept.sort(key=lambda r: r[3])
+        at = bisect(kept, r[3], key=lambda k: k[3])
+        if (at == 0 or kept[at - 1][4] <= r[3]) and (at == len(kept) or r[4] <= kept[at][3]):
+            kept.insert(at, r)
     # Up to the next match, whose own words these are, or to the end of the text.
     ends = [*(r[3] for r in kept[1:]), len(words)][: len(kept)]
     kept = [r for r, end in zip(kept, ends, strict=True) if not index.continues(r[2], words, r[4], end)]
     place = places_in(text, lower)
-    out = []
+    out, named = [], {}
     for _, m, t, f, e in kept:
+        name, section = index.names[t], index.sections[t]
+        for of, other in SHARED_SECTIONS.items():
+            if section in ("", "preamble") and name in (of, other):
+                named[of] = name
+            elif section and name == of:
+                name = named.get(of, of)
         span = place(found[f].start(), found[e - 1].end())
-        out.append((index.names[t], m / len(index.words[t]), m, *span))
+        out.append((name, m / len(index.words[t]), m, *span, section))
     return out
 
 
-def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """``doc_id, license, coverage, matched, span_start, span_end``: one row per match."""
-    shared = docs.sparkSession.sparkContext.broadcast((templates, None) if templates else (TEMPLATES, DECIDING))
-    schema = "doc_id long, license string, coverage double, matched int, span_start int, span_end int"
+def license_matches(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, full: dict[str, str] | None = None
+) -> DataFrame:
+    """``doc_id, license, coverage, matched, span_start, span_end, section``: one row per match.
+
+    ``section`` is empty for notices, openings and identifiers, else the part of the full text.
+    ``templates`` and ``full`` (full texts by license) replace those built in.
+    """
+    own = templates is not None or full is not None
+    shared = docs.sparkSession.sparkContext.broadcast((templates or {}, None, full) if own else (TEMPLATES, DECIDING, full_texts()))
+    schema = "doc_id long, license string, coverage double, matched int, span_start int, span_end int, section string"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +374,7 @@ def license_matches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 if len(at):
                     rows += [(i, *m) for m in scan_text(text, index, at, grams)]
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-            kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+            kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 import html as H
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from helpers_llm import by_id, documents, words
 from tallyfold.llm import html_text
 from tallyfold.llm.decontaminate import best_stretch, decontaminated, overlap, overlaps
 from tallyfold.llm.html_text import extract, main_text
-from tallyfold.llm.licenses import TEMPLATES, Index, license_matches, winnow
+from tallyfold.llm.licenses import COVERAGE, SECTION_WORDS, TEMPLATES, Index, align, full_texts, license_matches, sections, winnow
 
 ITEM_DDL = "item_id int, text string, doc_id string, pos int"
 
@@ -308,3 +309,75 @@ def test_repetitive_texts_carry_their_words_once(spark):
     bench = spark.createDataFrame([("b", "la " * 40), ("s", "lo lo lo")], "item_id string, text string")
     got = {(r.doc_id, r.item_id): r.matched for r in overlaps(docs, bench).collect()}
     assert got == {(1, "b"): 40, (2, "b"): 11, (3, "s"): 3} and time.time() - started < 60
+
+
+def test_sections_of_full_texts():
+    texts = full_texts()
+    numbers = {name: [s for s, _ in sections(t)][1:] for name, t in texts.items()}
+    last = {"Apache-2.0": (1, 9), "GPL-2.0": (0, 12), "GPL-3.0": (0, 17), "LGPL-2.1": (0, 16), "LGPL-3.0": (0, 6), "MPL-2.0": (1, 10)}
+    assert numbers == {name: [str(k) for k in range(a, b + 1)] for name, (a, b) in last.items()}
+
+
+def test_full_licenses_are_covered_section_by_section(spark):
+    texts = full_texts()
+    rows = [(k, " ".join(words(60, k)) + "\n" + t + "\n" + " ".join(words(60, k + 50))) for k, t in enumerate(texts.values())]
+    agpl = TEMPLATES["AGPL-3.0"][2] + " ".join(part for _, part in sections(texts["GPL-3.0"])[1:])
+    rows += [(100, agpl), (101, dict(sections(texts["GPL-3.0"]))["0"]), (102, dict(sections(texts["Apache-2.0"]))["2"].upper())]
+    got = {}
+    for r in license_matches(documents(spark, rows)).orderBy("doc_id", "span_start").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for k, (name, text) in enumerate(texts.items()):
+        parts = [r for r in got[k] if r.section]
+        wanted = [s for s, part in sections(text) if len(re.findall("[A-Za-z0-9]+", part)) >= SECTION_WORDS]
+        assert {r.license for r in got[k]} == {name} and [r.section for r in parts] == wanted and min(r.coverage for r in parts) > 0.99
+    assert {r.license for r in got[100]} == {"AGPL-3.0"} and len(got[100]) > 15
+    assert [(r.license, r.section) for r in got[101]] == [("GPL-3.0", "0")]
+    assert [(r.license, r.section) for r in got[102]] == [("Apache-2.0", "2")]
+
+
+def test_sections_against_alignment_everywhere(spark):
+    """Changed sections inside of other words: found as aligning every template at every place finds them."""
+    rng, rows, text_of = random.Random(8), [], {}
+    full = {name: full_texts()[name] for name in ("Apache-2.0",)}
+    index = Index({}, None, full)
+    for d in range(24):
+        name, part = rng.choice([x for x in sections(full["Apache-2.0"]) if x[0] in "235678"])
+        w = part.split()
+        for _ in range(int(len(w) * rng.choice([0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.4]))):
+            w[rng.randrange(len(w))] = f"other{rng.randint(0, 9)}"
+        text_of[d] = " ".join(words(rng.randint(0, 30), d) + w + words(10, d + 50))
+        rows.append((d, text_of[d]))
+    got = {(r.doc_id, r.section, r.matched) for r in license_matches(documents(spark, rows), full=full).collect()}
+    want = set()
+    for d, text in text_of.items():
+        found = re.findall("[a-z0-9]+", text.lower())
+        for t, template in enumerate(index.words):
+            best = max((a for a in (align(found, template, at) for at in range(0, 34, 3)) if a), default=None)
+            if best and best[1] >= COVERAGE * len(template):
+                want.add((d, index.sections[t], best[1]))
+    assert {x[:2] for x in got} == {x[:2] for x in want} and len(want) > 8
+    assert sum(x in want for x in got) >= len(got) - 1
+
+
+def test_candidates_do_not_depend_on_the_pieces():
+    index = Index(TEMPLATES, {}, full_texts())
+    from tallyfold.llm.decontaminate import _WORD, seeds
+    from tallyfold.llm.shingles import hashes_of
+
+    grams = seeds(hashes_of(_WORD.findall((full_texts()["GPL-3.0"] * 2).lower())), "111")
+    at = index.hits(grams)
+    whole = list(index.candidates(at, grams))
+    assert len(whole) > 5000 and whole == list(index.candidates(at, grams, piece=701))
+
+
+def test_very_long_repeated_licenses_take_linear_time():
+    import time
+
+    from tallyfold.llm.decontaminate import _WORD, seeds
+    from tallyfold.llm.licenses import scan_text
+    from tallyfold.llm.shingles import hashes_of
+
+    index, text = Index(TEMPLATES, {}, full_texts()), full_texts()["GPL-2.0"] * 10
+    grams, started = seeds(hashes_of(_WORD.findall(text.lower())), "111"), time.time()
+    found = scan_text(text, index, index.hits(grams), grams)
+    assert sum(x[5] == "12" for x in found) == 10 and time.time() - started < 30
