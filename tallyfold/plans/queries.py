@@ -85,6 +85,13 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate(_dirty(spark, sf_dir))
 
 
+def _shuffle_partitions(spark: SparkSession) -> int:
+    try:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except ValueError:  # a non-numeric setting: Spark's own default
+        return 200
+
+
 def _before(df: DataFrame) -> DataFrame:
     return df.filter(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz"))
 
@@ -183,8 +190,8 @@ def q_running_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_metric_state_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1's overflow rule: deltas near 2**63 whose partial sums leave int64 and whose totals do not.
 
-    The same fold in one aggregate, as a merge of two halves, and as a fold of their states;
-    every form must give the same state.
+    The same fold with each key's rows in one partition, in seven and where they lie, as a merge of
+    two halves, and as a fold of their states; every form must give the same state.
     """
     u = _updates(spark, sf_dir).filter(F.col("type") == "counter")
     step = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
@@ -197,7 +204,11 @@ def q_metric_state_large(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         (F.col("seq") % 2 == 0).alias("early"),
     )
+    # A sum is a key's own, so a key in one partition is one partial sum, whatever other keys lie elsewhere.
+    n = max(7, _shuffle_partitions(spark))
     forms = {
+        "one": fold.fold_updates(three.repartition("id", "type")),
+        "seven": fold.fold_updates(three.repartition(n, "id", "type", F.pmod("seq", F.lit(7)))),
         "spread": fold.fold_updates(three),
         "merged": fold.upsert(fold.fold_updates(three.filter("early")), three.filter("not early")),
         "states": fold.fold_states(fold.fold_updates(three.filter("early")).unionByName(fold.fold_updates(three.filter("not early")))),
@@ -597,10 +608,7 @@ def _stream_source(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame
     One file per shuffle partition (range-partitioned by seq), so the write is as
     parallel as the session and no task carries a fixed share.
     """
-    try:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except ValueError:  # a non-numeric setting: Spark's own default
-        n = 200
+    n = _shuffle_partitions(spark)
     rows.repartitionByRange(n, "seq").write.parquet(f"{root}/source")
     per_batch = max(1, -(-n // 4))
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{root}/source")

@@ -150,3 +150,15 @@ def test_only_requested_state_rows_leave_the_scan(spark, scratch):
     assert "bitmap_construct_agg" in p and "Exchange hashpartitioning(id" not in p[p.index("_bits"):at]
     got = lookup.lookup(asked, kept.select("id", "type", "delta", "value")).filter("found").count()
     assert got == 100
+
+
+def test_large_deltas_are_folded_in_every_form_and_by_many_tasks(spark):
+    df = q.q_metric_state_large(spark, SF_SMALL)
+    by_form = {}
+    for r in df.collect():
+        by_form.setdefault(r.form, set()).add((r.id, r.type, r.delta, r.value))
+    assert set(by_form) == {"one", "seven", "spread", "merged", "states"}
+    assert len({frozenset(v) for v in by_form.values()}) == 1
+    p = plan(df)
+    # A key's rows lie in one partition or in seven, and no partition holds all keys.
+    assert "REPARTITION_BY_COL" in p and "REPARTITION_BY_NUM" in p and "Coalesce" not in p and "SinglePartition" not in p
