@@ -298,3 +298,29 @@ def test_late_updates_of_a_registered_report(spark):
     total = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
     counted = queries.q_report_late(spark, SF_SMALL).agg(F.sum("polls")).first()[0]
     assert 0.7 * total < counted < total * 0.98
+
+
+def test_the_store_keeps_totals_without_python_and_one_source_feeds_rows_and_totals(spark, scratch):
+    import os
+
+    from tallyfold.streaming import results_store
+
+    src, res, ck = scratch("src"), scratch("results"), scratch("ck")
+    hot = [(i, "hot", "counter", 2**62 if i % 2 else -(2**62), None) for i in range(40)]
+    for lo in (0, 20):
+        spark.createDataFrame(hot[lo : lo + 20] + [(100 + lo, "rare", "counter", None, None)], UPDATE_DDL).coalesce(1).write.mode("append").parquet(src)
+    seed = spark.createDataFrame([("rare", "counter", 7), ("never", "counter", 1)], "id STRING, type STRING, delta BIGINT")
+    got = _stored(spark, src, res, ck, seed)
+    everything = spark.read.parquet(src)
+    state = seed.withColumn("value", F.lit(None).cast("double"))
+    assert rows(got) == rows(running.running_result(everything, state=state).select(*got.columns))
+    local = ck.removeprefix("file:")
+    # The updates and the seed: rows and totals of a micro-batch are of the same files.
+    assert sorted(os.listdir(f"{local}/sources")) == ["0", "1"]
+    stream = spark.readStream.schema(UPDATE_DDL).parquet(src)
+    plan = results_store.with_totals(stream)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "Python" not in plan and "Aggregate" in plan
+    # An old checkpoint keeps the seed that it began with.
+    spark.createDataFrame([(200, "rare2", "counter", 1, None), (201, "never", "counter", 1, None)], UPDATE_DDL).coalesce(1).write.mode("append").parquet(src)
+    again = _stored(spark, src, res, ck, spark.createDataFrame([("never", "counter", 50)], "id STRING, type STRING, delta BIGINT"))
+    assert dict(rows(again.filter("seq >= 200"), "seq", "delta")) == {200: 1, 201: 2}
