@@ -156,3 +156,18 @@ def test_a_digest_and_an_id_that_many_rows_share(spark):
 
 def _shingles(w):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def test_stars_are_left_as_they_are(spark, monkeypatch):
+    """Links that are stars already need no round, and what is settled is not run through once more."""
+    from tallyfold.llm import components as module
+
+    rounds = []
+    monkeypatch.setattr(module, "staged", lambda df, name, f=module.staged: (rounds.append(name), f(df, name))[1])
+    stars = [(1, 5), (6, 1), (1, 1), (2, 9), (9, 2)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert found == {1: 1, 5: 1, 6: 1, 2: 2, 9: 2} and rounds.count("star") == 0
+    # A node under two others, and one that is above one and under another.
+    found = {r.node: r.component for r in components(spark.createDataFrame([(3, 7), (4, 7), (20, 21), (21, 22)], "a long, b long")).collect()}
+    assert found == {3: 3, 4: 3, 7: 3, 20: 20, 21: 20, 22: 20}
+    assert components(spark.createDataFrame([(4, 4)], "a long, b long")).count() == 0
