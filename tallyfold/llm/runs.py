@@ -38,6 +38,10 @@ class RunEncoder:
         """What a run of letters is remembered under."""
         return core
 
+    def encode_each(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        return [array("I", e.ids).tobytes() for e in self._batch(pieces, add_special_tokens=False)]
+
     def encode_runs(self, runs: list[str]) -> np.ndarray:
         found = list(map(self._known.get, runs))
         if None in found:
@@ -53,7 +57,7 @@ class RunEncoder:
     def _learn(self, missing: list[str]) -> None:
         cores, pieces = self._cores, []
         for r in missing:
-            core = r.rstrip(_TAIL)
+            core = r if r.isalpha() else r.rstrip(_TAIL)
             if core.isalpha() or core[:1] == " " and core[1:].isalpha():
                 pieces.append((self.core_key(core), r[len(core) :]))
             else:
@@ -63,7 +67,6 @@ class RunEncoder:
         new = list(dict.fromkeys(p for pair in pieces for p in pair if p and p not in cores))
         for at in range(0, len(new), _BATCH):
             part = new[at : at + _BATCH]
-            for p, e in zip(part, self._batch(part, add_special_tokens=False), strict=True):
-                cores[p] = array("I", e.ids).tobytes()
+            cores.update(zip(part, self.encode_each(part), strict=True))
         for r, (core, tail) in zip(missing, pieces, strict=True):
             self._known[r] = cores[core] + cores[tail] if tail else cores[core]

@@ -23,6 +23,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,9 @@ WORD_VOCAB = "word_bpe_49k.json"
 
 # White space as the vocabulary's normaliser means it (Unicode White_Space).
 _WORDS = re.compile(f"[^{WHITE_SPACE}]+")
-_PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
+_PYTHON_ONLY_SPACE = "\x1c\x1d\x1e\x1f"
+#: Words of letters that the library gets as one text.
+_JOINED = 64
 
 
 class WordEncoder(RunEncoder):
@@ -69,6 +72,7 @@ class WordEncoder(RunEncoder):
         self._spelled = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if self._special else None
         # They are cut out before; a run that spells one only in lower case is none.
         tokenizer.encode_special_tokens = True
+        self._with_places = tokenizer.encode_batch
         super().__init__(tokenizer, cache_runs=CACHE_RUNS, cache_cores=CACHE_CORES)
 
     def core_key(self, core: str) -> str:
@@ -77,6 +81,21 @@ class WordEncoder(RunEncoder):
             return low
         return low if "\u03a3" not in core and low.isalpha() and unicodedata.is_normalized("NFC", core) else core
 
+    def encode_each(self, pieces: list[str]) -> list[bytes]:
+        """Words of letters go to the library many at a time, with spaces between; each is one word of its splitter's."""
+        words = [p for p in pieces if p.isalpha()]
+        groups = [words[at : at + _JOINED] for at in range(0, len(words), _JOINED)]
+        ids: dict[str, bytes] = {}
+        for group, e in zip(groups, self._with_places([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            word = e.word_ids
+            if word and word[-1] == len(group) - 1:  # else the splitter cuts one of them
+                cuts = (4 * np.searchsorted(word, np.arange(len(group) + 1))).tolist()
+                data = array("I", e.ids).tobytes()
+                ids.update(zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        others = [p for p in pieces if p not in ids]
+        ids.update(zip(others, super().encode_each(others), strict=True))
+        return [ids[p] for p in pieces]
+
     def encode(self, text: str) -> np.ndarray:
         if self._spelled is None or not self._spelled.search(text):
             return self._plain(text)
@@ -86,7 +105,7 @@ class WordEncoder(RunEncoder):
     def _plain(self, text: str) -> np.ndarray:
         if text.isascii():
             text = text.lower()
-        return self.encode_runs(_WORDS.findall(text) if _PYTHON_ONLY_SPACE.search(text) else text.split())
+        return self.encode_runs(_WORDS.findall(text) if any(c in text for c in _PYTHON_ONLY_SPACE) else text.split())
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -107,3 +107,18 @@ def test_encode_decode_tables(spark):
     docs = documents(spark, [(i, t) for i, t in enumerate(HARD)])
     enc = byte_bpe.encode(docs, with_offsets=True)
     assert {r.doc_id: r.text for r in byte_bpe.decode(enc).collect()} == dict(enumerate(HARD))
+
+
+def test_words_of_letters_go_to_the_library_many_at_a_time():
+    from array import array
+
+    path = public_tokenizers.path(token_files.WORD_VOCAB)
+    library, encoder = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)] + ["straße", "İx", "한글", "한", "ét", "don't", "3a", "²", "㐀二", "a" * 3000]
+    asked = []
+    encoder._batch = lambda texts, f=encoder._batch, **k: (asked.extend(texts), f(texts, **k))[1]
+    encoder._with_places = lambda texts, f=encoder._with_places, **k: (asked.extend(texts), f(texts, **k))[1]
+    text = " ".join(words)
+    assert encoder.encode(text).tobytes() == array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+    # One of them is cut by the splitter once it is in lower case, so its group is asked for word by word.
+    assert len(asked) < 100 < len(words)
