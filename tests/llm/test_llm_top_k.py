@@ -66,3 +66,54 @@ def test_defined_cases(spark):
     got = top_k(spark.createDataFrame(data, DDL), lambda i: i % 50 == 0).collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 256 * 512)]
     assert top_k(spark.createDataFrame([], DDL), lambda i: i % 50 == 0).count() == 0
+
+
+def test_what_tasks_send_to_the_driver_does_not_grow_with_the_tasks(spark):
+    """Each task once sent its own 2000 vectors of the pivots' sample."""
+    df = spark.range(20000).selectExpr("id AS vec_id", "transform(sequence(1, 64), i -> float((xxhash64(id, i) % 1000) / 1000)) AS embedding")
+    conf = spark.sparkContext._jsc.sc().conf()
+    was = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        got = top_k(df, lambda i: i % 5000 == 0).collect()
+    finally:
+        conf.set("spark.driver.maxResultSize", was)
+    x = {r.vec_id: np.floor(256 * np.array(r.embedding, dtype=np.float64)).astype(np.int64) for r in df.collect()}
+    ids, m = np.array(list(x)), np.array(list(x.values()))
+    want = set()
+    for i in range(0, 20000, 5000):
+        found = sorted((-int(s), int(j)) for s, j in zip(m @ x[i], ids) if j != i)[:5]
+        want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(found)}
+    assert {tuple(r) for r in got} == want
+
+
+def test_rows_that_go_to_every_block_stay_small(spark):
+    from tallyfold.llm.top_k import _packed, _unpacked, integer_vectors
+
+    rows = [(i, [float(i % 7)] * (1 + i % 3) + [2.0**20 * (i % 50 == 0), 2.0**30 * (i % 40 == 0)], "s", 1) for i in range(300)]
+    packs = _packed(integer_vectors(spark.createDataFrame(rows, DDL).coalesce(1)), 5, 16).collect()
+    assert max(len(p.vectors) for p in packs) <= 8 * 5 * 16 and min(len(p.vectors) for p in packs) <= 4 * 5 * 16
+    ids, x = _unpacked([tuple(map(memoryview, map(bytes, p))) for p in packs], 5)
+    want = {i: [int(256 * c) for c in v] + [0] * (5 - len(v)) for i, v, *_ in rows}
+    assert dict(zip(ids.tolist(), x.tolist(), strict=True)) == want
+
+
+def test_blocks_of_mixed_sizes_ties_and_repeated_ids_are_exact():
+    rng = np.random.default_rng(9)
+    for big in (2**10, 2**25, 2**29):
+        x = np.where(rng.random((300, 1)) < 0.2, rng.integers(-big, big, (300, 6)), rng.integers(-3, 4, (300, 6)))
+        ids, asks = rng.integers(0, 200, 300), np.arange(0, 300, 9)
+        p = choose_pivots(x[:100])
+        d = pivot_distances(x, p)
+        found, _ = search_block(ids, x, d, ids[asks], x[asks], d[asks], 4)
+        want = []
+        for i in asks:
+            scored = sorted((-sum(int(a) * int(b) for a, b in zip(x[i], y)), int(j)) for j, y in zip(ids, x) if j != ids[i])[:4]
+            want += [(int(ids[i]), j, -s) for s, j in scored]
+        assert found == want
+    x = np.array([[2**40, 0], [2**40, 1], [-(2**40), 1]])
+    try:
+        search_block(np.arange(3), x, pivot_distances(x, x), np.arange(1), x[:1], pivot_distances(x[:1], x), 1)
+        raise AssertionError("a score beyond a long was returned")
+    except OverflowError:
+        pass
